@@ -32,6 +32,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, per_hundred=85)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -39,7 +45,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op5_token_files, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing)}
 
 
 ORACLES = {
