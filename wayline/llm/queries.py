@@ -44,8 +44,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
 
 
 ORACLES = {
@@ -57,6 +63,21 @@ ORACLES = {
           CASE WHEN octet_length(encode(p.html)) >= 100 AND p.page_id > f.first_id THEN f.first_id END AS refers_to
         FROM p JOIN f ON p.html = f.html
     """,
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, len(w[i:i+9]) AS n, array_to_string(w[i:i+9], ' ') AS k
+          FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM win),
+        pos AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS k
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hit AS (SELECT DISTINCT doc_id, pos.n, i, item_id FROM pos JOIN win ON pos.k = win.k AND pos.n = win.n),
+        marked AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(CAST(len(d.w) AS BIGINT), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+    """,
 }
 
 
