@@ -23,6 +23,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages")).drop("verified")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+    from .textvec import crc_bucket
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, docs, F.pmod(crc_bucket(F.col("doc_id")), F.lit(4)) != 2)
+    return found.withColumn("held_out", F.pmod(crc_bucket(F.col("doc_id")), F.lit(4)) == 2)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scratch import new_path
     from .token_files import token_digests, write_token_files
@@ -51,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
 
 
 ORACLES = {
