@@ -41,6 +41,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+    from .textvec import crc_bucket
+
+    docs, held = table(spark, sf_dir, "documents"), F.pmod(crc_bucket(F.col("doc_id")), F.lit(5)) == 0
+    return classify(docs, docs, table(spark, sf_dir, "labels"), ~held, threshold=0.3).withColumn("held_out", held)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -60,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
 
 
 ORACLES = {
