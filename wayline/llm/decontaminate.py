@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, NOT_ALNUM, blocks, mix, ragged, span_hashes
+from .textvec import LOWER, NOT_ALNUM, blocks, keep_rows, mix, ragged, span_hashes
 
 #: Words by which training suffixes are sorted; longer matches are compared directly.
 DEPTH = 16
 _ORDER = np.random.default_rng(0xD0C5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean boolean"
 
 
 def text_words(block) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +170,8 @@ def _scan(shared: list):
                 n_hit = hit[first[1:]] - hit[first[:-1]]
                 digests = [hashlib.sha256(",".join(sorted(str(i) for i in found.get(d, ()) if i is not None)).encode()).hexdigest() if d in found else _NONE for d in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, n), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(found.get(d, ())) for d in range(n)], type=pa.int64()), pa.array(digests), pa.array(n_hit > 0)],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    [batch.column(0).slice(block.first, n), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(found.get(d, ())) for d in range(n)], type=pa.int64()), pa.array(digests), pa.array(n_hit > 0), pa.array(n_hit == 0)],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean"],
                 )
 
     return run
@@ -189,7 +189,12 @@ def _share(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): its words, those inside an occurrence of a window of ``benchmark`` (item_id, text), and the items found."""
     shared = _share(docs, benchmark, window, block_bytes)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(shared), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(shared), SCHEMA).drop("clean")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) in which no window of the benchmark occurs."""
+    return keep_rows(docs, _scan(_share(docs, benchmark, window, block_bytes)), "clean")
 
 
 def _longest(shared: list):

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import Block, blocks, mix
+from .textvec import Block, blocks, keep_rows, mix
 
 ORDER = 4
 #: A short text's cross-entropy varies: the limit is widened by so many nats over the square root of its characters.
@@ -236,6 +236,16 @@ def identify(docs: DataFrame, training: DataFrame, labelled: Column, sample_docs
     training: rows (doc_id, text, lang) of which those where ``labelled`` holds are learned from.
     score: the share of the best language in a softmax of ``-sharpness`` times the cross-entropies.
     """
+    run = predictor(docs.sparkSession, training, labelled, sample_docs, sample_bytes, sharpness)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def predictor(spark: SparkSession, training: DataFrame, labelled: Column, sample_docs: int = 800, sample_bytes: int = 1 << 16, sharpness: float = 8.0):
+    """Fits the models and gives the mapInArrow function that ``identify`` applies."""
     texts = sample(training, labelled, sample_docs, sample_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts) if texts else None)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_predict(shared, sharpness), SCHEMA)
+    return _predict(spark.sparkContext.broadcast(fit(texts) if texts else None), sharpness)
+
+
+def keep_accepted(docs: DataFrame, labelled: Column) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) that are not rejected."""
+    return keep_rows(docs, predictor(docs.sparkSession, docs, labelled), "accepted")

@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, SPACE, Block, blocks, mix, span_hashes
+from .textvec import LOWER, SPACE, Block, blocks, keep_rows, mix, span_hashes
 
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 96, 24, 12
-SCHEMA = "doc_id long, score double, predicted int, passages long, top_passage long, top_weight double"
+SCHEMA = "doc_id long, score double, predicted int, passages long, top_passage long, top_weight double, good boolean"
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other ASCII mark, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 not ASCII, 7 sentence mark
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[32, 9, 11, 12, 13]], _CLASS[10], _CLASS[128:] = 1, 2, 3, 4, 5, 6
@@ -165,7 +165,7 @@ def _score(shared, threshold: float):
                     score, count = 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(np.float64))), np.diff(begin)
                     best = np.lexsort((np.arange(len(a)), -a, np.repeat(np.arange(n), count)))[begin[:-1]]
                     top, weight = best - begin[:-1], a[best].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(count), pa.array(top), pa.array(weight)], names=["doc_id", "score", "predicted", "passages", "top_passage", "top_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(count), pa.array(top), pa.array(weight), pa.array(score >= threshold)], names=["doc_id", "score", "predicted", "passages", "top_passage", "top_weight", "good"])
 
     return run
 
@@ -175,6 +175,16 @@ def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, labelled:
 
     training, labels: texts (doc_id, text) and their labels (doc_id, quality) of which those where ``labelled`` holds are learned from.
     """
+    run = scorer(docs.sparkSession, training, labels, labelled, sample_docs, sample_bytes, threshold)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def scorer(spark: SparkSession, training: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int = 4000, sample_bytes: int = 1 << 15, threshold: float = 0.3):
+    """Fits the model and gives the mapInArrow function that ``classify`` applies."""
     texts, y = sample(training, labels, labelled, sample_docs, sample_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, y) if len(texts) else None)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(shared, threshold), SCHEMA)
+    return _score(spark.sparkContext.broadcast(fit(texts, y) if len(texts) else None), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: Column, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) whose score is at least ``threshold``."""
+    return keep_rows(docs, scorer(docs.sparkSession, docs, labels, labelled, threshold=threshold), "good")

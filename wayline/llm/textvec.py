@@ -138,3 +138,17 @@ def crc_bucket(column):
     from pyspark.sql import functions as F
 
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def keep_rows(docs, run, flag: str):
+    """The rows of ``docs``, all columns, for which a mapInArrow function over (doc_id, text) sets ``flag``: no join, no shuffle."""
+    names = docs.columns
+    at = names.index("doc_id"), names.index("text")
+
+    def apply(batches):
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=["doc_id", "text"])
+            flags = [x.column(x.schema.get_field_index(flag)) for x in run(iter([pair]))]
+            yield batch.filter(pa.concat_arrays(flags)) if flags else batch
+
+    return docs.mapInArrow(apply, docs.schema)
