@@ -32,6 +32,8 @@ from .textvec import Block, blocks, keep_rows, mix
 ORDER = 4
 #: A short text's cross-entropy varies: the limit is widened by so many nats over the square root of its characters.
 SLACK = 4.0
+#: Bytes of text whose grams are counted together in fitting.
+FIT_BYTES = 1 << 18
 _LAST_LETTER = 0x32400
 _SALT = np.random.default_rng(0x1A96).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD: list[np.ndarray] = []
@@ -131,9 +133,17 @@ class Model:
         return -(sums[number[1:]] - sums[number[:-1]]) / np.maximum(n, 1)[:, None], n, letter[first[1:]] - letter[first[:-1]]
 
 
-def _distinct(keys: np.ndarray, *also: np.ndarray) -> tuple:
-    unique, at, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return (unique, counts, inverse, *(x[at] for x in also))
+def _distinct(keys: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray | None = None) -> tuple:
+    """Distinct grams, their counts, and the grams without their last and without their first character."""
+    unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return unique, np.bincount(inverse, counts, minlength=len(unique)).astype(np.int64), prefix[at], suffix[at]
+
+
+def _merged(one: tuple | None, other: tuple) -> tuple:
+    if one is None:
+        return other
+    keys, counts, prefix, suffix = (np.concatenate(x) for x in zip(one, other))
+    return _distinct(keys, prefix, suffix, counts)
 
 
 def fit(texts: dict[str, list[str]], quantile: float = 0.999, margin: float = 0.8) -> Model:
@@ -142,19 +152,20 @@ def fit(texts: dict[str, list[str]], quantile: float = 0.999, margin: float = 0.
     own: dict[str, list] = {}
     for lang in langs:
         kept = [t for k, t in enumerate(texts[lang]) if k % 5 != 4 or len(texts[lang]) < 5]
-        parts: list[list] = [[] for _ in range(ORDER + 1)]
-        for block in blocks(pa.array(kept, type=pa.string())):
+        tables = [None] + [None] * ORDER
+        for block in blocks(pa.array(kept, type=pa.string()), FIT_BYTES):
             text, first = letters(block)
             at = np.setdiff1d(np.arange(len(text)), first[:-1], assume_unique=True)
-            whole = [None] + [gram_hashes(text, first, n) for n in range(1, ORDER + 1)]
+            below = np.zeros(len(text), dtype=np.uint64)
             for n in range(1, ORDER + 1):
-                parts[n].append((whole[n][at], whole[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64), whole[n - 1][at] if n > 1 else np.zeros(len(at), np.uint64)))
-        tables = [None] + [_distinct(*(np.concatenate(x) for x in zip(*parts[n]))) for n in range(1, ORDER + 1)]
+                whole = gram_hashes(text, first, n)
+                tables[n] = _merged(tables[n], _distinct(whole[at], below[at - 1], below[at]))
+                below = whole
         counted = []
         for n in range(1, ORDER + 1):
-            keys, counts, _, prefix, suffix = tables[n]
+            keys, counts, prefix, suffix = tables[n]
             if n < ORDER:  # the number of different characters seen before it
-                after, number = np.unique(tables[n + 1][4], return_counts=True)
+                after, number = np.unique(tables[n + 1][3], return_counts=True)
                 spot = np.minimum(np.searchsorted(after, keys), len(after) - 1)
                 counts = np.where(after[spot] == keys, number[spot], 0)
             counted.append((keys, counts, prefix, suffix))
@@ -162,7 +173,7 @@ def fit(texts: dict[str, list[str]], quantile: float = 0.999, margin: float = 0.
     model = Model(langs, [None], [None], [None], [None], np.empty(0), np.full(len(langs), np.inf))
     below = None
     for n in range(1, ORDER + 1):
-        keys, _, _, prefix, suffix = _distinct(*(np.concatenate(x) for x in zip(*((own[l][n - 1][0], own[l][n - 1][2], own[l][n - 1][3]) for l in langs))))
+        keys, _, prefix, suffix = _distinct(*(np.concatenate(x) for x in zip(*((own[l][n - 1][0], own[l][n - 1][2], own[l][n - 1][3]) for l in langs))))
         contexts = np.unique(prefix)
         p, weight = np.zeros((len(keys), len(langs))), np.ones((len(contexts), len(langs)))
         spot = np.searchsorted(contexts, prefix)
@@ -188,7 +199,7 @@ def fit(texts: dict[str, list[str]], quantile: float = 0.999, margin: float = 0.
         model.backoff.append(np.log(np.maximum(weight, 1e-12)).astype(np.float32))
     for k, lang in enumerate(langs):
         held = [t for i, t in enumerate(texts[lang]) if i % 5 == 4]
-        found = [model.cross_entropies(b)[0][:, k] for b in blocks(pa.array(held, type=pa.string()))]
+        found = [model.cross_entropies(b)[0][:, k] for b in blocks(pa.array(held, type=pa.string()), FIT_BYTES)]
         if found:
             model.limits[k] = np.quantile(np.concatenate(found), quantile) + margin
     return model

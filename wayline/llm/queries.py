@@ -61,6 +61,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import score
+    from .textvec import crc_bucket
+
+    return score(table(spark, sf_dir, "documents"), F.pmod(crc_bucket(F.col("doc_id")), F.lit(5)) == 1, tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -68,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
 
 
 ORACLES = {

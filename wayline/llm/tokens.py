@@ -86,7 +86,14 @@ class Coder:
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
         if not len(starts):
             return np.empty(0, dtype=np.uint32), np.zeros(len(block), dtype=np.int64)
-        hashes = span_hashes(data, starts, ends)
+        begin, count, inverse, pool = self.lookup(data, starts, ends, span_hashes(data, starts, ends))
+        lengths = count[inverse]
+        ids = pool[ragged(begin[inverse], lengths)]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, total[first[1:]] - total[first[:-1]]
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where in the returned pool each distinct hash's ids begin, their numbers, which of them each span has, and the pool."""
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
@@ -99,10 +106,7 @@ class Coder:
             count[new] = lengths
             pool = np.concatenate([pool, flat])
             self._keep(keys[new], begin[new], lengths, pool, (ends - starts)[where[new]] <= CACHE_CHUNK_BYTES)
-        lengths = count[inverse]
-        ids = pool[ragged(begin[inverse], lengths)]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, total[first[1:]] - total[first[:-1]]
+        return begin, count, inverse, pool
 
     def _keep(self, keys, begin, lengths, pool, short) -> None:
         if len(self.keys) + len(keys) > CACHE_CHUNKS or len(pool) > 16 * CACHE_CHUNKS:
