@@ -23,6 +23,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages")).drop("verified")
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import MEDIA, media_digests, store_media
+    from .scratch import new_path
+
+    path = new_path(spark, "media")
+    store_media(table(spark, sf_dir, "documents"), path)
+    return media_digests(spark.read.schema(MEDIA).parquet(path))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
     from .textvec import crc_bucket
@@ -75,7 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
 
 
 ORACLES = {
