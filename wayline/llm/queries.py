@@ -32,6 +32,15 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(spark.read.schema(MEDIA).parquet(path))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document's is its source, its language, its id's thousands and its id."""
+    from .licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    thousands = F.floor(F.col("doc_id") / 1000).cast("string")
+    return scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", thousands, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
     from .textvec import crc_bucket
@@ -84,7 +93,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_audio, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
+    return {f.__name__: f for f in (op1_warc, op2_audio, op3_licenses, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
 
 
 ORACLES = {
@@ -96,6 +105,25 @@ ORACLES = {
           CASE WHEN octet_length(encode(p.html)) >= 100 AND p.page_id > f.first_id THEN f.first_id END AS refers_to
         FROM p JOIN f ON p.html = f.html
     """,
+    "op3_licenses": r"""
+        WITH f AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR), doc_id || '.txt') AS path, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),
+        x AS (SELECT doc_id, path, dir, length(text) AS size, unnest(list_filter(string_split_regex(text, '\r?\n'), lambda s: regexp_matches(s, '(?i)licen[sc]|copyright|spdx|rights reserved|public domain'))) AS unit FROM f),
+        t(license, unit) AS (VALUES {templates}),
+        both_ AS (SELECT DISTINCT unit, CAST(NULL AS VARCHAR) AS license FROM x UNION ALL SELECT unit, license FROM t),
+        c AS (SELECT unit, license, term, count(*) AS tf FROM (SELECT unit, license, unnest(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM both_) GROUP BY ALL),
+        idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM both_)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term),
+        w AS (SELECT unit, license, c.term, tf * idf AS w FROM c JOIN idf ON c.term = idf.term),
+        n AS (SELECT unit, license, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+        s AS (SELECT a.unit, b.license, round(sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)), 6) AS similarity FROM w a JOIN w b ON a.term = b.term AND a.license IS NULL AND b.license IS NOT NULL
+          JOIN n na ON na.unit = a.unit AND na.license IS NULL JOIN n nb ON nb.license = b.license GROUP BY a.unit, b.license),
+        m AS (SELECT unit, license, similarity FROM s WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY similarity DESC, license) = 1),
+        h AS (SELECT doc_id, path, dir, size, x.unit, license, similarity FROM x JOIN m ON x.unit = m.unit),
+        own AS (SELECT doc_id, dir, license, similarity, sum(length(unit)) OVER (PARTITION BY doc_id) >= 0.5 * size AS speaks FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1),
+        spoken AS (SELECT dir AS ancestor, license AS dir_license FROM own WHERE speaks QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1),
+        near AS (SELECT d.dir, ancestor, dir_license FROM (SELECT DISTINCT dir FROM f) d JOIN spoken ON d.dir = ancestor OR starts_with(d.dir, ancestor || '/') QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(ancestor) DESC) = 1)
+        SELECT f.doc_id, f.path, own.license, own.similarity, coalesce(own.license, dir_license) AS effective_license, CASE WHEN own.license IS NULL THEN ancestor END AS inherited_from
+        FROM f LEFT JOIN own ON f.doc_id = own.doc_id LEFT JOIN near ON f.dir = near.dir
+    """,
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -115,4 +143,7 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from .licenses import TEMPLATES
+
+    templates = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+    return {name: sql.replace("{templates}", templates) for name, sql in ORACLES.items()}
