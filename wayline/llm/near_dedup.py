@@ -8,10 +8,15 @@
    posted (skip). Tokens that one node alone has are not posted either.
 3. Pairs that meet are merged: coordinates that agree are counted on the whole signatures, and pairs
    above the threshold are confirmed on the full shingle sets.
-4. A list of n nodes does not give n*n pairs. First all nodes of a list meet its smallest node, then a
-   hashed one; confirmed links give components. What is left are pairs of different components:
-   each node outside a list's largest component meets all others of that list. So every pair that
-   could join two components is tested, and no link between components is lost.
+4. A list of n nodes does not give n*n pairs. First all nodes of a list meet its smallest node, and
+   confirmed links give components. For the lists that still hold several components each node's
+   shingles that no other node of such a list has are counted: a pair can't have them in common,
+   which bounds its similarity from above, and so do the bits in which two parity sketches of their
+   sets differ; both rule out most pairs without a look at the sets. Then
+   all nodes meet the list's most central one, that with the largest shared part. What is left are
+   pairs of different components within the bound: each node outside a list's largest component
+   meets all others of that list. So every pair that could join two components is tested or ruled
+   out by a bound, and no link between components is lost.
 
 ``matches`` is the largest number for which a pair exactly at the threshold is missed with a
 probability of at most 1e-6; pairs above it are missed far less often.
@@ -27,12 +32,12 @@ from __future__ import annotations
 
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import keep
-from .shingles import set_rows, signature_rows
+from .shingles import PARITY_WORDS, set_rows, signature_rows
 
 
 def least_matches(coordinates: int, similarity: float, missed: float = 1e-6) -> int:
@@ -67,6 +72,37 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int
     return both.where(100 * F.col("common") >= per_hundred * (F.col("n_a") + F.col("n_b") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+
+
+def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings, with labels, of the lists that still hold more than one component."""
+    labelled = posts.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return labelled.join(open_, "token")
+
+
+def _able(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """rep, n and shared, its shingles that another node of an open list has too, where that leaves room for a link at all.
+
+    A pair has at most the smaller ``shared`` of its two nodes in common.
+    """
+    each = sets.join(labelled.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
+    several = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    shared = each.join(several, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
+    words = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)]
+    able = shared.join(nodes.select("rep", "n"), "rep").where(100 * F.col("shared") >= per_hundred * F.col("n"))
+    return able.join(sets.select("rep", *words), "rep")
+
+
+def _possible(per_hundred: int) -> Column:
+    """Whether two nodes of the able (the other's columns end in _x) can be similar enough: two upper bounds of what they have in common."""
+    both, common = F.col("n") + F.col("n_x"), F.least("shared", "shared_x")
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_x"))) for k in range(PARITY_WORDS)), F.lit(0))
+    return (100 * common >= per_hundred * (both - common)) & (100 * (both - differ) >= per_hundred * (both + differ))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coordinates: int = 32, matches: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
@@ -80,30 +116,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coor
     active = keep(posts.select("rep").distinct().join(nodes.select("rep", "n", "key1", "key2", "tokens"), "rep"), "active")
     wanted = active.select(F.col("rep").alias("doc_id"), "key1", "key2")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key1", "key2")
-    sets = keep(texts.mapInArrow(set_rows(words), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
-    edges = None
-    for turn in ("first", "hashed", "rest"):
-        if edges is None:
-            labelled = posts.withColumn("label", F.col("rep"))
-            open_lists = posts.groupBy("token").agg(F.min("rep").alias("pivot"))
-        else:
-            labels = components(edges)
-            labelled = posts.join(labels, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
-            sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep", "token")).alias("rep"))
-            open_lists = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"), F.min_by("rep", F.xxhash64("rep", "token")).alias("pivot")).where("labels > 1").drop("labels")
-            labelled, open_lists = keep(labelled, "labelled"), keep(open_lists, "lists")
-            if open_lists.isEmpty():
+    sets = keep(texts.mapInArrow(set_rows(words), "rep long, shingles array<long>, parity array<long>").dropDuplicates(["rep"]), "sets")
+    labelled, lists = posts.withColumn("label", F.col("rep")), posts.groupBy("token").agg(F.min("rep").alias("x"))
+    edges = keep(_confirmed(_pairs(labelled.join(lists, "token").where(F.col("rep") != F.col("x"))), active, sets, matches, per_hundred), "links")
+    labels = components(edges)
+    labelled = keep(_open(posts, labels), "open")
+    if not labelled.isEmpty():
+        able = keep(_able(labelled, active, sets, per_hundred), "able")
+        posts = keep(labelled.drop("label").join(able, "rep"), "able-postings")
+        for turn in ("central", "rest"):
+            labelled = keep(_open(posts, labels), "open")
+            if labelled.isEmpty():
                 break
-        if turn == "rest":
-            out = labelled.join(open_lists.select("token", "main"), "token").where(F.col("label") != F.col("main")).select("token", F.col("rep").alias("x"), F.col("label").alias("label_x"))
-            met = out.join(labelled.join(open_lists.select("token"), "token", "left_semi"), "token").where(F.col("label") != F.col("label_x"))
-        else:
-            met = labelled.join(open_lists, "token").withColumnRenamed("pivot", "x").where(F.col("rep") != F.col("x"))
-        pairs = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        new = keep(_confirmed(pairs, active, sets, matches, per_hundred), "links")
-        edges = new if edges is None else edges.union(new)
-    else:
-        labels = components(edges)
+            x = [F.col(c).alias(f"{c}_x") for c in ("label", "n", "shared", *(f"p{k}" for k in range(PARITY_WORDS)))]
+            if turn == "central":
+                central = F.max_by(F.struct(F.col("rep").alias("x"), *x), F.struct(F.col("shared") / F.col("n"), -F.col("rep")))
+                outside = labelled.groupBy("token").agg(central.alias("c")).select("token", "c.*")
+            else:
+                sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("size"))
+                main = sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+                outside = labelled.join(main, "token").where(F.col("label") != F.col("main")).select("token", F.col("rep").alias("x"), *x)
+            met = outside.join(labelled, "token").where((F.col("label") != F.col("label_x")) & _possible(per_hundred))
+            edges = edges.union(keep(_confirmed(_pairs(met), active, sets, matches, per_hundred), "links"))
+            labels = components(edges)
     named = nodes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("tokens").join(named, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -77,8 +77,23 @@ def signature_rows(words: int, coordinates: int):
     return run
 
 
+#: Bits of a parity sketch; 64-bit words that hold them.
+PARITY_BITS, PARITY_WORDS = 512, 8
+
+
+def parities(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set the parities of its numbers of hashes in PARITY_BITS buckets, in 64-bit words.
+
+    Each member that one of two sets lacks flips one bit, so two sketches differ in at most as many bits
+    as their sets have members that are not common.
+    """
+    owner = np.repeat(np.arange(len(counts)), counts)
+    odd = np.bincount(owner * PARITY_BITS + (sets % np.uint64(PARITY_BITS)).astype(np.int64), minlength=len(counts) * PARITY_BITS) % 2
+    return np.packbits(odd.reshape(len(counts), PARITY_BITS).astype(np.uint8), axis=1).view(np.int64)
+
+
 def set_rows(words: int):
-    """mapInArrow function over (rep, text, key1, key2): rep and shingles of the rows whose set has these keys."""
+    """mapInArrow function over (rep, text, key1, key2): rep, shingles and parities of the rows whose set has these keys."""
 
     def run(batches):
         for batch in batches:
@@ -91,6 +106,7 @@ def set_rows(words: int):
                     same &= key == column.to_numpy(zero_copy_only=False)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([want[0], listed], names=["rep", "shingles"]).filter(pa.array(same))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * PARITY_WORDS, PARITY_WORDS, dtype=np.int32)), pa.array(parities(sets, counts).ravel()))
+                yield pa.RecordBatch.from_arrays([want[0], listed, sketch], names=["rep", "shingles", "parity"]).filter(pa.array(same))
 
     return run
