@@ -15,17 +15,18 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges to (node, component), the smallest node that each node reaches, for all nodes that an edge has.
 
-    Minima are summed before each shuffle and joins by a node of very many edges are split at run time,
-    so a star of any size does no harm. Each step is written, so a lost executor costs one step.
+    Minima are taken before each shuffle and written, so that the joins that follow have plain shuffles
+    on both sides and Spark splits a node of very many edges at run time: a star of any size does no
+    harm. A lost executor costs one step.
     """
     edges = keep(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = keep(large.where(F.col("u") != F.col("v")).distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = keep(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         before, state = state, _state(edges)

@@ -18,6 +18,9 @@
    meets all others of that list. So every pair that could join two components is tested or ruled
    out by a bound, and no link between components is lost.
 
+What is summed by token, node or shingle is summed before its shuffle and written before it is joined
+again. Each such join then has plain shuffles on both sides, which Spark splits where one key is hot.
+
 ``matches`` is the largest number for which a pair exactly at the threshold is missed with a
 probability of at most 1e-6; pairs above it are missed far less often.
 
@@ -54,7 +57,7 @@ def least_matches(coordinates: int, similarity: float, missed: float = 1e-6) ->
 def _postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """(token, rep, n, tokens): each node under the rare tokens of its prefix that another node has too."""
     listed = nodes.select("rep", F.explode("tokens").alias("token"))
-    frequent = listed.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
+    frequent = keep(listed.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"), "frequent")
     shared = listed.join(frequent, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("own"))
     # Tokens that no other node has stand first in the order of rarity and take up places of the prefix.
     posted = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - F.lit(matches - 1)))
@@ -79,8 +82,9 @@ def _pairs(met: DataFrame) -> DataFrame:
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """The postings, with labels, of the lists that still hold more than one component."""
     labelled = posts.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    labelled = keep(labelled, "labelled")
     open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    return labelled.join(open_, "token")
+    return labelled.join(keep(open_, "open-lists"), "token")
 
 
 def _able(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
@@ -89,7 +93,7 @@ def _able(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, per_hundred: i
     A pair has at most the smaller ``shared`` of its two nodes in common.
     """
     each = sets.join(labelled.select("rep").distinct(), "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
-    several = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    several = keep(each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "several")
     shared = each.join(several, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
     words = [F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_WORDS)]
     able = shared.join(nodes.select("rep", "n"), "rep").where(100 * F.col("shared") >= per_hundred * F.col("n"))
@@ -117,9 +121,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coor
     wanted = active.select(F.col("rep").alias("doc_id"), "key1", "key2")
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key1", "key2")
     sets = keep(texts.mapInArrow(set_rows(words), "rep long, shingles array<long>, parity array<long>").dropDuplicates(["rep"]), "sets")
-    labelled, lists = posts.withColumn("label", F.col("rep")), posts.groupBy("token").agg(F.min("rep").alias("x"))
+    labelled, lists = posts.withColumn("label", F.col("rep")), keep(posts.groupBy("token").agg(F.min("rep").alias("x")), "pivots")
     edges = keep(_confirmed(_pairs(labelled.join(lists, "token").where(F.col("rep") != F.col("x"))), active, sets, matches, per_hundred), "links")
-    labels = components(edges)
+    labels = keep(components(edges), "labels")
     labelled = keep(_open(posts, labels), "open")
     if not labelled.isEmpty():
         able = keep(_able(labelled, active, sets, per_hundred), "able")
@@ -131,14 +135,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coor
             x = [F.col(c).alias(f"{c}_x") for c in ("label", "n", "shared", *(f"p{k}" for k in range(PARITY_WORDS)))]
             if turn == "central":
                 central = F.max_by(F.struct(F.col("rep").alias("x"), *x), F.struct(F.col("shared") / F.col("n"), -F.col("rep")))
-                outside = labelled.groupBy("token").agg(central.alias("c")).select("token", "c.*")
+                outside = keep(labelled.groupBy("token").agg(central.alias("c")).select("token", "c.*"), "outside")
             else:
                 sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("size"))
-                main = sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-                outside = labelled.join(main, "token").where(F.col("label") != F.col("main")).select("token", F.col("rep").alias("x"), *x)
+                main = keep(sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("main")), "main")
+                outside = keep(labelled.join(main, "token").where(F.col("label") != F.col("main")).select("token", F.col("rep").alias("x"), *x), "outside")
             met = outside.join(labelled, "token").where((F.col("label") != F.col("label_x")) & _possible(per_hundred))
             edges = edges.union(keep(_confirmed(_pairs(met), active, sets, matches, per_hundred), "links"))
-            labels = components(edges)
+            labels = keep(components(edges), "labels")
     named = nodes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("tokens").join(named, ["key1", "key2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
