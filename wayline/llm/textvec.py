@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(0x5EED)
 #: One random odd 64-bit value per byte value; the base of the polynomial is odd, hence invertible.

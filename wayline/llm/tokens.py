@@ -61,18 +61,19 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words_only = words_only
+        self.id_type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.lengths = np.empty(0, dtype=np.int64)
-        self.pool = np.empty(0, dtype=np.uint32)
+        self.starts = np.empty(0, dtype=np.int32)
+        self.lengths = np.empty(0, dtype=np.uint16)
+        self.pool = np.empty(0, dtype=self.id_type)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=self.id_type, count=int(lengths.sum()))
         return flat, lengths
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,8 @@ class Coder:
         at[at == len(self.keys)] = 0
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
         new = np.flatnonzero(~known)
-        begin, count, pool = self.starts[at] if len(self.keys) else np.zeros(len(keys), dtype=np.int64), self.lengths[at] if len(self.keys) else np.zeros(len(keys), dtype=np.int64), self.pool
+        begin, count, pool = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64), self.pool
+        begin[known], count[known] = self.starts[at[known]], self.lengths[at[known]]
         if len(new):
             flat, lengths = self._encode([data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
             begin[new] = len(pool) + np.cumsum(lengths) - lengths
