@@ -34,6 +34,8 @@ ORDER = 4
 SLACK = 4.0
 #: Bytes of text whose grams are counted together in fitting.
 FIT_BYTES = 1 << 18
+#: Characters that are scored together.
+SLICE = 1 << 17
 _LAST_LETTER = 0x32400
 _SALT = np.random.default_rng(0x1A96).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD: list[np.ndarray] = []
@@ -81,7 +83,7 @@ def gram_hashes(text: np.ndarray, first: np.ndarray, order: int, at: np.ndarray
     """Hashes of the ``order`` characters that end at each position; before a document all is space."""
     at = np.arange(len(text)) if at is None else at
     total = np.full(len(at), order, dtype=np.uint64)
-    begin = np.repeat(first[:-1], np.diff(first))[at] if order > 1 else None
+    begin = first[np.searchsorted(first, at, side="right") - 1] if order > 1 else None
     for k in range(order):
         if k:
             back = at - k
@@ -107,9 +109,20 @@ class Model:
     def cross_entropies(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats a character of each document under each language, the characters scored, and the letters."""
         text, first = letters(block)
-        inside = np.ones(len(text), dtype=bool)
-        inside[first[:-1]] = False
-        at = np.flatnonzero(inside)
+        number, n = len(block), np.diff(first) - 1
+        sums = np.zeros((number, len(self.langs)))
+        for begin in range(0, len(text), SLICE):
+            at = np.arange(begin, min(begin + SLICE, len(text)))
+            doc = np.searchsorted(first, at, side="right") - 1
+            inside = at > first[doc]
+            scores = self._scores(text, first, at[inside])
+            for k in range(len(self.langs)):
+                sums[:, k] += np.bincount(doc[inside], scores[:, k], minlength=number)
+        letter = np.concatenate([[0], np.cumsum(text != 32)])
+        return -sums / np.maximum(n, 1)[:, None], n, letter[first[1:]] - letter[first[:-1]]
+
+    def _scores(self, text: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log-probability of the characters at some positions under each language."""
         scores = np.zeros((len(at), len(self.langs)), dtype=np.float32)
         left, held = np.arange(len(at)), np.zeros((len(at), len(self.langs)), dtype=np.float32)
         for order in range(ORDER, 0, -1):
@@ -126,11 +139,7 @@ class Model:
                 known = self.contexts[order][spot] == context
                 held[left[known]] += self.backoff[order][spot[known]]
         scores[left] = self.floor + held[left]
-        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(scores, axis=0, dtype=np.float64)])
-        number = np.searchsorted(at, first)
-        letter = np.concatenate([[0], np.cumsum(text != 32)])
-        n = np.diff(number)
-        return -(sums[number[1:]] - sums[number[:-1]]) / np.maximum(n, 1)[:, None], n, letter[first[1:]] - letter[first[:-1]]
+        return scores
 
 
 def _distinct(keys: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, counts: np.ndarray | None = None) -> tuple:
