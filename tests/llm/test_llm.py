@@ -553,3 +553,18 @@ def test_registered_names():
     assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert json.dumps(sorted(names))
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from wayline.llm import scratch
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(master=master))
+
+    assert scratch.shared_dir(session("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b"
+    assert scratch.shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session(master))
