@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +100,9 @@ def test_media_round_trip(spark):
     rows = EDGES + texts(10)
     path = new_path(spark, "t")
     audio.store_media(frame(spark, rows), path)
-    stored = spark.read.schema(audio.MEDIA).parquet(path)
+    features = new_path(spark, "t")
+    audio.store_features(spark.read.schema(audio.MEDIA).parquet(path), features)
+    stored = spark.read.schema(audio.STORED).parquet(features)
     got = {r["doc_id"]: r for r in audio.media_digests(stored).collect()}
     assert len(got) == len(rows)
     for k, t in enumerate(rows):
@@ -107,7 +110,12 @@ def test_media_round_trip(spark):
         p = b + b" " * ((-len(b)) % 192 or (0 if b else 192))
         assert (got[k]["n_bytes"], got[k]["payload_bytes"], got[k]["payload_sha256"], got[k]["tail_crc32"], got[k]["media_bytes"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(p) + 44)
     assert got[9]["feature"] == got[10]["feature"] and got[0]["feature"] == got[1]["feature"]
-    tensors = audio.as_tensors(audio.feature_tensors(stored).toArrow())
+    tensors = audio.as_tensors(audio.feature_tensors(stored).orderBy("doc_id", "tensor").toArrow())
+    block = rows[8].encode() + b" " * (-len(rows[8]) % 192)
+    mel = audio.log_mel(np.frombuffer(block, dtype=np.uint8))
+    mine = tensors.filter(pa.compute.equal(tensors["doc_id"], 8))
+    assert np.array_equal(mine["features"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)[: len(mel)], mel)
+    assert mine["begin_s"].to_pylist() == [k * audio.FRAMES * audio.HOP / 8000 for k in range(-(-len(mel) // audio.FRAMES))]
     assert tensors.schema.field("features").type.shape == [audio.FRAMES, audio.MELS]
     assert audio.media_digests(stored.limit(0)).count() == 0
 

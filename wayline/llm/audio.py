@@ -1,11 +1,11 @@
 """Audio columns: lossless 8-bit samples, polyphase resampling, log-mel filterbanks and energy segments.
 
 ``store_media`` keeps a payload as the samples of a mono 8-bit PCM WAV file in a Parquet binary column.
-``features`` reads such files back: samples are resampled by a rational factor with a windowed-sinc
+``store_features`` reads such files back: samples are resampled by a rational factor with a windowed-sinc
 filter in polyphase form, cut into overlapped Hann windows, and turned into log-mel energies. Frame
 energies are segmented with hysteresis: a segment opens at ``high`` above the median and closes below
-``low``. Features leave as tensors of one fixed shape, ``FRAMES`` frames of ``MELS`` bands each, the last
-padded with the floor, each with the time span that it covers; ``as_tensors`` gives the column its
+``low``. Features are stored as tensors of one fixed shape, ``FRAMES`` frames of ``MELS`` bands each, the last
+padded with the floor, each with the time span that it covers; ``as_tensors`` gives a column its
 Arrow fixed-shape-tensor type. Each file is computed by itself, so equal files give equal features
 whatever else is in the batch, and long files are worked on in bounded pieces.
 
@@ -33,7 +33,9 @@ UNIT = 192
 #: Output samples that are resampled and framed together.
 PIECE_FRAMES = 2048
 MEDIA = "doc_id long, n_bytes long, media binary"
-TENSORS = "doc_id long, tensor int, begin_s double, end_s double, features array<float>"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, begin_s array<double>, end_s array<double>, features array<float>"
+#: Files whose features leave a worker together.
+BATCH_ROWS = 512
 
 
 def wav_header(samples: int, rate: int = RATE) -> bytes:
@@ -144,41 +146,58 @@ def store_media(docs: DataFrame, path: str) -> None:
     docs.mapInArrow(_pad, MEDIA).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for media in batch.column(2):
-            media = media.as_buffer()
-            samples = read_wav(memoryview(media))
-            payload = samples.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(log_mel(samples))))
-        columns = zip(*rows) if rows else [[]] * 6
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), type=t) for c, t in zip(columns, types))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-
-def media_digests(stored: DataFrame) -> DataFrame:
-    """What the stored files hold, row by row, and a description of their features."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     second = RATE * UP / DOWN
     for batch in batches:
-        for doc, media in zip(batch.column(0), batch.column(1)):
-            mel = log_mel(read_wav(memoryview(media.as_buffer())))
-            number = -(-len(mel) // FRAMES)
-            full = np.full((number * FRAMES, MELS), _FLOOR, dtype=np.float32)
-            full[: len(mel)] = mel
-            first = np.arange(number) * FRAMES
-            last = np.minimum(first + FRAMES, len(mel)) - 1
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), FRAMES * MELS).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * number, type=pa.int64()), pa.array(np.arange(number, dtype=np.int32)), pa.array(first * HOP / second), pa.array((last * HOP + FFT) / second), flat], names=["doc_id", "tensor", "begin_s", "end_s", "features"])
-
-
-def feature_tensors(stored: DataFrame) -> DataFrame:
-    """doc_id, tensor number, begin_s, end_s and FRAMES x MELS features of each stored file."""
-    return stored.select("doc_id", "media").mapInArrow(_tensors, TENSORS)
+        for begin in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(begin, BATCH_ROWS)
+            rows, spans, values = [], [], []
+            for media in part.column(2):
+                media = media.as_buffer()
+                samples = read_wav(memoryview(media))
+                payload, mel = samples.tobytes(), log_mel(samples)
+                number = -(-len(mel) // FRAMES)
+                full = np.full((number * FRAMES, MELS), _FLOOR, dtype=np.float32)
+                full[: len(mel)] = mel
+                first = np.arange(number) * FRAMES
+                spans.append((first * HOP / second, (np.minimum(first + FRAMES, len(mel)) - 1) * HOP / second + FFT / second))
+                values.append(full.ravel())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), len(mel)))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            plain = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)]
+            lists = [pa.array([x[k] for x in spans], type=pa.list_(pa.float64())) for k in (0, 1)]
+            offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *plain, *lists, flat], names=[f.split()[0] for f in STORED.split(", ")])
+
+
+def store_features(media: DataFrame, path: str) -> None:
+    """Reads stored media and writes, a row a file, digests of what it read, and its tensors with their time spans, one after another."""
+    media.select("doc_id", "n_bytes", "media").mapInArrow(_analyse, STORED).write.option("compression", "zstd").parquet(path)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        frames, lists = batch.column(1).to_pylist(), batch.column(2)
+        values, at, out = lists.flatten().to_numpy(zero_copy_only=False), 0, []
+        for n, size in zip(frames, lists.value_lengths().to_pylist()):
+            out.append(describe(values[at : at + size].reshape(-1, MELS)[:n]))
+            at += size
+        yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, type=pa.string())], names=[*batch.schema.names[3:], "feature"])
+
+
+def media_digests(features: DataFrame) -> DataFrame:
+    """What the stored files hold, row by row, with a description of their stored features."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    schema = ", ".join(f for f in STORED.split(", ") if f.split()[0] in names) + ", feature string"
+    return features.select(F.col("doc_id").alias("id"), "frames", "features", *names).mapInArrow(_describe, schema)
+
+
+def feature_tensors(features: DataFrame) -> DataFrame:
+    """doc_id, tensor number, begin_s, end_s and FRAMES x MELS features: a row a tensor of stored features."""
+    size = FRAMES * MELS
+    rows = features.select("doc_id", F.posexplode(F.arrays_zip("begin_s", "end_s")).alias("tensor", "span"), "features")
+    return rows.select("doc_id", "tensor", "span.begin_s", "span.end_s", F.slice("features", F.col("tensor") * size + 1, F.lit(size)).alias("features"))
 
 
 def as_tensors(rows: pa.Table) -> pa.Table:

@@ -24,12 +24,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .audio import MEDIA, media_digests, store_media
+    from .audio import MEDIA, STORED, media_digests, store_features, store_media
     from .scratch import new_path
 
-    path = new_path(spark, "media")
-    store_media(table(spark, sf_dir, "documents"), path)
-    return media_digests(spark.read.schema(MEDIA).parquet(path))
+    media, features = new_path(spark, "media"), new_path(spark, "features")
+    store_media(table(spark, sf_dir, "documents"), media)
+    store_features(spark.read.schema(MEDIA).parquet(media), features)
+    return media_digests(spark.read.schema(STORED).parquet(features))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
