@@ -49,11 +49,21 @@ def neighbour_averages(df: DataFrame, value: str, rows: int = 5, group_cols=("se
     return df.withColumns({f"prev_{rows}": F.avg(value).over(w.rowsBetween(-rows, -1)), f"next_{rows}": F.avg(value).over(w.rowsBetween(1, rows))})
 
 
+def parse_free_flow(choice):
+    """'ref', or a name and a percentile of 'p85' or of such a pair."""
+    if choice == "ref" or isinstance(choice, tuple):
+        return choice
+    if isinstance(choice, str) and choice[:1] == "p" and choice[1:].replace(".", "", 1).isdigit() and 0 <= float(choice[1:]) <= 100:
+        return choice, float(choice[1:])
+    raise ValueError(f"not a free-flow choice: {choice!r}")
+
+
 def free_flow_speed(df: DataFrame, free_flow="ref") -> DataFrame:
-    """Adds free_flow: the reference speed, or for ('p85', 85) each segment's percentile of speed, interpolated.
+    """Adds free_flow: the reference speed, or for 'p85' or ('p85', 85) each segment's percentile of speed, interpolated.
 
     The percentile is aggregated once a segment, with partial results before the shuffle, and joined back.
     """
+    free_flow = parse_free_flow(free_flow)
     if free_flow == "ref":
         require(df, "ref_speed")
         return df.withColumn("free_flow", F.col("ref_speed"))

@@ -15,6 +15,8 @@ from ..sources.sinks import ramp_colours, to_kml
 
 #: The entity of an aggregate series.
 WHOLE = -1
+#: Metrics whose sum over segments means something.
+SUMMABLE = ("travel_time", "delay")
 
 
 def open_study(study: Study, tz: str = "America/Denver", threshold: float | None = 80, start=None, end=None, lengths: DataFrame | None = None) -> Study:
@@ -39,6 +41,8 @@ def analysis_series(study: Study, value: str, scope: str = "segment", corridor:
     Filters come first. 'segment' keeps the rows; 'corridor' and 'network' sum complete timestamps into
     one entity, explicit members as a network of their own; ``weighted`` takes the volume-weighted speed.
     """
+    if scope in ("corridor", "network") and not weighted and value not in SUMMABLE:
+        raise ValueError(f"{value} can't be summed over segments")
     df = filters.filter_when(study.observations, window, days)
     if scope == "segment" and not weighted:
         return df

@@ -153,5 +153,5 @@ def _boxed(df: DataFrame, bbox) -> DataFrame:
     if bbox is None:
         return df
     w, s, e, n = bbox
-    lon, lat = (F.transform("line", lambda p, k=k: p[k]) for k in ("lon", "lat"))
+    lon, lat = F.transform("line", lambda p: p["lon"]), F.transform("line", lambda p: p["lat"])
     return df.where((F.array_max(lon) >= w) & (F.array_min(lon) <= e) & (F.array_max(lat) >= s) & (F.array_min(lat) <= n))
