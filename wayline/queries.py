@@ -184,11 +184,11 @@ def freeflow_percentile(spark, sf_dir):
 
 
 def _lengths(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("long").alias("segment_id"), (F.col("c_custkey") % 17 / F.lit(10.0)).alias("miles"))
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("long").alias("segment_id"), (F.col("c_custkey") % 17 / F.lit(10.0)).alias("miles"))
 
 
 @query(f"""WITH {_OBS}, ff AS (SELECT segment_id, quantile_cont(speed, 0.85) AS v FROM obs GROUP BY segment_id),
-  l AS (SELECT CAST(c_custkey AS BIGINT) AS segment_id, (c_custkey % 17) / 10.0::DOUBLE AS miles FROM customer WHERE c_custkey % 4 <> 0)
+  l AS (SELECT CAST(c_custkey AS BIGINT) AS segment_id, (c_custkey % 17) / 10.0::DOUBLE AS miles FROM customer WHERE c_acctbal > 0)
   SELECT obs_id, round(greatest(travel_time - coalesce(miles / v * 60, travel_time * speed / v), 0), 6) AS delay FROM obs JOIN ff USING (segment_id) LEFT JOIN l USING (segment_id)""")
 def segment_delay(spark, sf_dir):
     return r6(summarize.segment_delay(observations(spark, sf_dir), _lengths(spark, sf_dir), ("p85", 85)).select("obs_id", "delay"), "delay")
@@ -386,12 +386,13 @@ def detect_bin(spark, sf_dir):
     return store.detect_bin(hourly(spark, sf_dir).withColumn("segment_id", F.lit(1)), by=("corridor",))
 
 
-@query(f"""WITH {_THIRDS}, old AS (SELECT DISTINCT corridor, segment_id, ts_utc FROM t WHERE obs_id % 3 = 0)
-  SELECT obs_id, corridor, segment_id, ts_utc FROM t ANTI JOIN old USING (corridor, segment_id, ts_utc) WHERE obs_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY corridor, segment_id, ts_utc ORDER BY obs_id) = 1""")
+@query(f"""WITH {_THIRDS}, old AS (SELECT DISTINCT corridor, segment_id, ts_utc FROM t WHERE ts_utc < TIMESTAMP '2024-01-16')
+  SELECT obs_id, corridor, segment_id, ts_utc FROM t ANTI JOIN old USING (corridor, segment_id, ts_utc) QUALIFY row_number() OVER (PARTITION BY corridor, segment_id, ts_utc ORDER BY obs_id) = 1""")
 def keep_first_merge(spark, sf_dir):
-    """What two thirds of the observations would add to a store that holds the other third: the merge itself needs two sides."""
-    rows, third = thirds(spark, sf_dir), F.col("obs_id") % 3 == 0
-    return store.keep_first(rows.where(third), rows.where(~third), ["corridor", "segment_id", "ts_utc"], ["obs_id"]).select("obs_id", "corridor", "segment_id", "ts_utc")
+    """What the whole table adds to a store that holds its first half."""
+    rows = thirds(spark, sf_dir)
+    stored = rows.where(F.col("ts_utc") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    return store.keep_first(stored, rows, ["corridor", "segment_id", "ts_utc"], ["obs_id"]).select("obs_id", "corridor", "segment_id", "ts_utc")
 
 
 @query(f"WITH {_OBS} SELECT corridor, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(DISTINCT segment_id) AS n_segments FROM obs GROUP BY corridor")
@@ -503,14 +504,14 @@ def network_edges(spark, sf_dir):
     return geometry.connectivity(network)
 
 
-@query("""WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)
-  SELECT k AS segment_id, CASE WHEN k % 3 = 0 THEN 'xd' WHEN k % 3 = 1 THEN 'fallback' ELSE 'missing' END AS source, CASE WHEN k % 3 = 0 THEN 3 WHEN k % 3 = 1 THEN 2 END AS points FROM s""")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS segment_id, CASE WHEN n_regionkey = 0 THEN 'xd' WHEN n_regionkey = 1 THEN 'fallback' ELSE 'missing' END AS source, CASE WHEN n_regionkey = 0 THEN 3 WHEN n_regionkey = 1 THEN 2 END AS points FROM nation""")
 def segment_geometry(spark, sf_dir):
-    ids = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("segment_id"))
+    """Nations as segments: those of region 0 are in the network, those of region 1 have both ends."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("segment_id"), "n_regionkey")
     k = F.col("segment_id").cast("double")
-    network = ids.where("segment_id % 3 = 0").select("segment_id", geometry.line((k, k), (k + 1, k), (k + 1, k + 1)).alias("line"))
-    ends = ids.select("segment_id", k.alias("start_lon"), k.alias("start_lat"), F.when(F.col("segment_id") % 3 == 1, k + 1).alias("end_lon"), k.alias("end_lat"))
-    return geometry.segment_geometry(ids, network, ends).select("segment_id", "source", F.size("line").alias("points")).withColumn("points", F.when(F.col("points") > 0, F.col("points")))
+    network = nations.where("n_regionkey = 0").select("segment_id", geometry.line((k, k), (k + 1, k), (k + 1, k + 1)).alias("line"))
+    ends = nations.select("segment_id", k.alias("start_lon"), k.alias("start_lat"), F.when(F.col("n_regionkey") == 1, k + 1).alias("end_lon"), k.alias("end_lat"))
+    return geometry.segment_geometry(nations.select("segment_id"), network, ends).select("segment_id", "source", F.when(F.size("line") > 0, F.size("line")).alias("points"))
 
 
 @query()
