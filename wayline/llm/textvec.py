@@ -7,6 +7,7 @@ bound memory: rows are taken together up to ``BLOCK_BYTES``; a longer document i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,23 @@ class Block:
         return starts, ends, np.searchsorted(starts, self.bounds)
 
 
+def _libc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _libc_trim()
+
+
+def _give_back() -> None:
+    """Returns free memory to the system: workers live for many stages, and numpy's blocks would stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -122,6 +140,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
         j = min(max(j, i + 1), n)
         yield Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
+    _give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
