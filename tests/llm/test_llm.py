@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm import attention_lm, audio, components, decontaminate, language_id, licenses, near_dedup, packing, quality, shingles, textvec, token_files, tokens, warc
+from wayline.llm import attention_lm, audio, components, decontaminate, language_id, licence_patterns, licenses, near_dedup, packing, quality, shingles, textvec, token_files, tokens, warc
 from wayline.llm import queries as q
 from wayline.llm.scratch import new_path
 
@@ -164,6 +165,24 @@ def test_licences(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licences_in_full(spark):
+    """Full texts, wrapped headers and tags, as real files have them."""
+    full = {n: t for n, t, must in licence_patterns.patterns() if not must and len(t) > 600}
+    wrapped = lambda t, mark: "\n".join(f"{mark}{x}".rstrip() for p in t.split("\n\n") for x in [*textwrap.wrap(p, 60), ""])
+    gpl = "This file is part of Foo.\n\nFoo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nFoo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    code = "\nint main() { return 0; }\n" * 5
+    cases = [(n, f"{n}/LICENSE", f"Copyright (c) 2011-2024 A. N. Author and others\n\n{wrapped(t, '')}") for n, t in full.items()]
+    cases += [(n, f"c/{n}.c", wrapped(f"Copyright (c) 2020 Someone\n\n{full[n]}", " * ").join(["/*\n", "\n */"]) + code) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]
+    cases += [("GPL-3.0", "g.py", wrapped(gpl, "# ") + code), ("GPL-3.0", "g.txt", wrapped(gpl, "") + code), ("Apache-2.0", "a.js", wrapped(apache, "// ") + code)]
+    cases += [("MPL-2.0", "m.c", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */" + code)]
+    cases += [(n, f"s/{k}.c", f"// SPDX-License-Identifier: {tag}{code}") for k, (tag, n) in enumerate([("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("gpl-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0"), ("(MIT OR Apache-2.0)", "Apache-2.0"), ("EPL-2.0", "EPL-2.0")])]
+    cases += [("MIT", "r.md", "# Foo" + code + "Foo is distributed under the MIT license." + code), (None, "e.md", "Foo is distributed under the EPL license." + code), (None, "n.c", "// #\n" * 20_000 + "// a licence of no kind")]
+    files = spark.createDataFrame([(k, path, text) for k, (_, path, text) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(files).collect()}
+    assert [(p, got[k]) for k, (_, p, _) in enumerate(cases)] == [(p, n) for n, p, _ in cases]
+
+
 # --- op4 --------------------------------------------------------------------------------------------
 
 LANGS = {"en": "the river of and stone with lantern that they have seen".split(), "de": "der fluss und stein mit laterne dass sie haben gesehen für über".split(), "es": "el río de la piedra con linterna que ellos han visto años".split()}

@@ -1,13 +1,20 @@
 """Licence scan with DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Units are the lines of a file that hold a licence word (headers), and the whole text of a file whose
-name is that of a licence file. Equal units are scored once. A unit and a template are vectors of
-terms weighted by count times smoothed inverse document frequency, ln((1 + units) / (1 + units with
-the term)) + 1, over all distinct units and templates; the best template by cosine counts if it reaches
-``least``. A file has the licence of its best unit. A *licence file*, by name or because licence lines
-make up at least ``share`` of its characters, speaks for its directory; a file without a licence of its
-own inherits from the nearest ancestor directory that one speaks for (of several, the best match, then
-the template that sorts first).
+Units are the lines of a file that hold a licence word, the paragraphs and comment blocks around them
+and, of a file whose name is that of a licence file, the whole text. Equal units are scored once. Lines
+and whole texts are compared with one-line notices (``TEMPLATES``); what no notice matches, and every
+block, is compared with full licence texts, standard headers and usual phrases (``licence_patterns``),
+several a licence. An SPDX tag is read, not compared: the identifier of its expression that sorts
+first counts as 1.0.
+
+A unit and a template are vectors of terms weighted by count times smoothed inverse document frequency,
+ln((1 + units) / (1 + units with the term)) + 1, over all distinct units and templates that are compared;
+the best template by cosine counts if it reaches ``least``. For patterns the documents are the patterns
+alone, and the unit must have the terms that the pattern can't do without. A file has the licence of its whole text if that has one, else of its best unit. A
+*licence file*, by name or because its licence lines, paragraphs or comment blocks make up at least
+``share`` of its characters, speaks for its directory; a file without a licence of its own inherits from
+the nearest ancestor directory that one speaks for (of several, the best match, then the template that
+sorts first).
 
 Distinct units and distinct directories are resolved before they meet files, so that a directory or a
 line that a third of all files share is one row of the joins that decide.
@@ -18,9 +25,14 @@ first; repeated rows are each reported; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import log, sqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_patterns import patterns
 from .scratch import keep
 
 #: Short notices by which files name their licence, by SPDX identifier.
@@ -47,6 +59,13 @@ TEMPLATES = (
 ANCHORS = "licen[sc]|copyright|spdx|rights reserved|public domain"
 #: Names of licence files, without their extension.
 FILE_NAMES = "licen[sc]e|copying|copyright|notice|unlicense"
+#: Comment blocks are runs of lines with a mark, or what stands between two marks. Possessive: long blocks need no stack.
+COMMENT_LINES = r"(?m)((?:^[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+(?:\n|\z))++)"
+COMMENT_SPANS = r"(?s)(/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')"
+PARAGRAPH_ENDS = r"\r?\n(?:[^\p{L}\p{N}\n]*+\n)++"
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?\)*"
+SPDX = rf"(?i)spdx-license-identifier:[ \t]*({_ID}(?:[ \t]+(?:and|or|with)[ \t]+{_ID})*)"
+LINE, PARAGRAPH, MARKED, SPAN, WHOLE = range(5)
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,7 +75,7 @@ def _terms(column: str) -> F.Column:
 
 
 def unit_matches(units: DataFrame, least: float) -> DataFrame:
-    """unit, license and similarity of the distinct ``units`` (unit) that are near enough to a template."""
+    """unit, license and similarity of the distinct ``units`` (unit) that are near enough to a notice."""
     spark = units.sparkSession
     templates = spark.createDataFrame(TEMPLATES, "license string, unit string")
     distinct = keep(units.select("unit").distinct(), "licence-units")
@@ -74,6 +93,49 @@ def unit_matches(units: DataFrame, least: float) -> DataFrame:
     return scored.where(F.col("similarity") >= least).groupBy("unit").agg(best.alias("b")).select("unit", "b.*")
 
 
+def _weights() -> tuple[list, list, list]:
+    """Of the patterns: terms with their weight; (term, template, weight in a vector of length 1, whether it must be there); templates with their license and number of such terms."""
+    vectors = [(name, Counter(re.findall(TERM, text.translate(str.maketrans(_UPPER, _LOWER)))), set(must)) for name, text, must in [*((*x, ()) for x in TEMPLATES), *patterns()]]
+    seen = Counter(term for _, terms, _ in vectors for term in terms)
+    idf = {term: log((1 + len(vectors)) / (1 + n)) + 1 for term, n in seen.items()}
+    rows = []
+    for k, (_, terms, must) in enumerate(vectors):
+        norm = sqrt(sum((n * idf[x]) ** 2 for x, n in terms.items()))
+        rows += [(x, k, n * idf[x] / norm, int(x in must)) for x, n in terms.items()]
+    return sorted(idf.items()), rows, [(k, name, len(must)) for k, (name, _, must) in enumerate(vectors)]
+
+
+def pattern_matches(units: DataFrame, least: float) -> DataFrame:
+    """unit, license and similarity of the distinct ``units`` (unit) that are near enough to a pattern."""
+    spark = units.sparkSession
+    idf, weights, names = _weights()
+    top = (log(1 + len(names)) + 1) / 2  # a term of no pattern, such as a project's name, counts half as much as the rarest
+    idf = F.broadcast(spark.createDataFrame(idf, "term string, idf double"))
+    weights, names = F.broadcast(spark.createDataFrame(weights, "term string, template int, tw double, has int")), F.broadcast(spark.createDataFrame(names, "template int, license string, wanted int"))
+    # Dealt by digest once, the terms of a unit stay in its task.
+    vectors = lambda x: x.repartition("key").select("key", F.explode(_terms("unit")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")).join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(top))).alias("w"), F.col("idf").isNotNull().alias("known"))
+    keyed = units.select("unit", F.sha2("unit", 256).alias("key"))
+    square = F.col("w") * F.col("w")
+    norms = vectors(keyed).groupBy("key").agg(F.sqrt(F.sum(square)).alias("norm"), F.sqrt(F.sum(F.when(F.col("known"), square))).alias("most"))
+    # No cosine is above the share of a unit's length that lies in terms of any pattern: this rules prose out.
+    able = keep(keyed.join(norms.where(F.col("most") >= (least - 1e-6) * F.col("norm")), "key"), "licence-able", compression="zstd")
+    dots = vectors(able.select("key", "unit")).join(weights, "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("has").alias("has"))
+    scored = dots.join(names, "template").where("has >= wanted").join(able, "key").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    best = F.min_by(F.struct("license", "similarity"), F.struct(-F.col("similarity"), F.col("license")))
+    return scored.where(F.col("similarity") >= least).groupBy("unit").agg(best.alias("b")).select("unit", "b.*")
+
+
+def tagged(units: DataFrame) -> DataFrame:
+    """unit, license and similarity 1.0 of ``units`` (unit) with an SPDX tag: the identifier that sorts first, without '-only', '-or-later', '+' and exceptions."""
+    tags = units.select("unit").distinct().select("unit", F.explode(F.regexp_extract_all("unit", F.lit(SPDX), F.lit(1))).alias("tag"))
+    plain = F.regexp_replace(F.regexp_replace("tag", r"(?i)\swith\s+\S+", ""), r"[()]", "")
+    ids = tags.select("unit", F.explode(F.split(plain, r"(?i)\s+(?:and|or)\s+")).alias("id"))
+    known = sorted({name for name, *_ in TEMPLATES} | {name for name, *_ in patterns()})
+    proper = F.create_map(*[F.lit(x) for name in known for x in (name.lower(), name)])
+    bare = F.regexp_replace(F.trim("id"), r"(?i)(-only|-or-later|\+)$", "")
+    return ids.groupBy("unit").agg(F.min(F.coalesce(F.try_element_at(proper, F.lower(bare)), bare)).alias("license")).withColumn("similarity", F.lit(1.0))
+
+
 def scan(files: DataFrame, least: float = 0.7, share: float = 0.5) -> DataFrame:
     """doc_id, path, license, similarity, effective_license and inherited_from for each row of ``files`` (doc_id, path, text).
 
@@ -83,11 +145,21 @@ def scan(files: DataFrame, least: float = 0.7, share: float = 0.5) -> DataFrame:
     named = F.rlike(F.element_at(F.split("path", "/"), -1), F.lit(rf"(?i)^({FILE_NAMES})([.][a-z0-9]+)?$"))
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.rlike(x, F.lit(f"(?i){ANCHORS}")))
     # Lines are looked at where the files are read; only files that have units leave that stage.
-    holders = files.select("doc_id", "path", named.alias("named"), F.length("text").alias("size"), F.when(named, F.array("text")).otherwise(lines).alias("units"))
-    exploded = keep(holders.where(F.size("units") > 0).select("doc_id", "path", "named", "size", F.explode("units").alias("unit")), "licence-lines")
-    matched = exploded.join(unit_matches(exploded, least), "unit")
+    holders = keep(files.select("doc_id", "path", named.alias("named"), F.length("text").alias("size"), "text", lines.alias("lines")).where(F.col("named") | (F.size("lines") > 0)), "licence-files", compression="zstd")
+    with_word = lambda found: F.filter(found, lambda x: F.rlike(x, F.lit(f"(?i){ANCHORS}")))
+    of = lambda kind, found: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("unit")))
+    extract = lambda pattern: F.transform(with_word(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    kinds = [of(LINE, F.col("lines")), of(PARAGRAPH, with_word(F.split("text", PARAGRAPH_ENDS))), of(MARKED, extract(COMMENT_LINES)), of(SPAN, extract(COMMENT_SPANS)), of(WHOLE, F.when(F.col("named"), F.array("text")).otherwise(F.array().cast("array<string>")))]
+    exploded = keep(holders.select("doc_id", "path", "named", "size", F.explode(F.concat(*kinds)).alias("u")).select("doc_id", "path", "named", "size", "u.*"), "licence-lines", compression="zstd")
+    noticed = keep(unit_matches(exploded.where(F.col("kind").isin(LINE, WHOLE)), least), "licence-noticed")
+    rest = exploded.where(~F.rlike("unit", F.lit(SPDX)) | F.contains("unit", F.lit("\n"))).select("unit").distinct().join(noticed, "unit", "left_anti")
     best = F.min_by(F.struct("license", "similarity"), F.struct(-F.col("similarity"), F.col("license")))
-    own = keep(matched.groupBy("doc_id", "path").agg(best.alias("b"), (F.max("named") | (F.sum(F.length("unit")) >= share * F.max("size"))).alias("speaks")).select("doc_id", "path", "b.*", "speaks"), "licence-own")
+    matches = noticed.union(pattern_matches(rest, least)).union(tagged(exploded.where(F.col("kind") == LINE))).groupBy("unit").agg(best.alias("b")).select("unit", "b.*")
+    matched = exploded.join(matches, "unit")
+    first = F.min_by(F.struct("license", "similarity"), F.struct(-(F.col("kind") == WHOLE).cast("int"), -F.col("similarity"), F.col("license")))
+    # Units of one kind don't overlap, those of different kinds do.
+    covered = [F.sum(F.when(F.col("kind") == k, F.length("unit")).otherwise(0)) for k in (LINE, PARAGRAPH, MARKED, SPAN)]
+    own = keep(matched.groupBy("doc_id", "path").agg(first.alias("b"), (F.max("named") | (F.greatest(*covered) >= share * F.max("size"))).alias("speaks")).select("doc_id", "path", "b.*", "speaks"), "licence-own")
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     spoken = own.where("speaks").groupBy(directory.alias("dir")).agg(best.alias("b")).select(F.col("dir").alias("ancestor"), F.col("b.license").alias("dir_license"))
     parts = F.split("dir", "/")
