@@ -250,6 +250,16 @@ def test_token_files(spark):
     assert token_files.token_digests(spark, bare).count() == 0
 
 
+def test_special_tokens_in_capitals():
+    path = q.tokenizer_file("word_bpe_49k.json")
+    rows = ["a <|ENDOFTEXT|> b", "a<|EndOfText|>B <|endoftext|>", "<|", "X<", "|Y <|STARTOFTEXT|>", "<|endoftext|> THE <| A"]
+    own, library = tokens.Coder(path, words_only=True), tokens.Coder(path).tokenizer
+    for block in textvec.blocks(pa.array(rows, type=pa.string())):
+        ids, counts = own.encode(block)
+        want = [library.encode(x, add_special_tokens=False).ids for x in rows]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
 # --- op6 --------------------------------------------------------------------------------------------
 
 

@@ -81,6 +81,10 @@ class Coder:
         if self.words_only:
             data = LOWER[block.data]
             starts, ends, first = block.words(SPACE, data)
+            # Special tokens are matched before the library lower-cases: words that may hold one keep their case.
+            marks = np.flatnonzero((block.data[:-1] == 0x3C) & (block.data[1:] == 0x7C))
+            for k in np.unique(np.searchsorted(starts, marks, side="right") - 1).tolist():
+                data[starts[k] : ends[k]] = block.data[starts[k] : ends[k]]
         else:
             data = block.data
             starts, first = chunk_bounds(block)
