@@ -2,8 +2,9 @@
 
 Documents are dealt with in shards of bounded size. Each shard's words (lower-cased A-Z; runs of
 digits, letters and non-ASCII characters) get a suffix array, sorted by ``DEPTH`` words by prefix
-doubling, in which no suffix runs over its document's end. Every suffix of every benchmark item is
-then binary-searched, word by word, which narrows the interval of training suffixes that begin alike.
+doubling, in which no suffix runs over its document's end. Every distinct window of the benchmark (in
+``longest_matches`` every suffix of every item) is then binary-searched, word by word, which narrows
+the interval of training suffixes that begin alike.
 A *window* is ``window`` consecutive words of an item, or a shorter item as a whole; what is left of
 the interval after a whole window is all its occurrences in the shard.
 
@@ -232,7 +233,8 @@ def _longest(shared: list):
 def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """For each item its longest verbatim match over all shards: item_id, match_words, item_offset, doc_id, doc_offset (in words).
 
-    Of equally long matches that with the smallest item_offset, doc_id and doc_offset is given; an item without a common word has no row.
+    Of equally long matches that with the smallest item_offset is given, then, of those that shards report, the smallest
+    doc_id and doc_offset. A shard reports one; below DEPTH words it is the first in suffix order. An item without a common word has no row.
     """
     shared = _share(docs, benchmark, DEPTH, block_bytes)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_longest(shared), "item_id long, match_words long, item_offset long, doc_id long, doc_offset long")
