@@ -109,7 +109,7 @@ def pattern_matches(units: DataFrame, least: float) -> DataFrame:
     """unit, license and similarity of the distinct ``units`` (unit) that are near enough to a pattern."""
     spark = units.sparkSession
     idf, weights, names = _weights()
-    top = (log(1 + len(names)) + 1) / 2  # a term of no pattern, such as a project's name, counts half as much as the rarest
+    top = log(1 + len(names)) + 1
     idf = F.broadcast(spark.createDataFrame(idf, "term string, idf double"))
     weights, names = F.broadcast(spark.createDataFrame(weights, "term string, template int, tw double, has int")), F.broadcast(spark.createDataFrame(names, "template int, license string, wanted int"))
     # Dealt by digest once, the terms of a unit stay in its task.
