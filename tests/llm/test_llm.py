@@ -59,10 +59,53 @@ def test_words_and_hashes():
     assert h[0] == h[1] == h[3] != h[2]
 
 
+def thue_morse(size):
+    """Two texts over {a, b}, each the other's complement: sums of byte values times powers can't tell them apart."""
+    s = "a"
+    while len(s) < size:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+HARD = [*thue_morse(1024), *thue_morse(4096), "lead " + thue_morse(2048)[0] + " tail", "lead " + thue_morse(2048)[1] + " tail"]
+WEAK = np.uint64(0x3)
+
+
+def weaken(monkeypatch):
+    """Only four hashes: what stays exact compares bytes."""
+    real = textvec.span_hashes
+    for module in (textvec, tokens, decontaminate, attention_lm):
+        monkeypatch.setattr(module, "span_hashes", lambda *a: real(*a) & WEAK, raising=False)
+
+
+def test_hashes_of_hard_texts_differ():
+    rows = [*HARD, "x" * 5_000_000, "x" * 4_999_999 + "y", "ab", "ab\0", "abcdefgh", "abcdefgh\0"]
+    data = np.frombuffer("".join(rows).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(r) for r in rows])
+    starts = ends - [len(r) for r in rows]
+    assert len(set(textvec.span_hashes(data, starts, ends).tolist())) == len(rows)
+    moved = np.concatenate([np.frombuffer(b"pad", dtype=np.uint8), data])
+    assert np.array_equal(textvec.span_hashes(moved, starts + 3, ends + 3), textvec.span_hashes(data, starts, ends))
+    same = textvec.same_spans(data, starts[:, None].repeat(len(rows), 1).ravel(), ends[:, None].repeat(len(rows), 1).ravel(), moved, np.tile(starts + 3, len(rows)), np.tile(ends + 3, len(rows)))
+    assert np.array_equal(same.reshape(len(rows), -1), np.eye(len(rows), dtype=bool))
+
+
+def test_distinct_spans_under_weak_hashes(monkeypatch):
+    weaken(monkeypatch)
+    rows = [*HARD, *HARD, "a", "b", "a", "longer than a lane", "longer than a lake"]
+    data, ends = np.frombuffer("".join(rows).encode(), dtype=np.uint8), np.cumsum([len(r) for r in rows])
+    starts = ends - [len(r) for r in rows]
+    where, which, _ = textvec.distinct_spans(data, starts, ends, textvec.span_hashes(data, starts, ends))
+    assert [rows[k] for k in where[which]] == rows and len(where) == len(set(rows))
+
+
+@pytest.mark.parametrize("weak", [False, True])
 @pytest.mark.parametrize("name, words_only", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_ids_are_the_librarys(name, words_only):
+def test_ids_are_the_librarys(name, words_only, weak, monkeypatch):
+    if weak:
+        weaken(monkeypatch)
     own = tokens.Coder(q.tokenizer_file(name), words_only)
-    rows = EDGES + texts(40)
+    rows = EDGES + HARD + texts(40)
     got = []
     for block in textvec.blocks(pa.array(rows, type=pa.string()), 256):
         ids, counts = own.encode(block)
@@ -90,10 +133,25 @@ def test_warc_round_trip(spark):
     head, _, rest = record.partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\n") and rest == other.encode() + b"\r\n\r\n"
     assert f"Content-Length: {len(other)}".encode() in head
-    assert all(r["verified"] for r in warc.archive_digests(pages).collect())
+    assert sorted(str(r["page_id"]) for r in warc.archive_digests(pages).collect()) == sorted(str(i) for i, *_ in rows)
     assert warc.archive_digests(pages.limit(0)).count() == 0
 
 
+def test_warc_ties_and_damage(spark):
+    """Equal rows: one response, the others revisit it; record ids are unique; damage is an error, never a row."""
+    long = "tie " * 40
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (1, "w", "another " * 30), (None, "x", "null " * 30), (None, "x", "null " * 30), (2, "s", "short"), (2, "s", "short"), (3, "big", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = new_path(spark, "t")
+    warc.write_archive(pages, path)
+    back = warc.read_records(spark, path).collect()
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in back)
+    assert got == {(1, "response", None): 2, (1, "revisit", 1): 2, (None, "response", None): 1, (None, "revisit", None): 1, (2, "response", None): 2, (3, "response", None): 1}
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", bytes(r["header"]))[1] for r in back]
+    assert len(set(ids)) == len(rows)
+    assert {re.search(rb"WARC-Refers-To: (\S+)", bytes(r["header"]))[1] for r in back if r["record_type"] == "revisit"} < set(ids)
+
+
 # --- op2 --------------------------------------------------------------------------------------------
 
 
@@ -349,6 +407,25 @@ def test_near_duplicates_equal_brute_force(spark, words, per_hundred):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_near_duplicates_of_hard_texts(spark):
+    rows = HARD + HARD[:2]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == {k: c for k, (_, c) in brute_components(list(enumerate(rows)), 3, 85).items()} and len(set(got.values())) == 6
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, repeated ids and repeated rows: exactly one row of each group, and no text is lost."""
+    base = [f"w{k}" for k in range(40)]
+    a, b = " ".join(base), "another text altogether with some words of its own"
+    near = " ".join([*base, "more"])
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, a), (None, "only null ids here and there"), (None, "only null ids here and there"), (9, near), (1, None), (1, None), (2, ""), (8, b), (8, b)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string").repartition(4)
+    out = near_dedup.keep_distinct(docs, 3, 80)
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect())))
+    assert out.columns == docs.columns and got == sorted(map(str, [(3, a), (7, b), (None, "only null ids here and there"), (1, None), (1, None), (2, "")]))
+    assert near_dedup.keep_distinct(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "only null"), (2, None)]
@@ -528,18 +605,21 @@ def brute_contamination(docs, items, window):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [200, 1 << 20])
-def test_contamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, broadcast_bytes, window", [(200, 1 << 20, 10), (1 << 20, 1 << 20, 10), (300, 600, 10), (1 << 20, 1 << 20, 3), (1 << 20, 1 << 20, 21)])
+def test_contamination_equals_brute_force(spark, block_bytes, broadcast_bytes, window):
+    """In one block, in several, in several passes, and with windows longer than the depth of the arrays."""
     rng = np.random.default_rng(0)
     items = [(k, " ".join(rng.choice(WORDS, rng.integers(0, 30)))) for k in range(25)] + [(100, None), (101, "lantern x1"), (7, "stone stone"), (102, "... !")]
-    rows = EDGES + texts(40, 1)
+    items += [(103, f"{HARD[0]} by itself"), (104, HARD[3])]
+    rows = EDGES + texts(40, 1) + HARD + [f"{HARD[1]} by itself", f"{HARD[0]}, by itself"]
     for k in range(20):
         item = items[k % 25][1].split()
         rows.append(" ".join(rng.choice(WORDS, 20)) + " " + ", ".join(item[k % 3 :]).upper() + " " + " ".join(rng.choice(WORDS, 9)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate.contamination(frame(spark, rows), bench, 10, block_bytes).collect()}
-    assert got == brute_contamination(list(enumerate(rows)), items, 10)
-    assert decontaminate.keep_clean(frame(spark, rows), bench).count() == sum(not x[-1] for x in got.values())
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate.contamination(frame(spark, rows), bench, window, block_bytes, broadcast_bytes).collect()}
+    assert got == brute_contamination(list(enumerate(rows)), items, window)
+    clean = decontaminate.keep_clean(frame(spark, rows), bench, window, block_bytes, broadcast_bytes)
+    assert {r["doc_id"] for r in clean.collect()} == {k for k, x in got.items() if not x[-1]} and clean.columns == frame(spark, rows).columns
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(frame(spark, rows), bench.limit(0)).collect())
 
@@ -551,8 +631,35 @@ def test_longest_matches(spark):
     assert [tuple(r) for r in got] == [(5, 32, 6, 1, 2)]
 
 
+@pytest.mark.parametrize("passes", [False, True])
+def test_longest_matches_equal_brute_force(spark, passes):
+    rng = np.random.default_rng(4)
+    small = ["a", "b", "c"]
+    rows = [" ".join(rng.choice(small, rng.integers(0, 12))) for _ in range(40)]
+    long = " ".join(rng.choice(small, 60))
+    rows += ["b " + long, long + " a", long]
+    items = [(k, " ".join(rng.choice([*small, "d"], rng.integers(0, 9)))) for k in range(30)] + [(30, f"d {long} d"), (31, None)]
+    docs = frame(spark, rows).orderBy(F.desc("doc_id"))
+    want = []
+    for i, t in items:
+        q_, best = (t or "").split(), None
+        for s in range(len(q_)):
+            for d, text in enumerate(rows):
+                w = text.split()
+                for p in range(len(w)):
+                    n = 0
+                    while s + n < len(q_) and p + n < len(w) and q_[s + n] == w[p + n]:
+                        n += 1
+                    best = min(best or (0, 0, 0, 0), (-n, s, d, p)) if n else best
+        if best:
+            want.append((i, -best[0], *best[1:]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.longest_matches(docs, bench, 64 if passes else 1 << 20, 128 if passes else 1 << 20).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_suffix_array_is_sorted():
-    words = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
+    words = np.random.default_rng(0).integers(0, 3, 400)
     first = np.array([0, 0, 150, 151, 400])
     array = decontaminate.SuffixArray(words, first)
     suffixes = [tuple(array.word[p : min(array.end[p], p + decontaminate.DEPTH)].tolist()) for p in array.order]

@@ -20,15 +20,18 @@
 
 What is summed by token, node or shingle is summed before its shuffle and written before it is joined
 again. Each such join then has plain shuffles on both sides, which Spark splits where one key is hot.
+A node is named by the first 64 bits of its set's key, never by a doc_id, which may be null or stand for several texts.
 
 ``matches`` is the largest number for which a pair exactly at the threshold is missed with a
 probability of at most 1e-6; pairs above it are missed far less often.
 
-Defined results: a null or wordless text has an empty set and links with nothing; a null doc_id takes
-part but never names a component while another id does, and where all ids of a set are null that set
-links with nothing (component null, kept); rows of one doc_id and one set are one node, each row is
-returned, and different sets with one smallest id take one component; an empty table gives no rows;
-other columns are ignored.
+Defined results: a null or wordless text has an empty set and links with nothing; component_id is the
+smallest doc_id of a component that is not null. In ``near_duplicates`` a set none of whose rows has an id
+links with nothing (component null, kept); rows of one doc_id and one set are each returned with equal
+results, so both are kept or neither; different sets with one smallest id are nodes of their own. A very
+long text is one block: its set is held whole by one task. An empty table gives no rows; other columns are ignored.
+``keep_distinct`` works on rows instead: of each component exactly one row stays, whether ids are null,
+repeated or both; a row without words always stays.
 """
 
 from __future__ import annotations
@@ -107,19 +110,16 @@ def _possible(per_hundred: int) -> Column:
     return (100 * common >= per_hundred * (both - common)) & (100 * (both - differ) >= per_hundred * (both + differ))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coordinates: int = 32, matches: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
-
-    Two documents link if 100 * common shingles >= per_hundred * all their shingles.
-    """
+def _classes(docs: DataFrame, words: int, per_hundred: int, coordinates: int, matches: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, member): rows (doc_id, member, n_shingles, key1, key2), nodes (rep, key1, key2 and their smallest member) and labels (node, component), which unlinked nodes don't have."""
     matches = matches or least_matches(coordinates, per_hundred / 100)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keep(docs.mapInArrow(signature_rows(words, coordinates), "doc_id long, n_shingles long, key1 long, key2 long, tokens array<long>"), "signatures")
-    nodes = keep(rows.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")).where("rep IS NOT NULL"), "nodes")
+    rows = keep(docs.mapInArrow(signature_rows(words, coordinates), "doc_id long, member long, n_shingles long, key1 long, key2 long, tokens array<long>"), "signatures")
+    nodes = rows.where("n_shingles > 0").groupBy("key1", "key2").agg(F.min("member").alias("member"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = keep(nodes.where("member IS NOT NULL").withColumn("rep", F.col("key1")), "nodes")
     posts = keep(_postings(nodes, coordinates, matches), "postings")
-    active = keep(posts.select("rep").distinct().join(nodes.select("rep", "n", "key1", "key2", "tokens"), "rep"), "active")
-    wanted = active.select(F.col("rep").alias("doc_id"), "key1", "key2")
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "key1", "key2")
+    active = keep(posts.select("rep").distinct().join(nodes.select("rep", "n", "member", "key1", "key2", "tokens"), "rep"), "active")
+    texts = docs.select("text", "member").join(active.select("member", "key1", "key2"), "member").select("text", "key1", "key2")
+    # Rows of one member may hold several texts: each node takes that with its own keys, of equal ones any.
     sets = keep(texts.mapInArrow(set_rows(words), "rep long, shingles array<long>, parity array<long>").dropDuplicates(["rep"]), "sets")
     labelled, lists = posts.withColumn("label", F.col("rep")), keep(posts.groupBy("token").agg(F.min("rep").alias("x")), "pivots")
     edges = keep(_confirmed(_pairs(labelled.join(lists, "token").where(F.col("rep") != F.col("x"))), active, sets, matches, per_hundred), "links")
@@ -143,7 +143,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coor
             met = outside.join(labelled, "token").where((F.col("label") != F.col("label_x")) & _possible(per_hundred))
             edges = edges.union(keep(_confirmed(_pairs(met), active, sets, matches, per_hundred), "links"))
             labels = keep(components(edges), "labels")
-    named = nodes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.drop("tokens").join(named, ["key1", "key2"], "left")
+    return rows.drop("tokens"), nodes.select("rep", "key1", "key2", "member"), labels
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, per_hundred: int = 80, coordinates: int = 32, matches: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
+
+    Two documents link if 100 * common shingles >= per_hundred * all their shingles.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, nodes, labels = _classes(docs.withColumn("member", F.col("doc_id")), words, per_hundred, coordinates, matches)
+    least = keep(labels.join(nodes, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("member").alias("least")), "least-ids")
+    labels = keep(labels.join(least, "component").select("node", "least"), "named")
+    named = nodes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("least", "member").alias("component_id"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = rows.join(named, ["key1", "key2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_distinct(docs: DataFrame, words: int = 5, per_hundred: int = 80, coordinates: int = 32, matches: int | None = None) -> DataFrame:
+    """One row, that with the smallest doc_id (nulls last), of each group of near-duplicates among the rows of ``docs`` (doc_id, text and any others).
+
+    Rows get numbers and are written first: ids may repeat, and rows that are read anew after a lost
+    executor keep their numbers.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows, nodes, labels = _classes(numbered.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("member")), words, per_hundred, coordinates, matches)
+    # A component of one row needs no choice; only rows that are not chosen leave.
+    named = nodes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
+    linked = keep(rows.where("n_shingles > 0").join(named, ["key1", "key2"]).select("component", "doc_id", "member"), "members")
+    chosen = keep(linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("member"))).alias("c"), F.count("*").alias("k")).where("k > 1").select("component", F.col("c.member").alias("chosen")), "chosen")
+    gone = keep(linked.join(chosen, "component").where("member != chosen").select(F.col("member").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

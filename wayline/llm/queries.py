@@ -20,7 +20,7 @@ def tokenizer_file(name: str) -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_digests
 
-    return archive_digests(table(spark, sf_dir, "pages")).drop("verified")
+    return archive_digests(table(spark, sf_dir, "pages"))
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +100,10 @@ def queries():
 ORACLES = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
-        SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
-          CASE WHEN octet_length(encode(p.html)) >= 100 AND p.page_id > f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN octet_length(encode(p.html)) >= 100 AND p.page_id > f.first_id THEN f.first_id END AS refers_to
-        FROM p JOIN f ON p.html = f.html
+        f AS (SELECT *, octet_length(encode(html)) AS size, min(page_id) OVER (PARTITION BY html) AS first_id, row_number() OVER (PARTITION BY html ORDER BY page_id) AS k FROM p)
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+          CASE WHEN size >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN size >= 100 AND k > 1 THEN first_id END AS refers_to
+        FROM f
     """,
     "op3_licenses": r"""
         WITH f AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR), doc_id || '.txt') AS path, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR)) AS dir, coalesce(text, '') AS text FROM documents),

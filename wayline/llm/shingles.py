@@ -14,7 +14,9 @@ _COORDINATE = np.random.default_rng(0xABBA).integers(1, 2**63, (2, 256), dtype=n
 def shingle_sets(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents' distinct shingle hashes, sorted within each document, and each document's number of them.
 
-    A document of fewer words, but not none, has its whole sequence as its one shingle.
+    A document of fewer words, but not none, has its whole sequence as its one shingle. A shingle is known
+    by 64 bits, a sum of its words' hashes times odd constants by place, mixed: two different ones are
+    taken for one with a probability of 2^-64.
     """
     data = LOWER[block.data]
     starts, ends, first = block.words(SPACE, data)
@@ -62,7 +64,7 @@ def set_keys(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signature_rows(words: int, coordinates: int):
-    """mapInArrow function over (doc_id, text): doc_id, n_shingles, key1, key2, signature tokens (coordinate and value in one long)."""
+    """mapInArrow function over (doc_id, text, member): doc_id, member, n_shingles, key1, key2, signature tokens (coordinate and value in one long)."""
 
     def run(batches):
         for batch in batches:
@@ -72,7 +74,7 @@ def signature_rows(words: int, coordinates: int):
                 tokens = signatures(sets, counts, coordinates).astype(np.int64) | (np.arange(coordinates, dtype=np.int64) << 32)
                 n = len(counts)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * coordinates, coordinates, dtype=np.int32)), pa.array(tokens.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), pa.array(counts), pa.array(key1), pa.array(key2), listed], names=["doc_id", "n_shingles", "key1", "key2", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(block.first, n) for k in (0, 2)), pa.array(counts), pa.array(key1), pa.array(key2), listed], names=["doc_id", "member", "n_shingles", "key1", "key2", "tokens"])
 
     return run
 
@@ -93,16 +95,16 @@ def parities(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def set_rows(words: int):
-    """mapInArrow function over (rep, text, key1, key2): rep, shingles and parities of the rows whose set has these keys."""
+    """mapInArrow function over (text, key1, key2): rep (the first key), shingles and parities of the rows whose set has these keys."""
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(0)):
                 sets, counts = shingle_sets(block, words)
                 n = len(counts)
-                want = [batch.column(k).slice(block.first, n) for k in (0, 2, 3)]
+                want = [batch.column(k).slice(block.first, n) for k in (1, 2)]
                 same = np.ones(n, dtype=bool)
-                for key, column in zip(set_keys(sets, counts), want[1:]):
+                for key, column in zip(set_keys(sets, counts), want):
                     same &= key == column.to_numpy(zero_copy_only=False)
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))

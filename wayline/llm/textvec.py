@@ -16,12 +16,12 @@ import pyarrow as pa
 #: Bytes of text that are worked on together.
 BLOCK_BYTES = 1 << 20
 
-_RNG = np.random.default_rng(0x5EED)
-#: One random odd 64-bit value per byte value; the base of the polynomial is odd, hence invertible.
-_BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: An odd constant whose multiples salt the lanes of a span.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of a lane.
+_FILL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Lanes of long spans that are worked on together.
+_LANES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,33 +46,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("n", 0)
-    if have < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            out = np.full(size, base, dtype=np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            if size > 8 * BLOCK_BYTES:  # a giant document: don't keep tables of its size
-                _POWERS[key + "_big"] = out
-            else:
-                _POWERS[key] = out
-        if size > 8 * BLOCK_BYTES:
-            return _POWERS.pop("up_big")[:n], _POWERS.pop("down_big")[:n]
-        _POWERS["n"] = size
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data`` the eight bytes from there on as one number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _pieces(size: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of the spans longer than a lane, in groups of bounded total length where no span is longer itself."""
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        group = np.cumsum((size[long] - 1) >> 3) // _LANES
+        yield from np.split(long, np.flatnonzero(np.diff(group)) + 1)
+
+
+def _tail(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For lanes after the first of the given spans, a bounded number at once: places, lengths in bytes, numbers in their span, spans."""
+    more = (ends - starts - 1) >> 3
+    whole = np.cumsum(more)
+    for low in range(0, int(whole[-1]), _LANES):
+        flat = np.arange(low, min(low + _LANES, int(whole[-1])))
+        span = np.searchsorted(whole, flat, side="right")
+        number = flat - (whole - more)[span] + 1
+        at = starts[span] + 8 * number
+        yield at, np.minimum(ends[span] - at, 8), number, span
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
+    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
+
+    A span is lanes of eight bytes. Each lane goes through a bijective mixer salted by its number, and the
+    results are summed: no polynomial whose terms could cancel. Different spans of one length of at most
+    eight bytes never share a hash; any others do with a probability of 2^-64, so what must be exact
+    compares bytes as well (``distinct_spans``).
+    """
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = _powers(len(data))
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    lanes, size = _lanes(data), ends - starts
+    h = mix((lanes[starts] & _FILL[np.minimum(size, 8)]) ^ _STEP)
+    for some in _pieces(size):
+        for at, left, number, span in _tail(starts[some], ends[some]):
+            value = mix((lanes[at] & _FILL[left]) ^ mix((number + 1).astype(np.uint64) * _STEP))
+            first = np.flatnonzero(np.diff(span, prepend=-1))
+            h[some[span[first]]] += np.add.reduceat(value, first)
+    return mix(h + size.astype(np.uint64) * _STEP)
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Which spans of ``a`` and of ``b`` have the same bytes."""
+    size = a_ends - a_starts
+    x, y = _lanes(a), _lanes(b)
+    same = (size == b_ends - b_starts) & (((x[a_starts] ^ y[b_starts]) & _FILL[np.minimum(size, 8)]) == 0)
+    for group in _pieces(np.where(same, size, 0)):
+        for at, left, number, span in _tail(a_starts[group], a_ends[group]):
+            differs = ((x[at] ^ y[b_starts[group][span] + 8 * number]) & _FILL[left]) != 0
+            same[group[span[differs]]] = False
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each distinct span a number of it, which distinct one each span is, and how many of the distinct have the hash to themselves or came first with it.
+
+    Those stand first, in the order of their hashes; equality is of bytes, not of hashes.
+    """
+    keys, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+    other = where[which]
+    odd = np.flatnonzero(~same_spans(data, starts, ends, data, starts[other], ends[other]))
+    if len(odd):  # two texts under one hash: named by their bytes
+        names: dict[bytes, int] = {}
+        for k in odd.tolist():
+            which[k] = len(where) + names.setdefault(data[starts[k] : ends[k]].tobytes(), len(names))
+        firsts = {int(which[k]): k for k in reversed(odd.tolist())}
+        where = np.concatenate([where, [firsts[len(where) + n] for n in range(len(names))]]).astype(np.int64)
+    return where, which, len(keys)
 
 
 class Block:

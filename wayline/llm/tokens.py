@@ -2,7 +2,8 @@
 
 White space always begins a new pre-token in both vocabularies, so a text may be cut before white
 space that follows a printing character, and each cut chunk encoded alone. Each worker keeps the ids
-of the chunks that it has met; only new ones reach the library. The cache is bounded.
+of the chunks that it has met; only new ones reach the library. The cache is bounded. A chunk is
+looked up by a hash and then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from .textvec import LOWER, SPACE, Block, ragged, span_hashes
+from .textvec import LOWER, SPACE, Block, distinct_spans, ragged, same_spans, span_hashes
 
 #: Chunks that a worker keeps; beyond that it starts afresh.
 CACHE_CHUNKS = 2_500_000
@@ -69,6 +70,9 @@ class Coder:
         self.starts = np.empty(0, dtype=np.int32)
         self.lengths = np.empty(0, dtype=np.uint16)
         self.pool = np.empty(0, dtype=self.id_type)
+        self.text_at = np.zeros(0, dtype=np.int64)
+        self.text_end = np.zeros(0, dtype=np.int64)
+        self.text = np.empty(0, dtype=np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,31 +102,44 @@ class Coder:
         return ids, total[first[1:]] - total[first[:-1]]
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where in the returned pool each distinct hash's ids begin, their numbers, which of them each span has, and the pool."""
-        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        """Where in the returned pool each distinct span's ids begin, their numbers, which of them each span has, and the pool."""
+        where, inverse, plain = distinct_spans(data, starts, ends, hashes)
+        keys, s, e = hashes[where], starts[where], ends[where]
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            maybe = np.flatnonzero(self.keys[at] == keys)
+            known[maybe] = same_spans(data, s[maybe], e[maybe], self.text, self.text_at[at[maybe]], self.text_end[at[maybe]])
         new = np.flatnonzero(~known)
         begin, count, pool = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64), self.pool
-        begin[known], count[known] = self.starts[at[known]], self.lengths[at[known]]
+        if len(self.keys):
+            begin[known], count[known] = self.starts[at[known]], self.lengths[at[known]]
         if len(new):
-            flat, lengths = self._encode([data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+            flat, lengths = self._encode([data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(s[new].tolist(), e[new].tolist())])
             begin[new] = len(pool) + np.cumsum(lengths) - lengths
             count[new] = lengths
             pool = np.concatenate([pool, flat])
-            self._keep(keys[new], begin[new], lengths, pool, (ends - starts)[where[new]] <= CACHE_CHUNK_BYTES)
+            # Not kept: long chunks, and those whose hash belongs to another chunk already.
+            fit = ((e - s)[new] <= CACHE_CHUNK_BYTES) & (new < plain)
+            if len(self.keys):
+                fit &= self.keys[at[new]] != keys[new]
+            some = new[fit]
+            self._keep(keys[some], begin[some], count[some], pool, data, s[some], e[some])
         return begin, count, inverse, pool
 
-    def _keep(self, keys, begin, lengths, pool, short) -> None:
+    def _keep(self, keys, begin, lengths, pool, data, starts, ends) -> None:
         if len(self.keys) + len(keys) > CACHE_CHUNKS or len(pool) > 16 * CACHE_CHUNKS:
             self._clear()
             return
-        keys, begin, lengths = keys[short], begin[short], lengths[short]
         spot = np.searchsorted(self.keys, keys)
+        text_end = len(self.text) + np.cumsum(ends - starts)
         self.keys = np.insert(self.keys, spot, keys)
         self.starts = np.insert(self.starts, spot, begin)
         self.lengths = np.insert(self.lengths, spot, lengths)
+        self.text_at = np.insert(self.text_at, spot, text_end - (ends - starts))
+        self.text_end = np.insert(self.text_end, spot, text_end)
+        self.text = np.concatenate([self.text, data[ragged(starts, ends - starts)]])
         self.pool = pool
 
 
