@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the
 columns of ``docs``; the last returns the places of all pieces in sequences of 1024 tokens.
+
+Defined results: a row whose text is null or has no letters goes in the first stage; a null lang or source
+doesn't matter; rows with a null doc_id are learned from and judged like others; of equal rows, whatever their
+ids, the third stage keeps one; very long texts are judged whole; an empty table gives an empty result, since
+nothing is learned and nothing kept; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -27,8 +32,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near-duplicates (five words, 0.8)."""
-    found = near_dedup.near_duplicates(docs, words=5, per_hundred=80)
-    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.keep_distinct(docs, words=5, per_hundred=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
