@@ -544,43 +544,136 @@ def test_lm_scores(spark):
     assert attention_lm.score(empty(spark), F.lit(False), q.tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
-def test_lm_windows_and_gradient():
-    net = attention_lm.Net()
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+def lm_words(rng, vocabulary, n):
+    size = rng.integers(0, 4, n)
+    return attention_lm.Words(rng.integers(0, vocabulary, size.sum()), np.concatenate([[0], np.cumsum(size)]))
+
+
+def lm_net(vocabulary=50, seed=0):
+    """A net in double precision whose weights are far from their start."""
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 30, 2 * vocabulary + 2).astype(float)
+    net = attention_lm.Net(vocabulary, attention_lm.Tree.grown(vocabulary, rng.integers(0, attention_lm.GROUPS, vocabulary), counts))
+    net.p = {k: v.astype(np.float64) + 0.2 * rng.standard_normal(v.shape) for k, v in net.p.items()}
+    return net
+
+
+def plain_lm(net, words):
+    """A document's log probabilities, a word and a symbol at a time; pairs of the whole spelling and of the first symbol's leaf."""
+    p, t, size = net.p, net.tree, attention_lm.DIM
+    spelling = [words.ids[a:b].tolist() for a, b in zip(words.bounds[:-1], words.bounds[1:])]
+    x = [p["E"][net.row(net.BEGIN)]] + [p["E"][s].sum(0) if s else p["E"][net.row(net.BLANK)] for s in spelling]
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    out = []
+    for i in range(len(x)):
+        low = max(0, i // attention_lm.STRIDE * attention_lm.STRIDE - attention_lm.STRIDE)
+        e = np.array([x[i] @ p["Q"] @ (x[j] @ p["K"]) / math.sqrt(size) + p["r"][i - j] for j in range(low, i + 1)])
+        read = sum(a * (x[j] @ p["V"]) for a, j in zip(soft(e), range(low, i + 1)))
+        pre = x[i] @ p["W1"] + p["b"] + read @ p["W2"]
+        if i == len(spelling):
+            symbols = [2 * net.size]
+        else:
+            symbols = [2 * k + (n == len(spelling[i]) - 1) for n, k in enumerate(spelling[i])] or [2 * net.size + 1]
+        before, total, head = net.row(net.FIRST), 0.0, None
+        for s in symbols:
+            h = np.tanh(pre + p["E"][before] @ p["U"])
+            g, leaf = t.group[s], t.leaf[s]
+            first = (1 - attention_lm.MIX) * soft(h @ p["O1"] + p["o1"])[g] + attention_lm.MIX * t.prior1[g]
+            z = np.where(t.open[g], h @ p["O2"][g] + p["o2"][g], -1e9)
+            second = (1 - attention_lm.MIX) * soft(z)[leaf] + attention_lm.MIX * t.prior2[g, leaf]
+            head = math.log(first * second) if head is None else head
+            total += math.log(first * second) + t.share[s]
+            before = s // 2
+        out.append((total, head))
+    return np.array(out)
+
+
+def test_lm_equals_a_plain_model():
+    """Many documents under one mask against one word and symbol at a time; each token once; causal."""
+    rng, net = np.random.default_rng(1), lm_net()
+    counts = np.array([0, 5, 40, 1, 16, 33])
+    words = lm_words(rng, 50, int(counts.sum()))
+    w = attention_lm.windows(np.arange(len(words)), counts)
+    assert np.array_equal(np.sort(w.query[w.real]), np.arange(counts.sum() + len(counts)))
+    got = np.stack(net.word_logs(words, w, step=3), axis=1)
+    ends = np.cumsum(counts)
+    assert np.allclose(got, np.concatenate([plain_lm(net, words.take(np.arange(e - n, e))) for n, e in zip(counts, ends)]), atol=1e-5)
+    other = attention_lm.Words(words.ids.copy(), words.bounds)
+    at = int(words.bounds[ends[2] - 3])  # an id near the end of the third document
+    other.ids[at] = (other.ids[at] + 1) % 50
+    changed = np.stack(net.word_logs(other, w), axis=1)
+    assert np.allclose(changed[: ends[2] + 3 - 6], got[: ends[2] + 3 - 6], atol=1e-9)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all symbols, the end and a word without ids included, after any context; and the shares of a leaf's words with one unknown word."""
+    net = lm_net()
+    h = np.random.default_rng(5).standard_normal((4, attention_lm.HIDDEN))
+    every = np.arange(2 * net.size + 2)
+    for one in h:
+        assert np.exp(net.logs(np.repeat(one[None], len(every), 0), every) + net.tree.share).sum() == pytest.approx(1, abs=1e-5)
+    c = np.array([5, 1, 9])
+    assert ((c + 0.5) / (c.sum() + 0.5 * (len(c) + 1))).sum() + 0.5 / (c.sum() + 0.5 * (len(c) + 1)) == pytest.approx(1)
+
+
+def test_lm_gradient():
+    rng, net = np.random.default_rng(2), lm_net()
+    counts = np.array([0, 5, 40, 1, 24])
+    words = lm_words(rng, 50, int(counts.sum()))
+    w = attention_lm.windows(np.arange(len(words)), counts, np.array([1, 0, 1, 1, 0]) > 0, np.array([1, 1, 0, 1, 1]) > 0)
+    _, grad, rows = net.loss_gradient(words, w)
+    for name, g in grad.items():
+        at = int(np.abs(g.reshape(-1)).argmax())
+        place = (rows[at // attention_lm.DIM], at % attention_lm.DIM) if name == "E" else np.unravel_index(at, net.p[name].shape)
+        old, found = net.p[name][place], []
+        for step in (1e-4, -1e-4):
+            net.p[name][place] = old + step
+            found.append(net.loss_gradient(words, w)[0])
+        net.p[name][place] = old
+        assert g.reshape(-1)[at] == pytest.approx((found[0] - found[1]) / 2e-4, rel=1e-3, abs=1e-8), name
+
+
+def test_lm_slices_keep_their_words():
+    words = lm_words(np.random.default_rng(3), 50, 70)
+    s, b = attention_lm.symbols_of(words, 50)
+    back, counts = attention_lm._unpacked([s[b[i] : b[j]] for i, j in ((0, 0), (0, 5), (5, 45), (45, 46), (46, 70))], 50)
+    assert counts.tolist() == [0, 5, 40, 1, 24] and np.array_equal(back.ids, words.ids) and np.array_equal(back.bounds, words.bounds)
+
+
+def test_lm_learns_in_tasks(spark, monkeypatch):
+    """Averaged rounds make the loss on what the tasks learned from smaller; more slices mean more that is learned from."""
+    monkeypatch.setattr(attention_lm, "START", 40)
+    monkeypatch.setattr(attention_lm, "TASK_SLICES", 60)
+    path = q.tokenizer_file("word_bpe_49k.json")
     rng = np.random.default_rng(0)
-    counts = np.array([0, 5, 40, 1, 16])
-    codes = rng.integers(0, 1000, counts.sum()) | rng.integers(0, 1000, counts.sum()) << 16 | rng.integers(0, 3, counts.sum()) << 32
-    w = attention_lm.windows(codes, counts, net.classes(codes))
-    assert np.array_equal(np.sort(w.query[w.real]), np.arange(counts.sum() + len(counts)))  # each token is scored once
-    prior = np.full(attention_lm.CLASSES, 1 / attention_lm.CLASSES)
-    together = net.class_log(w, prior)
-    alone, at = [], 0
-    for n in counts:
-        one = codes[at : at + n]
-        alone.append(net.class_log(attention_lm.windows(one, np.array([n]), net.classes(one)), prior))
-        at += n
-    assert np.allclose(together, np.concatenate(alone), atol=1e-6)
-    changed = codes.copy()
-    changed[-1] ^= 7
-    assert np.allclose(net.class_log(attention_lm.windows(changed, counts, net.classes(codes)), prior)[:-1], together[:-1])  # causal
-    some = slice(0, len(w.query))
-
-    def loss():
-        y = net.forward(w, some)[0]
-        p = np.take_along_axis(y, w.target[w.query][..., None], 2)[..., 0]
-        return -np.log(p[w.real]).mean()
-
-    grad = net.gradient(w, some)
-    for name in ("A", "B", "T", "Q", "K", "V", "r", "W", "b", "O", "o"):
-        flat = net.p[name].reshape(-1)
-        at = int(np.abs(grad[name].reshape(-1)).argmax())
-        old = flat[at]
-        flat[at] = old + 1e-4
-        up = loss()
-        flat[at] = old - 1e-4
-        down = loss()
-        flat[at] = old
-        assert grad[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-5), name
+    rows = [" ".join(rng.choice(LANGS[("en", "de")[k % 2]], 90)) for k in range(150)]
+    chunks = frame(spark, rows).select(F.lit(1).cast("long").alias("chunk"), F.lit(False).alias("held_out"), "text")
+    size = tokens.coder(path, words_only=True).tokenizer.get_vocab_size()
+    gathered = chunks.repartition(4).mapInArrow(attention_lm._gather(path, size, 1.0), attention_lm.GATHERED).cache()
+    slices = gathered.where(F.col("kind") == attention_lm.SLICED)
+    n = slices.count()
+    assert n == sum(-(-len(t.split()) // attention_lm.SLICE) for t in rows)
+    count = np.zeros(2 * size + 2)
+    for r in gathered.where(F.col("kind") == attention_lm.COUNTED).collect():
+        count[r["symbols"]] += r["counts"]
+    want = Counter(2 * x + (k == len(e) - 1) for t in rows for word in t.split() for e in [tokens.coder(path).tokenizer.encode(word, add_special_tokens=False).ids] for k, x in enumerate(e))
+    assert {int(k): int(count[k]) for k in np.flatnonzero(count)} == want
+    all_ = slices.collect()
+    words, sizes = attention_lm._unpacked([np.array(r["symbols"]) for r in all_], size)
+    flags = np.array([r["n"] for r in all_])
+    w = attention_lm.windows(np.arange(len(words)), sizes, (flags & 1) > 0, (flags & 2) > 0)
+    loss = []
+    for rounds in ((), (0.004, 0.002)):
+        monkeypatch.setattr(attention_lm, "ROUNDS", rounds)
+        loss.append(attention_lm.fitted(gathered, size, n, count).loss_gradient(words, w)[0])
+    assert loss[1] < loss[0]
+
+
+def test_lm_of_hard_and_long_words(spark):
+    rows = [*HARD, "some words " * 150_000, "a b", None]
+    got = {r["doc_id"]: r for r in attention_lm.score(frame(spark, rows), F.col("doc_id") == 1, q.tokenizer_file("word_bpe_49k.json"), chunk_bytes=4096).collect()}
+    assert len(got) == len(rows) and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+    assert (got[0]["n_known"], got[1]["n_known"], got[1]["n_tokens"]) == (2, 1, 2)  # the second text is not the first
 
 
 # --- op10 -------------------------------------------------------------------------------------------
