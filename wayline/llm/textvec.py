@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,15 @@ def _libc_trim():
 _TRIM = _libc_trim()
 
 
+def one_thread() -> None:
+    """Keeps numpy's matrix products to the caller's thread: tasks run side by side already, and waiting helpers burn their cores."""
+    for path in Path(f"{np.__path__[0]}.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def _give_back() -> None:
     """Returns free memory to the system: workers live for many stages, and numpy's blocks would stay with them."""
     pa.default_memory_pool().release_unused()
