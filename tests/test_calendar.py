@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,9 +49,18 @@ def test_periods_may_touch_but_not_overlap():
 
 
 def test_default_periods():
-    first, second = cal.default_periods(date(2024, 1, 1), date(2024, 1, 31))
-    assert first[0] == date(2024, 1, 8) and second == (date(2024, 1, 20), date(2024, 1, 31)) and first[1] == date(2024, 1, 19)
-    assert cal.default_periods(date(2024, 1, 1), date(2024, 1, 1)) is None
+    """Spans of 0 to 60 days: halves after a warm-up of seven days or, in a short span, of all but two."""
+    first = date(2024, 1, 1)
+    assert cal.default_periods(first, date(2024, 1, 31)) == ((date(2024, 1, 8), date(2024, 1, 18)), (date(2024, 1, 19), date(2024, 1, 31)))
+    for span in range(61):
+        last = first + timedelta(days=span)
+        found = cal.default_periods(first, last)
+        if span < 2:
+            assert found is None
+            continue
+        (b0, b1), (a0, a1) = found
+        assert (b0 - first).days == min(7, span - 2) and a1 == last and a0 == b1 + timedelta(days=1)
+        assert (b1 - b0).days + 1 == (last - b0).days // 2 >= 1
 
 
 def frame(spark, *moments):

@@ -50,3 +50,16 @@ def test_package_rules():
             continue
         names = {n.name for node in ast.walk(ast.parse(path.read_text())) if isinstance(node, ast.Import) for n in node.names} | {node.module or "" for node in ast.walk(ast.parse(path.read_text())) if isinstance(node, ast.ImportFrom)}
         assert not [n for n in names if n.split(".")[0] in ("matplotlib", "plotly", "dash") or "llm" in n.split(".")], path
+
+
+@pytest.mark.parametrize("name", ["complete_flags_total", "complete_flags_max", "corridor_total", "corridor_speed", "segment_delay", "freeflow_percentile", "nearest_line_join", "segment_geometry", "weighted_by_time", "coverage_cost", "compare_raw_day"])
+def test_plans_run_no_job(spark, name, monkeypatch):
+    """Building an operator's plan computes nothing, once the files' schemas are known."""
+    tables = {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("events", "customer", "supplier", "nation")}
+    monkeypatch.setattr(q, "table", lambda session, folder, t: tables[t])
+    context, group = spark.sparkContext, f"plan-{name}"
+    context.setJobGroup(group, name)
+    q.queries()[name](spark, SMALL)
+    jobs = context.statusTracker().getJobIdsForGroup(group)
+    context._jsc.clearJobGroup()
+    assert not list(jobs)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zipfile
 import xml.etree.ElementTree as ET
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators import geometry
-from wayline.schema import Study
+from wayline.schema import Provenance, Study
 from wayline.sources import exports, files, sinks
 from wayline.sources.store import Store, area_identity, detect_bin, keep_first
 from wayline.streaming import ingest
@@ -129,3 +130,21 @@ def test_stream_equals_batch(spark, tmp_path):
     query = summary.writeStream.outputMode("complete").format("memory").queryName("tumbled").option("checkpointLocation", f"file:{tmp_path}/check2").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.sql("SELECT sum(count) FROM tumbled").first()[0] == 5
+
+
+def test_area_identity_of_odd_names(spark):
+    rows = spark.createDataFrame([(1, 'I-84: West "Q"'), (2, "Main"), (2, "Main")], "segment_id long, corridor string")
+    row = area_identity(rows).first()
+    assert (row["area_name"], json.loads(row["corridors"])) == ('I-84: West "Q", Main', ['I-84: West "Q"', "Main"])
+    assert row["area_key"] == hashlib.md5(b'corridors:I-84: West "Q"|Main').hexdigest()[:12]
+    bare = area_identity(spark.createDataFrame([(10,), (9,), (9,)], "segment_id long")).first()
+    assert (bare["area_name"], bare["area_key"]) == ("segments(2)", hashlib.md5(b"segments:9,10").hexdigest()[:12])
+
+
+def test_units_and_counts_are_kept(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    units = {"speed": "miles/hour", "travel_time": "Minutes"}
+    key, added = store.ingest(Study(observed(spark, [0, 5, 10]), provenance=Provenance(units)))
+    again = store.ingest(Study(observed(spark, [10, 15]), provenance=Provenance(units)), bin_minutes=5)
+    assert (added, again[1]) == (3, 1) and store.load(key).provenance.units == units
+    assert sorted((r["n_read"], r["n_added"]) for r in store.ingests().collect()) == [(2, 1), (3, 3)]

@@ -113,14 +113,12 @@ def check_periods(before, after) -> tuple[tuple[datetime, datetime], tuple[datet
 
 
 def default_periods(first: date, last: date, warmup: int = 7) -> tuple | None:
-    """Two halves of the days after a warm-up, or None if fewer than two days are left."""
-    start = first + timedelta(days=warmup)
-    days = (last - start).days + 1
-    if days < 2:
-        start, days = first, (last - first).days + 1
-    if days < 2:
+    """Two disjoint halves of the days after a warm-up, or None for a span of fewer than three days; the warm-up leaves two days at least."""
+    span = (last - first).days
+    if span < 2:
         return None
-    middle = start + timedelta(days=days // 2)
+    start = first + timedelta(days=min(warmup, span - 2))
+    middle = start + timedelta(days=max((last - start).days // 2, 1))
     return (start, middle - timedelta(days=1)), (middle, last)
 
 

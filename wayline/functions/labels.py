@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import small
-
 #: Compass words that a road name may begin or end with.
 COMPASS = "(?:northbound|southbound|eastbound|westbound|north|south|east|west|nb|sb|eb|wb|ne|nw|se|sw|n|s|e|w)"
 #: Route prefixes that a cross street may begin with.
@@ -70,15 +68,15 @@ def seed_names(metadata: DataFrame) -> DataFrame:
 def apply_names(df: DataFrame, names: DataFrame | None, metadata: DataFrame) -> DataFrame:
     """Adds name: the given one unless it is blank, then the seeded one, then the id."""
     seeds = seed_names(metadata).select("segment_id", F.col("name").alias("_seed"))
-    df = df.join(small(seeds), "segment_id", "left")
+    df = df.join(seeds, "segment_id", "left")
     given = F.lit(None).cast("string")
     if names is not None:
-        df = df.join(small(names.select("segment_id", F.col("name").alias("_given"))), "segment_id", "left")
+        df = df.join(names.select("segment_id", F.col("name").alias("_given")), "segment_id", "left")
         given = F.nullif(F.trim("_given"), F.lit(""))
     return df.withColumn("name", F.coalesce(given, F.col("_seed"), F.col("segment_id").cast("string"))).drop("_seed", "_given")
 
 
 def attach_directions(geometry: DataFrame, directions: DataFrame) -> DataFrame:
     """Adds direction, direction_group and direction_sign from directions (segment_id, direction)."""
-    out = geometry.join(small(directions.select("segment_id", "direction")), "segment_id", "left")
+    out = geometry.join(directions.select("segment_id", "direction"), "segment_id", "left")
     return out.withColumns({"direction_group": direction_group(F.col("direction")), "direction_sign": direction_sign(F.col("direction"))})

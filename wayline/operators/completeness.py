@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import default_metric, require, small
+from ..schema import default_metric, require
 from .filters import filter_members
 
 POLICIES = ("max", "total")
@@ -33,7 +33,7 @@ def mark_complete(df: DataFrame, expected: str = "max") -> DataFrame:
     own = "corridor" in df.columns
     work = df if own else df.withColumn("corridor", F.lit("all"))
     counts = _counted(work)
-    marked = counts.join(small(_expected(work, counts, expected)), "corridor")
+    marked = counts.join(_expected(work, counts, expected), "corridor")
     out = work.join(marked, ["corridor", "ts_utc"], "left").withColumn("complete", F.coalesce(F.col("n_segments") >= F.col("expected"), F.lit(False)))
     return out if own else out.drop("corridor")
 
@@ -51,7 +51,7 @@ def corridor_travel_time(df: DataFrame, metadata: DataFrame | None = None, requi
     counts = _counted(df)
     need = _expected(df, counts, expected)
     sums = df.groupBy("corridor", "ts_utc").agg(F.sum(value).alias(value), F.count_distinct(F.when(F.col(value).isNotNull(), F.col("segment_id"))).alias("n_segments"))
-    out = sums.join(small(need), "corridor").withColumn("complete", F.col("n_segments") >= F.col("expected"))
+    out = sums.join(need, "corridor").withColumn("complete", F.col("n_segments") >= F.col("expected"))
     if require_complete:
         out = out.where("complete")
     if metadata is not None and value == "travel_time":
@@ -61,9 +61,9 @@ def corridor_travel_time(df: DataFrame, metadata: DataFrame | None = None, requi
 
 def attach_length_speed(totals: DataFrame, members: DataFrame, metadata: DataFrame, minutes: bool = True) -> DataFrame:
     """Adds the miles of each corridor's distinct segments, 0 if none is known, and mph where travel time is positive minutes."""
-    lengths = members.join(small(metadata.select("segment_id", "miles")), "segment_id", "left").groupBy("corridor").agg(F.coalesce(F.sum("miles"), F.lit(0.0)).alias("miles"))
+    lengths = members.join(metadata.select("segment_id", "miles"), "segment_id", "left").groupBy("corridor").agg(F.coalesce(F.sum("miles"), F.lit(0.0)).alias("miles"))
     mph = F.when(F.lit(minutes) & (F.col("travel_time") > 0), F.col("miles") / (F.col("travel_time") / 60))
-    return totals.join(small(lengths), "corridor", "left").withColumn("mph", mph)
+    return totals.join(lengths, "corridor", "left").withColumn("mph", mph)
 
 
 def network_travel_time(df: DataFrame, metadata: DataFrame | None = None, require_complete: bool = True, value: str | None = None, expected: str = "total", label: str = "Network", members=None, minutes: bool = True) -> DataFrame:

@@ -22,9 +22,9 @@ CHUNK_DAYS = 28
 
 
 def auto_min_samples(df: DataFrame, freq_minutes: int = 5) -> int:
-    """FULL_SAMPLES scaled by the observed slots of the day out of 288; one small aggregate."""
+    """FULL_SAMPLES scaled by the observed slots of the day out of all that a day has at this cadence; one small aggregate."""
     slots = df.agg(F.count_distinct(cal.floor_seconds(freq_minutes))).first()[0] or 0
-    return max(1, round(FULL_SAMPLES * min(1.0, slots / 288)))
+    return max(1, round(FULL_SAMPLES * min(1.0, slots / max(1, round(1440 / freq_minutes)))))
 
 
 def rolling_median(df: DataFrame, value: str, entity=("segment_id",), window_days: int = 7, ts: str = "ts_utc") -> DataFrame:

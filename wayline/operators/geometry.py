@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import small
-
 METRES_PER_DEGREE = 111_320.0
 
 
@@ -21,7 +19,7 @@ def line(*points: tuple[Column, Column]) -> Column:
 def segment_geometry(ids: DataFrame, network: DataFrame, metadata: DataFrame) -> DataFrame:
     """segment_id, line and source for each of ``ids``: the network's line ('xd'), else straight from the metadata's ends ('fallback'), else none ('missing')."""
     ends = ("start_lon", "start_lat", "end_lon", "end_lat")
-    out = ids.select("segment_id").join(small(network.select("segment_id", F.col("line").alias("_line"))), "segment_id", "left").join(small(metadata.select("segment_id", *ends)), "segment_id", "left")
+    out = ids.select("segment_id").join(network.select("segment_id", F.col("line").alias("_line")), "segment_id", "left").join(metadata.select("segment_id", *ends), "segment_id", "left")
     whole = F.col("start_lon").isNotNull() & F.col("start_lat").isNotNull() & F.col("end_lon").isNotNull() & F.col("end_lat").isNotNull()
     straight = line((F.col("start_lon"), F.col("start_lat")), (F.col("end_lon"), F.col("end_lat")))
     return out.select("segment_id", F.coalesce("_line", F.when(whole, straight)).alias("line"), F.when(F.col("_line").isNotNull(), F.lit("xd")).when(whole, F.lit("fallback")).otherwise(F.lit("missing")).alias("source"))
@@ -100,7 +98,7 @@ def nearest_line_join(segments: DataFrame, lines: DataFrame, latitude: float, ma
     reported = near_edges(left, others, report_metres).groupBy("segment_id").agg(best.alias("r"))
     named = segments.select("segment_id").join(matched, "segment_id", "left").join(reported, "segment_id", "left")
     picked = named.select("segment_id", F.coalesce("m.line_id", "r.line_id").alias("line_id"), F.coalesce("m.distance", "r.distance").alias("distance"), F.when(F.col("m").isNotNull(), F.lit("matched")).when(F.col("r").isNotNull(), F.lit("nearest")).otherwise(F.lit("missing")).alias("match"))
-    return picked.join(small(lines.select("line_id", "aadt", "route")), "line_id", "left").select("segment_id", "match", "line_id", "distance", F.when(F.col("match") == "matched", F.col("aadt")).alias("aadt"), "route")
+    return picked.join(lines.select("line_id", "aadt", "route"), "line_id", "left").select("segment_id", "match", "line_id", "distance", F.when(F.col("match") == "matched", F.col("aadt")).alias("aadt"), "route")
 
 
 def overlap_pairs(segments: DataFrame, latitude: float, max_metres: float = 20.0, tolerance: float = 35.0) -> DataFrame:

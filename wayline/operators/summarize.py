@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import default_metric, metric_columns, require, small
+from ..schema import default_metric, metric_columns, require
 
 
 def segment_summary(df: DataFrame, values=None, group_cols=("segment_id", "day_group", "time_bin")) -> DataFrame:
@@ -69,7 +69,7 @@ def free_flow_speed(df: DataFrame, free_flow="ref") -> DataFrame:
         return df.withColumn("free_flow", F.col("ref_speed"))
     _, q = free_flow
     level = df.groupBy("segment_id").agg(F.percentile("speed", F.lit(q / 100.0)).alias("free_flow"))
-    return df.join(small(level), "segment_id", "left")
+    return df.join(level, "segment_id", "left")
 
 
 def segment_delay(df: DataFrame, lengths: DataFrame | None = None, free_flow="ref", floor: bool = True) -> DataFrame:
@@ -87,7 +87,7 @@ def segment_delay(df: DataFrame, lengths: DataFrame | None = None, free_flow="re
     if "speed" in df.columns:
         ideal = F.col("travel_time") * F.col("speed") / fast
     if lengths is not None:
-        df = df.join(small(lengths.select("segment_id", F.col("miles").cast("double").alias("_miles"))), "segment_id", "left")
+        df = df.join(lengths.select("segment_id", F.col("miles").cast("double").alias("_miles")), "segment_id", "left")
         ideal = F.coalesce(F.col("_miles") / fast * 60, ideal)
     delay = F.col("travel_time") - ideal
     df = df.withColumn("delay", F.when(delay < 0, F.lit(0.0)).otherwise(delay) if floor else delay)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import small
-
 
 def _positive(weight: str = "aadt") -> Column:
     return F.when(F.col(weight) > 0, F.col(weight).cast("double"))
@@ -14,13 +12,13 @@ def _positive(weight: str = "aadt") -> Column:
 
 def weighted_mean_speed(means: DataFrame, volumes: DataFrame, value: str = "mean") -> DataFrame:
     """One row, weighted_speed: over segments with a value and a positive volume; NULL if there is none."""
-    rows = means.join(small(volumes.select("segment_id", _positive().alias("_w"))), "segment_id").where(F.col(value).isNotNull() & F.col("_w").isNotNull())
+    rows = means.join(volumes.select("segment_id", _positive().alias("_w")), "segment_id").where(F.col(value).isNotNull() & F.col("_w").isNotNull())
     return rows.agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("weighted_speed"))
 
 
 def vehicle_hours_of_delay(means: DataFrame, volumes: DataFrame, value: str = "mean") -> DataFrame:
     """Adds vehicle_hours a day: delay in minutes / 60 times volume; 0 without a positive volume, NULL without a delay."""
-    joined = means.join(small(volumes.select("segment_id", _positive().alias("_w"))), "segment_id", "left")
+    joined = means.join(volumes.select("segment_id", _positive().alias("_w")), "segment_id", "left")
     return joined.withColumn("vehicle_hours", F.when(F.col("_w").isNull(), F.lit(0.0)).otherwise(F.col(value) / 60 * F.col("_w"))).drop("_w")
 
 
@@ -29,7 +27,7 @@ def weighted_speed_by_time(df: DataFrame, volumes: DataFrame, value: str = "spee
 
     Timestamps below ``min_coverage`` have no row; without any positive volume there is none.
     """
-    weights = small(volumes.select("segment_id", _positive().alias("_w")).where("_w IS NOT NULL"))
+    weights = volumes.select("segment_id", _positive().alias("_w")).where("_w IS NOT NULL")
     rows = df.join(weights, "segment_id")
     # One pass sums each segment's weight once: distinct pairs are counted before the total.
     total = rows.select("segment_id", "_w").distinct().agg(F.sum("_w").alias("_total"))

@@ -113,14 +113,21 @@ def panel_forest(result: DataFrame, level: float = 0.05) -> DataFrame:
     return result.withColumn("significant", F.coalesce(F.col("q_value") <= level, F.lit(False))).orderBy("effect", "segment_id")
 
 
-def map_values(study: Study, mode: str, value: str, before=None, after=None, volumes: DataFrame | None = None) -> DataFrame:
-    """segment_id and shown: the mean, the change between two periods (the mean if they are not valid), or vehicle hours of delay."""
-    means = summarize.segment_means(study.observations, value)
-    if mode == "delta":
+def map_values(study: Study, mode: str, value: str, before=None, after=None, volumes: DataFrame | None = None, window=None, days=None, **options) -> DataFrame:
+    """segment_id and shown, of the rows in a window of the day and on some days: the mean, the seasonally adjusted change between two periods (the mean if they are missing or not valid), or vehicle hours of delay.
+
+    options: those of the decomposition.
+    """
+    series = analysis_series(study, value, window=window, days=days)
+    if mode == "delta" and before and after:
         try:
-            return compare.compare_values(study.observations, before, after, value, inference=False).select("segment_id", F.col("effect").alias("shown"))
-        except (ValueError, TypeError):
-            mode = "mean"
+            cal.check_periods(before, after)
+        except ValueError:  # overlapping or empty periods
+            before = None
+        if before:
+            adjusted = decompose.adjust(series, value, **options)
+            return compare.compare_adjusted(adjusted, before, after, value, inference=False).select("segment_id", F.col("effect").alias("shown"))
+    means = summarize.segment_means(series, value)
     if mode == "vhd":
         return weights.vehicle_hours_of_delay(means, volumes).select("segment_id", F.col("vehicle_hours").alias("shown"))
     return means.select("segment_id", F.col("mean").alias("shown"))

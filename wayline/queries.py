@@ -338,10 +338,12 @@ def compare_adjusted(spark, sf_dir):
     return r6(out.select(F.col("segment_id").alias("corridor"), "n_before", "n_after", "effect"), "effect", above=1e-9)
 
 
-@query(f"WITH {_OBS} SELECT CAST(greatest(1, round_even(480 * least(1.0::DOUBLE, count(DISTINCT tod_sec // 300) / 288.0::DOUBLE), 0)) AS BIGINT) AS min_samples FROM cal WHERE tod_sec >= 57600 AND tod_sec < 64800")
+@query(f"""WITH {_OBS} SELECT f AS freq_minutes, CAST(greatest(1, round_even(480 * least(1.0::DOUBLE, count(DISTINCT tod_sec // (60 * f)) / (1440.0::DOUBLE / f)), 0)) AS BIGINT) AS min_samples
+  FROM cal, (SELECT CAST(unnest([5, 15, 60]) AS INTEGER) AS f) WHERE tod_sec >= 57600 AND tod_sec < 64800 GROUP BY f""")
 def auto_min_samples(spark, sf_dir):
-    n = decompose.auto_min_samples(filters.filter_time_window(local(spark, sf_dir), "4PM-6PM"), 5)
-    return spark.createDataFrame([(n,)], "min_samples long")
+    """At three cadences: two hours of the day are a twelfth of its slots at each."""
+    rows = filters.filter_time_window(local(spark, sf_dir), "4PM-6PM")
+    return spark.createDataFrame([(f, decompose.auto_min_samples(rows, f)) for f in (5, 15, 60)], "freq_minutes int, min_samples long")
 
 
 _SHIFT = """days AS (SELECT CAST(l_suppkey AS BIGINT) AS segment_id, CAST(l_shipdate AS DATE) AS local_date, avg(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY ALL),
@@ -375,9 +377,15 @@ def changepoints_near(spark, sf_dir):
 # --- store ------------------------------------------------------------------------------------------
 
 
-@query("SELECT array_to_string(list_sort(list(DISTINCT event_type)), '|') AS area_name, substring(md5('corridors:' || array_to_string(list_sort(list(DISTINCT event_type)), '|')), 1, 12) AS area_key FROM events")
+@query("SELECT array_to_string(list_sort(list(DISTINCT event_type)), ', ') AS area_name, substring(md5('corridors:' || array_to_string(list_sort(list(DISTINCT event_type)), '|')), 1, 12) AS area_key FROM events")
 def area_identity(spark, sf_dir):
-    return store.area_identity(observations(spark, sf_dir))
+    return store.area_identity(observations(spark, sf_dir)).select("area_name", "area_key")
+
+
+@query("SELECT 'segments(' || count(DISTINCT user_id) || ')' AS area_name, substring(md5('segments:' || array_to_string(list_sort(list(DISTINCT CAST(user_id AS BIGINT))), ',')), 1, 12) AS area_key FROM events")
+def area_identity_segments(spark, sf_dir):
+    """An export without corridors is named by its segments, in numeric order."""
+    return store.area_identity(observations(spark, sf_dir).drop("corridor")).select("area_name", "area_key")
 
 
 @query(f"""WITH {_HOURLY}, d AS (SELECT corridor, epoch_us(ts_utc) - lag(epoch_us(ts_utc)) OVER (PARTITION BY corridor ORDER BY ts_utc) AS step FROM hourly),
@@ -552,3 +560,11 @@ def scope_corridor_series(spark, sf_dir):
 @query(f"WITH {_W} SELECT segment_id, round(CASE WHEN aadt > 0 THEN delay / 60 * aadt ELSE 0 END, 6) AS shown FROM m LEFT JOIN v USING (segment_id)")
 def map_vehicle_hours(spark, sf_dir):
     return r6(analysis.map_values(Study(observations(spark, sf_dir)), "vhd", "travel_time", volumes=_volumes(spark, sf_dir)), "shown")
+
+
+@query(f"""WITH {_HOURLY}, s AS (SELECT corridor, local_date, avg(travel_time - season_day - season_week) AS v, CASE WHEN local_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-18' THEN 'b' WHEN local_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-29' THEN 'a' END AS side FROM dec GROUP BY ALL)
+  SELECT CAST(ascii(corridor) * 100 + length(corridor) AS BIGINT) AS segment_id, round(avg(v) FILTER (side = 'a') - avg(v) FILTER (side = 'b') + 1e-9, 6) AS shown FROM s WHERE side IS NOT NULL GROUP BY corridor HAVING count(v) FILTER (side = 'a') >= 2 AND count(v) FILTER (side = 'b') >= 2""")
+def map_adjusted_change(spark, sf_dir):
+    """Segments are told apart by the first letter and the length of their corridor's name."""
+    rows = hourly(spark, sf_dir).withColumn("segment_id", (F.ascii("corridor") * 100 + F.length("corridor")).cast("long"))
+    return r6(analysis.map_values(Study(rows), "delta", "travel_time", BEFORE, AFTER, freq_minutes=60, min_samples=40), "shown", above=1e-9)

@@ -80,11 +80,3 @@ class Study:
     def then(self, operator, *args, **kwargs) -> "Study":
         """This study with ``operator(observations, ...)`` applied and noted."""
         return replace(self, observations=operator(self.observations, *args, **kwargs), provenance=self.provenance.noted(**{operator.__name__: (args, tuple(sorted(kwargs.items())))}))
-
-
-def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
-
-    The check reads at most rows + 1 rows, so a dimension that has outgrown memory costs no full count.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,10 +12,11 @@ rejected. One writer at a time.
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,15 +29,16 @@ INGESTS = "area_key string, source string, bin_minutes int, n_read long, n_added
 
 
 def area_identity(df: DataFrame) -> DataFrame:
-    """One row, area_name and area_key: an md5 of the sorted distinct corridors, or of the segments where there are none."""
-    text = lambda prefix, c: F.concat(F.lit(prefix), F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|"))
+    """One row, area_name, area_key and corridors (JSON): an md5 of the sorted distinct corridors, or of the segments in numeric order where there are none."""
     if "corridor" not in df.columns:
         df = df.withColumn("corridor", F.lit(None).cast("string"))
     # Distinct pairs first: what is collected into one row is names, never observations.
-    small = df.select("corridor", F.when(F.col("corridor").isNull(), F.col("segment_id")).alias("segment_id")).distinct()
-    named = small.agg(text("corridors:", "corridor").alias("c"), text("segments:", "segment_id").alias("s"), F.count("corridor").alias("n"))
-    identity = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("s"))
-    return named.select(F.substring_index(identity, ":", -1).alias("area_name"), F.substring(F.md5(identity), 1, 12).alias("area_key"))
+    pairs = df.select(F.col("corridor").cast("string").alias("corridor"), F.when(F.col("corridor").isNull(), F.col("segment_id").cast("long")).alias("segment_id")).distinct()
+    sets = pairs.agg(F.array_sort(F.collect_set("corridor")).alias("c"), F.array_sort(F.collect_set("segment_id")).alias("s"))
+    named, joined = F.size("c") > 0, lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+    identity = F.when(named, F.concat(F.lit("corridors:"), joined("c", "|"))).otherwise(F.concat(F.lit("segments:"), joined("s", ",")))
+    name = F.when(named, joined("c", ", ")).otherwise(F.concat(F.lit("segments("), F.size("s").cast("string"), F.lit(")")))
+    return sets.select(name.alias("area_name"), F.substring(F.md5(identity), 1, 12).alias("area_key"), F.to_json("c").alias("corridors"))
 
 
 def detect_bin(df: DataFrame, by=()) -> DataFrame:
@@ -105,18 +107,17 @@ class Store:
             raise ValueError("the bin length can't be told from fewer than two rows of a segment")
         stored = self._read("obs", key)
         same = None if stored is None else stored.where(F.col("bin_minutes") == bin_minutes)
-        before = 0 if same is None else same.count()
         order = [c for c in ("_path", "_line") if c in obs.columns] or None
-        new = keep_first(same, obs, ["segment_id", "ts_utc"], order).drop("_path", "_line")
+        # Both numbers are counted while the rows are written.
+        read, added = Observation(), Observation()
+        new = keep_first(same, obs.observe(read, F.count(F.lit(1)).alias("n")), ["segment_id", "ts_utc"], order).drop("_path", "_line").observe(added, F.count(F.lit(1)).alias("n"))
         new.withColumn("area_key", F.lit(key)).withColumn("bin_minutes", F.lit(bin_minutes)).write.mode("append").partitionBy("area_key", "bin_minutes").parquet(f"{self.root}/obs")
         for kind, frame in (("meta", study.metadata), ("geo", study.geometry)):
             if frame is not None:
                 self._merge_dimension(kind, key, frame)
-        merged = self._read("obs", key)
-        after = merged.where(F.col("bin_minutes") == bin_minutes).count()
-        self._register(key, name or identity["area_name"], identity["area_name"], study.provenance, merged)
-        self.spark.createDataFrame([(key, source, bin_minutes, None, after - before, time.time_ns())], INGESTS).coalesce(1).write.mode("append").parquet(f"{self.root}/ingests")
-        return key, after - before
+        self._register(key, name or identity["area_name"], identity["corridors"], study.provenance, self._read("obs", key))
+        self.spark.createDataFrame([(key, source, bin_minutes, read.get["n"], added.get["n"], time.time_ns())], INGESTS).coalesce(1).write.mode("append").parquet(f"{self.root}/ingests")
+        return key, added.get["n"]
 
     def _merge_dimension(self, kind: str, key: str, frame: DataFrame) -> None:
         new = keep_first(self._read(kind, key), frame, ["segment_id"])
@@ -126,7 +127,7 @@ class Store:
         span = merged.agg(F.min("ts_utc").alias("a"), F.max("ts_utc").alias("b"), F.count_distinct("segment_id").alias("n"), F.count("*").alias("rows")).first()
         old = [r for r in self.areas().collect() if r["area_key"] == key]
         now = time.time_ns()
-        row = (key, name, "[" + ",".join(f'"{c}"' for c in corridors.split("|")) + "]", str(sorted(provenance.units.items())), span["a"], span["b"], span["n"], span["rows"], old[0]["created_at"] if old else now, now, SCHEMA_VERSION)
+        row = (key, name, corridors, json.dumps(provenance.units, sort_keys=True), span["a"], span["b"], span["n"], span["rows"], old[0]["created_at"] if old else now, now, SCHEMA_VERSION)
         self._write_areas(self.areas().where(F.col("area_key") != key).union(self.spark.createDataFrame([row], AREAS)))
 
     def _write_areas(self, df: DataFrame) -> None:
@@ -152,7 +153,11 @@ class Store:
         minutes = self._resolve_bin(key, bin_minutes)
         obs = self._read("obs", key).where(F.col("bin_minutes") == minutes).drop("area_key", "bin_minutes")
         drop = lambda df: None if df is None else df.drop("area_key")
-        study = Study(obs, drop(self._read("meta", key)), drop(self._read("geo", key)))
+        row = self.areas().where(F.col("area_key") == key).first()
+        if row and row["schema_version"] > SCHEMA_VERSION:
+            raise ValueError(f"the area was written by a later version of the store: {row['schema_version']}")
+        units = json.loads(row["units"]) if row and (row["units"] or "").startswith("{") else {}
+        study = Study(obs, drop(self._read("meta", key)), drop(self._read("geo", key)), Provenance(units))
         return replace(study, provenance=study.provenance.noted(bin_minutes=minutes))
 
     def remove(self, key: str) -> None:
