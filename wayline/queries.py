@@ -14,7 +14,7 @@ from .functions import labels
 from .operators import compare, completeness, decompose, filters, geometry, shifts, summarize, weights
 from .plans import analysis
 from .schema import Study, pin_utc
-from .sources import sinks, store
+from .sources import kml, sinks, store
 
 BEFORE, AFTER = "20240109-20240118", "20240120-20240129"
 _QUERIES: dict = {}
@@ -534,13 +534,26 @@ def kml_colours(spark, sf_dir):
     return sinks.ramp_colours(values, "shown").select("segment_id", "colour")
 
 
-@query()
+_MARKS = f"""{_GEO}, v AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_acctbal AS DOUBLE) AS z, s_name FROM supplier), e AS (SELECT min(z) AS lo, max(z) AS hi FROM v), p AS (SELECT k, s_name, (z - lo) / (hi - lo) AS q FROM v, e),
+  m AS (SELECT k, s_name, x, y, dx, dy, lower(printf('%02x%02x%02x', CAST(round_even(215 + q * (26 - 215), 0) AS INTEGER), CAST(round_even(48 + q * (152 - 48), 0) AS INTEGER), CAST(round_even(39 + q * (80 - 39), 0) AS INTEGER))) AS colour,
+    printf('%.6f,%.6f,0 %.6f,%.6f,0', x, y, x + dx, y + dy) AS line FROM p JOIN c USING (k))"""
+
+
+@query(f"""WITH {_MARKS} SELECT k AS segment_id, colour, '<Placemark><name>' || s_name || '</name><styleUrl>#c' || colour || '</styleUrl><LineString><coordinates>' || line || '</coordinates></LineString></Placemark>' AS placemark FROM m""")
 def kml_placemarks(spark, sf_dir):
     values = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("segment_id"), F.col("s_acctbal").cast("double").alias("shown"), F.col("s_name").alias("name"))
     lines = _segments(spark, sf_dir).join(values, "segment_id")
     return sinks.placemark_rows(sinks.ramp_colours(lines, "shown"))
 
 
+@query(f"""WITH {_MARKS} SELECT k AS segment_id, colour, '<Placemark><name>' || s_name || '</name><description>Segment ID: ' || k || '</description><styleUrl>#c' || colour || '</styleUrl><MultiGeometry><LineString><tessellate>1</tessellate><coordinates>' || line
+  || '</coordinates></LineString><Point><coordinates>' || printf('%.6f,%.6f,0', x + dx / 2, y + dy / 2) || '</coordinates></Point></MultiGeometry></Placemark>' AS placemark FROM m""")
+def kml_published(spark, sf_dir):
+    """Lines with a label at their midpoint."""
+    values = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("segment_id"), F.col("s_acctbal").cast("double").alias("shown"), F.col("s_name").alias("name"))
+    return kml.published_rows(sinks.ramp_colours(_segments(spark, sf_dir).join(values, "segment_id"), "shown"), "name")
+
+
 # --- whole analyses ---------------------------------------------------------------------------------
 
 

@@ -119,7 +119,7 @@ def load_metadata(spark: SparkSession, source: str) -> DataFrame:
 
 def load_names(spark: SparkSession, path: str) -> DataFrame:
     """segment_id, seed_label and name of a names CSV; 'NA' and 'None' are names like any other."""
-    raw = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     have = {c.strip(): c for c in raw.columns}
     if "Segment ID" not in have or "name" not in have:
         raise ValueError("a names file has the columns 'Segment ID' and 'name'")
@@ -140,16 +140,17 @@ def load_network(spark: SparkSession, path: str, segment_ids=None, bbox=None) ->
     df = df.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in ids} | ({"miles": number("miles")} if "miles" in df.columns else {}))
     if segment_ids is not None:
         df = df.where(F.col("segment_id").isin([int(i) for i in segment_ids]))
-    return _boxed(df, bbox)
+    return within_box(df, bbox)
 
 
 def load_volumes(spark: SparkSession, path: str, year: int = 2024, bbox=None) -> DataFrame:
     """Volume lines (line_id, year, route, aadt, line) of one year of a Parquet layer."""
     df = spark.read.parquet(path).where(F.col("year") == year)
-    return _boxed(df.withColumn("aadt", number("aadt")), bbox)
+    return within_box(df.withColumn("aadt", number("aadt")), bbox)
 
 
-def _boxed(df: DataFrame, bbox) -> DataFrame:
+def within_box(df: DataFrame, bbox) -> DataFrame:
+    """Lines whose own box meets (w, s, e, n)."""
     if bbox is None:
         return df
     w, s, e, n = bbox
