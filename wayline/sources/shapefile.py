@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import number
-from .exports import _boxed
+from .exports import within_box
 from .files import listing
 
 #: Attribute names of network and volume layers, which the format cuts to ten characters, and canonical columns.
@@ -139,7 +139,7 @@ def network_layer(spark: SparkSession, source: str, segment_ids=None, bbox=None)
     df = df.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in whole} | ({"miles": number("miles")} if "miles" in df.columns else {}))
     if segment_ids is not None:
         df = df.where(F.col("segment_id").isin([int(i) for i in segment_ids]))
-    return _boxed(df, bbox)
+    return within_box(df, bbox)
 
 
 def volume_layer(spark: SparkSession, source: str, year: int = 2024, bbox=None, zone=STATE_ZONE) -> DataFrame:
@@ -148,4 +148,4 @@ def volume_layer(spark: SparkSession, source: str, year: int = 2024, bbox=None,
     df = df.withColumns({c: number(c) for c in df.columns if c in ("aadt", "commercial", "from_measure", "to_measure")}).withColumn("year", F.expr("try_cast(year AS int)")).where(F.col("year") == year)
     if zone is not None:
         df = df.withColumn("line", F.transform("line", lambda p: F.struct(*(c.alias(n) for c, n in zip(inverse_mercator(p["lon"], p["lat"], zone), ("lon", "lat"))))))
-    return _boxed(df.withColumn("line_id", F.xxhash64(*[c for c in df.columns if c != "line"], F.to_json("line"))), bbox)
+    return within_box(df.withColumn("line_id", F.xxhash64(*[c for c in df.columns if c != "line"], F.to_json("line"))), bbox)
