@@ -271,19 +271,63 @@ def test_language_edges(spark):
     assert set(language_id.keep_accepted(odd, F.lit(True)).columns) == set(odd.columns)
 
 
+def test_language_and_quality_learn_from_long_texts(spark):
+    rows = [(k, " ".join([t] * 400), lang) for k, (lang, t) in enumerate(sentences(12, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, F.lit(True), 800, 3000)
+    assert {lang: len(x) for lang, x in got.items()} == {lang: 12 for lang in LANGS}
+    whole = {lang: [t for _, t, l in rows if l == lang] for lang in LANGS}
+    assert all(any(x in t and len(x) == min(3000, len(t)) for t in whole[lang]) for lang, part in got.items() for x in part)
+    assert not all(any(t.startswith(x) for t in whole[lang]) for lang, part in got.items() for x in part)
+    labels = spark.createDataFrame([(k, k % 2) for k, _, _ in rows], "doc_id long, quality int")
+    texts_, y = quality.sample(docs, labels, F.lit(True), 4000, 3000)
+    assert y.tolist() == [k % 2 for k in range(len(rows))] and all(x in t and len(x) == min(3000, len(t)) for x, (_, t, _) in zip(texts_, rows))
+    odd = spark.createDataFrame([("",), ("abc",), ("é" * 10,), (None,)], "text string").select(textvec.run_of_text(F.col("text"), 3).alias("x")).collect()
+    assert [r["x"] for r in odd] == ["", "abc", "ééé", None]
+
+
 def test_kneser_ney_sums_to_one():
-    model = language_id.fit({"en": [t for lang, t in sentences(20, 2) if lang == "en"]})
-    letters = sorted({c for t in LANGS["en"] for c in t} | {" "})
-    for history in ("th", "st", "zq", "e"):
-        whole = 0.0
+    kept = [t for lang, t in sentences(20, 2) if lang == "en"]
+    model = language_id.fit({"en": kept})
+    known = sorted({c for k, t in enumerate(kept) if k % 5 != 4 for c in t} | {" "})
+    for history in ("th", "st", "zq", "e", "the st", "日本"):
         base = model.cross_entropies(next(textvec.blocks(pa.array([history]))))
-        for c in letters:
-            text = history + c
-            if c == " ":
-                continue
-            h, n, _ = model.cross_entropies(next(textvec.blocks(pa.array([text]))))
-            whole += math.exp(-(h[0, 0] * n[0] - base[0][0, 0] * base[1][0]))
-        assert 0.2 < whole < 1.0  # the rest is the space and unknown characters
+        h, n, _ = model.cross_entropies(next(textvec.blocks(pa.array([history + c for c in [*known, "語"]]))))
+        whole = np.exp(base[0][0, 0] * base[1][0] - h[:, 0] * n)
+        assert abs(whole.sum() - 1) < 1e-3  # all known characters and one place for the unknown
+
+
+def test_kneser_ney_equals_a_plain_model():
+    """Every probability against counts in dictionaries."""
+    kept = [t for lang, t in sentences(10, 5) if lang == "en"][:4]
+    model, order = language_id.fit({"en": kept}), language_id.ORDER
+    grams = [Counter() for _ in range(order + 1)]
+    for t in kept:
+        padded = " " * order + t
+        for i in range(order, len(padded)):
+            for n in range(1, order + 1):
+                grams[n][padded[i - n + 1 : i + 1]] += 1
+    for n in range(1, order):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    known = len(grams[1])
+
+    def p(gram):
+        n, counts = len(gram), grams[len(gram)]
+        if n == 0:
+            return 1 / (known + 1)
+        once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = once / max(once + 2 * twice, 1) if once else 0.5
+        own = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + sum(min(c, d) for c in own.values()) / total * p(gram[1:])
+
+    for text in ("the river", "zebra the", "of", "hhh"):
+        h, n, _ = model.cross_entropies(next(textvec.blocks(pa.array([text]))))
+        padded = " " * order + text
+        want = sum(math.log(p(padded[i - order + 1 : i + 1])) for i in range(order, len(padded)))
+        assert abs(h[0, 0] * n[0] + want) < 1e-3
 
 
 # --- op5 --------------------------------------------------------------------------------------------

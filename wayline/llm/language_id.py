@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
 One model a language is fitted on a bounded sample of labelled rows (``sample_docs`` documents a
-language, chosen by a hash of doc_id, none longer than ``sample_bytes``); a fifth of it is held back
-to calibrate rejection. Letters are lower-cased, every run of other characters becomes one space.
+language, chosen by a hash of doc_id whatever their length; of one longer than ``sample_chars`` a run of so
+many characters from a place given by a hash); a fifth of it is held back to calibrate rejection. Letters are lower-cased, every run of other characters becomes one space.
 
 The models are stored together: for each order a sorted array of n-gram hashes and a matrix with one
 log-probability a language, and for each order a sorted array of context hashes with the log back-off
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import Block, blocks, keep_rows, mix
+from .textvec import Block, blocks, keep_rows, mix, run_of_text
 
 ORDER = 4
 #: A short text's cross-entropy varies: the limit is widened by so many nats over the square root of its characters.
@@ -214,15 +214,15 @@ def fit(texts: dict[str, list[str]], quantile: float = 0.999, margin: float = 0.
     return model
 
 
-def sample(docs: DataFrame, labelled: Column, sample_docs: int, sample_bytes: int) -> dict[str, list[str]]:
-    """About ``sample_docs`` whole texts a language, by a hash of doc_id; what it brings to the driver has that bound."""
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
+def sample(docs: DataFrame, labelled: Column, sample_docs: int, sample_chars: int) -> dict[str, list[str]]:
+    """About ``sample_docs`` texts a language, by a hash of doc_id, or runs of long ones; what it brings to the driver has that bound."""
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     out: dict[str, list[str]] = {}
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * sample_docs // n))).otherwise(share)
-    for row in rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < share).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect() if counts else []:
+    for row in rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < share).select("lang", run_of_text(F.col("text"), sample_chars).alias("text"), F.xxhash64("doc_id", "text").alias("h")).collect() if counts else []:
         out.setdefault(row["lang"], []).append((row["h"], row["text"]))
     return {lang: [t for _, t in sorted(x)] for lang, x in out.items()}
 
@@ -250,19 +250,19 @@ def _predict(shared, sharpness: float):
     return run
 
 
-def identify(docs: DataFrame, training: DataFrame, labelled: Column, sample_docs: int = 800, sample_bytes: int = 1 << 16, sharpness: float = 8.0) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, labelled: Column, sample_docs: int = 800, sample_chars: int = 1 << 16, sharpness: float = 8.0) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and accepted for each row of ``docs`` (doc_id, text).
 
     training: rows (doc_id, text, lang) of which those where ``labelled`` holds are learned from.
     score: the share of the best language in a softmax of ``-sharpness`` times the cross-entropies.
     """
-    run = predictor(docs.sparkSession, training, labelled, sample_docs, sample_bytes, sharpness)
+    run = predictor(docs.sparkSession, training, labelled, sample_docs, sample_chars, sharpness)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def predictor(spark: SparkSession, training: DataFrame, labelled: Column, sample_docs: int = 800, sample_bytes: int = 1 << 16, sharpness: float = 8.0):
+def predictor(spark: SparkSession, training: DataFrame, labelled: Column, sample_docs: int = 800, sample_chars: int = 1 << 16, sharpness: float = 8.0):
     """Fits the models and gives the mapInArrow function that ``identify`` applies."""
-    texts = sample(training, labelled, sample_docs, sample_bytes)
+    texts = sample(training, labelled, sample_docs, sample_chars)
     return _predict(spark.sparkContext.broadcast(fit(texts) if texts else None), sharpness)
 
 

@@ -5,7 +5,8 @@ encoded as shares of byte pairs (hashed into buckets), word-form statistics and
 document; a learned layer embeds it. Attention weights come from a gate, softmax over the document of
 w.(tanh(Vh) * sigmoid(Uh)), and the weighted sum of the embeddings is scored by a logistic layer. All
 is learned from document labels alone, by Adam in numpy, on a bounded sample of labelled rows
-(``sample_docs`` by a hash of doc_id, none longer than ``sample_bytes``). Executors only score.
+(``sample_docs`` by a hash of doc_id, whatever their length; of one longer than ``sample_chars`` the passages
+of a run of so many characters from a place given by a hash). Executors only score.
 
 Defined results: a null or empty text is one empty passage and gets a score; ties play no part;
 repeated rows are each scored, repeated or contradictory labels each count; rows with a null label
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textvec import LOWER, SPACE, Block, blocks, keep_rows, mix, span_hashes
+from .textvec import LOWER, SPACE, Block, blocks, keep_rows, mix, run_of_text, span_hashes
 
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 96, 24, 12
 SCHEMA = "doc_id long, score double, predicted int, passages long, top_passage long, top_weight double, good boolean"
@@ -140,14 +141,15 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 64,
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int, sample_bytes: int) -> tuple[list[str], np.ndarray]:
-    """About ``sample_docs`` labelled whole texts, by a hash of doc_id. The chosen labels have that bound, so they are sent to all."""
+def sample(docs: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int, sample_chars: int) -> tuple[list[str], np.ndarray]:
+    """About ``sample_docs`` labelled texts, by a hash of doc_id, or runs of long ones. The chosen labels have that bound, so they are sent to all."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(labelled & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     n = rows.count()
     share = min(1_000_000, 1_000_000 * sample_docs // max(n, 1))
     chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) < share)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_bytes)
-    got = sorted((r["doc_id"], r["quality"], r["text"]) for r in texts.join(F.broadcast(chosen), "doc_id").collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", run_of_text(F.col("text"), sample_chars).alias("text"))
+    got = sorted((r["doc_id"], r["quality"], r["text"]) for r in picked.collect())
     return [t for _, _, t in got], np.array([q for _, q, _ in got], dtype=np.float32)
 
 
@@ -170,18 +172,18 @@ def _score(shared, threshold: float):
     return run
 
 
-def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int = 4000, sample_bytes: int = 1 << 15, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int = 4000, sample_chars: int = 1 << 15, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, passages, top_passage and top_weight (the passage that weighs most) for each row of ``docs`` (doc_id, text).
 
     training, labels: texts (doc_id, text) and their labels (doc_id, quality) of which those where ``labelled`` holds are learned from.
     """
-    run = scorer(docs.sparkSession, training, labels, labelled, sample_docs, sample_bytes, threshold)
+    run = scorer(docs.sparkSession, training, labels, labelled, sample_docs, sample_chars, threshold)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def scorer(spark: SparkSession, training: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int = 4000, sample_bytes: int = 1 << 15, threshold: float = 0.3):
+def scorer(spark: SparkSession, training: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int = 4000, sample_chars: int = 1 << 15, threshold: float = 0.3):
     """Fits the model and gives the mapInArrow function that ``classify`` applies."""
-    texts, y = sample(training, labels, labelled, sample_docs, sample_bytes)
+    texts, y = sample(training, labels, labelled, sample_docs, sample_chars)
     return _score(spark.sparkContext.broadcast(fit(texts, y) if len(texts) else None), threshold)
 
 

@@ -208,6 +208,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def run_of_text(text, size: int):
+    """Spark column: a text of at most ``size`` characters whole, of a longer one ``size`` characters from a place given by its hash."""
+    from pyspark.sql import functions as F
+
+    spare = F.greatest(F.length(text) - size, F.lit(0))
+    return F.substring(text, (F.pmod(F.xxhash64(text), spare + 1) + 1).cast("int"), F.lit(size))
+
+
 def crc_bucket(column):
     """Spark column: crc32 of an id's decimal text."""
     from pyspark.sql import functions as F
