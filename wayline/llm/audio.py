@@ -4,9 +4,9 @@
 ``store_features`` reads such files back: samples are resampled by a rational factor with a windowed-sinc
 filter in polyphase form, cut into overlapped Hann windows, and turned into log-mel energies. Frame
 energies are segmented with hysteresis: a segment opens at ``high`` above the median and closes below
-``low``. Features are stored as tensors of one fixed shape, ``FRAMES`` frames of ``MELS`` bands each, the last
-padded with the floor, each with the time span that it covers; ``as_tensors`` gives a column its
-Arrow fixed-shape-tensor type. Each file is computed by itself, so equal files give equal features
+``low``; its time span is stored. Features are stored as a list of tensors of one fixed shape, ``FRAMES`` frames
+of ``MELS`` bands each, the last padded with the floor, beside the time spans that they cover. Parquet and
+Spark know lists of numbers only, so ``as_tensors`` gives a column its Arrow fixed-shape-tensor type. Each file is computed by itself, so equal files give equal features
 whatever else is in the batch, and long files are worked on in bounded pieces.
 
 Defined results: a null text is empty, and an empty payload is padded to one unit of 192 bytes; silence
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .textvec import blocks
 
-RATE, UP, DOWN = 16_000, 1, 2
-FFT, HOP, MELS, FRAMES = 512, 320, 16, 32
+RATE, UP, DOWN = 16_000, 2, 5
+FFT, HOP, MELS, FRAMES = 512, 256, 16, 32
 UNIT = 192
 #: Output samples that are resampled and framed together.
 PIECE_FRAMES = 2048
 MEDIA = "doc_id long, n_bytes long, media binary"
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, begin_s array<double>, end_s array<double>, features array<float>"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, begin_s array<double>, end_s array<double>, segment_begin_s array<double>, segment_end_s array<double>, features array<array<float>>"
 #: Files whose features leave a worker together.
 BATCH_ROWS = 512
 
@@ -146,8 +146,13 @@ def store_media(docs: DataFrame, path: str) -> None:
     docs.mapInArrow(_pad, MEDIA).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
-def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seconds(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """When spans of frames begin and when their last frames end."""
     second = RATE * UP / DOWN
+    return first * HOP / second, ((end - 1) * HOP + FFT) / second
+
+
+def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(begin, BATCH_ROWS)
@@ -160,27 +165,30 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 full = np.full((number * FRAMES, MELS), _FLOOR, dtype=np.float32)
                 full[: len(mel)] = mel
                 first = np.arange(number) * FRAMES
-                spans.append((first * HOP / second, (np.minimum(first + FRAMES, len(mel)) - 1) * HOP / second + FFT / second))
+                loud = np.array(segments(mel.mean(axis=1)), dtype=np.float64).reshape(-1, 2)
+                spans.append((*_seconds(first, np.minimum(first + FRAMES, len(mel))), *_seconds(loud[:, 0], loud[:, 1])))
                 values.append(full.ravel())
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), len(mel)))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             plain = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)]
-            lists = [pa.array([x[k] for x in spans], type=pa.list_(pa.float64())) for k in (0, 1)]
-            offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *plain, *lists, flat], names=[f.split()[0] for f in STORED.split(", ")])
+            lists = [pa.array([x[k] for x in spans], type=pa.list_(pa.float64())) for k in range(4)]
+            flat = np.concatenate(values)
+            tensors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FRAMES * MELS, dtype=np.int32)), pa.array(flat))
+            offsets = np.concatenate([[0], np.cumsum([len(v) // (FRAMES * MELS) for v in values])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *plain, *lists, pa.ListArray.from_arrays(pa.array(offsets), tensors)], names=[f.split()[0] for f in STORED.split(", ")])
 
 
 def store_features(media: DataFrame, path: str) -> None:
-    """Reads stored media and writes, a row a file, digests of what it read, and its tensors with their time spans, one after another."""
+    """Reads stored media and writes, a row a file, digests of what it read, its tensors and segments with their time spans."""
     media.select("doc_id", "n_bytes", "media").mapInArrow(_analyse, STORED).write.option("compression", "zstd").parquet(path)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         frames, lists = batch.column(1).to_pylist(), batch.column(2)
-        values, at, out = lists.flatten().to_numpy(zero_copy_only=False), 0, []
-        for n, size in zip(frames, lists.value_lengths().to_pylist()):
+        values, at, out = lists.flatten().flatten().to_numpy(zero_copy_only=False), 0, []
+        for n, number in zip(frames, lists.value_lengths().to_pylist()):
+            size = number * FRAMES * MELS
             out.append(describe(values[at : at + size].reshape(-1, MELS)[:n]))
             at += size
         yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, type=pa.string())], names=[*batch.schema.names[3:], "feature"])
@@ -195,9 +203,14 @@ def media_digests(features: DataFrame) -> DataFrame:
 
 def feature_tensors(features: DataFrame) -> DataFrame:
     """doc_id, tensor number, begin_s, end_s and FRAMES x MELS features: a row a tensor of stored features."""
-    size = FRAMES * MELS
-    rows = features.select("doc_id", F.posexplode(F.arrays_zip("begin_s", "end_s")).alias("tensor", "span"), "features")
-    return rows.select("doc_id", "tensor", "span.begin_s", "span.end_s", F.slice("features", F.col("tensor") * size + 1, F.lit(size)).alias("features"))
+    rows = features.select("doc_id", F.posexplode(F.arrays_zip("begin_s", "end_s", "features")).alias("tensor", "x"))
+    return rows.select("doc_id", "tensor", "x.begin_s", "x.end_s", "x.features")
+
+
+def segment_spans(features: DataFrame) -> DataFrame:
+    """doc_id, segment number, begin_s and end_s: a row a segment of stored features; a file without segments has none."""
+    rows = features.select("doc_id", F.posexplode(F.arrays_zip("segment_begin_s", "segment_end_s")).alias("segment", "x"))
+    return rows.select("doc_id", "segment", F.col("x.segment_begin_s").alias("begin_s"), F.col("x.segment_end_s").alias("end_s"))
 
 
 def as_tensors(rows: pa.Table) -> pa.Table:
