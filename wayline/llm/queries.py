@@ -93,8 +93,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_nodes
+
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_audio, op3_licenses, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)}
+    dealt = (op1_warc, op2_audio, op3_licenses, op4_language_id, op5_token_files, op6_quality, op7_minhash_near_dedup, op8_best_fit_packing, op9_attention_lm, op10_decontamination)
+    return {f.__name__: f for f in (*dealt, op11_prefix_trie, op12_ranked_search, op13_secret_scan)}
 
 
 ORACLES = {
@@ -139,6 +158,36 @@ ORACLES = {
           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+        m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // words) AS m FROM n, s),
+        r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+          FROM q JOIN w ON q.term = w.term JOIN p ON p.term = q.term JOIN m USING (doc_id) GROUP BY item_id, doc_id HAVING sum(w) > 0)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
+    "op11_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(crc, 4294967295) % 9 AS h FROM (SELECT conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM (SELECT DISTINCT conv_id FROM t))),
+        r AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN t ON t.conv_id = c.base AND place <= h UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place > h),
+        l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, place) AS turns FROM r GROUP BY conv_id),
+        whole AS (SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN l ON c.conv_id = l.conv_id),
+        p AS (SELECT conv_id, len(turns) AS size, d, turns[:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+        k AS (SELECT conv_id, size, d, sha256(CAST(d AS VARCHAR) || ':' || CAST(to_json(prefix) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(d - 1 AS VARCHAR) || ':' || CAST(to_json(prefix[:d - 1]) AS VARCHAR)) END AS above, CASE WHEN d > 0 THEN octet_length(encode(prefix[d].text)) ELSE 0 END AS bytes FROM p),
+        n AS (SELECT k, d, any_value(above) AS above, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM k GROUP BY k, d),
+        ch AS (SELECT above, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM n LEFT JOIN ch ON n.k = ch.above),
+        under AS (SELECT a.k, b.n_children = 0 AS leaf, b.saved FROM v b JOIN k own ON own.conv_id = b.conv_id AND own.d <= b.d JOIN v a ON a.k = own.k),
+        sums AS (SELECT k, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM under GROUP BY k)
+        SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+        FROM v JOIN sums ON v.k = sums.k LEFT JOIN v u ON u.k = v.above
+    """,
 }
 
 
