@@ -168,16 +168,6 @@ def polyline(*points):
 LINE = "array<struct<lon:double,lat:double>>"
 
 
-def test_nearest_line(spark):
-    segments = spark.createDataFrame([(1, polyline((-116.2, 43.61), (-116.2, 43.62))), (2, polyline((-117.9, 43.61), (-117.9, 43.62))), (3, None)], f"segment_id long, line {LINE}")
-    lines = spark.createDataFrame([(10, polyline((-116.1999, 43.605), (-116.1999, 43.625)), 40000.0, "A"), (11, polyline((-116.21, 43.615), (-116.19, 43.615)), 2000.0, "B")], f"line_id long, line {LINE}, aadt double, route string")
-    got = {r["segment_id"]: r for r in geometry.nearest_line_join(segments, lines, 43.6).collect()}
-    assert got[1]["match"] == "matched" and got[1]["aadt"] == 40000.0 and got[1]["distance"] < 20
-    assert got[2]["match"] == "missing" and got[3]["match"] == "missing"
-    crossing = {r["segment_id"]: r for r in geometry.nearest_line_join(segments, lines.where("line_id = 11"), 43.6).collect()}
-    assert crossing[1]["match"] == "nearest" and crossing[1]["aadt"] is None and crossing[1]["line_id"] == 11
-
-
 def test_opposing_lines_move_apart(spark):
     there = polyline((-116.2, 43.61), (-116.2, 43.62))
     df = spark.createDataFrame([(1, there), (2, there[::-1]), (3, polyline((-116.0, 43.0), (-116.0, 43.1)))], f"segment_id long, line {LINE}")

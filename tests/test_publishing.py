@@ -75,7 +75,7 @@ def test_ingest_study(spark, tmp_path):
     assert ingestion.ingest_study(store, source, network, volumes)["n_rows_added"] == 0
     study = store.load(info["area_key"])
     shown = ingestion.decorated(study, spark.createDataFrame([(2, "Second")], "segment_id long, name string")).orderBy("segment_id").collect()
-    assert [(r["source"], r["match"], r["aadt"], r["direction_group"], r["direction_sign"], r["name"]) for r in shown] == [("xd", "matched", 900.0, "N", 1, "Main & 5th"), ("fallback", "missing", None, "S", -1, "Second")]
+    assert [(r["source"], r["match"], r["aadt"], r["direction_group"], r["direction_sign"], r["name"]) for r in shown] == [("xd", "matched", 900.0, "N", 1, "Main & 5th"), ("fallback", "nearest", None, "S", -1, "Second")]
 
 
 def test_display_and_members(spark):

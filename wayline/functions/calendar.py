@@ -124,8 +124,9 @@ def default_periods(first: date, last: date, warmup: int = 7) -> tuple | None:
 
 def to_local(df: DataFrame, tz: str = "America/Denver", ts: str = "ts_utc") -> DataFrame:
     """Adds local_ts, local_date, dow (0 is Monday) and tod_sec of the zone's wall clock; ``ts`` counts as UTC."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts).cast("timestamp_ntz"))
-    df = df.withColumn("local_ts", local)
+    # A generator of one row is a line that the optimiser moves nothing over: the zone is looked up once a row, however often local_ts is used.
+    local = F.explode(F.array(F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts).cast("timestamp_ntz"))))
+    df = df.drop("local_ts").select("*", local.alias("local_ts"))
     return df.withColumns(
         {
             "local_date": F.to_date("local_ts"),

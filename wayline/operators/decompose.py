@@ -11,9 +11,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
-from ..schema import require
+from ..schema import numeric, require
 
 #: Five-minute samples that a full window must hold at least; scaled for other cadences and shorter days.
 FULL_SAMPLES = 480
@@ -55,24 +56,38 @@ def rolling_median(df: DataFrame, value: str, entity=("segment_id",), window_day
     return out.withColumn("median", F.when(~F.isnan("median"), F.col("median")))
 
 
-def decompose(df: DataFrame, value: str, entity=("segment_id",), freq_minutes: int = 5, window_days: int = 7, drop_days: int = 7, min_samples: int | None = None) -> DataFrame:
-    """Adds median, season_day, season_week, prediction and resid; needs the local calendar columns."""
+def decompose(
+    df: DataFrame, value: str, entity=("segment_id",), freq_minutes: int = 5, window_days: int = 7, drop_days: int = 7, min_samples: int | None = None,
+    keep_components: bool = True, min_slot_samples: int = 1, trend: bool = True,
+) -> DataFrame:
+    """Adds median, season_day, season_week, prediction and resid; needs the local calendar columns.
+
+    Without ``keep_components`` only prediction and resid are added. ``min_slot_samples``: rows of slots
+    of the day with fewer values go. Without ``trend`` the median is that of the whole series, and no row
+    goes for its window.
+
+    Both seasons are windows over the rows of an entity's slot, which one shuffle brings together, so
+    that the rolling median, the costly part, is computed once.
+    """
     require(df, value, *entity, "local_ts", "dow", "tod_sec")
+    numeric(df, value)
     if min_samples is None:
         min_samples = auto_min_samples(df, freq_minutes)
     keys = list(entity)
-    rows = rolling_median(df.where(F.col(value).isNotNull()), value, entity, window_days)
-    begin = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min("local_ts").alias("_begin"))
-    rows = rows.join(begin, keys).where((F.col("local_ts") >= F.col("_begin") + F.make_dt_interval(F.lit(drop_days))) & (F.col("n_window") >= min_samples))
-    rows = rows.withColumn("_slot", cal.floor_seconds(freq_minutes)).withColumn("_free", F.col(value) - F.col("median"))
-    # Both seasons come from sums by (entity, weekday, slot): one aggregate over the rows, the rest on its small result.
-    cells = rows.groupBy(*keys, "dow", "_slot").agg(F.sum("_free").alias("_s"), F.count("_free").alias("_n"))
-    daily = cells.groupBy(*keys, "_slot").agg((F.sum("_s") / F.sum("_n")).alias("season_day"))
-    seasons = cells.join(daily, [*keys, "_slot"]).withColumn("season_week", F.col("_s") / F.col("_n") - F.col("season_day")).select(*keys, "dow", "_slot", "season_day", "season_week")
-    out = rows.join(seasons, [*keys, "dow", "_slot"])
+    known = df.where(F.col(value).isNotNull())
+    own = [F.min("local_ts").alias("_begin")] if trend else [F.min("local_ts").alias("_begin"), F.median(value).alias("median"), F.count("*").alias("n_window")]
+    begin = known.groupBy(*keys).agg(*own)
+    rows = (rolling_median(known, value, entity, window_days) if trend else known).join(begin, keys)
+    rows = rows.where(F.col("local_ts") >= F.col("_begin") + F.make_dt_interval(F.lit(drop_days if trend else 0)))
+    if trend:
+        rows = rows.where(F.col("n_window") >= min_samples)
+    rows = rows.withColumn("_slot", cal.floor_seconds(freq_minutes)).withColumn("_free", F.col(value) - F.col("median")).repartition(*keys, "_slot")
+    slot, weekly = Window.partitionBy(*keys, "_slot"), Window.partitionBy(*keys, "_slot", "dow")
+    out = rows.withColumn("_week", F.avg("_free").over(weekly)).withColumns({"season_day": F.avg("_free").over(slot), "_slot_n": F.count("_free").over(slot)})
+    out = out.where(F.col("_slot_n") >= min_slot_samples).withColumn("season_week", F.col("_week") - F.col("season_day"))
     total = F.col("median") + F.col("season_day") + F.col("season_week")
     out = out.withColumn("prediction", F.when(total < 0, F.lit(0.0)).otherwise(total)).withColumn("resid", F.col(value) - F.col("prediction"))
-    return out.select(*df.columns, "median", "n_window", "season_day", "season_week", "prediction", "resid")
+    return out.select(*df.columns, *(("median", "n_window", "season_day", "season_week") if keep_components else ()), "prediction", "resid")
 
 
 def seasonally_adjust(decomposed: DataFrame, value: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Polylines as arrays of (lon, lat) structs: geometry lookup, nearest-line join, overlaps and offsets.
+"""Polylines as arrays of (lon, lat) structs: geometry lookup, overlaps and offsets; nearest lines are in ``nearest``.
 
 Distances are planar metres about a reference latitude. Candidates meet through grid cells: each edge
 is listed under the cells that its box, widened by the search radius, touches, so joins are equi-joins.
@@ -82,25 +82,6 @@ def near_edges(a: DataFrame, b: DataFrame, radius: float, cell: float | None = N
     return met.withColumn("distance", F.expr(edge_distance())).where(F.col("distance") <= radius).drop("_cell")
 
 
-def nearest_line_join(segments: DataFrame, lines: DataFrame, latitude: float, max_metres: float = 35.0, max_bearing: float = 45.0, report_metres: float = 5000.0) -> DataFrame:
-    """Attributes of the nearest line (line_id, line, aadt, route) for each segment (segment_id, line).
-
-    'matched': a line within ``max_metres`` whose bearing there differs by at most ``max_bearing``
-    degrees; 'nearest': otherwise the closest within ``report_metres`` is named, without its aadt;
-    'missing': none. Ties go to the smaller line_id. Bearings are those of the nearest edges.
-    """
-    own, others = edges(segments, "segment_id", latitude, "a_"), edges(lines, "line_id", latitude, "b_")
-    best = F.min_by(F.struct("line_id", "distance"), F.struct("distance", "line_id"))
-    near = near_edges(own, others, max_metres)
-    gated = near.where(F.expr(bearing_difference(bearing("a_"), bearing("b_"))) <= max_bearing)
-    matched = gated.groupBy("segment_id").agg(best.alias("m"))
-    left = own.join(matched.select("segment_id"), "segment_id", "left_anti")
-    reported = near_edges(left, others, report_metres).groupBy("segment_id").agg(best.alias("r"))
-    named = segments.select("segment_id").join(matched, "segment_id", "left").join(reported, "segment_id", "left")
-    picked = named.select("segment_id", F.coalesce("m.line_id", "r.line_id").alias("line_id"), F.coalesce("m.distance", "r.distance").alias("distance"), F.when(F.col("m").isNotNull(), F.lit("matched")).when(F.col("r").isNotNull(), F.lit("nearest")).otherwise(F.lit("missing")).alias("match"))
-    return picked.join(lines.select("line_id", "aadt", "route"), "line_id", "left").select("segment_id", "match", "line_id", "distance", F.when(F.col("match") == "matched", F.col("aadt")).alias("aadt"), "route")
-
-
 def overlap_pairs(segments: DataFrame, latitude: float, max_metres: float = 20.0, tolerance: float = 35.0) -> DataFrame:
     """Pairs (id_a < id_b) that run against each other: overall bearings opposite within ``tolerance``, at most ``max_metres`` apart."""
     whole = segments.where(F.size("line") >= 2).withColumn("line2", F.array(F.element_at("line", 1), F.element_at("line", -1))).select("segment_id", F.col("line2").alias("line"))

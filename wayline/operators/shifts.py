@@ -29,7 +29,7 @@ def detect_changepoints(df: DataFrame, value: str, entity=("segment_id",), windo
     future = F.max("score").over(w.rangeBetween(1, min_separation_days))
     best = scored.withColumns({"_past": past, "_future": future}).where((F.col("_past").isNull() | (F.col("score") > F.col("_past"))) & (F.col("_future").isNull() | (F.col("score") >= F.col("_future"))))
     diff = F.col("avg_after") - F.col("avg_before")
-    return best.select(*keys, F.col("local_date").alias("changepoint_date"), "score", F.col("avg_before"), F.col("avg_after"), diff.alias("avg_diff"), (100 * diff / F.when(F.col("avg_before") != 0, F.col("avg_before"))).alias("pct_change"))
+    return best.select(*keys, F.col("local_date").alias("changepoint_date"), "score", F.col("avg_before"), F.col("avg_after"), diff.alias("avg_diff"), (diff / F.when(F.col("avg_before") != 0, F.col("avg_before"))).alias("pct_change"))
 
 
 def changepoints_near(changepoints: DataFrame, known_dates: DataFrame, window_days: int = 7, entity=("segment_id",)) -> DataFrame:

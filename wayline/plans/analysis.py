@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import compare, completeness, decompose, filters, geometry, shifts, summarize, weights
+from ..operators.nearest import nearest_line_join
 from ..schema import METRICS, Study, default_metric
 from ..sources.sinks import ramp_colours, to_kml
 
@@ -104,8 +105,9 @@ def panel_summary(df: DataFrame, value: str, before=None, after=None) -> DataFra
         first = None
     if first is None:
         return daytime_summary(df, value).withColumn("period", F.lit("all"))
-    parts = [daytime_summary(df.where(filters.between(*p)), value).withColumn("period", F.lit(n)) for n, p in (("before", first), ("after", second))]
-    return parts[0].unionByName(parts[1])
+    period = F.when(filters.between(*first), F.lit("before")).when(filters.between(*second), F.lit("after"))
+    rows = filters.assign_time_bins(filters.assign_day_group(df)).withColumn("period", period)
+    return summarize.segment_summary(rows, [value], ("segment_id", "day_group", "time_bin", "period"))
 
 
 def panel_forest(result: DataFrame, level: float = 0.05) -> DataFrame:
@@ -156,9 +158,9 @@ def capabilities(study: Study) -> dict:
     return {"metrics": metrics, "scopes": ["segment", *(["corridor"] if corridors else []), "network"], "corridors": corridors, "map_modes": ["mean", "delta", *(["vhd"] if volumes and "delay" in columns else [])], "weighted_speed": volumes and "speed" in columns, "default_metric": default_metric(study.observations)}
 
 
-def build_geometry(study: Study, network: DataFrame, volumes: DataFrame | None, latitude: float) -> DataFrame:
+def build_geometry(study: Study, network: DataFrame, volumes: DataFrame | None) -> DataFrame:
     """Lines of the study's segments with volumes of the nearest lines, for T1-style ingestion."""
     lines = geometry.segment_geometry(study.metadata.select("segment_id"), network, study.metadata)
     if volumes is None:
         return lines
-    return lines.join(geometry.nearest_line_join(lines, volumes, latitude), "segment_id", "left")
+    return lines.join(nearest_line_join(lines, volumes), "segment_id", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import geometry, shifts
+from ..operators.nearest import nearest_line_join
 from ..schema import Study
 from ..sources import exports
 from ..sources.store import Store
@@ -31,7 +32,7 @@ def segment_layer(metadata: DataFrame, network: DataFrame, volumes: DataFrame |
     box = padded_box(lines, pad) if volumes is not None else None
     if box is None:
         return lines
-    matched = geometry.nearest_line_join(lines, exports.within_box(volumes, box), (box[1] + box[3]) / 2)
+    matched = nearest_line_join(lines, exports.within_box(volumes, box))
     return lines.join(matched, "segment_id", "left")
 
 

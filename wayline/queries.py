@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import calendar as cal
 from .functions import labels
-from .operators import compare, completeness, decompose, filters, geometry, shifts, summarize, weights
+from .operators import compare, completeness, decompose, filters, geometry, nearest, shifts, summarize, weights
 from .plans import analysis
 from .schema import Study, pin_utc
 from .sources import kml, sinks, store
@@ -275,6 +275,25 @@ def compare_raw_sample(spark, sf_dir):
     return _compare(spark, sf_dir, "sample")
 
 
+_SIDES = "CASE WHEN local_ts >= TIMESTAMP '2024-01-09' AND local_ts < TIMESTAMP '2024-01-19' THEN 'b' WHEN local_ts >= TIMESTAMP '2024-01-20' AND local_ts < TIMESTAMP '2024-01-30' THEN 'a' END AS side"
+
+
+@query(f"""WITH {_OBS}, {_GROUPS}, s AS (SELECT corridor, day_group, local_date, local_ts, travel_time, {_SIDES} FROM grp WHERE corridor <> 'view' OR local_ts >= TIMESTAMP '2024-01-11 06:00:00'),
+  d AS (SELECT corridor, day_group, side, local_date, avg(travel_time) AS v, count(travel_time) AS n, min(local_ts) AS first_ts FROM s GROUP BY ALL),
+  g AS (SELECT corridor, day_group, count(v) FILTER (side = 'b') AS n_before, count(v) FILTER (side = 'a') AS n_after, CAST(sum(n) FILTER (side = 'b') AS BIGINT) AS n_samples_before, CAST(sum(n) FILTER (side = 'a') AS BIGINT) AS n_samples_after,
+    avg(v) FILTER (side = 'a') - avg(v) FILTER (side = 'b') AS effect, min(first_ts) AS first_ts FROM d GROUP BY ALL)
+  SELECT corridor, day_group, n_before, n_after, n_samples_before, n_samples_after, round(effect, 6) AS effect, 'raw' AS method,
+    round(greatest(date_diff('microsecond', greatest(first_ts, TIMESTAMP '2024-01-09'), TIMESTAMP '2024-01-19') / 86400000000.0::DOUBLE, 0), 6) AS before_days_effective,
+    round(greatest(date_diff('microsecond', greatest(first_ts, TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-30') / 86400000000.0::DOUBLE, 0), 6) AS after_days_effective FROM g WHERE n_before >= 2 AND n_after >= 2""")
+def compare_by_day_group(spark, sf_dir):
+    """By corridor and day group; one corridor starts within the first period."""
+    rows = filters.assign_day_group(local(spark, sf_dir)).where("corridor <> 'view' OR local_ts >= TIMESTAMP_NTZ '2024-01-11 06:00:00'").withColumn("segment_id", F.col("corridor"))
+    out = compare.compare_values(rows, BEFORE, AFTER, "travel_time", by=["day_group"], inference=False)
+    counts = ["n_before", "n_after", "n_samples_before", "n_samples_after"]
+    shown = ["effect", "before_days_effective", "after_days_effective"]
+    return r6(out, *shown).select(F.col("segment_id").alias("corridor"), "day_group", *counts, "method", *shown)
+
+
 @query()
 def compare_ci_pvalues(spark, sf_dir):
     """Confidence intervals, p and q: the t distribution is computed here, not by SQL; tests hold it against known values."""
@@ -352,7 +371,7 @@ _SHIFT = """days AS (SELECT CAST(l_suppkey AS BIGINT) AS segment_id, CAST(l_ship
   sc AS (SELECT *, abs(ma - mb) / nullif(sqrt(vb / nb + va / na), 0) AS score FROM st WHERE nb >= 5 AND na >= 5),
   hi AS (SELECT * FROM sc WHERE score >= 3),
   pk AS (SELECT *, max(score) OVER (PARTITION BY segment_id ORDER BY local_date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING) AS past, max(score) OVER (PARTITION BY segment_id ORDER BY local_date RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 7 DAYS FOLLOWING) AS future FROM hi),
-  cp AS (SELECT segment_id, local_date AS changepoint_date, score, mb AS avg_before, ma AS avg_after, ma - mb AS avg_diff, 100 * (ma - mb) / nullif(mb, 0) AS pct_change FROM pk WHERE (past IS NULL OR score > past) AND (future IS NULL OR score >= future))"""
+  cp AS (SELECT segment_id, local_date AS changepoint_date, score, mb AS avg_before, ma AS avg_after, ma - mb AS avg_diff, (ma - mb) / nullif(mb, 0) AS pct_change FROM pk WHERE (past IS NULL OR score > past) AND (future IS NULL OR score >= future))"""
 
 
 def _shifts(spark, sf_dir):
@@ -478,14 +497,85 @@ _GEO = f"""c AS (SELECT k, x::DOUBLE AS x, y::DOUBLE AS y, dx::DOUBLE AS dx, dy:
   b AS (SELECT k + 100000 AS line_id, (x + dx + sh) * sx AS b_x1, (y + dy) * sy AS b_y1, (x + sh) * sx AS b_x2, y * sy AS b_y2 FROM c)"""
 
 
-@query(f"""WITH {_GEO}, d AS (SELECT segment_id, line_id, {geometry.edge_distance()} AS distance, {geometry.bearing_difference(geometry.bearing("a_"), geometry.bearing("b_"))} AS turn FROM a, b),
-  m AS (SELECT segment_id, line_id, distance FROM d WHERE distance <= 35 AND turn <= 45 QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY distance, line_id) = 1),
-  r AS (SELECT segment_id, line_id, distance FROM d WHERE distance <= 5000 QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY distance, line_id) = 1)
-  SELECT a.segment_id, CASE WHEN m.line_id IS NOT NULL THEN 'matched' WHEN r.line_id IS NOT NULL THEN 'nearest' ELSE 'missing' END AS match, coalesce(m.line_id, r.line_id) AS line_id, round(coalesce(m.distance, r.distance), 3) AS distance,
-  CASE WHEN m.line_id IS NOT NULL THEN CAST(s_acctbal AS DOUBLE) END AS aadt, 'R' || (coalesce(m.line_id, r.line_id) - 100000) AS route FROM a LEFT JOIN m USING (segment_id) LEFT JOIN r ON r.segment_id = a.segment_id LEFT JOIN supplier ON s_suppkey = coalesce(m.line_id, r.line_id) - 100000""")
+def _streets(spark, sf_dir):
+    """Bent segments, a twentieth of them far from all lines, and by turns lines along them, streets that cross and then turn alongside, curves, and lines further off."""
+    k = F.col("s_suppkey").cast("long")
+    x, y = F.lit(-116.2) + (k * 37 % 1000) / F.lit(5000.0), F.lit(43.5) + (k * 91 % 1000) / F.lit(5000.0)
+    dx, dy = (k % 7 - 3) / F.lit(500.0), (k % 5 - 2) / F.lit(500.0) + 0.0005
+    p0, p1, p2 = (x, y), (x + dx / 2, y + dy / 2), (x + dx, y + dy + 0.001)
+    side, far = (k % 9) / F.lit(20000.0), F.when(k % 20 == 0, F.lit(0.3)).otherwise(0.0)
+    moved = lambda p, u, v: (p[0] + u, p[1] + v)
+    middle = ((p0[0] + p1[0]) / 2, (p0[1] + p1[1]) / 2)
+    over = moved(middle, dy * -0.07, dx * 0.07)
+    shapes = [(moved(p2, side, 0.0), moved(p1, side, 0.0), moved(p0, side, 0.0)), (moved(middle, dy * 0.5, dx * -0.5), over, moved(over, dx / 2, dy / 2)), (p0, p1, moved(p1, 0.02, 0.0)), (moved(p0, 0.003, 0.001), moved(p1, 0.003, 0.001), moved(p2, 0.003, 0.002))]
+    line = F.when(k % 4 == 0, geometry.line(*shapes[0])).when(k % 4 == 1, geometry.line(*shapes[1])).when(k % 4 == 2, geometry.line(*shapes[2])).otherwise(geometry.line(*shapes[3]))
+    rows = table(spark, sf_dir, "supplier")
+    segments = rows.select(k.alias("segment_id"), geometry.line(*(moved(p, 0.0, -far) for p in (p0, p1, p2))).alias("line"))
+    lines = rows.select((k + 100000).alias("line_id"), line.alias("line"), F.col("s_acctbal").cast("double").alias("aadt"), F.concat(F.lit("R"), k.cast("string")).alias("route"))
+    return segments, lines
+
+
+def _utm_sql(lon: str, lat: str, lon0: str) -> tuple[str, str]:
+    """SQL of the zone's metres east and north, by the same closed form, with its numbers written out."""
+    e, n = "0.0818191910428158", "0.00167922039462874"
+    t = f"sinh(atanh(sin(radians({lat}))) - {e}::DOUBLE * atanh({e}::DOUBLE * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos(radians({lon} - {lon0})))", f"atanh(sin(radians({lon} - {lon0})) / sqrt(1 + {t} * {t}))"
+    series = [f"({n}::DOUBLE / 2 - 2 * power({n}::DOUBLE, 2) / 3 + 5 * power({n}::DOUBLE, 3) / 16)", f"(13 * power({n}::DOUBLE, 2) / 48 - 3 * power({n}::DOUBLE, 3) / 5)", f"(61 * power({n}::DOUBLE, 3) / 240)"]
+    radius = f"(0.9996::DOUBLE * 6378137.0::DOUBLE / (1 + {n}::DOUBLE) * (1 + power({n}::DOUBLE, 2) / 4 + power({n}::DOUBLE, 4) / 64))"
+    east = " + ".join([eta, *(f"{c} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, c in enumerate(series, 1))])
+    north = " + ".join([xi, *(f"{c} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, c in enumerate(series, 1))])
+    return f"{radius} * ({east})", f"{radius} * ({north})"
+
+
+def _streets_sql() -> str:
+    ax, ay = _utm_sql("lon", "lat", "lon0")
+    ends = []
+    for order, (p, q, k) in enumerate([("a", "b", 1), ("a", "b", 2), ("b", "a", 1), ("b", "a", 2)], 1):
+        px, py, dx, dy = f"{p}x{k}", f"{p}y{k}", f"({q}x2 - {q}x1)", f"({q}y2 - {q}y1)"
+        t = f"CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN greatest(least((({px} - {q}x1) * {dx} + ({py} - {q}y1) * {dy}) / ({dx} * {dx} + {dy} * {dy}), 1.0), 0.0) ELSE 0.0 END"
+        foot = f"{q}x1 + t * {dx}", f"{q}y1 + t * {dy}"
+        name = lambda p: "by_" if p == "b" else "ay"  # noqa: E731  BY is a reserved word
+        own, other = (f"{px} AS {p}x, {py} AS {name(p)}"), (f"{foot[0]} AS {q}x, {foot[1]} AS {name(q)}")
+        first, second = (own, other) if p == "a" else (other, own)
+        ends.append(f"SELECT s, l, ea, eb, {order} AS o, {first}, {second} FROM (SELECT *, {t} AS t FROM e)")
+    cross = "SELECT s, l, ea, eb, 0 AS o, ax1 + u * (ax2 - ax1), ay1 + u * (ay2 - ay1), ax1 + u * (ax2 - ax1), ay1 + u * (ay2 - ay1) FROM (SELECT *, ((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / w AS u, ((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / w AS v FROM (SELECT *, nullif((ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1), 0) AS w FROM e)) WHERE u > 0 AND u < 1 AND v > 0 AND v < 1"
+
+    def bearings(name: str, edges: str, key: str, point: str) -> str:
+        """The direction of a line five metres to either side of the place that is closest to the other's nearest point."""
+        return f"""{name}_m AS (SELECT n.s, n.l, n.{point}x AS px, n.{"by_" if point == "b" else "ay"} AS py, g.e, g.x1, g.y1, g.x2, g.y2, g.len, sum(g.len) OVER (PARTITION BY n.s, n.l ORDER BY g.e) - g.len AS before, sum(g.len) OVER (PARTITION BY n.s, n.l) AS total FROM near n JOIN {edges} g ON {key}),
+  {name}_f AS (SELECT *, CASE WHEN len > 0 THEN greatest(least(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / (len * len), 1.0), 0.0) ELSE 0.0 END AS t FROM {name}_m),
+  {name}_s AS (SELECT s, l, total, before + t * len AS pos FROM {name}_f QUALIFY row_number() OVER (PARTITION BY s, l ORDER BY sqrt(power(px - x1 - t * (x2 - x1), 2) + power(py - y1 - t * (y2 - y1), 2)), e) = 1),
+  {name}_p AS (SELECT m.s, m.l, h.k, m.x1 + (h.pos - m.before) / nullif(m.len, 0) * (m.x2 - m.x1) AS x, m.y1 + (h.pos - m.before) / nullif(m.len, 0) * (m.y2 - m.y1) AS y
+    FROM {name}_m m JOIN (SELECT s, l, 1 AS k, greatest(pos - 5, 0.0) AS pos FROM {name}_s UNION ALL SELECT s, l, 2, least(pos + 5, total) FROM {name}_s) h ON m.s = h.s AND m.l = h.l AND m.before <= h.pos AND m.len > 0 QUALIFY row_number() OVER (PARTITION BY m.s, m.l, h.k ORDER BY m.e DESC) = 1),
+  {name} AS (SELECT p.s, p.l, (degrees(atan2(q.y - p.y, q.x - p.x)) + 360) % 180 AS turn FROM {name}_p p JOIN {name}_p q ON p.s = q.s AND p.l = q.l AND p.k = 1 AND q.k = 2)"""
+
+    return f"""WITH c AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_acctbal AS DOUBLE) AS aadt FROM supplier),
+  b AS (SELECT *, -116.2::DOUBLE + (k * 37 % 1000) / 5000.0::DOUBLE AS x, 43.5::DOUBLE + (k * 91 % 1000) / 5000.0::DOUBLE AS y, (k % 7 - 3) / 500.0::DOUBLE AS dx, (k % 5 - 2) / 500.0::DOUBLE + 0.0005::DOUBLE AS dy, (k % 9) / 20000.0::DOUBLE AS sh, CASE WHEN k % 20 = 0 THEN 0.3::DOUBLE ELSE 0.0 END AS far FROM c),
+  pt AS (SELECT *, x + dx / 2 AS x1, y + dy / 2 AS y1, x + dx AS x2, y + dy + 0.001::DOUBLE AS y2, (x + (x + dx / 2)) / 2 AS mx, (y + (y + dy / 2)) / 2 AS my FROM b),
+  po AS (SELECT *, mx + dy * -0.07::DOUBLE AS ox, my + dx * 0.07::DOUBLE AS oy FROM pt),
+  seg AS (SELECT k AS s, [{{'lon': x, 'lat': y - far}}, {{'lon': x1, 'lat': y1 - far}}, {{'lon': x2, 'lat': y2 - far}}] AS p FROM po),
+  lin AS (SELECT k + 100000 AS l, CASE k % 4 WHEN 0 THEN [{{'lon': x2 + sh, 'lat': y2}}, {{'lon': x1 + sh, 'lat': y1}}, {{'lon': x + sh, 'lat': y}}] WHEN 1 THEN [{{'lon': mx + dy * 0.5, 'lat': my + dx * -0.5}}, {{'lon': ox, 'lat': oy}}, {{'lon': ox + dx / 2, 'lat': oy + dy / 2}}]
+    WHEN 2 THEN [{{'lon': x, 'lat': y}}, {{'lon': x1, 'lat': y1}}, {{'lon': x1 + 0.02::DOUBLE, 'lat': y1}}] ELSE [{{'lon': x + 0.003::DOUBLE, 'lat': y + 0.001::DOUBLE}}, {{'lon': x1 + 0.003::DOUBLE, 'lat': y1 + 0.001::DOUBLE}}, {{'lon': x2 + 0.003::DOUBLE, 'lat': y2 + 0.002::DOUBLE}}] END AS p FROM po),
+  zone AS (SELECT s, floor(p[1].lon / 6) * 6 + 3 AS lon0 FROM seg),
+  sp AS (SELECT s, i, {ax} AS px, {ay} AS py FROM (SELECT s, lon0, i, p[i].lon AS lon, p[i].lat AS lat FROM seg JOIN zone USING (s), (SELECT unnest([1, 2, 3]) AS i))),
+  lp AS (SELECT lon0, l, i, {ax} AS px, {ay} AS py FROM (SELECT l, lon0, i, p[i].lon AS lon, p[i].lat AS lat FROM lin, (SELECT DISTINCT lon0 FROM zone), (SELECT unnest([1, 2, 3]) AS i))),
+  se AS (SELECT a.s, a.i AS e, a.px AS x1, a.py AS y1, b.px AS x2, b.py AS y2, sqrt(power(b.px - a.px, 2) + power(b.py - a.py, 2)) AS len FROM sp a JOIN sp b ON a.s = b.s AND b.i = a.i + 1),
+  le AS (SELECT a.lon0, a.l, a.i AS e, a.px AS x1, a.py AS y1, b.px AS x2, b.py AS y2, sqrt(power(b.px - a.px, 2) + power(b.py - a.py, 2)) AS len FROM lp a JOIN lp b ON a.l = b.l AND a.lon0 = b.lon0 AND b.i = a.i + 1),
+  e AS (SELECT se.s, le.l, se.e AS ea, le.e AS eb, se.x1 AS ax1, se.y1 AS ay1, se.x2 AS ax2, se.y2 AS ay2, le.x1 AS bx1, le.y1 AS by1, le.x2 AS bx2, le.y2 AS by2 FROM se JOIN zone USING (s) JOIN le USING (lon0)),
+  cand AS ({" UNION ALL ".join(ends)} UNION ALL {cross}),
+  pair AS (SELECT * FROM (SELECT *, CASE WHEN o = 0 THEN 0.0 ELSE sqrt(power(ax - bx, 2) + power(ay - by_, 2)) END AS d FROM cand) QUALIFY row_number() OVER (PARTITION BY s, l ORDER BY d, ea, eb, o) = 1),
+  near AS (SELECT * FROM pair WHERE d <= 35),
+  {bearings("ta", "se", "g.s = n.s", "b")},
+  {bearings("tb", "(SELECT z.s AS zs, le.* FROM le JOIN zone z USING (lon0))", "g.l = n.l AND g.zs = n.s", "a")},
+  m AS (SELECT n.s, n.l, n.d FROM near n JOIN ta USING (s, l) JOIN tb USING (s, l) WHERE least(abs(ta.turn - tb.turn) % 180, 180 - abs(ta.turn - tb.turn) % 180) <= 45 QUALIFY row_number() OVER (PARTITION BY n.s ORDER BY n.d, n.l) = 1),
+  r AS (SELECT s, l, d FROM pair QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, l) = 1)
+  SELECT seg.s AS segment_id, CASE WHEN m.l IS NOT NULL THEN 'matched' WHEN r.l IS NOT NULL THEN 'nearest' ELSE 'missing' END AS match, coalesce(m.l, r.l) AS line_id, round(coalesce(m.d, r.d), 3) AS distance, CASE WHEN m.l IS NOT NULL THEN aadt END AS aadt, 'R' || (coalesce(m.l, r.l) - 100000) AS route
+  FROM seg LEFT JOIN m USING (s) LEFT JOIN r ON r.s = seg.s LEFT JOIN c ON c.k = coalesce(m.l, r.l) - 100000"""
+
+
+@query(_streets_sql())
 def nearest_line_join(spark, sf_dir):
-    out = geometry.nearest_line_join(_segments(spark, sf_dir), _lines(spark, sf_dir), _LAT)
-    return out.withColumn("distance", F.round("distance", 3))
+    return nearest.nearest_line_join(*_streets(spark, sf_dir)).withColumn("distance", F.round("distance", 3))
 
 
 @query(f"""WITH {_GEO}, s AS (SELECT segment_id AS id, a_x1 AS x1, a_y1 AS y1, a_x2 AS x2, a_y2 AS y2 FROM a UNION ALL SELECT line_id, b_x1, b_y1, b_x2, b_y2 FROM b),

@@ -48,6 +48,14 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def numeric(df: DataFrame, *names: str) -> None:
+    """Raises unless the named columns hold numbers."""
+    for name in names:
+        kind = dict(df.dtypes)[name]
+        if not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+            raise TypeError(f"{name} holds {kind}, not numbers")
+
+
 @dataclass(frozen=True)
 class Provenance:
     """What has been done to a frame; every operator of a study returns a new one."""
