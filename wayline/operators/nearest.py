@@ -175,7 +175,9 @@ def nearest_line_join(segments: DataFrame, lines: DataFrame, max_metres: float =
     first = around.select("segment_id", "_cell").distinct().join(held.select("_cell").distinct(), "_cell").groupBy("segment_id").agg(F.min("_cell.level").alias("first"))
     # A line in a cell that touches the widened box is at most c + sqrt(c^2 + (2c)^2) metres away, c being the cell's side: under four of them, the side two levels on.
     level = F.when(F.col("first") > LEVELS - 3, F.lit(WHOLE)).otherwise(F.col("first") + 2)
-    reach = ring(open_.join(first, "segment_id").withColumn("level", level), metres)
+    # Few rows that meet many: dealt out by number, since their size says nothing about the work.
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reach = ring(open_.join(first, "segment_id").withColumn("level", level), metres).repartition(tasks, "segment_id", "_cell")
     found = _candidates(reach.drop("first", "level", *_BOX), held.drop("level", *_BOX))
     reported = found.groupBy("segment_id").agg(best.alias("r"))
 
