@@ -103,7 +103,7 @@ def test_documents(spark):
     doc = json.loads(sinks.to_geojson(lines, "name"))
     assert [f["properties"]["segment_id"] for f in doc["features"]] == [1, 2] and doc["features"][0]["geometry"]["coordinates"][0] == [-116.0, 43.0]
     coloured = sinks.ramp_colours(lines.where("segment_id < 3"), "speed")
-    assert {r["segment_id"]: r["colour"] for r in coloured.collect()} == {1: "1a9850", 2: "d73027"}
+    assert {r["segment_id"]: r["colour"] for r in coloured.collect()} == {1: "d7191c", 2: "2b83ba"}
     root = ET.fromstring(sinks.to_kml(coloured, "T"))
     ns = "{http://www.opengis.net/kml/2.2}"
     assert [m.find(f"{ns}name").text for m in root.iter(f"{ns}Placemark")] == ["A & B", "C"] and len(list(root.iter(f"{ns}Style"))) == 2

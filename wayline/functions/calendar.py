@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,25 +89,37 @@ def day_scheme(scheme: dict | Iterable[str] | None) -> dict[int, str]:
     return out
 
 
-def _moment(value, end: bool) -> datetime:
-    moment = value if isinstance(value, datetime) else datetime(value.year, value.month, value.day) if isinstance(value, date) else datetime.strptime(value, "%Y%m%d") if re.fullmatch(r"\d{8}", value) else datetime.fromisoformat(value)
-    if end and (moment.hour, moment.minute, moment.second, moment.microsecond) == (0, 0, 0, 0):
-        moment += timedelta(days=1)  # the whole of the last day, by the calendar
-    return moment
+def moment(value: date, tz: str | None = None) -> datetime:
+    """A day's or a time's wall-clock time; of a time with a zone, that in ``tz``."""
+    if not isinstance(value, datetime):
+        return datetime(value.year, value.month, value.day)
+    if value.tzinfo is None:
+        return value
+    if tz is None:
+        raise ValueError(f"a bound with a zone needs the zone of the series: {value!r}")
+    return value.astimezone(ZoneInfo(tz)).replace(tzinfo=None)
 
 
-def parse_period(period) -> tuple[datetime, datetime]:
-    """Half-open local (start, end) of a pair or of 'YYYYMMDD-YYYYMMDD'; an end at midnight takes in that day."""
+def _moment(value, end: bool, tz: str | None = None) -> datetime:
+    at = value if isinstance(value, date) else datetime.strptime(value, "%Y%m%d") if re.fullmatch(r"\d{8}", value) else datetime.fromisoformat(value)
+    at = moment(at, tz)
+    if end and (at.hour, at.minute, at.second, at.microsecond) == (0, 0, 0, 0):
+        at += timedelta(days=1)  # the whole of the last day, by the calendar
+    return at
+
+
+def parse_period(period, tz: str | None = None) -> tuple[datetime, datetime]:
+    """Half-open local (start, end) of a pair or of 'YYYYMMDD-YYYYMMDD'; an end at midnight takes in that day. Bounds with a zone are moved to ``tz``."""
     start, end = period.split("-") if isinstance(period, str) else period
-    start, end = _moment(start, False), _moment(end, True)
+    start, end = _moment(start, False, tz), _moment(end, True, tz)
     if end <= start:
         raise ValueError("a period must end after it starts")
     return start, end
 
 
-def check_periods(before, after) -> tuple[tuple[datetime, datetime], tuple[datetime, datetime]]:
+def check_periods(before, after, tz: str | None = None) -> tuple[tuple[datetime, datetime], tuple[datetime, datetime]]:
     """Both periods parsed; they may touch but not overlap."""
-    a, b = parse_period(before), parse_period(after)
+    a, b = parse_period(before, tz), parse_period(after, tz)
     if a[0] < b[1] and b[0] < a[1]:
         raise ValueError("the periods overlap")
     return a, b

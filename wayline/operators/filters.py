@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -53,9 +53,13 @@ def filter_day_of_week(df: DataFrame, days=None) -> DataFrame:
     return df if not wanted or len(wanted) == 7 else df.where(F.col("dow").isin(wanted))
 
 
-def filter_date_range(df: DataFrame, start: date | str | None = None, end: date | str | None = None) -> DataFrame:
-    """Rows of local days from ``start`` to ``end``, both whole and included; None is open."""
-    day = lambda x: F.lit(x.date() if isinstance(x, datetime) else x if isinstance(x, date) else date.fromisoformat(x))
+def filter_date_range(df: DataFrame, start: date | str | None = None, end: date | str | None = None, tz: str | None = None) -> DataFrame:
+    """Rows of local days from ``start`` to ``end``, both whole and included; None is open. A bound with a zone is moved to ``tz`` first."""
+    def day(x) -> Column:
+        if isinstance(x, str):
+            x = datetime.fromisoformat(x)
+        return F.lit(cal.moment(x, tz).date())
+
     if start is not None:
         df = df.where(F.col("local_date") >= day(start))
     return df if end is None else df.where(F.col("local_date") <= day(end))

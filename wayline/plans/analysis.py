@@ -12,7 +12,8 @@ from ..functions import calendar as cal
 from ..operators import compare, completeness, decompose, filters, geometry, shifts, summarize, weights
 from ..operators.nearest import nearest_line_join
 from ..schema import METRICS, Study, default_metric
-from ..sources.sinks import ramp_colours, to_kml
+from ..sources.kml import publish
+from ..sources.sinks import ramp_colours
 
 #: The entity of an aggregate series.
 WHOLE = -1
@@ -25,7 +26,7 @@ def open_study(study: Study, tz: str = "America/Denver", threshold: float | None
     df = cal.to_local(study.observations, tz)
     if threshold is not None and "cvalue" in df.columns:
         df = filters.filter_confidence(df, threshold)
-    df = filters.filter_date_range(df, start, end)
+    df = filters.filter_date_range(df, start, end, tz)
     if {"travel_time", "ref_speed"} <= set(df.columns) and (lengths is not None or "speed" in df.columns):
         df = summarize.segment_delay(df, lengths)
     return Study(df, study.metadata, study.geometry, study.provenance.noted(tz=tz, cvalue_threshold=threshold, date_range=(start, end)))
@@ -62,34 +63,51 @@ def analysis_series(study: Study, value: str, scope: str = "segment", corridor:
 
 @dataclass
 class Session:
-    """Keeps the costly half of comparisons for a study: adjusted series by their canonical key, ``capacity`` at most."""
+    """Keeps the costly half of comparisons for a study, adjusted series by their canonical key, ``capacity`` at most, and ``results`` comparisons.
+
+    ``volumes`` (segment_id, aadt) serve the weighted speed of the aggregate scopes.
+    """
 
     study: Study
     capacity: int = 2
+    volumes: DataFrame | None = None
+    results: int = 16
     _kept: dict = field(default_factory=dict)
-
-    def adjusted(self, value: str, scope: str = "segment", corridor=None, window=None, days=None, members=None, **options) -> DataFrame:
-        key = (value, scope, corridor if scope == "corridor" else None, filters.window_key(window, days), tuple(sorted(members)) if members and scope != "segment" else None, tuple(sorted(options.items())))
-        if key in self._kept:
-            self._kept[key] = self._kept.pop(key)
-            return self._kept[key]
-        series = analysis_series(self.study, value, scope, corridor, window, days, members)
-        self._kept[key] = decompose.adjust(series, value, **options).persist(StorageLevel.DISK_ONLY_2)
-        while len(self._kept) > self.capacity:
-            self._kept.pop(next(iter(self._kept))).unpersist()
-        return self._kept[key]
-
-    def compare(self, before, after, value: str, unit: str = "day", **scope) -> DataFrame:
-        """Periods are checked before anything is computed."""
-        cal.check_periods(before, after)
-        return compare.compare_adjusted(self.adjusted(value, **scope), before, after, value, unit=unit)
+    _compared: dict = field(default_factory=dict)
+
+    @staticmethod
+    def _key(value: str, scope: str, corridor, window, days, members, weighted: bool, options: dict) -> tuple:
+        chosen = tuple(sorted(members)) if members and scope != "segment" else None
+        return value, scope, corridor if scope == "corridor" else None, filters.window_key(window, days), chosen, bool(weighted), tuple(sorted(options.items()))
+
+    @staticmethod
+    def _recent(kept: dict, key, limit: int, make):
+        """The kept frame of a key, made and kept on disk if there is none; the least recently used goes beyond ``limit``."""
+        kept[key] = kept.pop(key) if key in kept else make().persist(StorageLevel.DISK_ONLY_2)
+        while len(kept) > limit:
+            kept.pop(next(iter(kept))).unpersist()
+        return kept[key]
+
+    def adjusted(self, value: str, scope: str = "segment", corridor=None, window=None, days=None, members=None, weighted: bool = False, **options) -> DataFrame:
+        def make() -> DataFrame:
+            return decompose.adjust(analysis_series(self.study, value, scope, corridor, window, days, members, self.volumes, weighted), value, **options)
+
+        return self._recent(self._kept, self._key(value, scope, corridor, window, days, members, weighted, options), self.capacity, make)
+
+    def compare(self, before, after, value: str, unit: str = "day", scope: str = "segment", corridor=None, window=None, days=None, members=None, weighted: bool = False, **options) -> DataFrame:
+        """Periods are checked before anything is computed; a comparison asked for again is not computed again."""
+        periods = cal.check_periods(before, after)
+        own = {"scope": scope, "corridor": corridor, "window": window, "days": days, "members": members, "weighted": weighted}
+        key = (periods, unit, self._key(value, scope, corridor, window, days, members, weighted, options))
+        return self._recent(self._compared, key, self.results, lambda: compare.compare_adjusted(self.adjusted(value, **own, **options), before, after, value, unit=unit))
 
     def changepoints(self, value: str, **scope) -> DataFrame:
         return shifts.detect_changepoints(self.adjusted(value, **scope), f"{value}_adj")
 
     def close(self) -> None:
-        while self._kept:
-            self._kept.popitem()[1].unpersist()
+        for kept in (self._compared, self._kept):
+            while kept:
+                kept.popitem()[1].unpersist()
 
 
 def daytime_summary(df: DataFrame, value: str) -> DataFrame:
@@ -115,31 +133,43 @@ def panel_forest(result: DataFrame, level: float = 0.05) -> DataFrame:
     return result.withColumn("significant", F.coalesce(F.col("q_value") <= level, F.lit(False))).orderBy("effect", "segment_id")
 
 
-def map_values(study: Study, mode: str, value: str, before=None, after=None, volumes: DataFrame | None = None, window=None, days=None, **options) -> DataFrame:
-    """segment_id and shown, of the rows in a window of the day and on some days: the mean, the seasonally adjusted change between two periods (the mean if they are missing or not valid), or vehicle hours of delay.
+def _chosen(lines: DataFrame, members) -> DataFrame:
+    """Adds ``member``: whether a segment is among the chosen ones, all where none are chosen."""
+    if not members:
+        return lines.withColumn("member", F.lit(True))
+    return lines.withColumn("member", F.coalesce(F.col("segment_id").isin(sorted({int(m) for m in members})), F.lit(False)))
 
-    options: those of the decomposition.
+
+def map_values(study: Study, mode: str, value: str, before=None, after=None, volumes: DataFrame | None = None, window=None, days=None, members=None, **options) -> DataFrame:
+    """segment_id, shown and member, of the rows in a window of the day and on some days: the mean, the seasonally adjusted change between two periods, or vehicle hours of delay.
+
+    'delta' shows the mean if the periods are missing or not valid, or if no segment can be compared: as
+    one plan, in which a comparison without rows lets the means through. ``members`` are flagged, not
+    filtered. options: those of the decomposition.
     """
     series = analysis_series(study, value, window=window, days=days)
+    means = summarize.segment_means(series, value)
+    if mode == "vhd":
+        return _chosen(weights.vehicle_hours_of_delay(means, volumes).select("segment_id", F.col("vehicle_hours").alias("shown")), members)
+    shown = means.select("segment_id", F.col("mean").alias("shown"))
     if mode == "delta" and before and after:
         try:
             cal.check_periods(before, after)
         except ValueError:  # overlapping or empty periods
-            before = None
-        if before:
-            adjusted = decompose.adjust(series, value, **options)
-            return compare.compare_adjusted(adjusted, before, after, value, inference=False).select("segment_id", F.col("effect").alias("shown"))
-    means = summarize.segment_means(series, value)
-    if mode == "vhd":
-        return weights.vehicle_hours_of_delay(means, volumes).select("segment_id", F.col("vehicle_hours").alias("shown"))
-    return means.select("segment_id", F.col("mean").alias("shown"))
+            return _chosen(shown, members)
+        changes = compare.compare_adjusted(decompose.adjust(series, value, **options), before, after, value, inference=False).select("segment_id", F.col("effect").alias("shown"))
+        # One row, which says whether there is any comparison.
+        some = changes.agg((F.count("*") > 0).alias("_some"))
+        shown = changes.unionByName(shown.crossJoin(F.broadcast(some)).where(~F.col("_some")).drop("_some"))
+    return _chosen(shown, members)
 
 
-def export_kml(study: Study, mode: str, value: str, title: str = "Segments", **options) -> str:
-    """The map's lines, coloured by what they show, as a KML document."""
+def export_kml(study: Study, mode: str, value: str, title: str = "Segments", labels: bool = False, **options) -> str:
+    """The map's lines, coloured by what they show, as a published KML document with labels, descriptions and a legend."""
     shown = map_values(study, mode, value, **options)
-    lines = study.geometry.join(shown, "segment_id", "left").withColumn("name", F.coalesce(*(F.col(c) for c in ("name",) if c in study.geometry.columns), F.col("segment_id").cast("string")))
-    return to_kml(ramp_colours(lines, "shown"), title)
+    names = [F.col("name")] if "name" in study.geometry.columns else []
+    lines = study.geometry.drop("shown", "member", "colour").join(shown, "segment_id", "left").withColumn("name", F.coalesce(*names, F.col("segment_id").cast("string")))
+    return publish(ramp_colours(lines, "shown"), title, "name", "shown", labels)
 
 
 def segment_table(study: Study, names: DataFrame, value: str | None = None) -> DataFrame:
@@ -149,13 +179,23 @@ def segment_table(study: Study, names: DataFrame, value: str | None = None) -> D
     return out.withColumn("coverage_pct", F.bround(F.col("coverage") * 100, 1))
 
 
-def capabilities(study: Study) -> dict:
-    """What can be asked of a study: metrics, scopes, map modes and corridors."""
+def capabilities(study: Study, store=None, area: str | None = None) -> dict:
+    """What can be asked of a study: metrics, scopes, map modes, corridors and directions; with a store also its areas and, of one of them, the bins.
+
+    The lists are what a menu shows: as many entries as there are corridors, directions and areas.
+    """
     columns = set(study.observations.columns)
     corridors = [r[0] for r in study.observations.select("corridor").where("corridor IS NOT NULL").distinct().orderBy("corridor").collect()] if "corridor" in columns else []
     volumes = study.geometry is not None and "aadt" in study.geometry.columns
     metrics = [m for m in METRICS if m in columns]
-    return {"metrics": metrics, "scopes": ["segment", *(["corridor"] if corridors else []), "network"], "corridors": corridors, "map_modes": ["mean", "delta", *(["vhd"] if volumes and "delay" in columns else [])], "weighted_speed": volumes and "speed" in columns, "default_metric": default_metric(study.observations)}
+    directions = []
+    if study.geometry is not None and "direction_group" in study.geometry.columns:
+        directions = [r[0] for r in study.geometry.select("direction_group").where("direction_group IS NOT NULL").distinct().orderBy("direction_group").collect()]
+    out = {"metrics": metrics, "scopes": ["segment", *(["corridor"] if corridors else []), "network"], "corridors": corridors, "directions": directions, "map_modes": ["mean", "delta", *(["vhd"] if volumes and "delay" in columns else [])], "weighted_speed": volumes and "speed" in columns, "default_metric": default_metric(study.observations)}
+    if store is not None:
+        out["areas"] = [(r["area_key"], r["area_name"]) for r in store.areas().select("area_key", "area_name").collect()]
+        out["bins"] = store.area_bins(area) if area is not None else []
+    return out
 
 
 def build_geometry(study: Study, network: DataFrame, volumes: DataFrame | None) -> DataFrame:

@@ -618,14 +618,14 @@ def geojson_features(spark, sf_dir):
 
 
 @query(f"""WITH {_GEO}, v AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_acctbal AS DOUBLE) AS z FROM supplier), e AS (SELECT min(z) AS lo, max(z) AS hi FROM v), p AS (SELECT k, (z - lo) / (hi - lo) AS q FROM v, e)
-  SELECT k AS segment_id, lower(printf('%02x%02x%02x', CAST(round_even(215 + q * (26 - 215), 0) AS INTEGER), CAST(round_even(48 + q * (152 - 48), 0) AS INTEGER), CAST(round_even(39 + q * (80 - 39), 0) AS INTEGER))) AS colour FROM p""")
+  SELECT k AS segment_id, lower(printf('%02x%02x%02x', CAST(trunc(43 + (215 - 43) * q) AS INTEGER), CAST(trunc(131 + (25 - 131) * q) AS INTEGER), CAST(trunc(186 + (28 - 186) * q) AS INTEGER))) AS colour FROM p""")
 def kml_colours(spark, sf_dir):
     values = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("segment_id"), F.col("s_acctbal").cast("double").alias("shown"))
     return sinks.ramp_colours(values, "shown").select("segment_id", "colour")
 
 
 _MARKS = f"""{_GEO}, v AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_acctbal AS DOUBLE) AS z, s_name FROM supplier), e AS (SELECT min(z) AS lo, max(z) AS hi FROM v), p AS (SELECT k, s_name, (z - lo) / (hi - lo) AS q FROM v, e),
-  m AS (SELECT k, s_name, x, y, dx, dy, lower(printf('%02x%02x%02x', CAST(round_even(215 + q * (26 - 215), 0) AS INTEGER), CAST(round_even(48 + q * (152 - 48), 0) AS INTEGER), CAST(round_even(39 + q * (80 - 39), 0) AS INTEGER))) AS colour,
+  m AS (SELECT k, s_name, x, y, dx, dy, lower(printf('%02x%02x%02x', CAST(trunc(43 + (215 - 43) * q) AS INTEGER), CAST(trunc(131 + (25 - 131) * q) AS INTEGER), CAST(trunc(186 + (28 - 186) * q) AS INTEGER))) AS colour,
     printf('%.6f,%.6f,0 %.6f,%.6f,0', x, y, x + dx, y + dy) AS line FROM p JOIN c USING (k))"""
 
 

@@ -7,27 +7,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sinks import coordinate_text
-
-#: Named colours of the web, as red, green and blue.
-NAMED = {
-    "blue": "0000ff", "red": "ff0000", "green": "008000", "orange": "ffa500", "purple": "800080", "yellow": "ffff00",
-    "black": "000000", "gray": "808080", "grey": "808080", "white": "ffffff", "teal": "008080", "magenta": "ff00ff",
-}
-
-
-def colour(spec) -> str:
-    """rrggbb of a name, '#rrggbb', 'rrggbb', three numbers, or KML's own 'aabbggrr'."""
-    if isinstance(spec, (tuple, list)):
-        return "".join(f"{int(part):02x}" for part in spec[:3])
-    text = spec.strip().lower()
-    if text in NAMED:
-        return NAMED[text]
-    text = text.removeprefix("#")
-    if len(text) not in (6, 8) or set(text) - set("0123456789abcdef"):
-        raise ValueError(f"unknown colour: {spec!r}")
-    return text if len(text) == 6 else text[6:8] + text[4:6] + text[2:4]
-
+from .sinks import colour, coordinate_text  # noqa: F401
 
 def xml_text(value: Column) -> Column:
     """A column as XML text, NULL as nothing."""

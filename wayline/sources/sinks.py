@@ -10,8 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The colours that categories cycle through, as red, green and blue.
-PALETTE = ("1f77b4", "ff7f0e", "2ca02c", "d62728", "9467bd", "8c564b", "e377c2", "7f7f7f")
+#: Named colours as red, green and blue; the names that categories cycle through; the ends of a ramp from least to most.
+NAMED = {
+    "blue": (0, 0, 255), "red": (255, 0, 0), "green": (0, 128, 0), "orange": (255, 165, 0), "purple": (128, 0, 128), "yellow": (255, 215, 0),
+    "black": (0, 0, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "white": (255, 255, 255), "teal": (0, 128, 128), "magenta": (255, 0, 255),
+}
+PALETTE = ("blue", "red", "green", "orange", "purple", "teal", "magenta", "gray")
+RAMP = ((43, 131, 186), (215, 25, 28))
+
+
+def colour(spec) -> str:
+    """rrggbb of a name, '#rrggbb', 'rrggbb', three or four numbers, or KML's own 'aabbggrr'."""
+    if isinstance(spec, (tuple, list)):
+        return "".join(f"{int(part):02x}" for part in spec[:3])
+    text = spec.strip().lower()
+    if text in NAMED:
+        return colour(NAMED[text])
+    text = text.removeprefix("#")
+    if len(text) not in (6, 8) or set(text) - set("0123456789abcdef"):
+        raise ValueError(f"unknown colour: {spec!r}")
+    return text if len(text) == 6 else text[6:8] + text[4:6] + text[2:4]
 
 
 def feature(properties: Column) -> Column:
@@ -40,20 +58,28 @@ def kml_colour(rgb: Column) -> Column:
     return F.concat(F.lit("ff"), F.substring(rgb, 5, 2), F.substring(rgb, 3, 2), F.substring(rgb, 1, 2))
 
 
-def ramp_colours(lines: DataFrame, value: str, low: str = "d73027", high: str = "1a9850", default: str = "888888") -> DataFrame:
-    """Adds colour, between two ends by the value's place from least to most; a constant column stands in the middle, NULL gets the default."""
+def ramp_colours(lines: DataFrame, value: str, ramp=RAMP, default="blue") -> DataFrame:
+    """Adds colour, between two ends by the value's place from least to most, channels cut to whole numbers; a constant column stands in the middle, NULL gets the default."""
+    low, high = (tuple(int(colour(end)[k : k + 2], 16) for k in (0, 2, 4)) for end in ramp)
     span = lines.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     out = lines.crossJoin(F.broadcast(span))
     place = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.5))
-    part = lambda k: F.lower(F.lpad(F.hex(F.bround(F.lit(int(low[k : k + 2], 16)) + place * (int(high[k : k + 2], 16) - int(low[k : k + 2], 16))).cast("int")), 2, "0"))
-    return out.withColumn("colour", F.when(F.col(value).isNull(), F.lit(default)).otherwise(F.concat(part(0), part(2), part(4)))).drop("_low", "_high")
+    part = lambda k: F.lower(F.lpad(F.hex(F.floor(F.lit(float(low[k])) + (high[k] - low[k]) * place).cast("int")), 2, "0"))
+    return out.withColumn("colour", F.when(F.col(value).isNull(), F.lit(colour(default))).otherwise(F.concat(part(0), part(1), part(2)))).drop("_low", "_high")
 
 
-def category_colours(lines: DataFrame, value: str, default: str = "888888") -> DataFrame:
-    """Adds colour by category in sorted order, cycling through the palette."""
-    kinds = lines.select(value).where(F.col(value).isNotNull()).distinct().withColumn("_k", F.row_number().over(Window.orderBy(value)) - 1)
-    palette = F.array(*(F.lit(c) for c in PALETTE))
-    return lines.join(kinds, value, "left").withColumn("colour", F.coalesce(F.get(palette, F.col("_k") % len(PALETTE)), F.lit(default))).drop("_k")
+def category_colours(lines: DataFrame, value: str, palette=PALETTE, default="blue") -> DataFrame:
+    """Adds colour by category: of a mapping from values to colours, or in the order of each category's smallest segment_id, cycling through a list; others get the default."""
+    if isinstance(palette, dict):
+        own = F.lit(colour(default))
+        for kind, spec in palette.items():
+            own = F.when(F.col(value) == kind, F.lit(colour(spec))).otherwise(own)
+        return lines.withColumn("colour", own)
+    kinds = lines.where(F.col(value).isNotNull()).groupBy(value).agg(F.min("segment_id").alias("_first"))
+    # One row a category, of a list that a legend shows.
+    kinds = kinds.withColumn("_k", F.row_number().over(Window.orderBy("_first", value)) - 1).drop("_first")
+    colours = F.array(*(F.lit(colour(c)) for c in palette))
+    return lines.join(kinds, value, "left").withColumn("colour", F.coalesce(F.get(colours, F.col("_k") % len(palette)), F.lit(colour(default)))).drop("_k")
 
 
 def placemark_rows(lines: DataFrame, name: str = "name") -> DataFrame:
@@ -79,3 +105,8 @@ def to_csv(df: DataFrame) -> str:
     writer.writerow(df.columns)
     writer.writerows(tuple(r) for r in df.toLocalIterator())
     return out.getvalue()
+
+
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A result of any size as CSV files with headers in a folder, written by the tasks; with ``order``, sorted from file to file."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)

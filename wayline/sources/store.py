@@ -141,7 +141,7 @@ class Store:
     def ingest_volumes(self, key: str, volumes: DataFrame) -> None:
         """Sets aadt, match and route of the stored lines, which stay as they are; written beside and then swapped."""
         path = f"{self.root}/geo/area_key={key}"
-        fields = [c for c in ("aadt", "match", "route", "line_id", "distance") if c in volumes.columns]
+        fields = [c for c in ("aadt", "match", "route", "commercial", "line_id", "distance") if c in volumes.columns]
         geo = self._read("geo", key).drop(*fields, "area_key").join(volumes.select("segment_id", *fields), "segment_id", "left")
         beside = f"{self.root}/.geo-{key}-{time.time_ns()}"
         geo.write.parquet(beside)
