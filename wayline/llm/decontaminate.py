@@ -6,7 +6,8 @@ if that is longer, by prefix doubling, in which no suffix runs over its document
 window of the benchmark (in ``longest_matches`` every suffix of every item) is then binary-searched,
 word by word, which narrows the interval of training suffixes that begin alike.
 A *window* is ``window`` consecutive words of an item, or a shorter item as a whole; what is left of
-the interval after a whole window is all its occurrences in the shard. Words are equal if their bytes
+the interval after a whole window is all its occurrences in the shard. Occurrences that follow each other
+as their windows do make the longest verbatim matches. Words are equal if their bytes
 are; hashes only find them.
 
 The benchmark is the query set: it is searched in blocks of at most ``block_bytes`` of text. Blocks of
@@ -37,7 +38,7 @@ from .textvec import LOWER, NOT_ALNUM, Block, blocks, distinct_spans, keep_rows,
 #: Words by which training suffixes are sorted at least; longer matches are compared directly.
 DEPTH = 16
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean boolean"
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_words long, longest_item long, item_offset long, doc_offset long, clean boolean"
 
 
 class Words:
@@ -151,6 +152,9 @@ class Items:
         self.begin, self.length = begin[at], length[at]
         pairs = np.unique(np.stack([which.ravel(), item], axis=1), axis=0) if len(item) else np.empty((0, 2), dtype=np.int64)
         self.owner, self.owned = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(at) + 1))
+        # All places of each distinct window, in whatever item.
+        by = np.argsort(which.ravel(), kind="stable")
+        self.place, self.placed = begin[by], np.searchsorted(which.ravel()[by], np.arange(len(at) + 1))
 
 
 def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator[Items]]:
@@ -168,8 +172,37 @@ def item_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[in
     return total, each()
 
 
+def _longest_hits(items: Items, at: np.ndarray, which: np.ndarray, doc: np.ndarray, first: np.ndarray) -> dict[int, tuple]:
+    """For documents with occurrences of windows (``at`` in the shard, ``which`` window) the longest verbatim match with an item, as a key that orders matches: fewer words, item, place in it, place in the document.
+
+    Occurrences that follow each other in the document as their windows do in the item make one match,
+    one word longer for each.
+    """
+    count = np.diff(items.placed)[which]
+    place = items.place[ragged(items.placed[which], count)]
+    at, which, doc = np.repeat(at, count), np.repeat(which, count), np.repeat(doc, count)
+    item = np.searchsorted(items.words.first, place, side="right") - 1
+    by = np.lexsort((at, at - place, item, doc))
+    at, which, doc, place, item = at[by], which[by], doc[by], place[by], item[by]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)
+    start = np.flatnonzero(new)
+    words = np.diff(np.append(start, len(at))) - 1 + items.length[which[start]]
+    # Items are compared by id, those without one last.
+    known = np.array([i is not None for i in items.ids])
+    value = np.array([i or 0 for i in items.ids], dtype=np.int64)
+    own = item[start]
+    order = np.lexsort((at[start] - first[doc[start]], place[start] - items.words.first[own], value[own], ~known[own], -words, doc[start]))
+    out: dict[int, tuple] = {}
+    docs, one = np.unique(doc[start][order], return_index=True)
+    for d, k in zip(docs.tolist(), order[one].tolist()):
+        i = int(own[k])
+        out[d] = (-int(words[k]), not known[i], int(value[i]), int(place[start[k]] - items.words.first[i]), int(at[start[k]] - first[d]))
+    return out
+
+
 def _shards(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[tuple]:
-    """For each shard: its batch, its block, its words, and for each of its documents that has any the word spans [a, b) of hits, overlapping or not, and the items found."""
+    """For each shard: its batch, its block, its words, and for each of its documents that has any the word spans [a, b) of hits, overlapping or not, the items found and the longest match."""
     depth = max((one.value.window for one in shared), default=0)
     for batch in batches:
         for block in blocks(batch.column(1)):
@@ -177,6 +210,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[tuple]:
             array = SuffixArray(words.number, words.first, depth)
             spans: dict[int, list] = {}
             found: dict[int, set] = {}
+            longest: dict[int, tuple] = {}
             for one in shared:
                 items = one.value
                 query = words.find(items.words)[items.words.number] if len(items.words.number) else np.empty(0, np.int64)
@@ -185,6 +219,9 @@ def _shards(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[tuple]:
                 size = (high - low)[whole]
                 at, which = array.order[ragged(low[whole], size)], np.repeat(whole, size)
                 doc = np.searchsorted(words.first, at, side="right") - 1
+                if len(at):
+                    for d, key in _longest_hits(items, at, which, doc, words.first).items():
+                        longest[d] = min(longest.get(d, key), key)
                 by = np.lexsort((at, doc))
                 for part in np.split(by, np.flatnonzero(np.diff(doc[by])) + 1) if len(by) else ():
                     d = int(doc[part[0]])
@@ -192,7 +229,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[tuple]:
                     spans.setdefault(d, []).append(np.stack([a, a + items.length[which[part]]], axis=1))
                     for w in np.unique(which[part]).tolist():
                         found.setdefault(d, set()).update(items.ids[i] for i in items.owner[items.owned[w] : items.owned[w + 1]].tolist())
-            yield batch, block, words, spans, found
+            yield batch, block, words, spans, found, longest
 
 
 def _united(parts: list) -> np.ndarray:
@@ -208,45 +245,56 @@ def _digest(found: set) -> str:
     return hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
 
 
+#: The longest match: its words, item, and places in words in the item and in the document.
+LONGEST = ("longest_words", "longest_item", "item_offset", "doc_offset")
+
+
+def _longest_columns(keys: list) -> list[pa.Array]:
+    shown = [(0, None, None, None) if k is None else (-k[0], None if k[1] else k[2], k[3], k[4]) for k in keys]
+    return [pa.array([s[c] for s in shown], type=pa.int64()) for c in range(4)]
+
+
 def _scan(shared: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, words, spans, found in _shards(batches, shared):
+        for batch, block, words, spans, found, longest in _shards(batches, shared):
             n, n_hit = len(block), np.zeros(len(block), dtype=np.int64)
             for d, parts in spans.items():
                 whole = _united(parts)
                 n_hit[d] = (whole[:, 1] - whole[:, 0]).sum()
             digests = [_digest(found[d]) if d in found else _NONE for d in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(block.first, n), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([len(found.get(d, ())) for d in range(n)], type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(n_hit > 0), pa.array(n_hit == 0)],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean"],
+                [batch.column(0).slice(block.first, n), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array([len(found.get(d, ())) for d in range(n)], type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(n_hit > 0), *_longest_columns([longest.get(d) for d in range(n)]), pa.array(n_hit == 0)],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *LONGEST, "clean"],
             )
 
     return run
 
 
 def _hits(shared: list):
-    """mapInArrow function over (row, text): the rows that are hit, their disjoint spans and their items."""
+    """mapInArrow function over (row, text): the rows that are hit, their disjoint spans, their items and the key of the longest match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block, _, spans, found in _shards(batches, shared):
+        for batch, block, _, spans, found, longest in _shards(batches, shared):
             rows = batch.column(0).slice(block.first, len(block)).to_pylist()
             hit = sorted(spans)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[d] for d in hit], type=pa.int64()), pa.array([_united(spans[d]).ravel().tolist() for d in hit], type=pa.list_(pa.int64())), pa.array([list(found[d]) for d in hit], type=pa.list_(pa.int64()))], names=["row", "spans", "items"]
+                [pa.array([rows[d] for d in hit], type=pa.int64()), pa.array([_united(spans[d]).ravel().tolist() for d in hit], type=pa.list_(pa.int64())), pa.array([list(found[d]) for d in hit], type=pa.list_(pa.int64())), pa.array([[int(x) for x in longest[d]] for d in hit], type=pa.list_(pa.int64()))],
+                names=["row", "spans", "items", "longest"],
             )
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (row, lists of spans, lists of items): hit words, items and their digest."""
+    """Of rows (row, lists of spans, lists of items, keys of longest matches): hit words, items and their digest, the longest match."""
     for batch in batches:
-        rows = []
-        for row, spans, items in zip(*(c.to_pylist() for c in batch.columns)):
+        rows, best = [], []
+        for row, spans, items, keys in zip(*(c.to_pylist() for c in batch.columns)):
             whole, found = _united([np.array(s, dtype=np.int64).reshape(-1, 2) for s in spans]), {i for x in items for i in x}
             rows.append((row, int((whole[:, 1] - whole[:, 0]).sum()), len(found), _digest(found)))
+            best.append(min(keys))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["row", "n_hit", "n_items", "items_sha256"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)), *_longest_columns(best)], names=["row", "n_hit", "n_items", "items_sha256", *LONGEST])
 
 
 _NONE = hashlib.sha256(b"").hexdigest()
@@ -272,31 +320,38 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int
     return total <= broadcast_bytes, groups()
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row numbers, written: rows that are read anew keep their numbers."""
-    return keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with row numbers, written, so that rows that are read anew keep them, and the numbers' column, which no other is named like."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return keep(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def _united_hits(numbered: DataFrame, passes: Iterator[list]) -> DataFrame:
-    """row, n_hit, n_items and items_sha256 of the rows that any pass hits; each pass is written before the next."""
-    texts, hits = numbered.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")), None
+def _united_hits(numbered: DataFrame, name: str, passes: Iterator[list]) -> DataFrame:
+    """row, n_hit, n_items, items_sha256 and the longest match of the rows that any pass hits; each pass is written before the next."""
+    texts, hits = numbered.select(F.col(name).alias("row"), F.col("text").cast("string").alias("text")), None
     for shared in passes:
-        found = keep(texts.mapInArrow(_hits(shared), "row long, spans array<long>, items array<long>"), "hits")
+        found = keep(texts.mapInArrow(_hits(shared), "row long, spans array<long>, items array<long>, longest array<long>"), "hits")
         hits = found if hits is None else hits.union(found)
-    return hits.groupBy("row").agg(F.collect_list("spans"), F.collect_list("items")).mapInArrow(_summed, "row long, n_hit long, n_items long, items_sha256 string")
+    return hits.groupBy("row").agg(F.collect_list("spans"), F.collect_list("items"), F.collect_list("longest")).mapInArrow(_summed, "row long, n_hit long, n_items long, items_sha256 string, longest_words long, longest_item long, item_offset long, doc_offset long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): its words, those inside an occurrence of a window of ``benchmark`` (item_id, text), and the items found."""
+    """For each row of ``docs`` (doc_id, text): its words, those inside an occurrence of a window of ``benchmark`` (item_id, text), the items found, and the longest verbatim match.
+
+    longest_words is 0 where no window occurs; of equally long matches that with the smallest item_id (a null
+    one last), then the first place in the item (item_offset, in words), then in the document (doc_offset) is given.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     once, passes = _passes(docs, benchmark, window, block_bytes, broadcast_bytes)
     if once:
         return docs.mapInArrow(_scan(next(passes)), SCHEMA).drop("clean")
-    numbered = _numbered(docs)
-    counted = numbered.select(F.col("_row").alias("doc_id"), "text").mapInArrow(_scan([]), SCHEMA).select(F.col("doc_id").alias("row"), "n_words")
-    out = numbered.select(F.col("_row").alias("row"), "doc_id").join(counted, "row").join(_united_hits(numbered, passes), "row", "left")
+    numbered, name = _numbered(docs)
+    counted = numbered.select(F.col(name).alias("doc_id"), "text").mapInArrow(_scan([]), SCHEMA).select(F.col("doc_id").alias("row"), "n_words")
+    out = numbered.select(F.col(name).alias("row"), "doc_id").join(counted, "row").join(_united_hits(numbered, name, passes), "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_NONE)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_NONE)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), zero("longest_words"), *LONGEST[1:])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -304,8 +359,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     once, passes = _passes(docs, benchmark, window, block_bytes, broadcast_bytes)
     if once:
         return keep_rows(docs, _scan(next(passes)), "clean")
-    numbered = _numbered(docs)
-    return numbered.join(_united_hits(numbered, passes).select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    numbered, name = _numbered(docs)
+    return numbered.join(_united_hits(numbered, name, passes).select(F.col("row").alias(name)), name, "left_anti").select(*docs.columns)
 
 
 _PLACE = "item_id long, match_words long, item_offset long, doc_id long, doc_offset long"

@@ -155,7 +155,8 @@ def scan(files: DataFrame, least: float = 0.7, share: float = 0.5) -> DataFrame:
     rest = exploded.where(~F.rlike("unit", F.lit(SPDX)) | F.contains("unit", F.lit("\n"))).select("unit").distinct().join(noticed, "unit", "left_anti")
     best = F.min_by(F.struct("license", "similarity"), F.struct(-F.col("similarity"), F.col("license")))
     matches = noticed.union(pattern_matches(rest, least)).union(tagged(exploded.where(F.col("kind") == LINE))).groupBy("unit").agg(best.alias("b")).select("unit", "b.*")
-    matched = exploded.join(matches, "unit")
+    # Written, as is what is joined by directory below: a line or a directory of very many files is then split at run time.
+    matched = exploded.join(keep(matches, "licence-matches"), "unit")
     first = F.min_by(F.struct("license", "similarity"), F.struct(-(F.col("kind") == WHOLE).cast("int"), -F.col("similarity"), F.col("license")))
     # Units of one kind don't overlap, those of different kinds do.
     covered = [F.sum(F.when(F.col("kind") == k, F.length("unit")).otherwise(0)) for k in (LINE, PARAGRAPH, MARKED, SPAN)]
@@ -165,8 +166,9 @@ def scan(files: DataFrame, least: float = 0.7, share: float = 0.5) -> DataFrame:
     parts = F.split("dir", "/")
     climbed = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     steps = files.select(directory.alias("dir")).distinct().select("dir", F.posexplode(climbed).alias("depth", "ancestor"))
-    nearest = steps.join(spoken, "ancestor").groupBy("dir").agg(F.max_by(F.struct("dir_license", "ancestor"), "depth").alias("n")).select("dir", "n.*")
+    nearest = keep(steps.join(spoken, "ancestor").groupBy("dir").agg(F.max_by(F.struct("dir_license", "ancestor"), "depth").alias("n")).select("dir", "n.*"), "licence-directories")
     # Rows that share doc_id and path take the best of their units together.
-    out = files.select("doc_id", "path", directory.alias("dir")).join(own.drop("speaks"), ["doc_id", "path"], "left").join(nearest, "dir", "left")
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("known")
+    out = files.select("doc_id", "path", known, directory.alias("dir")).join(own.select(known, "path", "license", "similarity"), ["known", "path"], "left").join(nearest, "dir", "left")
     bare = F.col("license").isNull()
     return out.select("doc_id", "path", "license", "similarity", F.coalesce("license", "dir_license").alias("effective_license"), F.when(bare, F.col("ancestor")).alias("inherited_from"))

@@ -151,12 +151,16 @@ ORACLES = {
         sizes AS (SELECT DISTINCT n FROM win),
         pos AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS k
           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+        places AS (SELECT item_id, i AS o, len(w[i:i+9]) AS n, array_to_string(w[i:i+9], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        runs AS (SELECT doc_id, item_id, o, i, pos.n, i - row_number() OVER (PARTITION BY doc_id, item_id, i - o ORDER BY i) AS run FROM pos JOIN places ON pos.k = places.k AND pos.n = places.n),
+        matches AS (SELECT doc_id, item_id, min(o) - 1 AS item_offset, min(i) - 1 AS doc_offset, count(*) - 1 + any_value(n) AS words FROM runs GROUP BY doc_id, item_id, i - o, run),
+        longest AS (SELECT doc_id, words AS longest_words, item_id AS longest_item, item_offset, doc_offset FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item_id, item_offset, doc_offset) = 1),
         hit AS (SELECT DISTINCT doc_id, pos.n, i, item_id FROM pos JOIN win ON pos.k = win.k AND pos.n = win.n),
         marked AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY doc_id),
         found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
         SELECT d.doc_id, coalesce(CAST(len(d.w) AS BIGINT), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN marked ON d.doc_id = marked.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
+          sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_words, 0) AS longest_words, longest_item, item_offset, doc_offset
+        FROM d LEFT JOIN longest ON longest.doc_id = d.doc_id LEFT JOIN marked ON d.doc_id = marked.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
     """,
     "op12_ranked_search": r"""
         WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),

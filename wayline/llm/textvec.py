@@ -217,10 +217,10 @@ def run_of_text(text, size: int):
 
 
 def crc_bucket(column):
-    """Spark column: crc32 of an id's decimal text."""
+    """Spark column: crc32 of an id's decimal text; of a missing id that of no text, 0."""
     from pyspark.sql import functions as F
 
-    return F.crc32(column.cast("string").cast("binary"))
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")), F.lit(0).cast("long"))
 
 
 def keep_rows(docs, run, flag: str):
