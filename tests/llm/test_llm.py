@@ -777,6 +777,43 @@ def brute_contamination(docs, items, window):
     return out
 
 
+def brute_longest(rows, items, window):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+    out = {}
+    for d, t in rows:
+        w, best = split(t), (0, 0, None, None, None)
+        for item, text in items:
+            x = split(text)
+            for o in range(len(x)):
+                for i in range(len(w)):
+                    n = 0
+                    while o + n < len(x) and i + n < len(w) and x[o + n] == w[i + n]:
+                        n += 1
+                    if n >= min(window, len(x)) > 0:
+                        best = min(best, (-n, 0 if item is not None else 1, item, o, i), key=lambda k: (k[0], k[1], k[2] or 0, k[3] or 0, k[4] or 0))
+        out[d] = (-best[0], *best[2:])
+    return out
+
+
+def test_clean_rows_keep_a_column_named_like_row_numbers(spark):
+    docs = spark.createDataFrame([(1, "lantern x1 here", 222, 7), (2, "nothing of it", 333, 8), (None, "lantern x1", None, 9)], "doc_id long, text string, _row long, _row_ long")
+    bench = spark.createDataFrame([(1, "lantern x1"), (2, "of stone and lantern")], "item_id long, text string")
+    for broadcast_bytes in (1 << 20, 1):
+        assert [tuple(r) for r in decontaminate.keep_clean(docs, bench, 10, 20, broadcast_bytes).collect()] == [(2, "nothing of it", 333, 8)]
+
+
+def test_files_without_an_id_have_their_licence(spark):
+    line = "Licensed under the MIT License."
+    docs = spark.createDataFrame([(None, "a/x.py", f"{line}\nimport os"), (1, "a/y.py", f"{line}\nimport os"), (None, "a/z.py", "import os")], "doc_id long, path string, text string")
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in licenses.scan(docs).collect()}
+    assert got["a/x.py"] == got["a/y.py"] and got["a/x.py"][0] is not None and got["a/z.py"][0] is None
+
+
+def test_missing_ids_are_learned_from(spark):
+    got = spark.createDataFrame([(None,), (7,)], "doc_id long").select(textvec.crc_bucket(F.col("doc_id"))).collect()
+    assert [r[0] for r in got] == [0, zlib.crc32(b"7")]
+
+
 @pytest.mark.parametrize("block_bytes, broadcast_bytes, window", [(200, 1 << 20, 10), (1 << 20, 1 << 20, 10), (300, 600, 10), (1 << 20, 1 << 20, 3), (1 << 20, 1 << 20, 21)])
 def test_contamination_equals_brute_force(spark, block_bytes, broadcast_bytes, window):
     """In one block, in several, in several passes, and with windows longer than the depth of the arrays."""
@@ -790,6 +827,8 @@ def test_contamination_equals_brute_force(spark, block_bytes, broadcast_bytes, w
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in decontaminate.contamination(frame(spark, rows), bench, window, block_bytes, broadcast_bytes).collect()}
     assert got == brute_contamination(list(enumerate(rows)), items, window)
+    found = {r["doc_id"]: tuple(r[c] for c in decontaminate.LONGEST) for r in decontaminate.contamination(frame(spark, rows), bench, window, block_bytes, broadcast_bytes).collect()}
+    assert found == brute_longest(list(enumerate(rows)), items, window)
     clean = decontaminate.keep_clean(frame(spark, rows), bench, window, block_bytes, broadcast_bytes)
     assert {r["doc_id"] for r in clean.collect()} == {k for k, x in got.items() if not x[-1]} and clean.columns == frame(spark, rows).columns
     assert decontaminate.contamination(empty(spark), bench).count() == 0
@@ -862,11 +901,33 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in p.STAGES] == ["language_id", "quality", "near_dedup", "decontamination", "packing"]
 
 
+def test_pipeline_with_missing_and_repeated_ids(spark):
+    """Rows without an id are learned from and judged like others; of repeated rows one stays; other columns, whatever their names, go along."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 120")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id"))).withColumns({"_row": F.col("n_chars") + 1, "kept": F.lit(True), "score": F.lit("s")})
+    docs = docs.union(docs.where("n_chars % 5 = 0")).union(docs.limit(1).withColumns({"text": F.lit(None).cast("string")})).union(docs.limit(1).withColumn("text", F.lit("")))
+    rows = docs
+    for name, stage in p.STAGES[:-1]:
+        before = rows.count()
+        rows = stage(spark, rows, SMALL).cache()
+        assert rows.columns == docs.columns and 0 < rows.count() <= before, name
+        if name == "near_dedup":
+            assert rows.count() == rows.select("text").distinct().count()
+    assert rows.where("doc_id IS NULL").count() > 3 and rows.where("_row <> n_chars + 1 OR score <> 's'").count() == 0
+    assert p.STAGES[-1][1](spark, rows, SMALL).count() >= rows.count()
+    none = docs.limit(0)
+    for _, stage in p.STAGES:
+        none = stage(spark, none, SMALL) if none.columns == docs.columns else none
+        assert none.count() == 0
+
+
 def test_registered_names():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert json.dumps(sorted(names))
 
