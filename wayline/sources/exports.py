@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import collapse
 from ..schema import Provenance, Study, number, pin_utc
-from .files import discover_parts
+from .archives import read_parts
+from .files import discover_parts, members_below
 
 #: Raw headers, or their beginnings before a unit in parentheses, and the canonical columns.
 HEADERS = {
@@ -43,57 +41,36 @@ def detect_units(headers: list[str]) -> dict[str, str]:
     return out
 
 
-def _members(member: str, nrows: int | None):
-    """mapInPandas over (path, content): the member's rows as text, with their place for keep-first rules."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                if path.lower().endswith(".zip"):
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    inside = [n for n in archive.namelist() if n.rsplit("/", 1)[-1] == member]
-                    if not inside:
-                        raise ValueError(f"{path} holds no {member}")
-                    stream = archive.open(inside[0])
-                else:
-                    stream = io.BytesIO(content)
-                done = 0
-                for part in pd.read_csv(stream, dtype=str, keep_default_na=False, chunksize=50_000, nrows=nrows):
-                    rows = [json.dumps(dict(zip(part.columns, r)), ensure_ascii=False) for r in part.itertuples(index=False, name=None)]
-                    yield pd.DataFrame({"path": path, "line": range(done, done + len(part)), "row": rows})
-                    done += len(part)
-
-    return run
-
-
 def read_member(spark: SparkSession, source: str | list[str], member: str, nrows: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Text columns under raw headers plus _path and _line, and the headers.
+    """Text columns under raw headers plus _path and _line, and the headers: the union of all parts', by name. ``nrows`` caps each part.
 
-    Zip archives are opened where they are read, one task each; plain CSV files and directories use
-    Spark's own reader and split.
+    Parts of zipped exports are partitions of a data source. Plain CSV files and directories use Spark's
+    own reader and split, those of each distinct header by themselves; for a preview they are parts too.
     """
     parts = discover_parts(spark, source)
     if all(p.lower().endswith(".zip") for p in parts):
-        files = spark.read.format("binaryFile").load(parts).select("path", "content")
-        rows = files.repartition(len(parts)).mapInPandas(_members(member, nrows), "path string, line long, row string")
-        first = files.where(F.col("path").endswith(parts[0].rsplit("/", 1)[-1])).mapInPandas(_members(member, 1), "path string, line long, row string").first()
-        headers = list(json.loads(first["row"])) if first else []
-        parsed = F.from_json("row", "map<string,string>")
-        return rows.withColumn("m", parsed).select(*(F.col("m")[h].alias(h) for h in headers), F.col("path").alias("_path"), F.col("line").alias("_line")), headers
-    reader = spark.read.option("header", True).option("pathGlobFilter", member if not any(p.lower().endswith(".csv") for p in parts) else "*").option("recursiveFileLookup", True)
-    raw = reader.csv(parts)
-    headers = raw.columns
-    raw = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
-    return (raw.limit(nrows) if nrows is not None else raw), headers
+        return read_parts(spark, parts, member, nrows)
+    files = [f for p in parts for f in ([p] if p.lower().endswith(".csv") else members_below(spark, p, member))]
+    if not files:
+        raise ValueError(f"{source} holds no {member}")
+    if nrows is not None:
+        return read_parts(spark, files, member, nrows)
+    reader = spark.read.option("header", True)
+    groups: dict[tuple, list[str]] = {}
+    for file in files:
+        groups.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    frames = [reader.csv(own).select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line")) for own in groups.values()]
+    headers = list(dict.fromkeys(h for own in groups for h in own))
+    raw = frames[0]
+    for other in frames[1:]:
+        raw = raw.unionByName(other, allowMissingColumns=True)
+    return raw.select(*(F.col(f"`{h}`") for h in headers), "_path", "_line"), headers
 
 
 def load_observations(spark: SparkSession, source: str | list[str], nrows: int | None = None) -> Study:
     """Typed observations: instants in UTC, bad numbers as NULL, closures as booleans, units noted.
 
-    ``nrows`` caps each part of a zipped export, for previews.
+    ``nrows`` caps each part, for previews.
     """
     pin_utc(spark)
     raw, headers = read_member(spark, source, "data.csv", nrows)

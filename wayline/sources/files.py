@@ -22,10 +22,10 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    fs, where = _fs(spark, old)
-    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(new)):
-        raise OSError(f"could not rename {old} to {new}")
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, where = _fs(spark, path)
+    fs.create(where, True).close()
 
 
 def listing(spark: SparkSession, pattern: str) -> list[str]:
@@ -34,6 +34,19 @@ def listing(spark: SparkSession, pattern: str) -> list[str]:
     return [str(s.getPath()) for s in fs.globStatus(where) or []]
 
 
+def members_below(spark: SparkSession, folder: str, name: str) -> list[str]:
+    """All files of a name in a folder and the folders below it, in order."""
+    fs, where = _fs(spark, folder)
+    if not fs.exists(where):
+        raise ValueError(f"{folder} doesn't exist")
+    found, each = [], fs.listFiles(where, True)
+    while each.hasNext():
+        path = each.next().getPath()
+        if path.getName() == name:
+            found.append(str(path))
+    return sorted(found, key=natural)
+
+
 def natural(text: str) -> list:
     """A sort key in which part_2 stands before part_10."""
     return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", text)]

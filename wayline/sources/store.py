@@ -1,13 +1,21 @@
 """Persistent areas: merged observations, metadata and geometry in partitioned Parquet, with two small registries.
 
     <root>/obs/area_key=.../bin_minutes=.../   observations, keep-first on (segment_id, ts_utc)
-    <root>/meta/area_key=.../                  one row a segment
-    <root>/geo/area_key=.../                   one row a segment
-    <root>/areas/<version>, <root>/ingests/    registries; the newest version of areas counts
+    <root>/meta/area_key=.../version=.../      one row a segment; the newest whole version counts
+    <root>/geo/area_key=.../version=.../       one row a segment, likewise
+    <root>/segs/area_key=.../                  the distinct segments, by which an area's are counted
+    <root>/areas/<version>, <root>/ingests/    registries; the newest whole version of areas counts
+    <root>/pending/<area_key>                  an ingest that has begun and not been registered
 
 Merging is an anti-join against the partition that it adds to, then an append: re-ingesting adds no row.
 Duplicates inside a batch keep their first row by file order, and a batch whose bin can't be told is
 rejected. One writer at a time.
+
+Whatever is replaced is written beside and then counts by being whole: a writer that is killed leaves a
+readable store. An area's span, rows and segments are kept from ingest to ingest, from what the rows
+tell while they are written; only after a killed ingest, which its pending mark tells, is the area read
+once to count anew. An area is taken from the registry before its files go; files that no registered
+area has are cleared before their key is used again.
 """
 
 from __future__ import annotations
@@ -15,15 +23,18 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import Provenance, Study
-from .files import delete, exists, listing, rename
+from .files import delete, exists, listing, touch
 
 SCHEMA_VERSION = 2
+#: What is replaced by a new version.
+LAYERS = ("meta", "geo")
 AREAS = "area_key string, area_name string, corridors string, units string, first_ts timestamp_ntz, last_ts timestamp_ntz, n_segments long, n_rows long, created_at long, updated_at long, schema_version int"
 INGESTS = "area_key string, source string, bin_minutes int, n_read long, n_added long, at long"
 
@@ -68,8 +79,19 @@ class Store:
 
     def _read(self, kind: str, key: str) -> DataFrame | None:
         path = f"{self.root}/{kind}/area_key={key}"
+        if kind in LAYERS:
+            whole = sorted(v for v in listing(self.spark, f"{path}/version=*") if exists(self.spark, f"{v}/_SUCCESS"))
+            return self.spark.read.parquet(whole[-1]) if whole else None
         return self.spark.read.option("mergeSchema", True).option("basePath", f"{self.root}/{kind}").parquet(path) if exists(self.spark, path) else None
 
+    def _replace(self, kind: str, key: str, frame: DataFrame) -> None:
+        """A new version beside the old ones, of which the last but one goes."""
+        path = f"{self.root}/{kind}/area_key={key}"
+        old = sorted(listing(self.spark, f"{path}/version=*"))
+        frame.write.parquet(f"{path}/version={time.time_ns():020d}")
+        for version in old[:-1]:
+            delete(self.spark, version)
+
     def areas(self) -> DataFrame:
         """The registry, latest first."""
         versions = sorted(p for p in listing(self.spark, f"{self.root}/areas/*") if exists(self.spark, f"{p}/_SUCCESS"))
@@ -84,8 +106,8 @@ class Store:
         return self.spark.read.schema(INGESTS).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], INGESTS)
 
     def area_bins(self, key: str) -> list[int]:
-        obs = self._read("obs", key)
-        return [] if obs is None else sorted(r[0] for r in obs.select("bin_minutes").distinct().collect())
+        """The bins that an area has, by its folders."""
+        return sorted(int(p.rsplit("=", 1)[-1]) for p in listing(self.spark, f"{self.root}/obs/area_key={key}/bin_minutes=*"))
 
     def _resolve_bin(self, key: str, minutes: int | None) -> int:
         bins = self.area_bins(key)
@@ -105,29 +127,54 @@ class Store:
             bin_minutes = found["bin_minutes"] if found else None
         if bin_minutes is None:
             raise ValueError("the bin length can't be told from fewer than two rows of a segment")
+        registered = [r for r in self.areas().collect() if r["area_key"] == key]
+        pending = f"{self.root}/pending/{key}"
+        recount = bool(registered) and exists(self.spark, pending)
+        if not registered and not exists(self.spark, pending):
+            self._clear(key)
+        touch(self.spark, pending)
+        recount = recount or not registered
         stored = self._read("obs", key)
         same = None if stored is None else stored.where(F.col("bin_minutes") == bin_minutes)
-        order = [c for c in ("_path", "_line") if c in obs.columns] or None
+        order = None
+        if "_path" in obs.columns:
+            # Numbers in paths count as numbers: part_2 comes before part_10.
+            numbers = F.transform(F.regexp_extract_all("_path", F.lit(r"(\d+)"), F.lit(1)), lambda d: F.lpad(d, 20, "0"))
+            order = [numbers, F.col("_path"), *([F.col("_line")] if "_line" in obs.columns else [])]
         # Both numbers are counted while the rows are written.
         read, added = Observation(), Observation()
-        new = keep_first(same, obs.observe(read, F.count(F.lit(1)).alias("n")), ["segment_id", "ts_utc"], order).drop("_path", "_line").observe(added, F.count(F.lit(1)).alias("n"))
+        counted = [F.count(F.lit(1)).alias("n"), F.min("ts_utc").cast("string").alias("first"), F.max("ts_utc").cast("string").alias("last")]
+        new = keep_first(same, obs.observe(read, F.count(F.lit(1)).alias("n")), ["segment_id", "ts_utc"], order).drop("_path", "_line").observe(added, *counted)
         new.withColumn("area_key", F.lit(key)).withColumn("bin_minutes", F.lit(bin_minutes)).write.mode("append").partitionBy("area_key", "bin_minutes").parquet(f"{self.root}/obs")
         for kind, frame in (("meta", study.metadata), ("geo", study.geometry)):
             if frame is not None:
                 self._merge_dimension(kind, key, frame)
-        self._register(key, name or identity["area_name"], identity["corridors"], study.provenance, self._read("obs", key))
+        found = Observation()
+        segments = keep_first(self._read("segs", key), obs.select("segment_id"), ["segment_id"]).observe(found, F.count(F.lit(1)).alias("n"))
+        segments.withColumn("area_key", F.lit(key)).write.mode("append").partitionBy("area_key").parquet(f"{self.root}/segs")
+        if recount:
+            span = self._read("obs", key).agg(F.min("ts_utc"), F.max("ts_utc"), F.count("*")).first()
+            number = self._read("segs", key).distinct().count()
+        else:
+            old, ends = registered[0], [datetime.fromisoformat(x) for x in (added.get["first"], added.get["last"]) if x]
+            span = min([old["first_ts"], *ends[:1]]), max([old["last_ts"], *ends[1:]]), old["n_rows"] + added.get["n"]
+            number = old["n_segments"] + found.get["n"]
+        self._register(key, name or identity["area_name"], identity["corridors"], study.provenance, span, number)
         self.spark.createDataFrame([(key, source, bin_minutes, read.get["n"], added.get["n"], time.time_ns())], INGESTS).coalesce(1).write.mode("append").parquet(f"{self.root}/ingests")
+        delete(self.spark, pending)
         return key, added.get["n"]
 
     def _merge_dimension(self, kind: str, key: str, frame: DataFrame) -> None:
-        new = keep_first(self._read(kind, key), frame, ["segment_id"])
-        new.withColumn("area_key", F.lit(key)).write.mode("append").partitionBy("area_key").parquet(f"{self.root}/{kind}")
+        """Adds rows of segments that have none yet, in a new version; nothing is written where there are none."""
+        old = self._read(kind, key)
+        new = keep_first(old, frame, ["segment_id"])
+        if old is None or not new.isEmpty():
+            self._replace(kind, key, new if old is None else old.unionByName(new, allowMissingColumns=True))
 
-    def _register(self, key: str, name: str, corridors: str, provenance: Provenance, merged: DataFrame) -> None:
-        span = merged.agg(F.min("ts_utc").alias("a"), F.max("ts_utc").alias("b"), F.count_distinct("segment_id").alias("n"), F.count("*").alias("rows")).first()
+    def _register(self, key: str, name: str, corridors: str, provenance: Provenance, span: tuple, segments: int) -> None:
         old = [r for r in self.areas().collect() if r["area_key"] == key]
         now = time.time_ns()
-        row = (key, name, corridors, json.dumps(provenance.units, sort_keys=True), span["a"], span["b"], span["n"], span["rows"], old[0]["created_at"] if old else now, now, SCHEMA_VERSION)
+        row = (key, name, corridors, json.dumps(provenance.units, sort_keys=True), span[0], span[1], segments, span[2], old[0]["created_at"] if old else now, now, SCHEMA_VERSION)
         self._write_areas(self.areas().where(F.col("area_key") != key).union(self.spark.createDataFrame([row], AREAS)))
 
     def _write_areas(self, df: DataFrame) -> None:
@@ -139,14 +186,9 @@ class Store:
         self._merge_dimension("geo", key, geometry)
 
     def ingest_volumes(self, key: str, volumes: DataFrame) -> None:
-        """Sets aadt, match and route of the stored lines, which stay as they are; written beside and then swapped."""
-        path = f"{self.root}/geo/area_key={key}"
+        """Sets aadt, match and route of the stored lines, which stay as they are, in a new version."""
         fields = [c for c in ("aadt", "match", "route", "commercial", "line_id", "distance") if c in volumes.columns]
-        geo = self._read("geo", key).drop(*fields, "area_key").join(volumes.select("segment_id", *fields), "segment_id", "left")
-        beside = f"{self.root}/.geo-{key}-{time.time_ns()}"
-        geo.write.parquet(beside)
-        delete(self.spark, path)
-        rename(self.spark, beside, path)
+        self._replace("geo", key, self._read("geo", key).drop(*fields).join(volumes.select("segment_id", *fields), "segment_id", "left"))
 
     def load(self, key: str, bin_minutes: int | None = None) -> Study:
         """Observations of one bin (its partition alone is read), metadata and geometry."""
@@ -154,6 +196,8 @@ class Store:
         obs = self._read("obs", key).where(F.col("bin_minutes") == minutes).drop("area_key", "bin_minutes")
         drop = lambda df: None if df is None else df.drop("area_key")
         row = self.areas().where(F.col("area_key") == key).first()
+        if row is None:
+            raise ValueError(f"no area {key!r}")
         if row and row["schema_version"] > SCHEMA_VERSION:
             raise ValueError(f"the area was written by a later version of the store: {row['schema_version']}")
         units = json.loads(row["units"]) if row and (row["units"] or "").startswith("{") else {}
@@ -161,6 +205,10 @@ class Store:
         return replace(study, provenance=study.provenance.noted(bin_minutes=minutes))
 
     def remove(self, key: str) -> None:
-        for kind in ("obs", "meta", "geo"):
-            delete(self.spark, f"{self.root}/{kind}/area_key={key}")
+        """Takes an area from the registry, which ends it, and then its files."""
         self._write_areas(self.areas().where(F.col("area_key") != key))
+        self._clear(key)
+
+    def _clear(self, key: str) -> None:
+        for kind in ("obs", "segs", *LAYERS):
+            delete(self.spark, f"{self.root}/{kind}/area_key={key}")
