@@ -11,10 +11,24 @@ from wayline.schema import Study
 from wayline.sources import shapefile
 
 
+def box(points):
+    xs, ys = zip(*points)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def shx(lines):
+    out, at = b"\0" * 100, 100
+    for points in lines:
+        size = 4 if points is None else 48 + 16 * len(points)
+        out += struct.pack(">ii", at // 2, size // 2)
+        at += 8 + size
+    return out
+
+
 def shp(lines):
     records = b""
     for k, points in enumerate(lines):
-        body = struct.pack("<i", 0) if points is None else struct.pack("<i4dii", 3, 0, 0, 0, 0, 1, len(points)) + struct.pack("<i", 0) + b"".join(struct.pack("<dd", *p) for p in points)
+        body = struct.pack("<i", 0) if points is None else struct.pack("<i4dii", 3, *box(points), 1, len(points)) + struct.pack("<i", 0) + b"".join(struct.pack("<dd", *p) for p in points)
         records += struct.pack(">ii", k + 1, len(body) // 2) + body
     return b"\0" * 100 + records
 
@@ -70,6 +84,44 @@ def test_volume_layer(spark, tmp_path):
     assert len(row) == 1 and row[0]["aadt"] == 42000.0 and row[0]["line"][0]["lon"] == pytest.approx(-116.2, abs=1e-7)
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_a_layer_is_read_in_ranges_and_only_decoded_where_it_is_asked_for(spark, tmp_path, monkeypatch, zipped):
+    lines = [None if k % 13 == 5 else [forward(-116.5 + k / 50, 43.0 + k / 100), forward(-116.5 + k / 50, 43.01 + k / 100)] for k in range(57)]
+    table = dbf(["Year", "Route", "AADT", "Extra"], [(2024 if k % 2 else 2023, f"R{k}", k, "ü") for k in range(57)])
+    kinds = {".shp": shp(lines), ".dbf": table, ".shx": shx(lines)}
+    if zipped:
+        source = f"file:{tmp_path}/v.zip"
+        with zipfile.ZipFile(tmp_path / "v.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for kind, content in kinds.items():
+                z.writestr(f"d/v{kind}", content)
+    else:
+        source = f"file:{tmp_path}/v.shp"
+        for kind, content in kinds.items():
+            (tmp_path / f"v{kind}").write_bytes(content)
+    raw = shapefile.load_layer(spark, source, per_partition=10)
+    assert raw.rdd.getNumPartitions() == 6 and raw.columns == ["Year", "Route", "AADT", "Extra", "line"]
+    got = raw.collect()
+    assert [r["Route"] for r in got] == [f"R{k}" for k in range(57)] and [r["line"] is None for r in got] == [x is None for x in lines]
+    assert all(r["line"] is None or (r["line"][1]["lon"], r["line"][1]["lat"]) == x[1] for r, x in zip(got, lines))
+    bbox = (-116.21, 43.105, -115.895, 43.355)
+    found = shapefile.volume_layer(spark, source, bbox=bbox)
+    want = [k for k in range(57) if k % 2 and k % 13 != 5 and -116.21 <= -116.5 + k / 50 <= -115.895 and 43.0 + k / 100 <= 43.355 and 43.01 + k / 100 >= 43.105]
+    assert sorted(r["route"] for r in found.collect()) == sorted(f"R{k}" for k in want) and "extra" not in found.columns
+    near = shapefile.load_layer(spark, source, ["Route"], {"Year": ["2024"]}, shapefile.projected_box(bbox, shapefile.STATE_ZONE))
+    assert near.columns == ["Route", "line"] and len(want) <= near.count() <= len(want) + 2
+    with monkeypatch.context() as m:
+        m.setattr(shapefile, "opens", lambda path: False)
+        assert shapefile.load_layer(spark, source, ["Route"], {"Year": ["2024"]}).count() == 28
+
+
+def test_projected_box_holds_what_the_box_holds():
+    w, s, e, n = shapefile.projected_box((-117.0, 42.5, -113.0, 46.0), shapefile.STATE_ZONE)
+    for i in range(21):
+        for j in range(21):
+            x, y = forward(-117.0 + i / 5, 42.5 + 3.5 * j / 20)
+            assert w <= x <= e and s <= y <= n
+
+
 def test_free_flow_choices():
     assert summarize.parse_free_flow("ref") == "ref" and summarize.parse_free_flow("p85") == ("p85", 85.0)
     for bad in ("85", "p", "p101", 3):

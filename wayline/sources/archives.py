@@ -23,7 +23,7 @@ BLOCK_BYTES = 4 << 20
 NAME = "wayline_members"
 
 
-def _opened(path: str):
+def open_file(path: str):
     """A seekable file of a path or URI."""
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path.removeprefix("file:")
@@ -34,7 +34,7 @@ def _opened(path: str):
 def opens(path: str) -> bool:
     """Whether Python's file systems know a path's kind."""
     try:
-        with _opened(path):
+        with open_file(path):
             return True
     except (pa.ArrowInvalid, OSError, ValueError):
         return False
@@ -109,7 +109,7 @@ class MembersReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path = self.parts[partition.value]
-        with _opened(path) as file:
+        with open_file(path) as file:
             yield from batches(file, path, self.member, self.headers, self.nrows)
 
 
@@ -131,7 +131,7 @@ def read_parts(spark: SparkSession, parts: list[str], member: str, nrows: int |
     if all(opens(p) for p in parts[:1]):
 
         def head(path: str) -> list[str]:
-            with _opened(path) as file:
+            with open_file(path) as file:
                 return headers_of(file, path, member)
 
         with ThreadPoolExecutor(16) as pool:

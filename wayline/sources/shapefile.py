@@ -1,26 +1,35 @@
-"""Polyline shapefiles, zipped or plain, as DataFrames, and the transverse Mercator projection that some layers use.
+"""Polyline shapefiles, zipped or plain, as a partitioned data source, and the transverse Mercator projection that some layers use.
 
-A shapefile can't be split, so each is parsed by one task, in blocks; export it to Parquet once and read that.
+A layer's index (.shx) tells where its records begin: ranges of them are partitions, each of which seeks to
+its own (in a zip archive: skips to it). Of a record first the attributes that are filtered by are looked
+at, then the box in its header, which is compared in the layer's own system; points are decoded of what is
+left alone, and attributes only as far as they are asked for.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.projection import GRS80, forward_number
 from ..schema import number
+from .archives import open_file, opens
 from .exports import within_box
 from .files import listing
 
 #: Attribute names of network and volume layers, which the format cuts to ten characters, and canonical columns.
 NETWORK = {"XDSegID": "segment_id", "PreviousXD": "previous_id", "NextXDSegI": "next_id", "FRC": "frc", "XDGroup": "group_id", "Miles": "miles"}
 VOLUMES = {"Year": "year", "RouteID": "route_id", "Route": "route", "AADT": "aadt", "Commercial": "commercial", "FromMeasur": "from_measure", "ToMeasure": "to_measure"}
-#: GRS 80, and a state-wide transverse Mercator zone (latitude and longitude of origin, scale, false easting and northing).
-GRS80 = (6_378_137.0, 1 / 298.257222101)
+#: A state-wide transverse Mercator zone (latitude and longitude of origin, scale, false easting and northing).
 STATE_ZONE = (42.0, -114.0, 0.9996, 2_500_000.0, 1_200_000.0)
 
 
@@ -44,88 +53,179 @@ def inverse_mercator(x: Column, y: Column, zone=STATE_ZONE, ellipsoid=GRS80) ->
     return F.degrees(lon) + lon0, F.degrees(lat)
 
 
-def _table(content: bytes) -> tuple[list[str], Iterator[list[str]]]:
-    """Field names and rows, as stripped text, of a dBase table."""
-    count, head, size = int.from_bytes(content[4:8], "little"), int.from_bytes(content[8:10], "little"), int.from_bytes(content[10:12], "little")
-    fields = []
-    at = 32
-    while content[at] != 0x0D:
-        fields.append((content[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), content[at + 16]))
-        at += 32
+def projected_box(bbox, zone=None, ellipsoid=GRS80) -> tuple[float, float, float, float]:
+    """The envelope, in a layer's metres, of a box (w, s, e, n) of degrees: of points all along its sides, since they bend. Degrees without a zone."""
+    if zone is None:
+        return tuple(float(x) for x in bbox)
+    lat0, lon0, k0, east, north = zone
+    base = forward_number(lon0, lat0, lon0, k0, ellipsoid)[1]
+    w, s, e, n = bbox
+    steps = [k / 16 for k in range(17)]
+    around = [p for t in steps for p in ((w + t * (e - w), s), (w + t * (e - w), n), (w, s + t * (n - s)), (e, s + t * (n - s)))]
+    xs, ys = zip(*(forward_number(lon, lat, lon0, k0, ellipsoid) for lon, lat in around))
+    # A sixteenth of a side bends by far less than a hundredth of it.
+    slack = 0.01 * max(max(xs) - min(xs), max(ys) - min(ys))
+    return east + min(xs) - slack, north + min(ys) - base - slack, east + max(xs) + slack, north + max(ys) - base + slack
+
+
+class Table:
+    """A dBase table's fields, and its rows as stripped text."""
+
+    def __init__(self, file):
+        self.file = file
+        first = file.read(32)
+        self.count, self.head, self.size = int.from_bytes(first[4:8], "little"), int.from_bytes(first[8:10], "little"), int.from_bytes(first[10:12], "little")
+        self.fields: dict[str, tuple[int, int]] = {}
+        at = 1
+        for k in range(0, len(fields := file.read(self.head - 32)), 32):
+            if fields[k] == 0x0D:
+                break
+            self.fields[fields[k : k + 11].split(b"\0")[0].decode("ascii", "replace")] = at, fields[k + 16]
+            at += fields[k + 16]
+
+    def rows(self, start: int, stop: int) -> Iterator[bytes]:
+        self.file.seek(self.head + start * self.size)
+        for _ in range(start, min(stop, self.count)):
+            yield self.file.read(self.size)
+
+    def value(self, row: bytes, name: str) -> str:
+        at, width = self.fields[name]
+        return row[at : at + width].decode("utf-8", "replace").strip()
+
+
+def index_of(file) -> list[int]:
+    """The byte at which each record begins, of an .shx file."""
+    content = file.read()[100:]
+    return [2 * int.from_bytes(content[k : k + 4], "big") for k in range(0, len(content) - 7, 8)]
+
+
+def records(shapes, table: Table, start: int, stop: int, at: int, names: list[str], equal: dict[str, list[str]], box) -> Iterator[tuple[list[str], list | None]]:
+    """Attributes and points of the records from ``start`` to ``stop``, the first at byte ``at``, whose attributes are among ``equal`` and whose boxes meet ``box``.
+
+    Null and other shapes have no points; they are left out where there is a box.
+    """
+    shapes.seek(at)
+    for row in table.rows(start, stop):
+        head = shapes.read(8)
+        if len(head) < 8:
+            return
+        body = shapes.read(2 * int.from_bytes(head[4:8], "big"))
+        if any(table.value(row, n) not in wanted for n, wanted in equal.items()):
+            continue
+        line = None
+        if int.from_bytes(body[:4], "little") in (3, 13, 23):
+            w, s, e, n = struct.unpack("<4d", body[4:36])
+            if box is not None and not (e >= box[0] and w <= box[2] and n >= box[1] and s <= box[3]):
+                continue
+            parts, points = struct.unpack("<ii", body[36:44])
+            line = np.frombuffer(body, dtype="<f8", count=2 * points, offset=44 + 4 * parts).reshape(-1, 2)
+        elif box is not None:
+            continue
+        yield [table.value(row, n) for n in names], line
 
-    def rows() -> Iterator[list[str]]:
-        for k in range(count):
-            begin, out = head + k * size + 1, []
-            for _, width in fields:
-                out.append(content[begin : begin + width].decode("utf-8", "replace").strip())
-                begin += width
-            yield out
 
-    return [name for name, _ in fields], rows()
+def batches(found: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches: text attributes and line."""
+    while rows := list(islice(found, 4096)):
+        sizes = [0 if line is None else len(line) for _, line in rows]
+        points = np.concatenate([line for _, line in rows if line is not None] or [np.empty((0, 2))])
+        pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, k])) for k in (0, 1)], ["lon", "lat"])
+        ends = pa.array([None if line is None else end for (_, line), end in zip(rows, np.cumsum([0, *sizes])[:-1].tolist())] + [sum(sizes)], type=pa.int32())
+        yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v, _ in rows], type=pa.string()) for k in range(len(names))), pa.ListArray.from_arrays(ends, pairs)], names=[*names, "line"])
 
 
-def _shapes(content: bytes) -> Iterator[list[tuple[float, float]] | None]:
-    """The points of each polyline, its parts one after another; other and null shapes give None."""
-    import struct
+#: Records of a partition.
+RANGE = 20_000
+LAYER = "wayline_layer"
 
-    at = 100
-    while at + 8 <= len(content):
-        length = 2 * struct.unpack(">i", content[at + 4 : at + 8])[0]
-        body = content[at + 8 : at + 8 + length]
-        if struct.unpack("<i", body[:4])[0] in (3, 13, 23):
-            parts, points = struct.unpack("<ii", body[36:44])
-            flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            yield list(zip(flat[::2], flat[1::2]))
-        else:
-            yield None
-        at += 8 + length
 
+class _Files:
+    """The files of a layer: members of an archive, or what stands beside an .shp."""
 
-def _layer(head_only: bool):
-    """mapInPandas over (path, content) of archives, or over pairs of .shp and .dbf that stand together."""
+    def __init__(self, path: str, whole: dict[str, bytes] | None = None):
+        self.path, self.whole = path, whole
 
-    def pairs(frame: pd.DataFrame) -> Iterator[tuple[bytes, bytes]]:
+    def open(self, kind: str):
+        """A seekable file of '.shp', '.dbf' or '.shx'; None if there is none."""
         import io
         import zipfile
 
-        plain: dict[str, dict[str, bytes]] = {}
-        for path, content in zip(frame["path"], frame["content"]):
-            if path.lower().endswith(".zip"):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                for name in archive.namelist():
-                    if name.lower().endswith(".shp"):
-                        table = next(n for n in archive.namelist() if n.lower() == name[:-4].lower() + ".dbf")
-                        yield archive.read(name), archive.read(table)
-            else:
-                plain.setdefault(path[:-4], {})[path[-4:].lower()] = content
-        yield from ((both[".shp"], both[".dbf"]) for both in plain.values())
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for shapes, table in pairs(frame):
-            names, values = _table(table)
-            if head_only:
-                return pd.DataFrame({"attributes": [dict.fromkeys(names, "")], "line": [None]})
-            for points, row in zip(_shapes(shapes), values):
-                rows.append((dict(zip(names, row)), None if points is None else [{"lon": x, "lat": y} for x, y in points]))
-        return pd.DataFrame(rows, columns=["attributes", "line"])
-
-    return run
-
-
-def load_layer(spark: SparkSession, source: str) -> DataFrame:
-    """Text attributes under the layer's names, and line, of a .zip, a .shp, or a folder with one."""
-    if source.lower().endswith(".zip"):
-        paths = [source]
-    else:
-        stem = source[:-4] if source.lower().endswith(".shp") else listing(spark, f"{source.rstrip('/')}/*.shp")[0][:-4]
-        paths = [f"{stem}.shp", f"{stem}.dbf"]
-    # One layer is one group: its two files must meet, and neither can be split.
-    files = spark.read.format("binaryFile").load(paths).select("path", "content", F.lit(0).alias("layer")).groupBy("layer")
-    schema = "attributes map<string,string>, line array<struct<lon:double,lat:double>>"
-    head = files.applyInPandas(_layer(True), schema).first()
-    rows = files.applyInPandas(_layer(False), schema)
-    return rows.select(*(F.col("attributes")[n].alias(n) for n in (head["attributes"] if head else {})), "line")
+        if not self.path.lower().endswith(".zip"):
+            if self.whole is not None:
+                return io.BytesIO(self.whole[kind]) if kind in self.whole else None
+            found = next((p for p in (self.path[:-4] + kind, self.path[:-4] + kind.upper()) if opens(p)), None)
+            return None if found is None else open_file(found)
+        archive = zipfile.ZipFile(open_file(self.path) if self.whole is None else io.BytesIO(self.whole[".zip"]))
+        names = {n.lower(): n for n in archive.namelist()}
+        stem = next((n[:-4] for n in names if n.endswith(".shp")), None)
+        if stem is None:
+            raise ValueError(f"{self.path} holds no .shp")
+        return archive.open(names[stem + kind]) if stem + kind in names else None
+
+
+class Layer(DataSource):
+    """Options: path, names, equal, box (JSON) and range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return LAYER
+
+    def schema(self) -> str:
+        return ", ".join([*(f"`{n}` string" for n in json.loads(self.options["names"])), "line array<struct<lon:double,lat:double>>"])
+
+    def reader(self, schema) -> "LayerReader":
+        return LayerReader(dict(self.options))
+
+
+class LayerReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.names, self.equal, self.box = options["path"], json.loads(options["names"]), json.loads(options["equal"]), json.loads(options["box"])
+        self.range = int(options["range"])
+
+    def partitions(self) -> list[InputPartition]:
+        index = _Files(self.path).open(".shx")
+        starts = index_of(index) if index is not None else []
+        if index is None:
+            return [InputPartition((0, 2**31, 100))]
+        return [InputPartition((k, k + self.range, starts[k])) for k in range(0, len(starts), self.range)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        files = _Files(self.path)
+        table = Table(files.open(".dbf"))
+        yield from batches(records(files.open(".shp"), table, *partition.value, self.names, self.equal, self.box), self.names)
+
+
+def load_layer(spark: SparkSession, source: str, names: list[str] | None = None, equal: dict[str, list[str]] | None = None, box=None, per_partition: int = RANGE) -> DataFrame:
+    """Text attributes under the layer's ``names`` (those that it has; all by default), and line, of a .zip, a .shp, or a folder with one.
+
+    ``equal``: attributes and the texts that they may have; ``box``: in the layer's own units. Files that
+    Python's file systems can't open are read whole by Spark, in one task.
+    """
+    path = source if source.lower().endswith((".zip", ".shp")) else listing(spark, f"{source.rstrip('/')}/*.shp")[0]
+    if opens(path):
+        have = list(Table(_Files(path).open(".dbf")).fields)
+        names = have if names is None else [n for n in names if n in have]
+        spark.dataSource.register(Layer)
+        options = {"path": path, "names": json.dumps(names), "equal": json.dumps({n: v for n, v in (equal or {}).items() if n in have}), "box": json.dumps(box), "range": str(per_partition)}
+        return spark.read.format(LAYER).options(**options).load()
+    paths = [path] if path.lower().endswith(".zip") else [f"{path[:-4]}{kind}" for kind in (".shp", ".dbf")]
+    files = spark.read.format("binaryFile").load(paths).select("path", "content").coalesce(1)
+
+    def whole(rows: Iterator[pa.RecordBatch]) -> _Files:
+        return _Files(path, {p[-4:].lower(): c.as_py() for batch in rows for p, c in zip(batch.column(0).to_pylist(), batch.column(1))})
+
+    def fields(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(list(Table(whole(rows).open(".dbf")).fields))], names=["name"])
+
+    have = [r[0] for r in files.mapInArrow(fields, "name string").collect()]
+    names = have if names is None else [n for n in names if n in have]
+    equal = {n: v for n, v in (equal or {}).items() if n in have}
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layer = whole(rows)
+        yield from batches(records(layer.open(".shp"), Table(layer.open(".dbf")), 0, 2**31, 100, names, equal, box), names)
+
+    return files.mapInArrow(run, ", ".join([*(f"`{n}` string" for n in names), "line array<struct<lon:double,lat:double>>"]))
 
 
 def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -133,19 +233,18 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def network_layer(spark: SparkSession, source: str, segment_ids=None, bbox=None) -> DataFrame:
-    """Typed network lines; what is no number becomes NULL. ``segment_ids`` and ``bbox`` (w, s, e, n) restrict the rows."""
-    df = _renamed(load_layer(spark, source), NETWORK)
+    """Typed network lines; what is no number becomes NULL. ``segment_ids`` and ``bbox`` (w, s, e, n) restrict what is decoded."""
+    ids = None if segment_ids is None else sorted({int(i) for i in segment_ids})
+    df = _renamed(load_layer(spark, source, list(NETWORK), None if ids is None else {"XDSegID": [str(i) for i in ids]}, None if bbox is None else projected_box(bbox)), NETWORK)
     whole = [c for c in df.columns if c not in ("miles", "line")]
     df = df.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in whole} | ({"miles": number("miles")} if "miles" in df.columns else {}))
-    if segment_ids is not None:
-        df = df.where(F.col("segment_id").isin([int(i) for i in segment_ids]))
     return within_box(df, bbox)
 
 
 def volume_layer(spark: SparkSession, source: str, year: int = 2024, bbox=None, zone=STATE_ZONE) -> DataFrame:
-    """Volume lines of one year with line_id, in degrees; ``zone`` is None for layers that are in degrees already."""
-    df = _renamed(load_layer(spark, source), VOLUMES)
-    df = df.withColumns({c: number(c) for c in df.columns if c in ("aadt", "commercial", "from_measure", "to_measure")}).withColumn("year", F.expr("try_cast(year AS int)")).where(F.col("year") == year)
+    """Volume lines of one year with line_id, in degrees; ``zone`` is None for layers that are in degrees already. The box, moved to the zone, restricts what is decoded."""
+    df = _renamed(load_layer(spark, source, list(VOLUMES), {"Year": [str(year), f"{year}.0"]}, None if bbox is None else projected_box(bbox, zone)), VOLUMES)
+    df = df.withColumns({c: number(c) for c in df.columns if c in ("aadt", "commercial", "from_measure", "to_measure")}).withColumn("year", F.expr("try_cast(try_cast(year AS double) AS int)")).where(F.col("year") == year)
     if zone is not None:
-        df = df.withColumn("line", F.transform("line", lambda p: F.struct(*(c.alias(n) for c, n in zip(inverse_mercator(p["lon"], p["lat"], zone), ("lon", "lat"))))))
+        df = df.withColumn("line", F.transform("line", lambda p: F.struct(*(c.alias(n) for n, c in zip(("lon", "lat"), inverse_mercator(p["lon"], p["lat"], zone))))))
     return within_box(df.withColumn("line_id", F.xxhash64(*[c for c in df.columns if c != "line"], F.to_json("line"))), bbox)
