@@ -165,3 +165,32 @@ def test_session_keeps_results_and_weighted_scopes(spark):
 def test_csv_files(spark, tmp_path):
     sinks.write_csv(spark.range(100).withColumn("v", F.col("id") * 2), f"file:{tmp_path}/out", ["id"])
     assert spark.read.option("header", True).csv(f"file:{tmp_path}/out").agg(F.sum("v")).first()[0] == 9900
+
+
+def shifted(spark, days=60, at=31.4, by=5.0, step=30, seed=1):
+    rng = np.random.default_rng(seed)
+    ts = pd.date_range("2026-02-02", periods=days * 1440 // step, freq=f"{step}min")
+    level = 10 + by * (np.arange(len(ts)) >= at * 1440 // step)
+    pdf = pd.concat([pd.DataFrame({"segment_id": s, "ts_utc": ts, "v": (level if s == 1 else 10.0) + rng.normal(0, 1, len(ts))}) for s in (1, 2)])
+    return cal.to_local(spark.createDataFrame(pdf).withColumn("ts_utc", F.col("ts_utc").cast("timestamp_ntz")))
+
+
+def test_changepoints_tell_the_instant(spark, monkeypatch):
+    from wayline.operators import shifts
+
+    df = shifted(spark)
+    whole = shifts.changepoints_in_time(df, "v").collect()
+    assert [r["segment_id"] for r in whole] == [1]
+    shift = datetime(2026, 2, 2) + pd.Timedelta(days=31.4)
+    assert abs(whole[0]["changepoint_ts"] - shift) <= pd.Timedelta(hours=2) and whole[0]["pct_change"] == pytest.approx(0.5, abs=0.02)
+    monkeypatch.setattr(shifts, "CHUNK_DAYS", 9)  # many chunks, the same
+    chunked = shifts.changepoints_in_time(df, "v").collect()
+    assert [r["changepoint_ts"] for r in chunked] == [r["changepoint_ts"] for r in whole] and chunked[0]["score"] == pytest.approx(whole[0]["score"])
+    robust = shifts.changepoints_in_time(df.withColumn("v", F.when(F.pmod(F.hash("ts_utc"), F.lit(50)) == 0, 500.0).otherwise(F.col("v"))), "v", robust=True).collect()
+    assert [r["segment_id"] for r in robust] == [1] and robust[0]["avg_diff"] == pytest.approx(5, abs=0.3)
+    assert shifts.changepoints_in_time(df, "v", upper_bound=13.5).count() == 0
+    back = df.withColumn("v", F.when(F.col("local_date") >= date(2026, 3, 25), F.col("v") - F.when(F.col("segment_id") == 1, 5.0).otherwise(0.0)).otherwise(F.col("v")))
+    kept = [r["avg_diff"] > 0 for r in shifts.changepoints_in_time(back, "v", window_days=7).collect()]
+    assert True in kept
+    assert all(r["avg_diff"] < 0 for r in shifts.changepoints_in_time(back, "v", window_days=7, recent_days=5).collect())
+    assert shifts.changepoints_in_time(df.limit(0), "v").count() == 0

@@ -101,8 +101,9 @@ class Session:
         key = (periods, unit, self._key(value, scope, corridor, window, days, members, weighted, options))
         return self._recent(self._compared, key, self.results, lambda: compare.compare_adjusted(self.adjusted(value, **own, **options), before, after, value, unit=unit))
 
-    def changepoints(self, value: str, **scope) -> DataFrame:
-        return shifts.detect_changepoints(self.adjusted(value, **scope), f"{value}_adj")
+    def changepoints(self, value: str, detection: dict | None = None, **scope) -> DataFrame:
+        """Level shifts of the kept series; ``detection``: options of shifts.changepoints_in_time."""
+        return shifts.changepoints_in_time(self.adjusted(value, **scope), f"{value}_adj", **(detection or {}))
 
     def close(self) -> None:
         for kept in (self._compared, self._kept):

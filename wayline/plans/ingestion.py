@@ -87,4 +87,4 @@ def decomposition_panel(session: Session, value: str, segment: int | None = None
     if entity is None:
         raise ValueError("choose a segment, or a corridor or the network")
     rows = session.adjusted(value, **scope).where(F.col("segment_id") == entity)
-    return rows, shifts.detect_changepoints(rows, f"{value}_adj")
+    return rows, shifts.changepoints_in_time(rows, f"{value}_adj")

@@ -384,6 +384,22 @@ def changepoints_daily(spark, sf_dir):
     return r6(_shifts(spark, sf_dir), "score", "avg_before", "avg_after", "avg_diff", "pct_change")
 
 
+@query(f"""WITH {_HOURLY}, x AS (SELECT corridor, ts_utc, local_date, travel_time + CASE WHEN ts_utc >= TIMESTAMP '2024-01-14 09:00:00' AND corridor = 'view' THEN 40 WHEN ts_utc >= TIMESTAMP '2024-01-20 21:00:00' AND corridor = 'click' THEN -25 ELSE 0 END AS v FROM hcal),
+  f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY corridor, local_date ORDER BY ts_utc) = 1 THEN 1 ELSE 0 END AS first FROM x),
+  w AS (SELECT *, count(v) OVER b AS nb, avg(v) OVER b AS mb, var_samp(v) OVER b AS vb, sum(first) OVER b AS db, count(v) OVER a AS na, avg(v) OVER a AS ma, var_samp(v) OVER a AS va, sum(first) OVER a AS da FROM f
+    WINDOW b AS (PARTITION BY corridor ORDER BY ts_utc RANGE BETWEEN INTERVAL 5 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), a AS (PARTITION BY corridor ORDER BY ts_utc RANGE BETWEEN CURRENT ROW AND INTERVAL '4 days 23:59:59.999999' FOLLOWING)),
+  s AS (SELECT *, CASE WHEN nb >= 60 AND na >= 60 THEN abs(ma - mb) / sqrt(vb / greatest(db, 1) + va / greatest(da, 1)) END AS score FROM w),
+  p AS (SELECT *, max(score) OVER (PARTITION BY corridor ORDER BY ts_utc RANGE BETWEEN INTERVAL 3 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS past, max(score) OVER (PARTITION BY corridor ORDER BY ts_utc RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 3 DAYS FOLLOWING) AS future FROM s)
+  SELECT corridor, ts_utc AS changepoint_ts, round(score, 6) AS score, round(mb, 6) AS avg_before, round(ma, 6) AS avg_after, round((ma - mb) / mb, 6) AS pct_change FROM p WHERE score >= 1 AND (past IS NULL OR score > past) AND (future IS NULL OR score >= future)""")
+def changepoints_hourly(spark, sf_dir):
+    """Hourly series, two of which are shifted within a day."""
+    at = lambda t, c: (F.col("ts_utc") >= F.lit(t).cast("timestamp_ntz")) & (F.col("corridor") == c)
+    moved = F.when(at("2024-01-14 09:00:00", "view"), 40.0).when(at("2024-01-20 21:00:00", "click"), -25.0).otherwise(0.0)
+    rows = hourly(spark, sf_dir).withColumn("travel_time", F.col("travel_time") + moved)
+    found = shifts.changepoints_in_time(rows, "travel_time", ("corridor",), window_days=5, score_threshold=1.0, min_separation_days=3)
+    return r6(found.select("corridor", "changepoint_ts", "score", "avg_before", "avg_after", "pct_change"), "score", "avg_before", "avg_after", "pct_change")
+
+
 @query(f"""WITH {_SHIFT}, k AS (SELECT * FROM (VALUES (DATE '1996-07-01', 'opening'), (DATE '1999-03-15', 'closure')) AS t(known_date, label)),
   n AS (SELECT segment_id, known_date, label, changepoint_date, round(score, 6) AS score, round(avg_diff, 6) AS avg_diff, CAST(abs(date_diff('day', known_date, changepoint_date)) AS INTEGER) AS days_apart FROM cp, k
     QUALIFY row_number() OVER (PARTITION BY segment_id, known_date ORDER BY abs(date_diff('day', known_date, changepoint_date)), changepoint_date) = 1)
