@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import default_metric, require
 from .filters import filter_members
@@ -11,16 +12,19 @@ from .filters import filter_members
 POLICIES = ("max", "total")
 
 
-def _expected(df: DataFrame, counts: DataFrame, policy: str) -> DataFrame:
+def _cells(df: DataFrame, value: str | None = None) -> DataFrame:
+    """One row for each (corridor, ts_utc, segment_id): all that counts, sums, expectations and members come from."""
+    sums = [] if value is None else [F.sum(value).alias("_v")]
+    return df.where(F.col("corridor").isNotNull()).groupBy("corridor", "ts_utc", "segment_id").agg(*sums, F.count("*").alias("_rows"))
+
+
+def _with_expected(by_time: DataFrame, cells: DataFrame, policy: str) -> DataFrame:
+    """Adds expected to rows (corridor, ts_utc, _reporting): a window over a corridor's timestamps, or its distinct segments."""
     if policy not in POLICIES:
         raise ValueError(f"expected is one of {POLICIES}")
     if policy == "max":
-        return counts.groupBy("corridor").agg(F.max("n_segments").alias("expected"))
-    return df.where(F.col("corridor").isNotNull()).groupBy("corridor").agg(F.count_distinct("segment_id").alias("expected"))
-
-
-def _counted(df: DataFrame) -> DataFrame:
-    return df.where(F.col("corridor").isNotNull()).groupBy("corridor", "ts_utc").agg(F.count_distinct("segment_id").alias("n_segments"))
+        return by_time.withColumn("expected", F.max("_reporting").over(Window.partitionBy("corridor")))
+    return by_time.join(cells.groupBy("corridor", "segment_id").agg(F.count("*").alias("_t")).groupBy("corridor").agg(F.count("segment_id").alias("expected")), "corridor")
 
 
 def mark_complete(df: DataFrame, expected: str = "max") -> DataFrame:
@@ -32,8 +36,9 @@ def mark_complete(df: DataFrame, expected: str = "max") -> DataFrame:
     """
     own = "corridor" in df.columns
     work = df if own else df.withColumn("corridor", F.lit("all"))
-    counts = _counted(work)
-    marked = counts.join(_expected(work, counts, expected), "corridor")
+    cells = _cells(work)
+    by_time = cells.groupBy("corridor", "ts_utc").agg(F.count("segment_id").alias("_reporting"))
+    marked = _with_expected(by_time, cells, expected).select("corridor", "ts_utc", F.col("_reporting").alias("n_segments"), "expected")
     out = work.join(marked, ["corridor", "ts_utc"], "left").withColumn("complete", F.coalesce(F.col("n_segments") >= F.col("expected"), F.lit(False)))
     return out if own else out.drop("corridor")
 
@@ -43,19 +48,17 @@ def corridor_travel_time(df: DataFrame, metadata: DataFrame | None = None, requi
 
     What is expected counts reporting segments; n_segments and complete count those with a value. With
     ``metadata`` (segment_id, miles) a travel-time sum also gets its length and, if it is in minutes,
-    the space-mean speed.
+    the space-mean speed. The rows are read and aggregated once.
     """
     value = value or default_metric(df)
     require(df, "corridor", value)
-    df = filter_members(df, members).where(F.col("corridor").isNotNull())
-    counts = _counted(df)
-    need = _expected(df, counts, expected)
-    sums = df.groupBy("corridor", "ts_utc").agg(F.sum(value).alias(value), F.count_distinct(F.when(F.col(value).isNotNull(), F.col("segment_id"))).alias("n_segments"))
-    out = sums.join(need, "corridor").withColumn("complete", F.col("n_segments") >= F.col("expected"))
+    cells = _cells(filter_members(df, members), value)
+    by_time = cells.groupBy("corridor", "ts_utc").agg(F.sum("_v").alias(value), F.count_if(F.col("segment_id").isNotNull() & F.col("_v").isNotNull()).alias("n_segments"), F.count("segment_id").alias("_reporting"))
+    out = _with_expected(by_time, cells, expected).select("corridor", "ts_utc", value, "n_segments", "expected").withColumn("complete", F.col("n_segments") >= F.col("expected"))
     if require_complete:
         out = out.where("complete")
     if metadata is not None and value == "travel_time":
-        out = attach_length_speed(out, df.select("corridor", "segment_id").distinct(), metadata, minutes)
+        out = attach_length_speed(out, cells.select("corridor", "segment_id").distinct(), metadata, minutes)
     return out
 
 
@@ -80,11 +83,17 @@ def segment_coverage(df: DataFrame, members: DataFrame | None = None, value: str
     if value is not None:
         df = df.where(F.col(value).isNotNull())
     all_members = (df if members is None else members).select("segment_id").where("segment_id IS NOT NULL").distinct()
-    seen = df.select("ts_utc", "segment_id").join(all_members, "segment_id", "left_semi").distinct()
+    # Distinct pairs by timestamp are in one place: how many there are is a window over them, and one aggregate gives all else.
+    seen = df.select("ts_utc", "segment_id").join(all_members, "segment_id", "left_semi").groupBy("ts_utc", "segment_id").agg(F.count("*").alias("_rows"))
+    by_time = Window.partitionBy("ts_utc")
+    seen = seen.repartition("ts_utc").withColumns({"n": F.count("*").over(by_time), "_one": F.col("segment_id") == F.min("segment_id").over(by_time)})
+    # By segment and by how many reported with it: as many rows as members, for each of them.
+    tally = seen.groupBy("segment_id", "n").agg(F.count("*").alias("_t"), F.count_if("_one").alias("_ones"))
     number = all_members.agg(F.count("*").alias("n_members"))
-    by_time = seen.groupBy("ts_utc").agg(F.count("*").alias("n")).crossJoin(F.broadcast(number)).withColumn("short", F.col("n") == F.col("n_members") - 1)
-    totals = by_time.agg(F.count("*").alias("n_timestamps"), F.count_if("short").alias("n_short"))
-    own = seen.join(by_time.select("ts_utc", "short"), "ts_utc").groupBy("segment_id").agg(F.count("*").alias("n_reported"), F.count_if("short").alias("present_short"))
+    short = F.col("n") == F.col("n_members") - 1
+    tally = tally.crossJoin(F.broadcast(number))
+    totals = tally.agg(F.coalesce(F.sum("_ones"), F.lit(0)).alias("n_timestamps"), F.coalesce(F.sum(F.when(short, F.col("_ones"))), F.lit(0)).alias("n_short"))
+    own = tally.groupBy("segment_id").agg(F.sum("_t").alias("n_reported"), F.coalesce(F.sum(F.when(short, F.col("_t"))), F.lit(0)).alias("present_short"))
     out = all_members.join(own, "segment_id", "left").crossJoin(F.broadcast(totals))
     reported = F.coalesce("n_reported", F.lit(0))
     return out.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import default_metric, metric_columns, numeric, require
+from .blocks import in_blocks
 
 
 #: Cells of a median's first stage in each doubling of the values.
@@ -68,22 +69,35 @@ def segment_means(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy("segment_id").agg(F.avg(value).alias("mean"))
 
 
-def rolling_average(df: DataFrame, value: str, window: int = 5, group_cols=("segment_id",), direction: str = "trailing", order=("ts_utc",), out: str | None = None) -> DataFrame:
-    """Mean of the available values among ``window`` rows that end at, begin at or surround each row."""
+def rolling_average(df: DataFrame, value: str, window: int = 5, group_cols=("segment_id",), direction: str = "trailing", order=("ts_utc",), out: str | None = None, block_rows: int | None = None) -> DataFrame:
+    """Mean of the available values among ``window`` rows that end at, begin at or surround each row.
+
+    With ``block_rows`` a series is averaged in blocks of so many rows, so that one that holds most of all
+    rows runs in many tasks; the result is the same, for two more shuffles.
+    """
     if window < 1:
         raise ValueError("a window has at least one row")
     before = (window - 1) // 2
     frames = {"trailing": (1 - window, 0), "leading": (0, window - 1), "centered": (before + 1 - window, before)}
     if direction not in frames:
         raise ValueError(f"unknown direction: {direction!r}")
-    frame = Window.partitionBy(*group_cols).orderBy(*order).rowsBetween(*frames[direction])
-    return df.withColumn(out or f"{value}_{direction}_{window}", F.avg(value).over(frame))
+    return _framed(df, list(group_cols), list(order), {out or f"{value}_{direction}_{window}": (value, frames[direction])}, block_rows)
+
+
+def neighbour_averages(df: DataFrame, value: str, rows: int = 5, group_cols=("segment_id",), order=("ts_utc",), block_rows: int | None = None) -> DataFrame:
+    """Adds the means of the ``rows`` rows before each row and of those after it, without the row itself; block_rows as in ``rolling_average``."""
+    return _framed(df, list(group_cols), list(order), {f"prev_{rows}": (value, (-rows, -1)), f"next_{rows}": (value, (1, rows))}, block_rows)
 
 
-def neighbour_averages(df: DataFrame, value: str, rows: int = 5, group_cols=("segment_id",), order=("ts_utc",)) -> DataFrame:
-    """Adds the means of the ``rows`` rows before each row and of those after it, without the row itself."""
-    w = Window.partitionBy(*group_cols).orderBy(*order)
-    return df.withColumns({f"prev_{rows}": F.avg(value).over(w.rowsBetween(-rows, -1)), f"next_{rows}": F.avg(value).over(w.rowsBetween(1, rows))})
+def _framed(df: DataFrame, group: list[str], order: list[str], means: dict[str, tuple], block_rows: int | None) -> DataFrame:
+    """Adds means over frames of rows, by group at once or in blocks."""
+    if block_rows is None:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumns({name: F.avg(v).over(w.rowsBetween(*frame)) for name, (v, frame) in means.items()})
+    low, high = min(0, *(f[0] for _, f in means.values())), max(0, *(f[1] for _, f in means.values()))
+    rows, w = in_blocks(df, group, order, low, high, block_rows)
+    rows = rows.withColumns({name: F.avg(v).over(w.rowsBetween(*frame)) for name, (v, frame) in means.items()})
+    return rows.where("_own").select(*df.columns, *means)
 
 
 def parse_free_flow(choice):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import collapse
+from ..functions.wkb import from_wkb
 from ..schema import Provenance, Study, number, pin_utc
 from .archives import read_parts
 from .files import discover_parts, members_below
@@ -112,7 +113,7 @@ def names_rows(df: DataFrame) -> DataFrame:
 
 def load_network(spark: SparkSession, path: str, segment_ids=None, bbox=None) -> DataFrame:
     """Network lines (segment_id, previous_id, next_id, miles, line ...) of a Parquet layer; ids and bbox (w, s, e, n) restrict what is read."""
-    df = spark.read.parquet(path)
+    df = _with_line(spark.read.parquet(path))
     ids = [c for c in ("segment_id", "previous_id", "next_id", "frc", "group_id") if c in df.columns]
     df = df.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in ids} | ({"miles": number("miles")} if "miles" in df.columns else {}))
     if segment_ids is not None:
@@ -122,10 +123,18 @@ def load_network(spark: SparkSession, path: str, segment_ids=None, bbox=None) ->
 
 def load_volumes(spark: SparkSession, path: str, year: int = 2024, bbox=None) -> DataFrame:
     """Volume lines (line_id, year, route, aadt, line) of one year of a Parquet layer."""
-    df = spark.read.parquet(path).where(F.col("year") == year)
+    df = _with_line(spark.read.parquet(path).where(F.col("year") == year))
     return within_box(df.withColumn("aadt", number("aadt")), bbox)
 
 
+def _with_line(df: DataFrame) -> DataFrame:
+    """A layer whose lines are well-known binary in ``geometry`` has them as points; one that has points is left as it is."""
+    kinds = dict(df.dtypes)
+    if "line" in kinds or kinds.get("geometry") != "binary":
+        return df
+    return df.withColumn("line", from_wkb(F.col("geometry"))).drop("geometry")
+
+
 def within_box(df: DataFrame, bbox) -> DataFrame:
     """Lines whose own box meets (w, s, e, n)."""
     if bbox is None:
