@@ -602,9 +602,19 @@ def overlap_pairs(spark, sf_dir):
     return geometry.overlap_pairs(both, _LAT).withColumn("distance", F.round("distance", 3))
 
 
-@query()
+@query(f"""WITH {_GEO}, s AS (SELECT segment_id AS id, a_x1 AS x1, a_y1 AS y1, a_x2 AS x2, a_y2 AS y2, x AS lon1, y AS lat1, x + dx AS lon2, y + dy AS lat2 FROM a JOIN c ON c.k = a.segment_id UNION ALL SELECT line_id, b_x1, b_y1, b_x2, b_y2, x + dx + sh, y + dy, x + sh, y FROM b JOIN c ON c.k + 100000 = b.line_id),
+  u AS (SELECT id, x1, y1, x2, y2, (degrees(atan2(x2 - x1, y2 - y1)) + 360) % 360 AS heading FROM s),
+  m AS (SELECT p.x1 AS ax, p.y1 AS ay, p.x2 - p.x1 AS ux, p.y2 - p.y1 AS uy, q.x1 AS bx, q.y1 AS by_, q.x2 - q.x1 AS vx, q.y2 - q.y1 AS vy, p.id AS id_a, q.id AS id_b FROM u p JOIN u q ON p.id < q.id AND abs(abs(p.heading - q.heading) - 180) <= 35),
+  w AS (SELECT *, nullif(ux * vy - uy * vx, 0) AS turn, nullif(ux * ux + uy * uy, 0) AS uu, nullif(vx * vx + vy * vy, 0) AS vv FROM m),
+  t AS (SELECT *, ((bx - ax) * vy - (by_ - ay) * vx) / turn AS cu, ((bx - ax) * uy - (by_ - ay) * ux) / turn AS cv, [coalesce(greatest(least(((bx - ax) * ux + (by_ - ay) * uy) / uu, 1), 0), 0), coalesce(greatest(least(((bx + vx - ax) * ux + (by_ + vy - ay) * uy) / uu, 1), 0), 0)] AS tu,
+    [coalesce(greatest(least(((ax - bx) * vx + (ay - by_) * vy) / vv, 1), 0), 0), coalesce(greatest(least(((ax + ux - bx) * vx + (ay + uy - by_) * vy) / vv, 1), 0), 0)] AS tv FROM w),
+  n AS (SELECT id_a, id_b FROM t WHERE (cu > 0 AND cu < 1 AND cv > 0 AND cv < 1) OR least(sqrt(power(bx - ax - tu[1] * ux, 2) + power(by_ - ay - tu[1] * uy, 2)), sqrt(power(bx + vx - ax - tu[2] * ux, 2) + power(by_ + vy - ay - tu[2] * uy, 2)),
+    sqrt(power(ax - bx - tv[1] * vx, 2) + power(ay - by_ - tv[1] * vy, 2)), sqrt(power(ax + ux - bx - tv[2] * vx, 2) + power(ay + uy - by_ - tv[2] * vy, 2))) <= 20),
+  g AS (SELECT s.*, id IN (SELECT id_a FROM n UNION SELECT id_b FROM n) AS moved, (lon2 - lon1) * cos(radians({_LAT}::DOUBLE)) AS east, lat2 - lat1 AS north FROM s)
+  SELECT id AS segment_id, moved AS "offset", round(lon1 + CASE WHEN moved AND (east <> 0 OR north <> 0) THEN north / sqrt(east * east + north * north) * 6 / {_M}::DOUBLE / cos(radians({_LAT}::DOUBLE)) ELSE 0 END, 7) AS lon,
+    round(lat1 - CASE WHEN moved AND (east <> 0 OR north <> 0) THEN east / sqrt(east * east + north * north) * 6 / {_M}::DOUBLE ELSE 0 END, 7) AS lat FROM g""")
 def offset_overlapping(spark, sf_dir):
-    """Moved lines; tests hold them against hand-computed offsets."""
+    """Lines that run against each other, moved to their right."""
     both = _segments(spark, sf_dir).unionByName(_lines(spark, sf_dir).select(F.col("line_id").alias("segment_id"), "line"))
     out = geometry.offset_overlapping(both, _LAT)
     return out.select("segment_id", "offset", F.round(F.element_at("line", 1)["lon"], 7).alias("lon"), F.round(F.element_at("line", 1)["lat"], 7).alias("lat"))
@@ -628,7 +638,7 @@ def segment_geometry(spark, sf_dir):
     return geometry.segment_geometry(nations.select("segment_id"), network, ends).select("segment_id", "source", F.when(F.size("line") > 0, F.size("line")).alias("points"))
 
 
-@query()
+@query(f"""WITH {_GEO} SELECT k AS segment_id, '{{{{"type":"Feature","properties":{{{{"segment_id":' || k || '}}}},"geometry":{{{{"type":"LineString","coordinates":[[' || x || ',' || y || '],[' || (x + dx) || ',' || (y + dy) || ']]}}}}}}}}' AS feature FROM c""".replace("{{", "{").replace("}}", "}"))
 def geojson_features(spark, sf_dir):
     return sinks.geojson_rows(_segments(spark, sf_dir))
 
