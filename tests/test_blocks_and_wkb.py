@@ -74,6 +74,33 @@ def test_layers_with_binary_geometry(spark, tmp_path):
     assert [(r["line_id"], r["aadt"], r["line"]) for r in got] == [(1, 12.0, line)] or [r.asDict(True)["line"] for r in got] == [line]
 
 
+def test_documents_written_by_tasks(spark, tmp_path):
+    import json
+    import xml.etree.ElementTree as ET
+
+    from wayline.sources import kml, sinks
+
+    lines = spark.createDataFrame([(k, [{"lon": -116.0 - k, "lat": 43.0}, {"lon": -116.1, "lat": 43.1}], float(k), f"A & {k}") for k in range(40)], f"segment_id long, line {LINE}, v double, name string").repartition(4)
+    sinks.write_geojson(lines, f"file:{tmp_path}/g", "name")
+    joined = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert json.loads(joined("g")) == json.loads(sinks.to_geojson(lines, "name"))
+    coloured = sinks.ramp_colours(lines, "v")
+    kml.write_published(coloured, f"file:{tmp_path}/k", "T", "name", "v")
+    assert ET.tostring(ET.fromstring(joined("k").replace("\n", ""))) == ET.tostring(ET.fromstring(kml.publish(coloured, "T", "name", "v")))
+    sinks.write_geojson(lines.where("segment_id < 0"), f"file:{tmp_path}/none")
+    assert json.loads(joined("none"))["features"] == []
+
+
+def test_bins_and_spans_of_long_segments(spark):
+    from wayline.sources.store import area_span, detect_bin
+
+    df = long_series(spark)
+    assert detect_bin(df, block_rows=13).collect() == detect_bin(df).collect()
+    row = area_span(df).first()
+    want = df.agg(F.min("ts_utc"), F.max("ts_utc"), F.count_distinct("segment_id"), F.count("*")).first()
+    assert tuple(row) == tuple(want)
+
+
 def scans(df) -> int:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") or df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")

@@ -22,10 +22,21 @@ FULL_SAMPLES = 480
 CHUNK_DAYS = 28
 
 
+def min_samples(df: DataFrame, *cadences: int) -> DataFrame:
+    """freq_minutes and min_samples for each cadence: FULL_SAMPLES scaled by the observed slots of the day out of all that a day has; one aggregate of the rows.
+
+    Slots are counted of distinct seconds of the day, of which there are at most 86,400.
+    """
+    seen = df.where(F.col("tod_sec").isNotNull()).groupBy("tod_sec").agg(F.count("*").alias("_n"))
+    slots = seen.agg(*(F.count_distinct(cal.floor_seconds(c)).alias(str(c)) for c in cadences))
+    scaled = lambda c: F.greatest(F.bround(FULL_SAMPLES * F.least(F.lit(1.0), F.col(str(c)) / max(1, round(1440 / c)))).cast("long"), F.lit(1).cast("long"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("freq_minutes"), scaled(c).alias("min_samples")) for c in cadences)))
+    return slots.select(each.alias("x")).select("x.*")
+
+
 def auto_min_samples(df: DataFrame, freq_minutes: int = 5) -> int:
-    """FULL_SAMPLES scaled by the observed slots of the day out of all that a day has at this cadence; one small aggregate."""
-    slots = df.agg(F.count_distinct(cal.floor_seconds(freq_minutes))).first()[0] or 0
-    return max(1, round(FULL_SAMPLES * min(1.0, slots / max(1, round(1440 / freq_minutes)))))
+    """``min_samples`` of one cadence, as a number."""
+    return min_samples(df, freq_minutes).first()["min_samples"]
 
 
 def rolling_median(df: DataFrame, value: str, entity=("segment_id",), window_days: int = 7, ts: str = "ts_utc") -> DataFrame:

@@ -362,7 +362,7 @@ def compare_adjusted(spark, sf_dir):
 def auto_min_samples(spark, sf_dir):
     """At three cadences: two hours of the day are a twelfth of its slots at each."""
     rows = filters.filter_time_window(local(spark, sf_dir), "4PM-6PM")
-    return spark.createDataFrame([(f, decompose.auto_min_samples(rows, f)) for f in (5, 15, 60)], "freq_minutes int, min_samples long")
+    return decompose.min_samples(rows, 5, 15, 60)
 
 
 _SHIFT = """days AS (SELECT CAST(l_suppkey AS BIGINT) AS segment_id, CAST(l_shipdate AS DATE) AS local_date, avg(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY ALL),
@@ -440,7 +440,7 @@ def keep_first_merge(spark, sf_dir):
 
 @query(f"WITH {_OBS} SELECT corridor, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(DISTINCT segment_id) AS n_segments FROM obs GROUP BY corridor")
 def registry_span(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("corridor").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count_distinct("segment_id").alias("n_segments"))
+    return store.area_span(observations(spark, sf_dir), ["corridor"]).drop("n_rows")
 
 
 # --- weights ----------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sinks import colour, coordinate_text  # noqa: F401
+from .sinks import colour, coordinate_text, write_document  # noqa: F401
 
 def xml_text(value: Column) -> Column:
     """A column as XML text, NULL as nothing."""
@@ -65,14 +65,26 @@ def legend_rows(lines: DataFrame, value: str) -> list[tuple[str, str]]:
     return [(f"{value} = {x[0]:g}", x[1]) for x in ends]
 
 
-def publish(lines: DataFrame, title: str, name: str | None = None, value: str | None = None, labels: bool = False, width: int = 3) -> str:
-    """A KML document of coloured lines, in segment order; labels: always shown, not on hovering alone."""
-    rows = published_rows(lines, name, value)
+def _frame(lines: DataFrame, rows: DataFrame, title: str, value: str | None, labels: bool, width: int) -> tuple[str, str]:
+    """A document's beginning, with a style for each colour and the legend, and its end: as many rows reach the driver as there are colours."""
     styles = ""
     for (c,) in rows.select("colour").distinct().orderBy("colour").collect():
         own = f"ff{c[4:6]}{c[2:4]}{c[0:2]}"
         styles += f'<Style id="c{c}"><LineStyle><color>{own}</color><width>{width}</width></LineStyle><LabelStyle><color>{own}</color><scale>{1.0 if labels else 0}</scale></LabelStyle><IconStyle><scale>0</scale><Icon/></IconStyle></Style>'
     legend = "".join(f"<font color='#{c}'>&#9632;</font> {escape(text)}<br>" for text, c in (legend_rows(lines, value) if value else []))
     overlay = f'<ScreenOverlay><name>Legend</name><description>{escape(f"<b>Legend</b><br>{legend}")}</description><overlayXY x="0" y="1" xunits="fraction" yunits="fraction"/><screenXY x="0.05" y="0.95" xunits="fraction" yunits="fraction"/></ScreenOverlay>' if legend else ""
-    marks = "".join(r["placemark"] for r in rows.orderBy("segment_id").toLocalIterator())
-    return f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{escape(title)}</name>{styles}{overlay}{marks}</Document></kml>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{escape(title)}</name>{styles}{overlay}', "</Document></kml>"
+
+
+def publish(lines: DataFrame, title: str, name: str | None = None, value: str | None = None, labels: bool = False, width: int = 3) -> str:
+    """A KML document of coloured lines, in segment order; labels: always shown, not on hovering alone. For a map that a viewer opens."""
+    rows = published_rows(lines, name, value)
+    head, tail = _frame(lines, rows, title, value, labels, width)
+    return head + "".join(r["placemark"] for r in rows.orderBy("segment_id").toLocalIterator()) + tail
+
+
+def write_published(lines: DataFrame, path: str, title: str, name: str | None = None, value: str | None = None, labels: bool = False, width: int = 3) -> None:
+    """The same document, of any size, written by the tasks as text files whose names give their order."""
+    rows = published_rows(lines, name, value)
+    head, tail = _frame(lines, rows, title, value, labels, width)
+    write_document(head, rows.select("segment_id", F.col("placemark").alias("text")), tail, path)

@@ -49,6 +49,24 @@ def to_geojson(lines: DataFrame, *properties: str) -> str:
     return '{"type":"FeatureCollection","features":[' + ",".join(r["feature"] for r in rows) + "]}"
 
 
+def write_document(head: str, pieces: DataFrame, tail: str, path: str, between: str = "") -> None:
+    """A document of any size as text files in a folder, which joined in the order of their names are the document.
+
+    ``pieces``: segment_id and text, a line each, in segment order with ``between`` before all but the first; tasks write them.
+    """
+    spark = pieces.sparkSession
+    lead = pieces.agg(F.min(F.struct("segment_id", "text")).alias("_first"))
+    own = pieces.crossJoin(F.broadcast(lead)).select(F.lit(1).alias("_k"), "segment_id", F.when(F.struct("segment_id", "text") == F.col("_first"), F.col("text")).otherwise(F.concat(F.lit(between), "text")).alias("value"))
+    ends = spark.createDataFrame([(0, None, head), (2, None, tail)], own.schema)
+    own.union(ends).orderBy("_k", "segment_id", "value").select("value").write.mode("overwrite").text(path)
+
+
+def write_geojson(lines: DataFrame, path: str, *properties: str) -> None:
+    """A FeatureCollection as by ``to_geojson``, written by the tasks."""
+    rows = geojson_rows(lines, *properties).select("segment_id", F.col("feature").alias("text"))
+    write_document('{"type":"FeatureCollection","features":[', rows, "]}", path, ",")
+
+
 def coordinate_text(line: Column) -> Column:
     return F.array_join(F.transform(line, lambda p: F.format_string("%.6f,%.6f,0", p["lon"], p["lat"])), " ")
 

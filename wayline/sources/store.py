@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.blocks import in_blocks
 from ..schema import Provenance, Study
 from .files import delete, exists, listing, touch
 
@@ -52,14 +53,26 @@ def area_identity(df: DataFrame) -> DataFrame:
     return sets.select(name.alias("area_name"), F.substring(F.md5(identity), 1, 12).alias("area_key"), F.to_json("c").alias("corridors"))
 
 
-def detect_bin(df: DataFrame, by=()) -> DataFrame:
+def area_span(df: DataFrame, by=()) -> DataFrame:
+    """first_ts, last_ts, n_segments and n_rows (by ``by``) of observations, from one row a segment."""
+    segments = df.groupBy(*by, "segment_id").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count("*").alias("n_rows"))
+    return segments.groupBy(*by).agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.count("segment_id").alias("n_segments"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+
+
+def detect_bin(df: DataFrame, by=(), block_rows: int | None = None) -> DataFrame:
     """bin_minutes (by ``by``): the commonest positive step between consecutive rows of a segment, the smaller of equally common ones, in minutes.
 
-    Steps are counted before the mode is taken.
+    Steps are counted before the mode is taken. With ``block_rows`` a segment's rows are gone through in
+    blocks, so that one that holds most of all rows runs in many tasks.
     """
-    w = Window.partitionBy(*by, "segment_id").orderBy("ts_utc")
-    micros = F.unix_micros(F.col("ts_utc").cast("timestamp"))
-    steps = df.select(*by, (micros - F.lag(micros).over(w)).alias("step")).where("step > 0").groupBy(*by, "step").agg(F.count("*").alias("n"))
+    group, micros = [*by, "segment_id"], F.unix_micros(F.col("ts_utc").cast("timestamp"))
+    if block_rows is None:
+        rows, w = df.select(*group, "ts_utc"), Window.partitionBy(*group).orderBy("ts_utc")
+        steps = rows.select(*by, (micros - F.lag(micros).over(w)).alias("step"))
+    else:
+        rows, _ = in_blocks(df.select(*group, "ts_utc"), group, ["ts_utc"], -1, 0, block_rows)
+        steps = rows.withColumn("step", micros - F.lag(micros).over(Window.partitionBy(*group, "_block").orderBy("_place"))).where("_own").select(*by, "step")
+    steps = steps.where("step > 0").groupBy(*by, "step").agg(F.count("*").alias("n"))
     return steps.groupBy(*by).agg(F.bround(F.min_by("step", F.struct(-F.col("n"), F.col("step"))) / 60_000_000).cast("int").alias("bin_minutes"))
 
 
@@ -153,8 +166,8 @@ class Store:
         segments = keep_first(self._read("segs", key), obs.select("segment_id"), ["segment_id"]).observe(found, F.count(F.lit(1)).alias("n"))
         segments.withColumn("area_key", F.lit(key)).write.mode("append").partitionBy("area_key").parquet(f"{self.root}/segs")
         if recount:
-            span = self._read("obs", key).agg(F.min("ts_utc"), F.max("ts_utc"), F.count("*")).first()
-            number = self._read("segs", key).distinct().count()
+            row = area_span(self._read("obs", key)).first()
+            span, number = (row["first_ts"], row["last_ts"], row["n_rows"]), row["n_segments"]
         else:
             old, ends = registered[0], [datetime.fromisoformat(x) for x in (added.get["first"], added.get["last"]) if x]
             span = min([old["first_ts"], *ends[:1]]), max([old["last_ts"], *ends[1:]]), old["n_rows"] + added.get["n"]
