@@ -686,13 +686,13 @@ def scope_corridor_series(spark, sf_dir):
     return r6(analysis.analysis_series(study, "travel_time", "corridor", "click", window=(7, 19)).select("segment_id", "ts_utc", "travel_time"), "travel_time")
 
 
-@query(f"WITH {_W} SELECT segment_id, round(CASE WHEN aadt > 0 THEN delay / 60 * aadt ELSE 0 END, 6) AS shown FROM m LEFT JOIN v USING (segment_id)")
+@query(f"WITH {_W} SELECT segment_id, round(CASE WHEN aadt > 0 THEN delay / 60 * aadt ELSE 0 END, 6) AS shown, TRUE AS member FROM m LEFT JOIN v USING (segment_id)")
 def map_vehicle_hours(spark, sf_dir):
     return r6(analysis.map_values(Study(observations(spark, sf_dir)), "vhd", "travel_time", volumes=_volumes(spark, sf_dir)), "shown")
 
 
 @query(f"""WITH {_HOURLY}, s AS (SELECT corridor, local_date, avg(travel_time - season_day - season_week) AS v, CASE WHEN local_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-18' THEN 'b' WHEN local_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-29' THEN 'a' END AS side FROM dec GROUP BY ALL)
-  SELECT CAST(ascii(corridor) * 100 + length(corridor) AS BIGINT) AS segment_id, round(avg(v) FILTER (side = 'a') - avg(v) FILTER (side = 'b') + 1e-9, 6) AS shown FROM s WHERE side IS NOT NULL GROUP BY corridor HAVING count(v) FILTER (side = 'a') >= 2 AND count(v) FILTER (side = 'b') >= 2""")
+  SELECT CAST(ascii(corridor) * 100 + length(corridor) AS BIGINT) AS segment_id, round(avg(v) FILTER (side = 'a') - avg(v) FILTER (side = 'b') + 1e-9, 6) AS shown, TRUE AS member FROM s WHERE side IS NOT NULL GROUP BY corridor HAVING count(v) FILTER (side = 'a') >= 2 AND count(v) FILTER (side = 'b') >= 2""")
 def map_adjusted_change(spark, sf_dir):
     """Segments are told apart by the first letter and the length of their corridor's name."""
     rows = hourly(spark, sf_dir).withColumn("segment_id", (F.ascii("corridor") * 100 + F.length("corridor")).cast("long"))
