@@ -16,7 +16,7 @@ import numpy as np
 from .textvec import LOWER, SPACE, Block, distinct_spans, ragged, same_spans, span_hashes
 
 #: Chunks that a worker keeps; beyond that it starts afresh.
-CACHE_CHUNKS = 2_500_000
+CACHE_CHUNKS = 1_600_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHUNK_BYTES = 256
 
@@ -70,8 +70,8 @@ class Coder:
         self.starts = np.empty(0, dtype=np.int32)
         self.lengths = np.empty(0, dtype=np.uint16)
         self.pool = np.empty(0, dtype=self.id_type)
-        self.text_at = np.zeros(0, dtype=np.int64)
-        self.text_end = np.zeros(0, dtype=np.int64)
+        self.text_at = np.zeros(0, dtype=np.int32)
+        self.text_end = np.zeros(0, dtype=np.int32)
         self.text = np.empty(0, dtype=np.uint8)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
