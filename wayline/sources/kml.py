@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .sinks import colour, coordinate_text, write_document  # noqa: F401
 
+#: Fixed values, here and below: the elements of a placemark, a style and the legend, and the texts of descriptions, are those of the published format.
+
+
 def xml_text(value: Column) -> Column:
     """A column as XML text, NULL as nothing."""
     out = F.coalesce(value.cast("string"), F.lit(""))
