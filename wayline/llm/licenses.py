@@ -20,7 +20,8 @@ Distinct units and distinct directories are resolved before they meet files, so
 line that a third of all files share is one row of the joins that decide.
 
 Defined results: a null text has no units; a null path is the root; ties go to the template that sorts
-first; repeated rows are each reported; an empty table gives no rows; other columns are ignored.
+first; repeated rows are each reported, and rows of one doc_id and path (a null id is an id too) take the best of
+their units together; a text of any length is one row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
