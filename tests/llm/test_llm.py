@@ -748,6 +748,39 @@ def test_lm_learns_in_tasks(spark, monkeypatch):
     assert loss[1] < loss[0]
 
 
+def test_lm_learns_from_every_slice(spark, monkeypatch):
+    """Every slice of every training document has one turn in one round, however many there are."""
+    monkeypatch.setattr(attention_lm, "START", 10)
+    rng, rounds, plain = np.random.default_rng(4), [], attention_lm._averaged
+    rows = [" ".join(rng.choice(LANGS[("en", "de")[k % 2]], 100)) + f" only{k}" for k in range(120)] + EDGES
+
+    def averaged(net, slices, *rest):
+        rounds.append([(tuple(r[0]), r[1]) for r in slices.collect()])
+        plain(net, slices, *rest)
+
+    monkeypatch.setattr(attention_lm, "_averaged", averaged)
+    held = F.col("doc_id") % 5 == 1
+    assert attention_lm.score(frame(spark, rows), held, q.tokenizer_file("word_bpe_49k.json"), chunk_bytes=4096).count() == len(rows)
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in rows]
+    assert sum(map(len, rounds)) == sum(max(-(-n // attention_lm.SLICE), 1) for k, n in enumerate(words) if k % 5 != 1)
+    assert min(map(len, rounds)) > 0 and not set(rounds[0]) & set(rounds[-1])
+
+
+def test_lm_counts_neighbours_of_every_slice():
+    rng, size = np.random.default_rng(6), 40
+    slices = [rng.integers(0, 2 * size + 2, n).tolist() for n in (0, 1, 30, 7)]
+    near = (textvec.mix(np.arange(size, dtype=np.uint64)) % np.uint64(attention_lm.NEAR)).astype(int)
+    want = np.zeros((size, attention_lm.NEAR))
+    for s in slices:
+        ids = [k // 2 for k in s if k < 2 * size]
+        for i, a in enumerate(ids):
+            for b in ids[max(0, i - attention_lm.REACH) : i] + ids[i + 1 : i + 1 + attention_lm.REACH]:
+                want[a, near[b]] += 1
+    batches = [pa.RecordBatch.from_arrays([pa.array(some, type=pa.list_(pa.int32()))], names=["symbols"]) for some in (slices[:2], slices[2:])]
+    parts = {r["part"]: np.frombuffer(r["sums"], dtype=np.float32) for batch in attention_lm._neighbours(size)(iter(batches)) for r in batch.to_pylist()}
+    assert np.array_equal(np.concatenate([parts[k] for k in sorted(parts)]).reshape(size, -1), want)
+
+
 def test_lm_of_hard_and_long_words(spark):
     rows = [*HARD, "some words " * 150_000, "a b", None]
     got = {r["doc_id"]: r for r in attention_lm.score(frame(spark, rows), F.col("doc_id") == 1, q.tokenizer_file("word_bpe_49k.json"), chunk_bytes=4096).collect()}

@@ -14,21 +14,22 @@ The learned factors are mixed with the corpus's frequencies (``MIX``). A word's
 add-half share, in the corpus, of the words that begin in that leaf. The first can spell any word, the
 second knows those of the corpus.
 
-What is learned from the corpus grows with it. Words, symbols and ends are counted over all training
-documents. The weights are learned from slices of ``SLICE`` words: every training document, of whatever
-length, is cut into slices, and a ``share`` of them, chosen by a hash of their words, is taken (a
-larger share of a small corpus, up to all). The tree and the starting weights come from at most ``START``
-of the slices; then, in ``ROUNDS``, each task learns from its slices by itself and the results are
-averaged, each embedding by how often its task met it.
+All training documents are learned from, whole. Words, symbols and ends are counted over them, and so is
+which ids stand near each other, from which ids get their groups. For the weights each document, of
+whatever length, is cut into slices of ``SLICE`` words, and each slice has its turn in one of the
+``ROUNDS``: each task learns from its slices by itself, from the average of the round before, and the
+results are averaged, each embedding by how often its task met it. The first round is the smallest, so it
+has the fewest tasks. A corpus of fewer than ``START`` slices is gone through more often, in every round.
 
 Scoring goes in overlapping windows: blocks of ``STRIDE`` words attend to themselves and to the
 ``STRIDE`` before, under one mask for causality and document bounds, many blocks at a time. Each token
 is scored once.
 
 Word counts can have any size, so they are never broadcast: documents are put into chunks of bounded
-size in the order in which they are read, each chunk's distinct words get the sums of their counts in a
-window over the words' bytes, and each chunk meets its own small table of words again in a cogroup. A
-word has at most a row or two a chunk, a chunk is bounded: neither is a hot key.
+size in the order in which they are read, and written as numbers into the chunk's own table of words.
+Each chunk's distinct words get the sums of their counts in a window over the words' bytes, and each
+chunk meets its counts again in a cogroup. A word has at most a row or two a chunk, a chunk is bounded:
+neither is a hot key.
 
 Defined results: a null or wordless text is one end; repeated rows are each scored, and learned from;
 equal texts get equal scores; rows with a null doc_id count as not held out if the caller's column says
@@ -48,19 +49,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import keep
-from .textvec import LOWER, SPACE, Block, blocks, distinct_spans, mix, one_thread, ragged, same_spans, span_hashes
+from .textvec import LOWER, SPACE, Block, blocks, distinct_spans, mix, one_thread, ragged, span_hashes
 from .tokens import coder
 
 STRIDE, DIM, HIDDEN, GROUPS, LEAVES = 16, 16, 24, 32, 32
 #: The share of the corpus's frequencies in each learned factor, and of whole words in a word's probability.
 MIX, WHOLE = 0.02, 0.7
 CHUNK_BYTES = 28 << 20
-#: Words of a slice; slices that the start is learned from; slices that a task learns from by itself; averaged rounds and their rates.
-SLICE, START, TASK_SLICES, ROUNDS = 64, 4000, 8000, (0.004, 0.002)
-#: Slices of a step of learning, and steps at the start at least: small corpora are gone through more often.
-BATCH, STEPS = 32, 300
+#: Words of a slice; slices that learning takes in all at least, so small corpora are gone through more often; slices of a task at least; rates of the averaged rounds.
+SLICE, START, TASK_SLICES, ROUNDS = 64, 16_000, 16_000, (0.012, 0.006, 0.002)
+#: Each round takes so many times the slices of the one before.
+MORE = 4
+#: Slices of a step of learning, and slices that a task holds and shuffles at once.
+BATCH, HELD_SLICES = 32, 8000
 #: Parts in which embeddings travel when they are averaged.
 PARTS = 16
+#: Hashed neighbours that ids are told apart by when they are grouped, and how far away they stand.
+NEAR, REACH = 128, 5
+#: Slices have turns from 0 to this, by a hash.
+TURNS = 1 << 20
 
 
 @dataclass
@@ -158,20 +165,43 @@ class Tree:
         return cls(group, leaf, count)
 
 
+def _exponentials(z: np.ndarray) -> np.ndarray:
+    """Exponentials of each column over its largest; overwrites ``z``. Columns, as numpy is quicker to go over long rows."""
+    z -= z.max(axis=0)
+    return np.exp(z, out=z)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """The softmax of each column; overwrites ``z``."""
+    _exponentials(z)
+    z /= z.sum(axis=0)
     return z
 
 
 def _chosen(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The softmax of each column at one place; overwrites ``z``. Columns, as numpy is quicker to sum over long rows."""
-    z -= z.max(axis=0)
-    np.exp(z, out=z)
+    """The softmax of each column at one place; overwrites ``z``."""
+    _exponentials(z)
     return z[k, np.arange(z.shape[1])] / z.sum(axis=0)
 
 
+def _sums(index: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``a`` that share an index."""
+    columns, out = np.ascontiguousarray(a.T), np.empty((a.shape[1], size), dtype=a.dtype)
+    for j in range(len(columns)):
+        out[j] = np.bincount(index, columns[j], minlength=size)
+    return np.ascontiguousarray(out.T)
+
+
+def _kinds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and which of them each is; short ids are sorted by their digits."""
+    order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = np.diff(ids[order]) != 0
+    index = np.empty(len(ids), dtype=np.int64)
+    index[order] = np.cumsum(new) - 1
+    return ids[order[new]], index
+
+
 class Net:
     """Weights and tree. Rows of E: the vocabulary's ids, then the beginning, a word without ids, and 'no symbol before'."""
 
@@ -237,23 +267,35 @@ class Net:
         """spelled: what the symbols before contribute."""
         return np.tanh(pre[place] + spelled)
 
-    def leaves(self, h: np.ndarray, group: np.ndarray):
-        """For each group that some symbols have: which of them, and their logits of its leaves, a leaf a row."""
-        order = np.argsort(group.astype(np.int16), kind="stable")
+    def by_group(self, symbol: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the symbols by their groups, and each group that some have with where it begins and ends there."""
+        group = self.tree.group[symbol].astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(GROUPS + 2)).tolist()
+        return order, [(g, i, j) for g, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
+
+    def leaves(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the leaves of each one's group, a leaf a row; ``h`` in the order of ``by_group``."""
         bias = np.where(self.tree.open, self.p["o2"], np.float32(-1e9))
-        for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else ():
-            g = int(group[some[0]])
-            yield g, some, self.p["O2"][g].T @ h[some].T + bias[g][:, None]
+        z = np.empty((LEAVES, len(h)), dtype=h.dtype)
+        for g, i, j in groups:
+            z[:, i:j] = self.p["O2"][g].T @ h[i:j].T + bias[g][:, None]
+        return z
 
-    def logs(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the mixed probabilities of the symbols' leaves."""
+    def sorted_logs(self, h: np.ndarray, symbol: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+        """``logs`` of what is in the order of ``by_group``."""
         t, group, leaf = self.tree, self.tree.group[symbol], self.tree.leaf[symbol]
         first = _chosen(self.p["O1"].T @ h.T + self.p["o1"][:, None], group)
-        second = np.empty(len(h), dtype=h.dtype)
-        for _, some, z in self.leaves(h, group):
-            second[some] = _chosen(z, leaf[some])
+        second = _chosen(self.leaves(h, groups), leaf)
         return np.log((1 - MIX) * first + MIX * t.prior1[group]) + np.log((1 - MIX) * second + MIX * t.prior2[group, leaf])
 
+    def logs(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the mixed probabilities of the symbols' leaves."""
+        order, groups = self.by_group(symbol)
+        out = np.empty(len(h), dtype=np.result_type(h.dtype, np.float32))
+        out[order] = self.sorted_logs(h[order], symbol[order], groups)
+        return out
+
     def contributions(self) -> np.ndarray:
         """What each row of E adds to the hidden layer as the symbol before."""
         return self.p["E"] @ self.p["U"]
@@ -268,7 +310,9 @@ class Net:
             pre, _ = self.attend(projected, w, some)
             real, at = w.real[some], w.query[some]
             place, symbol, before = self.spelled(words, w.target[at[real]])
-            found = self.logs(self.hidden(pre[real], place, contributions[before]), symbol)
+            order, groups = self.by_group(symbol)
+            found = np.empty(len(symbol))
+            found[order] = self.sorted_logs(self.hidden(pre[real], place[order], contributions[before[order]]), symbol[order], groups)
             out[at[real]] = np.bincount(place, found + self.tree.share[symbol], minlength=int(real.sum()))
             head[at[real]] = found[np.searchsorted(place, np.arange(int(real.sum())))]
         return out, head
@@ -279,63 +323,88 @@ class Net:
         rows, owner, x = self.inputs(words)
         pre, (q, k, queries, keys, values, e, read) = self.attend(self.project(x), w, slice(None))
         place, symbol, before = self.spelled(words, w.target[w.query[w.real]])
-        h = self.hidden(pre[w.real], place, p["E"][before] @ p["U"])
+        order, groups = self.by_group(symbol)
+        place, symbol, before = place[order], symbol[order], before[order]
+        spelled = p["E"][before]
+        h = self.hidden(pre[w.real], place, spelled @ p["U"])
         group, leaf, n = t.group[symbol], t.leaf[symbol], max(len(symbol), 1)
-        y = _softmax(h @ p["O1"] + p["o1"])
         at = np.arange(len(h))
-        loss = -np.log(y[at, group]).sum()
-        y[at, group] -= 1
-        g = {"O1": h.T @ y / n, "o1": y.sum(0) / n, "O2": np.zeros_like(p["O2"]), "o2": np.zeros_like(p["o2"])}
-        dh = y @ p["O1"].T
-        for c, some, z in self.leaves(h, group):
-            z = _softmax(np.ascontiguousarray(z.T))
-            loss -= np.log(z[np.arange(len(some)), leaf[some]]).sum()
-            z[np.arange(len(some)), leaf[some]] -= 1
-            g["O2"][c], g["o2"][c] = h[some].T @ z / n, z.sum(0) / n
-            dh[some] += z @ p["O2"][c].T
-        dz = dh * (1 - h * h) / n
+        y, z = _softmax(p["O1"].T @ h.T + p["o1"][:, None]), _softmax(self.leaves(h, groups))
+        loss = -np.log(y[group, at]).sum() - np.log(z[leaf, at]).sum()
+        for one, k in ((y, group), (z, leaf)):
+            one[k, at] -= 1
+            one *= one.dtype.type(1 / n)
+        g = {"O1": (y @ h).T, "o1": y.sum(1), "O2": np.zeros_like(p["O2"]), "o2": np.zeros_like(p["o2"])}
+        dh = y.T @ p["O1"].T
+        for c, i, j in groups:
+            g["O2"][c] = (z[:, i:j] @ h[i:j]).T
+            dh[i:j] += z[:, i:j].T @ p["O2"][c].T
+        if groups:
+            at = [c for c, *_ in groups]
+            g["o2"][at] = np.add.reduceat(z, [i for _, i, _ in groups], axis=1).T
+        dz = dh * (1 - h * h)
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        total = lambda index, a, size: np.stack([np.bincount(index.ravel(), a[:, j], minlength=size) for j in range(a.shape[1])], axis=1).astype(p["E"].dtype)
-        g["U"] = p["E"][before].T @ dz
+        g["U"] = spelled.T @ dz
         dpre = np.zeros_like(pre)
-        dpre[w.real] = total(place, dz, int(w.real.sum()))
+        dpre[w.real] = _sums(place, dz, int(w.real.sum()))
         g["W2"], dread = flat(read).T @ flat(dpre), dpre @ p["W2"].T
-        dh1 = total(q, flat(dpre), len(x))
-        g["W1"], g["b"] = x.T @ dh1, dh1.sum(0)
         de = np.matmul(dread, values.transpose(0, 2, 1))
         dv = np.matmul(e.transpose(0, 2, 1), dread)
         de = e * (de - (e * de).sum(axis=2, keepdims=True))
         g["r"] = np.bincount(_LAG.ravel(), de.sum(0).ravel(), minlength=2 * STRIDE).astype(p["r"].dtype)
-        de = de * np.float32(DIM**-0.5)
-        dq, dk, dv = total(q, flat(np.matmul(de, keys)), len(x)), total(k, flat(np.matmul(de.transpose(0, 2, 1), queries)), len(x)), total(k, flat(dv), len(x))
-        g["Q"], g["K"], g["V"] = x.T @ dq, x.T @ dk, x.T @ dv
-        dx = dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T + dh1 @ p["W1"].T
-        touched, index = np.unique(np.concatenate([rows, before]), return_inverse=True)
-        g["E"] = total(index, np.concatenate([dx[owner], dz @ p["U"].T]), len(touched))
+        de *= np.float32(DIM**-0.5)
+        dk = np.matmul(de.transpose(0, 2, 1), queries)
+        # The first half of a block's keys are the block before, or masked and without gradient.
+        for d in (dk, dv):
+            d[:-1, STRIDE:] += d[1:, :STRIDE]
+        d = np.concatenate([flat(np.matmul(de, keys)), flat(dk[:, STRIDE:]), flat(dv[:, STRIDE:]), flat(dpre)], axis=1)
+        read_by = q.ravel()
+        g["Q"], g["K"], g["V"], g["W1"] = np.split(x[read_by].T @ d, [DIM, 2 * DIM, 3 * DIM], axis=1)
+        g["b"] = d[:, 3 * DIM :].sum(0)
+        dx = _sums(read_by, d @ np.concatenate([p["Q"], p["K"], p["V"], p["W1"]], axis=1).T, len(x))
+        touched, index = _kinds(np.concatenate([rows, before]))
+        g["E"] = _sums(index, np.concatenate([dx[owner], dz @ p["U"].T]), len(touched))
         return float(loss) / n, g, touched
 
 
-def _groups(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int = 5) -> np.ndarray:
-    """Groups of ids that stand in like company in some slices: k-means on weighted co-occurrence with hashed neighbours."""
-    group, width = np.arange(vocabulary) % GROUPS, 256
-    kinds, local = np.unique(ids, return_inverse=True)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    table = np.zeros(len(kinds) * width)
-    near = (mix(ids.astype(np.uint64)) % np.uint64(width)).astype(np.int64)
-    for lag in range(1, 6):
-        if len(ids) > lag:
-            same = doc[lag:] == doc[:-lag]
-            table += np.bincount((local[lag:] * width + near[:-lag])[same], minlength=len(table)) + np.bincount((local[:-lag] * width + near[lag:])[same], minlength=len(table))
-    t = table.reshape(len(kinds), width)
+def _neighbours(vocabulary: int):
+    """mapInArrow function over (symbols): how often each id stands near each hashed neighbour, in parts."""
+
+    def run(batches):
+        one = np.int32(1)  # of the table's type: numpy takes another path, 20 times slower, for any other
+        table, near = None, (mix(np.arange(vocabulary, dtype=np.uint64)) % np.uint64(NEAR)).astype(np.int64)
+        for batch in batches:
+            symbols = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            real = symbols < 2 * vocabulary
+            ids, owner = (symbols[real] >> 1).astype(np.int64), owner[real]
+            if table is None:
+                table = np.zeros(vocabulary * NEAR, dtype=np.int32)
+            for lag in range(1, REACH + 1):
+                same = np.flatnonzero(owner[lag:] == owner[:-lag])
+                a, b = ids[same], ids[same + lag]
+                np.add.at(table, a * NEAR + near[b], one)
+                np.add.at(table, b * NEAR + near[a], one)
+        if table is not None:
+            empty = np.empty(0, dtype=np.float64).tobytes()
+            for k, some in enumerate(np.array_split(table.reshape(vocabulary, NEAR), PARTS)):
+                yield _part_rows([(k, some.astype(np.float32).tobytes(), empty)])
+
+    return run
+
+
+def _groups(table: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Groups of ids that stand in like company: k-means on weighted co-occurrence with hashed neighbours."""
+    group, t = np.arange(len(table)) % GROUPS, table
     seen = t.sum(1)
     often = np.flatnonzero(seen >= 40)
     if len(often) < GROUPS:
         return group
     t = np.log(np.maximum(t * t.sum() / np.maximum(seen[:, None] * t.sum(0, keepdims=True), 1e-9), 1)).astype(np.float32)
-    _, _, v = np.linalg.svd(t[often], full_matrices=False)
-    z = t @ v[:24].T
+    v = np.linalg.eigh(t[often].T @ t[often])[1][:, ::-1]
+    z = t @ v[:, :24]
     z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
-    weight = np.sqrt(seen[often])
+    weight = np.sqrt(seen[often].astype(np.float64))
     centre = z[often[np.random.default_rng(seed).choice(len(often), GROUPS, replace=False, p=weight / weight.sum())]]
     for _ in range(15):
         nearest = (z[often] @ centre.T).argmax(1)
@@ -345,7 +414,7 @@ def _groups(ids: np.ndarray, sizes: np.ndarray, vocabulary: int, seed: int = 5)
                 centre[g] = np.average(z[often[own]], axis=0, weights=weight[own])
                 centre[g] /= np.linalg.norm(centre[g]) + 1e-9
     met = seen > 0
-    group[kinds[met]] = (z[met] @ centre.T).argmax(1)
+    group[met] = (z[met] @ centre.T).argmax(1)
     return group
 
 
@@ -359,48 +428,53 @@ def _unpacked(symbols: list[np.ndarray], vocabulary: int) -> tuple[Words, np.nda
     return Words((flat >> 1)[real], np.concatenate([[0], np.cumsum(np.bincount(word[real], minlength=int(ending.sum())))]).astype(np.int64)), counts
 
 
-def learn(net: Net, slices: list[np.ndarray], flags: np.ndarray, epochs: int, rate: float, decay: float = 0.9, batch: int = BATCH, seed: int = 3) -> np.ndarray:
-    """Adam over batches of slices, rows of E only where a batch has them; gives how often each row was met. flags: 1 a document's first words, 2 its last."""
-    m, v = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}
-    rng, step, met = np.random.default_rng(seed), 0, np.zeros(len(net.p["E"]))
-    steps = max(1, epochs * -(-len(slices) // batch))
-    for _ in range(epochs):
-        order = rng.permutation(len(slices))
-        for i in range(0, len(order), batch):
-            some = order[i : i + batch]
-            words, counts = _unpacked([slices[j] for j in some], net.size)
-            w = windows(np.arange(len(words)), counts, (flags[some] & 1) > 0, (flags[some] & 2) > 0)
-            _, grad, rows = net.loss_gradient(words, w)
-            met[rows] += 1
-            now = rate * (1 - decay * step / steps)
-            step += 1
-            for k, g in grad.items():
-                at = rows if k == "E" else slice(None)
-                m[k][at] += 0.1 * (g - m[k][at])
-                v[k][at] += 0.005 * (g * g - v[k][at])
-                net.p[k][at] -= (now * (m[k][at] / (1 - 0.9**step)) / (np.sqrt(v[k][at] / (1 - 0.995**step)) + 1e-8)).astype(net.p[k].dtype)
-    return met
+class Learner:
+    """Adam over batches of slices, rows of E only where a batch has them. ``met``: how often each row was."""
+
+    def __init__(self, net: Net, rate: float, seed: int = 3):
+        self.net, self.rate, self.rng, self.step = net, rate, np.random.default_rng(seed), 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+        self.met = np.zeros(len(net.p["E"]))
+
+    def learn(self, slices: list[np.ndarray], flags: np.ndarray, epochs: int = 1) -> None:
+        """flags: 1 a document's first words, 2 its last."""
+        net, m, v = self.net, self.m, self.v
+        for _ in range(epochs):
+            order = self.rng.permutation(len(slices))
+            for i in range(0, len(order), BATCH):
+                some = order[i : i + BATCH]
+                words, counts = _unpacked([slices[j] for j in some], net.size)
+                _, grad, rows = net.loss_gradient(words, windows(np.arange(len(words)), counts, (flags[some] & 1) > 0, (flags[some] & 2) > 0))
+                self.met[rows] += 1
+                self.step += 1
+                for k, g in grad.items():
+                    at = rows if k == "E" else slice(None)
+                    one, two = m[k][at], v[k][at]
+                    one += 0.1 * (g - one)
+                    two += 0.005 * (g * g - two)
+                    m[k][at], v[k][at] = one, two
+                    net.p[k][at] -= (self.rate * (one / (1 - 0.9**self.step)) / (np.sqrt(two / (1 - 0.995**self.step)) + 1e-8)).astype(net.p[k].dtype)
 
 
 def _rest(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p) if k != "E"])
 
 
-def _learned(shared, rate: float):
+def _learned(shared, rate: float, epochs: int):
     """mapInArrow function over (symbols, flags): each task's weights after its own slices, times what they count, in parts."""
 
     def run(batches):
         one_thread()
         net: Net = shared.value
-        own, count, met, slices, flags = None, 0, None, [], []
-        groups = lambda: np.array_split(np.arange(len(net.p["E"])), PARTS)
+        learner, count, slices, flags = None, 0, [], []
 
         def some():
-            nonlocal own, count, met
-            if own is None:
-                own, met = Net(net.size, net.tree), np.zeros(len(net.p["E"]))
+            nonlocal learner, count
+            if learner is None:
+                own = Net(net.size, net.tree)
                 own.p = {k: x.copy() for k, x in net.p.items()}
-            met += learn(own, slices, np.array(flags), 1, rate, 0.5)
+                learner = Learner(own, rate)
+            learner.learn(slices, np.array(flags), epochs)
             count += len(slices)
             slices.clear()
             flags.clear()
@@ -410,13 +484,14 @@ def _learned(shared, rate: float):
             ends = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
             slices += np.split(at, ends[:-1])
             flags += batch.column(1).to_pylist()
-            if len(slices) >= TASK_SLICES:
+            if len(slices) >= HELD_SLICES:
                 some()
         if slices:
             some()
-        if own is not None:
-            parts = [(k, (own.p["E"][rows] * met[rows, None]).astype(np.float32).tobytes(), met[rows].astype(np.float64).tobytes()) for k, rows in enumerate(groups())]
-            parts.append((PARTS, (_rest(own.p) * np.float32(count)).tobytes(), np.array([count], dtype=np.float64).tobytes()))
+        if learner is not None:
+            p, met = learner.net.p, learner.met
+            parts = [(k, (p["E"][rows] * met[rows, None]).astype(np.float32).tobytes(), met[rows].tobytes()) for k, rows in enumerate(np.array_split(np.arange(len(p["E"])), PARTS))]
+            parts.append((PARTS, (_rest(p) * np.float32(count)).tobytes(), np.array([count], dtype=np.float64).tobytes()))
             yield _part_rows(parts)
 
     return run
@@ -441,12 +516,19 @@ def _added(batches):
         yield _part_rows([(k, s.astype(np.float32).tobytes(), c.tobytes()) for k, (s, c) in total.items()])
 
 
-def _averaged(net: Net, slices: DataFrame, rate: float) -> None:
+_PARTED = "part int, sums binary, counts binary"
+
+
+def _in_parts(df: DataFrame, function) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The sums and counts of all tasks' parts, added up by the executors."""
+    parts = df.mapInArrow(function, _PARTED).repartition(PARTS + 1, "part").mapInArrow(_added, _PARTED)
+    return {r["part"]: (np.frombuffer(r["sums"], dtype=np.float32), np.frombuffer(r["counts"], dtype=np.float64)) for r in parts.collect()}
+
+
+def _averaged(net: Net, slices: DataFrame, rate: float, epochs: int) -> None:
     """One round: all tasks learn from ``slices`` (symbols, flags), and ``net`` takes the weighted mean of their weights."""
-    spark = slices.sparkSession
-    shared = spark.sparkContext.broadcast(net)
-    parts = slices.mapInArrow(_learned(shared, rate), "part int, sums binary, counts binary").repartition(PARTS + 1, "part").mapInArrow(_added, "part int, sums binary, counts binary")
-    rows = {r["part"]: (np.frombuffer(r["sums"], dtype=np.float32), np.frombuffer(r["counts"], dtype=np.float64)) for r in parts.collect()}
+    shared = slices.sparkSession.sparkContext.broadcast(net)
+    rows = _in_parts(slices, _learned(shared, rate, epochs))
     shared.unpersist()
     for k, at in enumerate(np.array_split(np.arange(len(net.p["E"])), PARTS)):
         if k in rows:
@@ -502,14 +584,16 @@ def _chunked(chunk_bytes: int):
     return run
 
 
-#: What the first pass gives: words of chunks with their ids and training counts, counts of symbols, and slices to learn from.
-GATHERED = "kind int, chunk long, word binary, ids binary, head int, n long, symbols array<int>, counts array<long>"
-WORD, COUNTED, SLICED = range(3)
-_EMPTY = {"kind": pa.int32(), "chunk": pa.int64(), "word": pa.binary(), "ids": pa.binary(), "head": pa.int32(), "n": pa.int64(), "symbols": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
+#: What the first pass gives. WORD: a word of a chunk, its number there and its training count. TABLE: the ids of a chunk's words, and how many each has in
+#: ``word``. TEXT: a document as its words' numbers, its id in ``n``, whether it is held out in ``at``. COUNTED: counts of symbols. SLICED: what is learned from, its turn in ``at``.
+GATHERED = "kind int, chunk long, word binary, ids binary, at int, head int, n long, symbols array<int>, counts array<long>"
+WORD, COUNTED, SLICED, TABLE, TEXT = range(5)
+_EMPTY = {"kind": pa.int32(), "chunk": pa.int64(), "word": pa.binary(), "ids": pa.binary(), "at": pa.int32(), "head": pa.int32(), "n": pa.int64(), "symbols": pa.list_(pa.int32()), "counts": pa.list_(pa.int64())}
 
 
-def _gathered(rows: int, /, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(rows, t) for k, t in _EMPTY.items()], names=list(_EMPTY))
+def _gathered(rows: int, kind: int, /, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(rows, kind)
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) if k in columns else pa.nulls(rows, t) for k, t in _EMPTY.items()], names=list(_EMPTY))
 
 
 def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -521,15 +605,15 @@ def _id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
-def _gather(tokenizer_path: str, vocabulary: int, share: float):
-    """mapInArrow function over (chunk, held_out, text)."""
+def _gather(tokenizer_path: str, vocabulary: int, share: float = 1.0):
+    """mapInArrow function over (chunk, held_out, text) and, if texts are wanted, doc_id. share: of the slices."""
     id_type = _id_type(vocabulary)
 
     def merged(chunk: int, parts: list) -> list[pa.RecordBatch]:
         sizes = np.concatenate([s for _, s, *_ in parts])
         data, hashes, n = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 4))
-        ids = np.concatenate([w.ids for _, _, _, w, _ in parts])
-        counts = np.concatenate([np.diff(w.bounds) for _, _, _, w, _ in parts])
+        ids = np.concatenate([w.ids for _, _, _, w, *_ in parts])
+        counts = np.concatenate([np.diff(w.bounds) for _, _, _, w, *_ in parts])
         ends = np.cumsum(sizes)
         where, which, _ = distinct_spans(data, ends - sizes, ends, hashes)
         n = np.bincount(which, n, minlength=len(where)).astype(np.int64)
@@ -538,14 +622,22 @@ def _gather(tokenizer_path: str, vocabulary: int, share: float):
         symbols, bounds = symbols_of(words, vocabulary)
         total = np.bincount(symbols, np.repeat(n, np.diff(bounds)), minlength=2 * vocabulary + 2)
         some = np.flatnonzero(total)
-        texts = _binary(data[ragged((ends - sizes)[where], size)], np.concatenate([[0], np.cumsum(size)]))
-        out = [_gathered(len(where), kind=pa.array(np.full(len(where), WORD, np.int32)), chunk=pa.array(np.full(len(where), chunk)), word=texts, ids=_binary(words.ids.astype(id_type).view(np.uint8), id_type.itemsize * words.bounds), head=pa.array(symbols[bounds[:-1]].astype(np.int32)), n=pa.array(n))]
+        out = []
+        if len(where):
+            texts = _binary(data[ragged((ends - sizes)[where], size)], np.concatenate([[0], np.cumsum(size)]))
+            out.append(_gathered(len(where), WORD, chunk=np.full(len(where), chunk), word=texts, at=np.arange(len(where)), head=symbols[bounds[:-1]], n=n))
         if len(some):
-            out.append(_gathered(1, kind=pa.array([COUNTED], type=pa.int32()), symbols=pa.array([some.tolist()], type=pa.list_(pa.int32())), counts=pa.array([total[some].astype(np.int64).tolist()], type=pa.list_(pa.int64()))))
+            out.append(_gathered(1, COUNTED, symbols=[some.tolist()], counts=[total[some].astype(np.int64).tolist()]))
+        out.append(_gathered(1, TABLE, chunk=[chunk], ids=[words.ids.astype(id_type).tobytes()], word=[np.diff(words.bounds).astype("<i4").tobytes()]))
+        first = np.cumsum([0] + [len(s) for _, s, *_ in parts])
+        for offset, (*_, numbers, lengths, doc_id, held_out) in zip(first, parts):
+            if doc_id is not None:
+                numbers = which[offset + numbers].astype("<i4")
+                out.append(_gathered(len(lengths), TEXT, chunk=np.full(len(lengths), chunk), n=doc_id, at=held_out.astype(np.int32), ids=_binary(numbers.view(np.uint8), 4 * np.concatenate([[0], np.cumsum(lengths)]))))
         return out
 
     def sliced(words: Words, inverse: np.ndarray, hashes: np.ndarray, first: np.ndarray, learn_from: np.ndarray) -> pa.RecordBatch | None:
-        """The chosen slices of a block: by a hash of a slice's words and of its number, so equal texts give equal slices."""
+        """The slices of a block. A slice's turn is a hash of its words and of its number, so equal texts give equal slices."""
         counts = np.diff(first)
         number = np.where(learn_from, np.maximum(-(-counts // SLICE), 1), 0)
         owner = np.repeat(np.arange(len(counts)), number)
@@ -553,7 +645,8 @@ def _gather(tokenizer_path: str, vocabulary: int, share: float):
         low = first[:-1][owner] + SLICE * k
         high = np.minimum(low + SLICE, first[1:][owner])
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes))]) if len(hashes) else np.zeros(1, np.uint64)
-        chosen = np.flatnonzero((mix(sums[high] - sums[low] + k.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) < share * 2.0**53)
+        turn = (mix(sums[high] - sums[low] + k.astype(np.uint64)) % np.uint64(TURNS)).astype(np.int64)
+        chosen = np.flatnonzero(turn < share * TURNS)
         if not len(chosen):
             return None
         symbols, bounds = symbols_of(words, vocabulary)
@@ -564,7 +657,7 @@ def _gather(tokenizer_path: str, vocabulary: int, share: float):
         flat = symbols[ragged(bounds[:-1][each], width)]
         cut = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(size)])]
         listed = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat.astype(np.int32)))
-        return _gathered(len(chosen), kind=pa.array(np.full(len(chosen), SLICED, np.int32)), n=pa.array(flags.astype(np.int64)), symbols=listed)
+        return _gathered(len(chosen), SLICED, at=turn[chosen], n=flags, symbols=listed)
 
     def run(batches):
         own, now, parts = coder(tokenizer_path, words_only=True), None, []
@@ -583,127 +676,102 @@ def _gather(tokenizer_path: str, vocabulary: int, share: float):
                     if chunk_of[i] != now and parts:
                         yield from merged(now, parts)
                         parts = []
-                    now, some = int(chunk_of[i]), slice(first[i], first[j])
-                    if first[i] < first[j]:
-                        n = np.bincount(inverse[some], np.repeat(learn_from[i:j], counts[i:j]), minlength=len(at))
-                        here = np.unique(inverse[some])
-                        size = (ends - starts)[at[here]]
-                        parts.append((data[ragged(starts[at[here]], size)], size, hashes[at[here]], words.take(here), n[here]))
+                    now, some = int(chunk_of[i]), inverse[first[i] : first[j]]
+                    n = np.bincount(some, np.repeat(learn_from[i:j], counts[i:j]), minlength=len(at))
+                    met = np.zeros(len(at), dtype=bool)
+                    met[some] = True
+                    here = np.flatnonzero(met)
+                    size = (ends - starts)[at[here]]
+                    doc_id = batch.column(3).slice(block.first + i, j - i) if batch.num_columns > 3 else None
+                    parts.append((data[ragged(starts[at[here]], size)], size, hashes[at[here]], words.take(here), n[here], (np.cumsum(met) - 1)[some], counts[i:j], doc_id, ~learn_from[i:j]))
         if parts:
             yield from merged(now, parts)
 
     return run
 
 
-class Known:
-    """A chunk's words with their ids and corpus counts."""
-
-    def __init__(self, table: pa.Table, id_type: np.dtype):
-        word, ids = table.column("word").combine_chunks(), table.column("ids").combine_chunks()
-        (self.data, offsets), (flat, bounds) = ((np.frombuffer(b, dtype=np.uint8) if b is not None else np.empty(0, np.uint8), np.frombuffer(o, dtype=np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)) if len(a) else (np.empty(0, np.uint8), np.zeros(1, np.int64)) for a in (word, ids) for _, o, b in [a.buffers()])
-        self.starts, self.ends = offsets[:-1], offsets[1:]
-        self.words = Words(flat[bounds[0] : bounds[-1]].view(id_type).astype(np.int64), (bounds - bounds[0]) // id_type.itemsize)
-        self.seen = table.column("c").to_numpy()
-        self.hashes = span_hashes(self.data, self.starts, self.ends)
-        self.order = np.argsort(self.hashes, kind="stable")
-        self.sorted = self.hashes[self.order]
-
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each span's word; words that share a hash are told apart by their bytes."""
-        hashes = span_hashes(data, starts, ends)
-        if not len(hashes):
-            return np.empty(0, dtype=np.int64)
-        at = np.searchsorted(self.sorted, hashes)
-        out = self.order[np.minimum(at, len(self.order) - 1)]
-        left = np.flatnonzero(~same_spans(data, starts, ends, self.data, self.starts[out], self.ends[out]))
-        while len(left):
-            at[left] += 1
-            if (at[left] >= len(self.order)).any() or (self.sorted[at[left]] != hashes[left]).any():
-                raise ValueError("a word of a chunk is not in its table")
-            out[left] = self.order[at[left]]
-            left = left[~same_spans(data, starts[left], ends[left], self.data, self.starts[out[left]], self.ends[out[left]])]
-        return out
-
-
-def _score(shared, totals, tokenizer_path: str):
-    """Cogroup function: a chunk's documents and its words with their counts."""
+def _score(shared, totals):
+    """Cogroup function: a chunk's documents with the table of its words, and the words' counts."""
 
-    def run(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
         one_thread()
         net: Net = shared.value
         n_all, kinds, ends_seen, leaf_n, leaf_kinds = totals
-        known, contributions = Known(vocabulary, _id_type(net.size)), net.contributions()
-        symbols, begin = symbols_of(known.words, net.size)
+        of = docs.column("kind").combine_chunks().to_numpy()
+        table, docs = docs.slice(int(np.flatnonzero(of == TABLE)[0]), 1).to_pylist()[0], docs.filter(pa.array(of == TEXT))
+        words = Words(np.frombuffer(table["ids"], _id_type(net.size)).astype(np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(table["word"], "<i4"))]))
+        known = np.zeros(len(words), dtype=np.int64)
+        known[counted.column("at").to_numpy()] = counted.column("c").to_numpy()
+        contributions = net.contributions()
+        symbols, begin = symbols_of(words, net.size)
         leaf = net.tree.at(symbols[begin[:-1]])
-        inner = np.log((known.seen + 0.5) / (leaf_n[leaf] + 0.5 * (leaf_kinds[leaf] + 1)))
+        inner = np.log((known + 0.5) / (leaf_n[leaf] + 0.5 * (leaf_kinds[leaf] + 1)))
         bottom = n_all + 0.5 * (kinds + 1)
-        base, end_base = np.log((known.seen + 0.5) / bottom), np.log((ends_seen + 0.5) / bottom)
+        base, end_base = np.log((known + 0.5) / bottom), np.log((ends_seen + 0.5) / bottom)
         out = []
-        for block in blocks(docs.column("text").combine_chunks()):
-            data = LOWER[block.data]
-            starts, ends, first = block.words(SPACE, data)
-            at = known.find(data, starts, ends)
-            here, inverse = np.unique(at, return_inverse=True)
-            counts = np.diff(first)
-            w = windows(inverse, counts)
-            spelled, head = net.word_logs(known.words.take(here), w, contributions=contributions)
+        for block in blocks(docs.column("ids").combine_chunks()):
+            at, counts = block.data.view("<i4").astype(np.int64), np.diff(block.bounds) // 4
+            first = block.bounds // 4
+            met = np.zeros(len(words), dtype=bool)
+            met[at] = True
+            here = np.flatnonzero(met)
+            w = windows((np.cumsum(met) - 1)[at], counts)
+            spelled, head = net.word_logs(words.take(here), w, contributions=contributions)
             plain, share = (np.where(w.target >= 0, a[here][w.target] if len(here) else 0.0, b) for a, b in ((base, end_base), (inner, 0.0)))
             both = np.logaddexp(np.log(1 - WHOLE) + spelled, np.log(WHOLE) + head + share)
             bounds = np.concatenate([[0], np.cumsum(counts + 1)])
             sums = lambda x, b: np.diff(np.concatenate([[0.0], np.cumsum(x)])[b]) / np.log(10)
-            seen = np.diff(np.concatenate([[0], np.cumsum(known.seen[at] > 0)])[first]) + int(ends_seen > 0)
+            seen = np.diff(np.concatenate([[0], np.cumsum(known[at] > 0)])[first]) + int(ends_seen > 0)
             out.append((counts + 1, seen, sums(plain, bounds), sums(both, bounds)))
         n_tokens, n_known, base_score, score = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), int(n_all)), "base_score": base_score, "score": score})
+        return pa.table({"doc_id": docs.column("n"), "held_out": docs.column("at").cast(pa.bool_()), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), int(n_all)), "base_score": base_score, "score": score})
 
     return run
 
 
 def fitted(gathered: DataFrame, vocabulary: int, n_slices: int, counts: np.ndarray) -> Net:
-    """Tree and weights: a start from a bounded number of slices, then rounds over all of them."""
-    slices = gathered.where(F.col("kind") == SLICED).select("symbols", F.col("n").alias("flags"))
+    """Tree and weights from all slices: groups by one pass over them, then rounds in which each has its turn."""
     if not n_slices:
         return Net(vocabulary, Tree.grown(vocabulary, np.arange(vocabulary) % GROUPS, counts))
-    key = F.xxhash64("symbols", "flags")
-    start = slices if n_slices <= START else slices.where(F.pmod(key, F.lit(1_000_000)) < 1_000_000 * START // n_slices)
-    rows = sorted((r["k"], r["symbols"], r["flags"]) for r in start.select(key.alias("k"), "symbols", "flags").collect())
-    symbols, flags = [np.array(s, dtype=np.int64) for _, s, _ in rows], np.array([f for *_, f in rows], dtype=np.int64)
-    ids = [(s >> 1)[s < 2 * vocabulary] for s in symbols]
-    tree = Tree.grown(vocabulary, _groups(np.concatenate(ids), np.array([len(s) for s in ids]), vocabulary), counts)
-    net = Net(vocabulary, tree)
-    one_thread()
-    learn(net, symbols, flags, max(3, -(-STEPS * BATCH // len(symbols))), 0.012)
-    if n_slices > START:
-        dealt = keep(slices.repartition(-(-n_slices // TASK_SLICES)), "lm-slices", compression="zstd")
-        for rate in ROUNDS:
-            _averaged(net, dealt, rate)
+    slices = gathered.where(F.col("kind") == SLICED)
+    near = _in_parts(slices.select("symbols").coalesce(-(-n_slices // (8 * TASK_SLICES))), _neighbours(vocabulary))
+    table = np.concatenate([near[k][0] for k in range(PARTS)]).reshape(vocabulary, NEAR)
+    net = Net(vocabulary, Tree.grown(vocabulary, _groups(table), counts))
+    passes, begin = max(1.0, START / n_slices), 0
+    whole = sum(MORE**k for k in range(len(ROUNDS)))
+    for k, rate in enumerate(ROUNDS):
+        # The rounds' turns meet without a gap; a round of more than all takes all, so many times.
+        end = TURNS if k == len(ROUNDS) - 1 else begin + TURNS * MORE**k // whole
+        epochs = max(1, round(passes * MORE**k / whole))
+        some = slices if passes > 1 else slices.where((F.col("at") >= begin) & (F.col("at") < end))
+        number = n_slices if passes > 1 else n_slices * (end - begin) / TURNS
+        _averaged(net, some.select("symbols", F.col("n").alias("flags")).coalesce(max(1, int(-(-number // TASK_SLICES)))), rate, epochs)
+        begin = end
     return net
 
 
-def score(docs: DataFrame, held_out: Column, tokenizer_path: str, share: float = 0.04, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, tokenizer_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text).
 
-    Documents where ``held_out`` is false or null are learned from. base_score: the add-half word model;
-    score: log10 of the text's probability under the attention model. share: of slices that weights are learned
-    from; of a corpus with fewer than START / share slices, as many as make START.
+    Documents where ``held_out`` is false or null are learned from, all of them. base_score: the add-half word
+    model; score: log10 of the text's probability under the attention model.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     vocabulary = coder(tokenizer_path, words_only=True).tokenizer.get_vocab_size()
-    size = docs.where(~F.col("held_out")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    ends_seen, slices = size["n"], size["n"] + size["b"] / (6 * SLICE)
-    share = min(1.0, max(share, START / max(slices, 1)))
-    chunks = keep(docs.mapInArrow(_chunked(chunk_bytes), "chunk long, doc_id long, held_out boolean, text string"), "lm-chunks", compression="zstd")
-    gathered = keep(chunks.select("chunk", "held_out", "text").mapInArrow(_gather(tokenizer_path, vocabulary, share), GATHERED), "lm-gathered", compression="zstd")
+    chunks = docs.mapInArrow(_chunked(chunk_bytes), "chunk long, doc_id long, held_out boolean, text string")
+    gathered = keep(chunks.select("chunk", "held_out", "text", "doc_id").mapInArrow(_gather(tokenizer_path, vocabulary), GATHERED), "lm-gathered", compression="zstd")
     each = Window.partitionBy("word")
-    words = gathered.where(F.col("kind") == WORD).select("chunk", "word", "ids", "head", "n")
-    words = keep(words.withColumn("c", F.sum("n").over(each)).withColumn("rows", F.count("*").over(each)), "lm-words", compression="zstd")
+    words = gathered.where(F.col("kind") == WORD).select("chunk", "word", "at", "head", "n")
+    words = keep(words.select("chunk", "at", "head", "n", F.sum("n").over(each).alias("c"), F.count("*").over(each).alias("rows")), "lm-words", compression="zstd")
+    size = {(r["kind"], r["at"]): r["n"] for r in gathered.where(F.col("kind").isin(TEXT, SLICED, TABLE)).groupBy("kind", F.when(F.col("kind") == TEXT, F.col("at")).alias("at")).agg(F.count("*").alias("n")).collect()}
+    ends_seen, n_slices = size.get((TEXT, 0), 0), size.get((SLICED, None), 0)
     # One row a symbol reaches the driver, however large the corpus.
     symbol = np.zeros(2 * vocabulary + 2)
     for r in gathered.where(F.col("kind") == COUNTED).select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy("x.symbols").agg(F.sum("x.counts").alias("n")).collect():
         symbol[r["symbols"]] = r["n"]
     symbol[2 * vocabulary] = ends_seen
-    net = fitted(gathered, vocabulary, gathered.where(F.col("kind") == SLICED).count(), symbol)
+    net = fitted(gathered, vocabulary, n_slices, symbol)
     leaf_n, leaf_kinds = np.zeros((GROUPS + 1) * LEAVES), np.zeros((GROUPS + 1) * LEAVES)
     # A word counts once, whatever its number of rows.
     for r in words.where("c > 0").groupBy("head").agg(F.sum("n").alias("n"), F.sum(1 / F.col("rows")).alias("kinds")).collect():
@@ -712,6 +780,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer_path: str, share: float =
     shared = spark.sparkContext.broadcast(net)
     totals = (float(leaf_n.sum() + ends_seen), float(leaf_kinds.sum() + (ends_seen > 0)), float(ends_seen), leaf_n, leaf_kinds)
     # Twice as many partitions as chunks, so that few hold more than one.
-    number = 2 * max(1, chunks.select("chunk").distinct().count())
-    sides = [x.repartition(number, "chunk").groupBy(F.col("chunk").alias("_chunk")) for x in (chunks, words.select("chunk", "word", "ids", "c"))]
-    return sides[0].cogroup(sides[1]).applyInArrow(_score(shared, totals, tokenizer_path), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    number = 2 * max(1, size.get((TABLE, None), 0))
+    texts = gathered.where(F.col("kind").isin(TABLE, TEXT)).select("chunk", "kind", "word", "ids", "at", "n")
+    sides = [x.repartition(number, "chunk").groupBy(F.col("chunk").alias("_chunk")) for x in (texts, words.select("chunk", "at", "c"))]
+    return sides[0].cogroup(sides[1]).applyInArrow(_score(shared, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
