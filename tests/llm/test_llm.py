@@ -712,6 +712,32 @@ def test_lm_gradient():
         assert g.reshape(-1)[at] == pytest.approx((found[0] - found[1]) / 2e-4, rel=1e-3, abs=1e-8), name
 
 
+def test_lm_of_large_logits():
+    """Logits too large for exp go through it less their largest, with the same results; a word of many ids counts them all."""
+    net, counts = lm_net(), np.array([3, 20])
+    for name in ("O1", "O2"):
+        net.p[name] *= 40
+    assert not net.outputs()[1] and lm_net().outputs()[1]
+    ids = np.random.default_rng(7).integers(0, 50, 22 + 30)
+    words = attention_lm.Words(ids, np.concatenate([[0], np.arange(30, 30 + 23)]))
+    got = np.stack(net.word_logs(words, attention_lm.windows(np.arange(23), counts)), axis=1)
+    assert np.allclose(got, np.concatenate([plain_lm(net, words.take(np.arange(e - n, e))) for n, e in zip(counts, (3, 23))]), atol=1e-5)
+
+
+def test_lm_takes_no_position_that_nothing_reads():
+    """A slice in the middle of a document predicts its words alone: the last is read by no position, and four blocks hold 64 words."""
+    net, counts = lm_net(), np.array([64, 64, 0])
+    words = lm_words(np.random.default_rng(8), 50, 128)
+    w = attention_lm.windows(np.arange(128), counts, np.array([True, False, True]), np.array([False, True, True]))
+    assert len(w.query) == 4 + 5 + 1 and w.exists.sum() == 64 + 65 + 1 and w.real.sum() == 64 + 64 + 1
+    _, gradient, rows = net.loss_gradient(words, w)
+    only = lm_words(np.random.default_rng(8), 50, 128).take(np.array([63])).ids
+    assert set(only.tolist()) <= set(rows.tolist()) and all(np.isfinite(g).all() for g in gradient.values())
+    full = attention_lm.windows(np.arange(128), counts)
+    got, every = (net.word_logs(words, x)[0] for x in (w, full))
+    assert np.allclose(got[:64], every[:64]) and np.allclose(got[65 : 64 + 65], every[66 : 65 + 65])
+
+
 def test_lm_slices_keep_their_words():
     words = lm_words(np.random.default_rng(3), 50, 70)
     s, b = attention_lm.symbols_of(words, 50)

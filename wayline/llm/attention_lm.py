@@ -91,10 +91,10 @@ class Windows:
 
     x: np.ndarray  # the word that each position reads: 0 is the beginning, k the word k - 1
     target: np.ndarray  # the word that it predicts, -1 for the end
-    query: np.ndarray  # (blocks, STRIDE) positions
-    key: np.ndarray  # (blocks, 2 * STRIDE)
-    real: np.ndarray  # which query positions are to be scored
-    mask: np.ndarray  # (blocks, STRIDE, 2 * STRIDE)
+    query: np.ndarray  # (blocks, STRIDE) positions; a block's keys are the block before and itself
+    exists: np.ndarray  # which query positions are of the block's document
+    real: np.ndarray  # which of them are to be scored
+    opening: np.ndarray  # which blocks are their document's first, so that the block before is another's
 
 
 _CAUSAL = np.arange(2 * STRIDE)[None, :] <= np.arange(STRIDE)[:, None] + STRIDE
@@ -103,28 +103,31 @@ _LAG = np.clip(np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None,
 
 def windows(words: np.ndarray, counts: np.ndarray, opens: np.ndarray | None = None, closes: np.ndarray | None = None) -> Windows:
     """words: numbers of all words of all documents; counts: words of each. opens, closes: whether the first word and the end are predicted, all by default."""
-    size = counts + 1
+    # Only the end's own position reads the last word: without it, nothing reads that word.
+    size = counts + 1 if closes is None else np.maximum(counts + closes, 1)
     bounds = np.concatenate([[0], np.cumsum(size)])
-    opening, ending = np.zeros(int(bounds[-1]), dtype=bool), np.zeros(int(bounds[-1]), dtype=bool)
-    opening[bounds[:-1]], ending[bounds[1:] - 1] = True, True
+    opening = np.zeros(int(bounds[-1]), dtype=bool)
+    opening[bounds[:-1]] = True
+    last = np.cumsum(counts) - 1
+    read = np.ones(len(words), dtype=bool)
+    if closes is not None:
+        read[last[~closes & (counts > 0)]] = False
+    ending = np.zeros(len(opening), dtype=bool)
+    ending[bounds[1:][size > counts] - 1] = True
     x, target = np.zeros(len(opening), dtype=np.int64), np.full(len(opening), -1, dtype=np.int64)
-    x[~opening], target[~ending] = words + 1, words
+    x[~opening], target[~ending] = words[read] + 1, words
     wanted = np.ones(len(opening), dtype=bool)
     if opens is not None:
         wanted[bounds[:-1][~opens]] = False
     if closes is not None:
-        wanted[bounds[1:][~closes] - 1] = False
+        wanted[bounds[1:][~closes & (counts == 0)] - 1] = False
     number = -(-size // STRIDE)
     owner = np.repeat(np.arange(len(size)), number)
-    start = bounds[:-1][owner] + STRIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number))
-    query = start[:, None] + np.arange(STRIDE)
-    key = start[:, None] + np.arange(-STRIDE, STRIDE)
-    low, high = bounds[:-1][owner][:, None], bounds[1:][owner][:, None]
-    mask = _CAUSAL[None] & ((key >= low) & (key < high))[:, None, :]
-    mask[:, np.arange(STRIDE), np.arange(STRIDE) + STRIDE] = True  # padding attends to itself
-    top = max(len(opening) - 1, 0)
-    query, exists = np.minimum(query, top), query < high
-    return Windows(x, target, query, np.clip(key, 0, top), exists & wanted[query] if len(wanted) else exists, mask)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+    query = (bounds[:-1][owner] + STRIDE * k)[:, None] + np.arange(STRIDE)
+    exists = query < bounds[1:][owner][:, None]
+    query = np.minimum(query, max(len(opening) - 1, 0))
+    return Windows(x, target, query, exists, exists & wanted[query] if len(wanted) else exists, k == 0)
 
 
 class Tree:
@@ -165,31 +168,39 @@ class Tree:
         return cls(group, leaf, count)
 
 
-def _exponentials(z: np.ndarray) -> np.ndarray:
-    """Exponentials of each column over its largest; overwrites ``z``. Columns, as numpy is quicker to go over long rows."""
-    z -= z.max(axis=0)
-    return np.exp(z, out=z)
+#: Logits within this go through exp as they are, others less the largest of their column first.
+_PLAIN = 40
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """The softmax of each column; overwrites ``z``."""
-    _exponentials(z)
-    z /= z.sum(axis=0)
-    return z
+def _plain(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no input within -1 to 1 gives a logit that is large, or only logits that are small. Logits along the last axis, inputs along the one before."""
+    spread = np.abs(weights).sum(axis=-2)
+    return bool((bias + spread).max() < _PLAIN and (bias - spread).max(axis=-1).min() > -_PLAIN)
 
 
-def _chosen(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The softmax of each column at one place; overwrites ``z``."""
-    _exponentials(z)
-    return z[k, np.arange(z.shape[1])] / z.sum(axis=0)
+def _runs(a: np.ndarray, rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``a`` that each run of ``rows`` names: run i is rows[begin[i]:begin[i] + size[i]], none is empty."""
+    order = np.argsort(9 - np.minimum(size, 9).astype(np.uint8), kind="stable")  # long runs first
+    begin, size = begin[order], size[order]
+    out = a.take(rows[begin], axis=0)
+    for k in range(1, 8):
+        n = int(np.count_nonzero(size > k))
+        if not n:
+            break
+        out[:n] += a.take(rows[begin[:n] + k], axis=0)
+    n = int(np.count_nonzero(size > 8))
+    if n:
+        out[:n] = np.add.reduceat(a.take(rows[ragged(begin[:n], size[:n])], axis=0), np.cumsum(size[:n]) - size[:n], axis=0)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return out.take(back, axis=0)
 
 
 def _sums(index: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows of ``a`` that share an index."""
-    columns, out = np.ascontiguousarray(a.T), np.empty((a.shape[1], size), dtype=a.dtype)
-    for j in range(len(columns)):
-        out[j] = np.bincount(index, columns[j], minlength=size)
-    return np.ascontiguousarray(out.T)
+    out = np.zeros(size * a.shape[1], dtype=a.dtype)
+    np.add.at(out, (index[:, None] * a.shape[1] + np.arange(a.shape[1])).ravel(), a.ravel())  # flat and of one type: numpy's quick path
+    return out.reshape(size, -1)
 
 
 def _kinds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,49 +234,52 @@ class Net:
     def inputs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of E that make up the inputs, the input that each is part of, and the inputs: the beginning, then the words."""
         size = np.diff(words.bounds)
-        filled = np.maximum(size, 1)
-        rows = np.full(1 + int(filled.sum()), self.row(self.BLANK))
+        filled = np.concatenate([[1], np.maximum(size, 1)])
+        rows = np.full(int(filled.sum()), self.row(self.BLANK))
         rows[0] = self.row(self.BEGIN)
-        owner = np.concatenate([[0], np.repeat(np.arange(1, len(size) + 1), filled)])
-        rows[1:][np.repeat(size > 0, filled)] = words.ids
-        return rows, owner, np.add.reduceat(self.p["E"][rows], np.concatenate([[0], 1 + np.cumsum(filled) - filled])[: len(size) + 1], axis=0)
+        rows[1:][np.repeat(size > 0, filled[1:])] = words.ids
+        return rows, np.repeat(np.arange(len(filled)), filled), _runs(self.p["E"], rows, np.cumsum(filled) - filled, filled)
+
+    def spelling(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words' symbols and then the end, the row of E of the symbol before each, where each word's begin, and their numbers. The end is the last, word -1."""
+        symbol, bounds = symbols_of(words, self.size)
+        before = np.concatenate([[0], symbol >> 1])
+        before[bounds] = self.row(self.FIRST)
+        return np.append(symbol, 2 * self.size), before, bounds, np.append(np.diff(bounds), 1)
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """Each distinct input's query, key, value and direct part of the hidden layer, side by side."""
+        p = self.p
+        out = x @ np.concatenate([p["Q"] * x.dtype.type(DIM**-0.5), p["K"], p["V"], p["W1"]], axis=1)
+        out[:, 3 * DIM :] += p["b"]
+        return out
 
-    def spelled(self, words: Words, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each symbol of each target: the target's place, the symbol, and the row of E of the symbol before it."""
-        size = np.diff(words.bounds)
-        ids = target >= 0
-        n = np.where(ids, np.maximum(size[target], 1) if len(size) else 1, 1)
-        place = np.repeat(np.arange(len(target)), n)
-        number = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-        symbol = np.where(ids, 2 * self.size + 1, 2 * self.size)[place]
-        before = np.full(len(place), self.row(self.FIRST))
-        if len(size):
-            real = (ids & (size[target] > 0))[place]
-            at = (words.bounds[:-1][target][place] + number)[real]
-            symbol[real] = 2 * words.ids[at].astype(np.int64) + (number == n[place] - 1)[real]
-            later = real & (number > 0)
-            before[later] = words.ids[(words.bounds[:-1][target][place] + number - 1)[later]]
-        return place, symbol, before
-
-    def project(self, x: np.ndarray) -> tuple:
-        """Each distinct input's query, key, value and direct part of the hidden layer."""
-        return x @ self.p["Q"], x @ self.p["K"], x @ self.p["V"], x @ self.p["W1"] + self.p["b"]
-
-    def attend(self, projected: tuple, w: Windows, some: slice) -> tuple:
+    def attend(self, projected: np.ndarray, w: Windows, some: slice) -> tuple:
         """What the hidden layer gets from attention and the word before, for a slice of blocks."""
-        p, q, k = self.p, w.x[w.query[some]], w.x[w.key[some]]
-        queries, keys, values = projected[0][q], projected[1][k], projected[2][k]
-        e = np.matmul(queries, keys.transpose(0, 2, 1)) * np.float32(DIM**-0.5) + p["r"][_LAG]
-        e = np.where(w.mask[some], e, np.float32(-1e9))
+        p, low = self.p, some.start or 0
+        q = w.x[w.query[max(low - 1, 0) : some.stop]]
+        if not low:  # before the first block stands none, so any will do
+            q = np.concatenate([q[:1], q])
+        own = projected.take(q.ravel(), axis=0)
+        n, (row, one) = len(q) - 1, own.strides
+        # A block's keys begin where the block before does: views that overlap.
+        of = lambda k, size: np.ndarray((n, size, DIM), own.dtype, own, (2 * STRIDE - size) * row + k * DIM * one, (STRIDE * row, row, one))
+        queries, keys, values = of(0, STRIDE), of(1, 2 * STRIDE), of(2, 2 * STRIDE)
+        e = np.matmul(queries, keys.transpose(0, 2, 1))
+        e += np.where(_CAUSAL, p["r"][_LAG], -1e9).astype(e.dtype)
+        e[w.opening[some], :, :STRIDE] = -1e9
         e -= e.max(axis=2, keepdims=True)
         np.exp(e, out=e)
-        e /= e.sum(axis=2, keepdims=True)
+        e *= 1 / (e.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, dtype=e.dtype)).reshape(n, STRIDE, 1)
         read = np.matmul(e, values)
-        return projected[3][q] + (read.reshape(-1, DIM) @ p["W2"]).reshape(*read.shape[:2], HIDDEN), (q, k, queries, keys, values, e, read)
+        return own[STRIDE:, 3 * DIM :] + read.reshape(-1, DIM) @ p["W2"], (q[1:], queries, keys, values, e, read)
 
-    def hidden(self, pre: np.ndarray, place: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """spelled: what the symbols before contribute."""
-        return np.tanh(pre[place] + spelled)
+    def hidden(self, pre: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """The hidden layer and a last column of ones for the biases. spelled: what the symbols before contribute; is overwritten."""
+        spelled += pre
+        out = np.ones((len(spelled), HIDDEN + 1), dtype=spelled.dtype)
+        out[:, :HIDDEN] = np.tanh(spelled, out=spelled)
+        return out
 
     def by_group(self, symbol: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the symbols by their groups, and each group that some have with where it begins and ends there."""
@@ -274,96 +288,141 @@ class Net:
         edges = np.searchsorted(group[order], np.arange(GROUPS + 2)).tolist()
         return order, [(g, i, j) for g, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
 
-    def leaves(self, h: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
-        """Logits of the leaves of each one's group, a leaf a row; ``h`` in the order of ``by_group``."""
-        bias = np.where(self.tree.open, self.p["o2"], np.float32(-1e9))
-        z = np.empty((LEAVES, len(h)), dtype=h.dtype)
+    def outputs(self) -> tuple[np.ndarray, bool]:
+        """For each group the weights and, last, the biases of all groups and of its own leaves, side by side; and whether their logits are ``_plain``."""
+        p, bias = self.p, np.where(self.tree.open, self.p["o2"], np.float32(-1e9))
+        both, filled = np.empty((GROUPS + 1, HIDDEN + 1, GROUPS + 1 + LEAVES), dtype=p["O1"].dtype), self.tree.open.any(1)
+        both[:, :HIDDEN, : GROUPS + 1], both[:, HIDDEN, : GROUPS + 1] = p["O1"], p["o1"]
+        both[:, :HIDDEN, GROUPS + 1 :], both[:, HIDDEN, GROUPS + 1 :] = p["O2"], bias
+        return both, _plain(p["O1"], p["o1"]) and _plain(p["O2"][filled], bias[filled])
+
+    def exponentials(self, h: np.ndarray, groups: list[tuple[int, int, int]], outputs: tuple[np.ndarray, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all groups and then of the leaves of each one's group, not yet divided by their sums; and the two sums. ``h`` in the order of ``by_group``.
+
+        Small logits go through exp as they are, others less the largest.
+        """
+        both, plain = outputs
+        out = np.empty((len(h), GROUPS + 1 + LEAVES), dtype=h.dtype)
         for g, i, j in groups:
-            z[:, i:j] = self.p["O2"][g].T @ h[i:j].T + bias[g][:, None]
-        return z
-
-    def sorted_logs(self, h: np.ndarray, symbol: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
-        """``logs`` of what is in the order of ``by_group``."""
-        t, group, leaf = self.tree, self.tree.group[symbol], self.tree.leaf[symbol]
-        first = _chosen(self.p["O1"].T @ h.T + self.p["o1"][:, None], group)
-        second = _chosen(self.leaves(h, groups), leaf)
-        return np.log((1 - MIX) * first + MIX * t.prior1[group]) + np.log((1 - MIX) * second + MIX * t.prior2[group, leaf])
+            np.matmul(h[i:j], both[g], out=out[i:j])
+        halves = out[:, : GROUPS + 1], out[:, GROUPS + 1 :]
+        if not plain:
+            for one in halves:
+                one -= one.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        return (out, *(one @ np.ones(one.shape[1], dtype=h.dtype) for one in halves))
+
+    def sorted_logs(self, h: np.ndarray, symbol: np.ndarray, groups: list[tuple[int, int, int]], outputs: tuple[np.ndarray, bool]) -> np.ndarray:
+        """``logs`` of what is in the order of ``by_group``, from what ``hidden`` gives."""
+        t, group, leaf, at = self.tree, self.tree.group[symbol], self.tree.leaf[symbol], np.arange(len(symbol))
+        both, one, two = self.exponentials(h, groups, outputs)
+        first, second = both[at, group] / one, both[at, GROUPS + 1 + leaf] / two
+        return np.log(((1 - MIX) * first + MIX * t.prior1[group]) * ((1 - MIX) * second + MIX * t.prior2[group, leaf]))
 
     def logs(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the mixed probabilities of the symbols' leaves."""
+        """Natural logarithms of the mixed probabilities of the symbols' leaves. h: a symbol a row."""
         order, groups = self.by_group(symbol)
         out = np.empty(len(h), dtype=np.result_type(h.dtype, np.float32))
-        out[order] = self.sorted_logs(h[order], symbol[order], groups)
+        out[order] = self.sorted_logs(np.concatenate([h[order], np.ones((len(h), 1), dtype=h.dtype)], axis=1), symbol[order], groups, self.outputs())
         return out
 
     def contributions(self) -> np.ndarray:
         """What each row of E adds to the hidden layer as the symbol before."""
         return self.p["E"] @ self.p["U"]
 
-    def word_logs(self, words: Words, w: Windows, step: int = 1024, contributions: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def word_logs(self, words: Words, w: Windows, step: int = 256, contributions: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For what each position predicts natural logarithms of the probability of its symbols and of its first symbol's leaf, 0 where it isn't to be scored."""
         contributions = self.contributions() if contributions is None else contributions
         out, head = np.zeros(len(w.target)), np.zeros(len(w.target))
-        projected = self.project(self.inputs(words)[2])
+        projected, outputs = self.project(self.inputs(words)[2]), self.outputs()
+        symbols, befores, begins, numbers = self.spelling(words)
         for i in range(0, len(w.query), step):
             some = slice(i, i + step)
             pre, _ = self.attend(projected, w, some)
-            real, at = w.real[some], w.query[some]
-            place, symbol, before = self.spelled(words, w.target[at[real]])
+            real = np.flatnonzero(w.real[some])
+            at = w.query[some].ravel()[real]
+            target = w.target[at]
+            n = numbers[target]
+            flat = ragged(begins[target], n)
+            symbol = symbols[flat]
             order, groups = self.by_group(symbol)
+            h = self.hidden(pre.take(np.repeat(real, n)[order], axis=0), contributions.take(befores[flat[order]], axis=0))
             found = np.empty(len(symbol))
-            found[order] = self.sorted_logs(self.hidden(pre[real], place[order], contributions[before[order]]), symbol[order], groups)
-            out[at[real]] = np.bincount(place, found + self.tree.share[symbol], minlength=int(real.sum()))
-            head[at[real]] = found[np.searchsorted(place, np.arange(int(real.sum())))]
+            found[order] = self.sorted_logs(h, symbol[order], groups, outputs)
+            begin = np.cumsum(n) - n
+            out[at] = np.add.reduceat(found + self.tree.share[symbol], begin) if len(begin) else 0
+            head[at] = found[begin]
         return out, head
 
     def loss_gradient(self, words: Words, w: Windows) -> tuple[float, dict, np.ndarray]:
-        """Mean loss a symbol without the mixing, gradients, and the rows of E that ``gradient["E"]`` is of."""
+        """Mean loss a symbol without the mixing, gradients, and the rows of E that ``gradient["E"]`` is of. No word is read twice."""
         p, t = self.p, self.tree
         rows, owner, x = self.inputs(words)
-        pre, (q, k, queries, keys, values, e, read) = self.attend(self.project(x), w, slice(None))
-        place, symbol, before = self.spelled(words, w.target[w.query[w.real]])
-        order, groups = self.by_group(symbol)
-        place, symbol, before = place[order], symbol[order], before[order]
-        spelled = p["E"][before]
-        h = self.hidden(pre[w.real], place, spelled @ p["U"])
+        pre, (q, queries, keys, values, e, read) = self.attend(self.project(x), w, slice(None))
+        symbols, befores, begins, numbers = self.spelling(words)
+        real = np.flatnonzero(w.real)
+        target = w.target[w.query.ravel()[real]]
+        number = numbers[target]
+        flat = ragged(begins[target], number)
+        order, groups = self.by_group(symbols[flat])
+        symbol, before = symbols[flat[order]], befores[flat[order]]
+        spelled = p["E"].take(before, axis=0)
+        h = self.hidden(pre.take(np.repeat(real, number)[order], axis=0), spelled @ p["U"])
         group, leaf, n = t.group[symbol], t.leaf[symbol], max(len(symbol), 1)
-        at = np.arange(len(h))
-        y, z = _softmax(p["O1"].T @ h.T + p["o1"][:, None]), _softmax(self.leaves(h, groups))
-        loss = -np.log(y[group, at]).sum() - np.log(z[leaf, at]).sum()
-        for one, k in ((y, group), (z, leaf)):
-            one[k, at] -= 1
-            one *= one.dtype.type(1 / n)
-        g = {"O1": (y @ h).T, "o1": y.sum(1), "O2": np.zeros_like(p["O2"]), "o2": np.zeros_like(p["o2"])}
-        dh = y.T @ p["O1"].T
+        at, outputs = np.arange(len(symbol)), self.outputs()
+        both, one, two = self.exponentials(h, groups, outputs)
+        loss, part = 0.0, h.dtype.type(1 / n)
+        for some, total, k in ((both[:, : GROUPS + 1], one, group), (both[:, GROUPS + 1 :], two, leaf)):
+            some *= (part / total)[:, None]
+            chosen = some[at, k]
+            loss -= np.log(chosen * n).sum()
+            some[at, k] = chosen - part
+        g = {"O2": np.zeros_like(p["O2"]), "o2": np.zeros_like(p["o2"])}
+        first, dz = np.zeros((HIDDEN + 1, GROUPS + 1), dtype=h.dtype), np.empty((len(h), HIDDEN), dtype=h.dtype)
         for c, i, j in groups:
-            g["O2"][c] = (z[:, i:j] @ h[i:j]).T
-            dh[i:j] += z[:, i:j].T @ p["O2"][c].T
-        if groups:
-            at = [c for c, *_ in groups]
-            g["o2"][at] = np.add.reduceat(z, [i for _, i, _ in groups], axis=1).T
-        dz = dh * (1 - h * h)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
+            second = h[i:j].T @ both[i:j]
+            first += second[:, : GROUPS + 1]
+            g["O2"][c], g["o2"][c] = second[:HIDDEN, GROUPS + 1 :], second[HIDDEN, GROUPS + 1 :]
+            np.matmul(both[i:j], outputs[0][c, :HIDDEN].T, out=dz[i:j])
+        g["O1"], g["o1"] = first[:HIDDEN], first[HIDDEN]
+        h = h[:, :HIDDEN]
+        dz *= 1 - h * h
         g["U"] = spelled.T @ dz
         dpre = np.zeros_like(pre)
-        dpre[w.real] = _sums(place, dz, int(w.real.sum()))
-        g["W2"], dread = flat(read).T @ flat(dpre), dpre @ p["W2"].T
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = at
+        if len(real):
+            dpre[real] = _runs(dz, back, np.cumsum(number) - number, number)
+        g["W2"], dread = read.reshape(-1, DIM).T @ dpre, (dpre @ p["W2"].T).reshape(read.shape)
         de = np.matmul(dread, values.transpose(0, 2, 1))
-        dv = np.matmul(e.transpose(0, 2, 1), dread)
-        de = e * (de - (e * de).sum(axis=2, keepdims=True))
+        de -= ((dread * read).reshape(-1, DIM) @ np.ones(DIM, dtype=read.dtype)).reshape(*read.shape[:2], 1)
+        de *= e
         g["r"] = np.bincount(_LAG.ravel(), de.sum(0).ravel(), minlength=2 * STRIDE).astype(p["r"].dtype)
-        de *= np.float32(DIM**-0.5)
-        dk = np.matmul(de.transpose(0, 2, 1), queries)
-        # The first half of a block's keys are the block before, or masked and without gradient.
-        for d in (dk, dv):
-            d[:-1, STRIDE:] += d[1:, :STRIDE]
-        d = np.concatenate([flat(np.matmul(de, keys)), flat(dk[:, STRIDE:]), flat(dv[:, STRIDE:]), flat(dpre)], axis=1)
-        read_by = q.ravel()
-        g["Q"], g["K"], g["V"], g["W1"] = np.split(x[read_by].T @ d, [DIM, 2 * DIM, 3 * DIM], axis=1)
+        d = np.empty((len(dpre), 3 * DIM + HIDDEN), dtype=dpre.dtype)
+        at = lambda k: d.reshape(*read.shape[:2], -1)[:, :, k * DIM : (k + 1) * DIM]
+        np.matmul(de, keys, out=at(0))
+        for k, a, b in ((1, de, queries), (2, e, dread)):
+            np.matmul(a[:, :, STRIDE:].transpose(0, 2, 1), b, out=at(k))
+            # The first half of a block's keys are the block before, or masked and without gradient.
+            at(k)[:-1] += np.matmul(a[1:, :, :STRIDE].transpose(0, 2, 1), b[1:])
+        d[:, 3 * DIM :] = dpre
+        # Positions beyond their document's end get and give no gradient.
+        scale, read_by = x.dtype.type(DIM**-0.5), q.ravel()
+        g["Q"], g["K"], g["V"], g["W1"] = np.split(x.take(read_by, axis=0).T @ d, [DIM, 2 * DIM, 3 * DIM], axis=1)
+        g["Q"] = g["Q"] * scale
         g["b"] = d[:, 3 * DIM :].sum(0)
-        dx = _sums(read_by, d @ np.concatenate([p["Q"], p["K"], p["V"], p["W1"]], axis=1).T, len(x))
-        touched, index = _kinds(np.concatenate([rows, before]))
-        g["E"] = _sums(index, np.concatenate([dx[owner], dz @ p["U"].T]), len(touched))
+        each = np.zeros((len(d) + 1, DIM), dtype=x.dtype)
+        np.matmul(d, np.concatenate([p["Q"] * scale, p["K"], p["V"], p["W1"]], axis=1).T, out=each[:-1])
+        by = np.full(len(x), len(d))  # the row of nothing
+        exists = np.flatnonzero(w.exists)
+        by[read_by[exists]] = exists
+        dx = each.take(by, axis=0)
+        dx[0] = each.take(exists[read_by[exists] == 0], axis=0).sum(0)
+        later = np.flatnonzero(before != self.row(self.FIRST))
+        touched, index = _kinds(np.concatenate([rows, before[later], [self.row(self.FIRST)]]))
+        dz = dz @ p["U"].T
+        some = dz.take(later, axis=0)
+        g["E"] = _sums(index, np.concatenate([dx.take(owner, axis=0), some, [dz.sum(0) - some.sum(0)]]), len(touched))
         return float(loss) / n, g, touched
 
 
@@ -433,12 +492,15 @@ class Learner:
 
     def __init__(self, net: Net, rate: float, seed: int = 3):
         self.net, self.rate, self.rng, self.step = net, rate, np.random.default_rng(seed), 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+        # All weights but E are parts of one array, and go through a step together.
+        self.rest = _rest(net.p)
+        _put_rest(net.p, self.rest)
+        self.m, self.v = ((np.zeros_like(self.rest), np.zeros_like(net.p["E"])) for _ in range(2))
         self.met = np.zeros(len(net.p["E"]))
 
     def learn(self, slices: list[np.ndarray], flags: np.ndarray, epochs: int = 1) -> None:
         """flags: 1 a document's first words, 2 its last."""
-        net, m, v = self.net, self.m, self.v
+        net, (m, m_e), (v, v_e) = self.net, self.m, self.v
         for _ in range(epochs):
             order = self.rng.permutation(len(slices))
             for i in range(0, len(order), BATCH):
@@ -447,19 +509,40 @@ class Learner:
                 _, grad, rows = net.loss_gradient(words, windows(np.arange(len(words)), counts, (flags[some] & 1) > 0, (flags[some] & 2) > 0))
                 self.met[rows] += 1
                 self.step += 1
-                for k, g in grad.items():
-                    at = rows if k == "E" else slice(None)
-                    one, two = m[k][at], v[k][at]
-                    one += 0.1 * (g - one)
-                    two += 0.005 * (g * g - two)
-                    m[k][at], v[k][at] = one, two
-                    net.p[k][at] -= (self.rate * (one / (1 - 0.9**self.step)) / (np.sqrt(two / (1 - 0.995**self.step)) + 1e-8)).astype(net.p[k].dtype)
+                self.rest -= self._move(m, v, _rest(grad))
+                one, two = m_e.take(rows, axis=0), v_e.take(rows, axis=0)
+                net.p["E"][rows] -= self._move(one, two, grad["E"])
+                m_e[rows], v_e[rows] = one, two
+
+    def _move(self, m: np.ndarray, v: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """What a step takes off; brings the running means up to date and overwrites ``g``."""
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        g -= v
+        g *= 0.005
+        v += g
+        np.sqrt(v, out=g)
+        g *= (1 - 0.995**self.step) ** -0.5
+        g += 1e-8
+        np.divide(m, g, out=g)
+        g *= self.rate / (1 - 0.9**self.step)
+        return g
 
 
 def _rest(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p) if k != "E"])
 
 
+def _put_rest(p: dict, flat: np.ndarray) -> None:
+    """Makes all weights but E views of ``flat``."""
+    at = 0
+    for k in sorted(p):
+        if k != "E":
+            p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+
+
 def _learned(shared, rate: float, epochs: int):
     """mapInArrow function over (symbols, flags): each task's weights after its own slices, times what they count, in parts."""
 
@@ -536,11 +619,7 @@ def _averaged(net: Net, slices: DataFrame, rate: float, epochs: int) -> None:
             seen = counts > 0
             net.p["E"][at[seen]] = sums.reshape(len(at), DIM)[seen] / counts[seen, None]
     if PARTS in rows:
-        flat, at = rows[PARTS][0] / rows[PARTS][1][0], 0
-        for k in sorted(net.p):
-            if k != "E":
-                net.p[k] = flat[at : at + net.p[k].size].reshape(net.p[k].shape).astype(np.float32)
-                at += net.p[k].size
+        _put_rest(net.p, (rows[PARTS][0] / rows[PARTS][1][0]).astype(np.float32))
 
 
 def block_words(block: Block, own) -> tuple:
