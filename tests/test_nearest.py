@@ -1,6 +1,7 @@
 """Nearest lines: local bearings, any distance, and the projection that distances are taken in."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,47 @@ def test_projection(spark):
         a, b = (projection.forward_number(lon, lat, -117.0) for lat in (43.6, 43.61))
         # A hundredth of a degree of the meridian at this latitude.
         assert math.dist(a, b) == pytest.approx(1111.07, rel=1e-3)
+
+
+def test_nothing_is_broadcast_however_small_the_tables_look(spark):
+    """Sizes are estimated before cells multiply the rows; the driver would hold them all."""
+    point = lambda lat: f"named_struct('lon', -116.2D + id / 1000, 'lat', {lat}D)"
+    s, n = (spark.range(3).selectExpr(f"id AS {key}", f"array({point(43.61)}, {point(43.62)}) AS line", "1.0D AS aadt", "'R' AS route") for key in ("segment_id", "line_id"))
+    assert "Broadcast" not in nearest_line_join(s, n)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_lines_are_measured_once_and_all_segments_told(spark):
+    copies = [SEGMENT, SEGMENT, [(-116.2, 43.0), (-116.2, 43.01)], SEGMENT, [(-116.2, 43.0), (-116.2, 43.01)]]
+    beside = [(-116.1999, 43.605), (-116.1999, 43.625)]
+    got = matched(spark, copies, [[(-116.1998, 43.605), (-116.1998, 43.625)], beside, beside])
+    assert [(got[k]["match"], got[k]["line_id"]) for k in range(1, 6)] == [("matched", 11), ("matched", 11), ("nearest", 11), ("matched", 11), ("nearest", 11)]
+    # Segments that share an id each have the result of their own line.
+    s = spark.createDataFrame([(1, polyline(*p)) for p in (SEGMENT, copies[2])] + [(2, polyline(*SEGMENT)), (None, polyline(*SEGMENT))], f"segment_id long, line {LINE}")
+    n = spark.createDataFrame([(10, polyline(*beside), 1.0, "R")], f"line_id long, line {LINE}, aadt double, route string")
+    rows = [(r["segment_id"], r["match"]) for r in nearest_line_join(s, n).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "matched"), (1, "nearest"), (2, "matched"), (None, "missing")], key=str)
+
+
+def test_nearest_equals_brute_force(spark):
+    """Segments in, beside and far from a cloud of lines."""
+    draw = random.Random(7)
+    some = lambda lon, lat, spread: [(lon + draw.uniform(-spread, spread), lat + draw.uniform(-spread, spread))]
+    lines = [p + [(p[0][0] + draw.uniform(-0.02, 0.02), p[0][1] + draw.uniform(-0.02, 0.02))] for p in (some(-116.2, 43.6, 0.2) for _ in range(150))]
+    segments = [p + [(p[0][0] + 0.003, p[0][1] - 0.002)] for spread in (0.1, 0.4, 1.5) for p in (some(-116.2, 43.6, spread) for _ in range(12))]
+    got = matched(spark, segments, lines, max_metres=1.0)
+
+    def apart(p, q):
+        def foot(c, a, b):
+            t = max(0.0, min(1.0, ((c[0] - a[0]) * (b[0] - a[0]) + (c[1] - a[1]) * (b[1] - a[1])) / math.dist(a, b) ** 2))
+            return math.dist(c, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+        side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        if side(*p, q[0]) * side(*p, q[1]) < 0 and side(*q, p[0]) * side(*q, p[1]) < 0:
+            return 0.0
+        return min(foot(p[0], *q), foot(p[1], *q), foot(q[0], *p), foot(q[1], *p))
+
+    for k, p in enumerate(segments, 1):
+        lon0 = math.floor(p[0][0] / 6) * 6 + 3
+        plane = lambda line: [projection.forward_number(*c, lon0) for c in line]  # noqa: E731,B023
+        best = min((apart(plane(p), plane(q)), n) for n, q in enumerate(lines, 10))
+        assert (got[k]["distance"], got[k]["line_id"]) == (pytest.approx(best[0], abs=1e-5), best[1])

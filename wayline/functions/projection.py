@@ -7,6 +7,7 @@ a zone, and usable far outside it. Positions are degrees on WGS 84 or GRS 80, wh
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 #: GRS 80, and the scale on a zone's central meridian.
 GRS80 = (6_378_137.0, 1 / 298.257222101)
@@ -26,15 +27,24 @@ def central_meridian(lon: str) -> str:
     return f"(floor({lon} / 6) * 6 + 3.0D)"
 
 
-def forward(lon: str, lat: str, lon0: str, scale: float = SCALE, ellipsoid=GRS80) -> tuple[str, str]:
-    """SQL for metres east of the meridian ``lon0`` and north of the equator: plain arithmetic, so that repeated parts are computed once."""
+def forward_steps(lon: str, lat: str, lon0: str, name: str = "{}", scale: float = SCALE, ellipsoid=GRS80) -> list[dict[str, str]]:
+    """SQL for metres x east of the meridian ``lon0`` and y north of the equator, in three steps, each by names that the one before gives; ``name`` is the form of the names."""
     e, radius, series = _series(ellipsoid)
     turn, sine = f"radians({lon} - {lon0})", f"sin(radians({lat}))"
-    t = f"sinh(atanh({sine}) - {e!r}D * atanh({e!r}D * {sine}))"
-    xi, eta = f"atan2({t}, cos({turn}))", f"atanh(sin({turn}) / sqrt(1 + {t} * {t}))"
+    t, xi, eta = name.format("t"), name.format("xi"), name.format("eta")
+    first = {t: f"sinh(atanh({sine}) - {e!r}D * atanh({e!r}D * {sine}))"}
+    second = {xi: f"atan2({t}, cos({turn}))", eta: f"atanh(sin({turn}) / sqrt(1 + {t} * {t}))"}
     x = " + ".join([eta, *(f"{c!r}D * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, c in enumerate(series, 1))])
     y = " + ".join([xi, *(f"{c!r}D * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, c in enumerate(series, 1))])
-    return f"({scale * radius!r}D * ({x}))", f"({scale * radius!r}D * ({y}))"
+    return [first, second, {name.format("x"): f"({scale * radius!r}D * ({x}))", name.format("y"): f"({scale * radius!r}D * ({y}))"}]
+
+
+def forward(lon: str, lat: str, lon0: str, scale: float = SCALE, ellipsoid=GRS80) -> tuple[str, str]:
+    """The same as one SQL text each for x and y: plain arithmetic, so that repeated parts are computed once."""
+    first, second, last = forward_steps(lon, lat, lon0, "<{}>", scale, ellipsoid)
+    written = lambda text, given: reduce(lambda out, g: out.replace(*g), given.items(), text)
+    x, y = (written(written(v, second), first) for v in last.values())
+    return x, y
 
 
 def forward_number(lon: float, lat: float, lon0: float, scale: float = SCALE, ellipsoid=GRS80) -> tuple[float, float]:
